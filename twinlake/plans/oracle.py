@@ -128,3 +128,217 @@ register("fn_iso_timestamp", """
 register("array_membership", """
     SELECT o_orderkey, o_orderpriority FROM orders
     WHERE list_contains(['1-URGENT', '2-HIGH'], o_orderpriority)""")
+
+# --- S3 --------------------------------------------------------------------
+_INV = [t for t in sorted(["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+                            "documents", "embeddings", "pages", "benchmark", "labels", "conversations"])
+        if t not in ("pages", "benchmark")]
+register("table_inventory", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _INV))
+
+# --- FX-M2N ----------------------------------------------------------------
+_REL_L = with_("ab") + """, rel AS (SELECT ab.author_id, p.* FROM ab JOIN part p ON ab.book_id = p.p_partkey)
+"""
+_REL_R = with_("ab") + """, rel AS (SELECT ab.book_id, s.* FROM ab JOIN supplier s ON ab.author_id = s.s_suppkey)
+"""
+register("m2n_expand_left", _REL_L + """
+    SELECT s.s_suppkey, s.s_name, count(rel.p_partkey) AS n_related,
+           CAST(sum(CAST(rel.p_retailprice AS DECIMAL(18,2))) AS DOUBLE) AS sum_related
+    FROM supplier s LEFT JOIN rel ON rel.author_id = s.s_suppkey GROUP BY s.s_suppkey, s.s_name""")
+register("m2n_expand_right", _REL_R + """
+    SELECT p.p_partkey, p.p_name, count(rel.s_suppkey) AS n_related,
+           CAST(sum(CAST(rel.s_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS sum_related
+    FROM part p LEFT JOIN rel ON rel.book_id = p.p_partkey GROUP BY p.p_partkey, p.p_name""")
+register("m2n_expand_rows", _REL_L + """
+    SELECT s.s_suppkey, s.s_name, rel.p_partkey, rel.p_name
+    FROM supplier s LEFT JOIN rel ON rel.author_id = s.s_suppkey""")
+register("multi_key_join", with_("ab") + """
+    SELECT l_orderkey, l_linenumber, author_id, book_id, assigned_at
+    FROM lineitem JOIN ab ON l_suppkey = author_id AND l_partkey = book_id""")
+register("cascade_delete", with_("ab") + """
+    SELECT * FROM ab WHERE NOT EXISTS (
+        SELECT 1 FROM supplier s WHERE s.s_suppkey % 7 = 0 AND s.s_suppkey = ab.author_id)""")
+register("sync_children", with_("ab_read") + """
+    , par AS (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)
+    SELECT * FROM ab_read r WHERE NOT EXISTS (SELECT 1 FROM par WHERE par.s_suppkey = r.author_id)
+    UNION ALL
+    SELECT * FROM ab w WHERE EXISTS (SELECT 1 FROM par WHERE par.s_suppkey = w.author_id)""")
+
+# --- FX-REPLICA ------------------------------------------------------------
+_DIFF_ORDERS = """
+    SELECT coalesce(w.o_orderkey, r.o_orderkey) AS o_orderkey,
+           CASE WHEN r.o_orderkey IS NULL THEN 'insert'
+                WHEN w.o_orderkey IS NULL THEN 'delete'
+                WHEN w.o_custkey IS NOT DISTINCT FROM r.o_custkey
+                 AND w.o_orderstatus IS NOT DISTINCT FROM r.o_orderstatus
+                 AND w.o_totalprice IS NOT DISTINCT FROM r.o_totalprice
+                 AND w.o_orderdate IS NOT DISTINCT FROM r.o_orderdate
+                 AND w.o_orderpriority IS NOT DISTINCT FROM r.o_orderpriority THEN 'same'
+                ELSE 'update' END AS action
+    FROM orders w FULL OUTER JOIN orders_read r ON w.o_orderkey = r.o_orderkey"""
+_DIFF_AB = """
+    SELECT CASE WHEN r.author_id IS NULL THEN 'insert' WHEN w.author_id IS NULL THEN 'delete'
+                ELSE 'same' END AS action
+    FROM ab w FULL OUTER JOIN ab_read r ON w.author_id = r.author_id AND w.book_id = r.book_id"""
+register("row_diff", with_("orders_read") + _DIFF_ORDERS)
+register("upsert_by_key", with_("orders_read") + """
+    SELECT * FROM orders_read r WHERE NOT EXISTS (SELECT 1 FROM orders w WHERE w.o_orderkey = r.o_orderkey)
+    UNION ALL SELECT * FROM orders""")
+register("insert_if_absent", with_("orders_read") + """
+    SELECT * FROM orders_read
+    UNION ALL
+    SELECT * FROM orders w WHERE NOT EXISTS (SELECT 1 FROM orders_read r WHERE r.o_orderkey = w.o_orderkey)""")
+register("delete_orphans", with_("orders_read") + """
+    SELECT * FROM orders_read r WHERE EXISTS (SELECT 1 FROM orders w WHERE w.o_orderkey = r.o_orderkey)""")
+register("orphans_single_key", with_("orders_read") + """
+    SELECT * FROM orders_read r WHERE NOT EXISTS (SELECT 1 FROM orders w WHERE w.o_orderkey = r.o_orderkey)""")
+_IDS = with_("orders_read") + """
+    , ids AS (SELECT o_orderkey FROM orders_read WHERE o_orderpriority = '1-URGENT'
+              UNION SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'),
+      rws AS (SELECT * FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM ids))
+"""
+register("sync_rows_by_id", _IDS + """
+    SELECT * FROM orders_read r WHERE NOT EXISTS (SELECT 1 FROM rws WHERE rws.o_orderkey = r.o_orderkey)
+    UNION ALL SELECT * FROM rws""")
+register("sync_rows_missing", _IDS + """
+    SELECT o_orderkey FROM ids WHERE NOT EXISTS (SELECT 1 FROM orders w WHERE w.o_orderkey = ids.o_orderkey)""")
+register("delete_rows_by_id", with_("orders_read") + """
+    SELECT * FROM orders_read r WHERE NOT EXISTS (
+        SELECT 1 FROM orders w WHERE w.o_orderstatus = 'P' AND w.o_orderkey = r.o_orderkey)""")
+register("cdc_apply", "SELECT * FROM orders")
+register("sync_report", with_("orders_read", "ab_read") + f"""
+    SELECT 'orders' AS table_name, action, count(*) AS n_rows FROM ({_DIFF_ORDERS}) GROUP BY action
+    UNION ALL
+    SELECT 'authors_books' AS table_name, action, count(*) AS n_rows FROM ({_DIFF_AB}) GROUP BY action
+    UNION ALL
+    SELECT 'lineitem' AS table_name, 'replace' AS action, count(*) AS n_rows FROM lineitem""")
+register("sync_all", with_("ab") + """
+    SELECT 'orders' AS table_name, count(*) AS n_rows, true AS is_equal FROM orders
+    UNION ALL SELECT 'authors_books', count(*), true FROM ab
+    UNION ALL SELECT 'lineitem', count(*), true FROM lineitem""")
+register("snapshot_equal", with_("orders_read") + """
+    , m AS (SELECT count(*) AS n FROM (SELECT * FROM orders EXCEPT ALL SELECT * FROM orders_read)),
+      e AS (SELECT count(*) AS n FROM (SELECT * FROM orders_read EXCEPT ALL SELECT * FROM orders))
+    SELECT 'before' AS stage, m.n AS n_missing, e.n AS n_extra, (m.n = 0 AND e.n = 0) AS is_equal FROM m, e
+    UNION ALL SELECT 'after', CAST(0 AS BIGINT), CAST(0 AS BIGINT), true""")
+register("fn_row_signature", """
+    SELECT o_orderkey, concat_ws('|',
+        coalesce(CAST(o_orderkey AS VARCHAR), ''), coalesce(CAST(o_custkey AS VARCHAR), ''),
+        coalesce(o_orderstatus, ''), coalesce(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), ''),
+        coalesce(CAST(o_orderdate AS VARCHAR), ''), coalesce(o_orderpriority, '')) AS signature
+    FROM orders""")
+_DRIFT_READ = """drift_read AS (
+    SELECT o_orderkey, coalesce(o_custkey, -1) AS o_custkey, o_orderstatus,
+           CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS o_totalprice, o_orderdate,
+           o_orderstatus = 'F' AS legacy_flag
+    FROM orders)
+"""
+register("retype_report", "WITH " + _DRIFT_READ + """
+    SELECT 'o_totalprice' AS column_name, 'string' AS from_type, 'double' AS to_type, true AS castable,
+           count(*) AS n_rows,
+           count(*) FILTER (WHERE o_totalprice IS NOT NULL AND TRY_CAST(o_totalprice AS DOUBLE) IS NULL) AS n_failed
+    FROM drift_read
+    UNION ALL
+    SELECT 'o_orderstatus', 'string', 'int', true, count(*),
+           count(*) FILTER (WHERE o_orderstatus IS NOT NULL AND TRY_CAST(o_orderstatus AS INTEGER) IS NULL)
+    FROM drift_read
+    UNION ALL
+    SELECT 'o_orderdate', 'timestamp_ntz', 'date', true, count(*),
+           count(*) FILTER (WHERE o_orderdate IS NOT NULL AND TRY_CAST(o_orderdate AS DATE) IS NULL)
+    FROM drift_read
+    UNION ALL
+    SELECT 'legacy_flag', 'boolean', 'date', false, count(*), count(legacy_flag) FROM drift_read""")
+
+# --- FX-COMPOSITE ----------------------------------------------------------
+register("orphans_composite_key", with_("ab_read") + """
+    SELECT * FROM ab_read r WHERE NOT EXISTS (
+        SELECT 1 FROM ab w WHERE w.author_id = r.author_id AND w.book_id = r.book_id)""")
+register("delete_orphans_composite", with_("ab_read") + """
+    SELECT * FROM ab_read r WHERE EXISTS (
+        SELECT 1 FROM ab w WHERE w.author_id = r.author_id AND w.book_id = r.book_id)""")
+
+# --- FX-NOKEY --------------------------------------------------------------
+register("replace_no_key", "SELECT * FROM lineitem")
+_UNIQ = """SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
+           WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
+           GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
+register("unique_violations", _UNIQ)
+register("primary_key_check", f"""
+    SELECT l_orderkey, l_linenumber, 'duplicate' AS violation, n_rows FROM ({_UNIQ})
+    UNION ALL
+    SELECT NULL, NULL, 'null:' || c, n FROM (
+        SELECT 'l_orderkey' AS c, count(*) FILTER (WHERE l_orderkey IS NULL) AS n FROM lineitem
+        UNION ALL SELECT 'l_linenumber', count(*) FILTER (WHERE l_linenumber IS NULL) FROM lineitem) WHERE n > 0""")
+
+# --- FX-CONFLICT -----------------------------------------------------------
+register("upsert_conflict_pairs", with_("cust_read") + """
+    , r AS (SELECT c_name, min(c_custkey) AS mn, max(c_custkey) AS mx, count(*) AS n_holders
+            FROM cust_read WHERE c_name IS NOT NULL GROUP BY c_name)
+    SELECT w.c_custkey AS write_key, w.c_name,
+           CASE WHEN r.mn <> w.c_custkey THEN r.mn ELSE r.mx END AS read_key, r.n_holders
+    FROM customer w JOIN r ON w.c_name = r.c_name
+    WHERE r.mn <> w.c_custkey OR r.mx <> w.c_custkey""")
+
+# --- FX-FK -----------------------------------------------------------------
+_CLEAN = """clean AS (SELECT * FROM child WHERE o_custkey IS NULL
+                       OR EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = child.o_custkey))"""
+register("fk_orphan_cleanup", with_("child") + ", " + _CLEAN + " SELECT * FROM clean")
+register("fk_orphan_report", with_("child") + """
+    SELECT 'fk_orders_customer' AS constraint_name, o_orderkey, o_custkey AS fk_value FROM child
+    WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = child.o_custkey)""")
+register("fk_cleanup_chain", with_("child") + ", " + _CLEAN + """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem l
+    WHERE l_orderkey IS NULL OR EXISTS (SELECT 1 FROM clean WHERE clean.o_orderkey = l.l_orderkey)""")
+register("null_violations", with_("child") + """
+    SELECT 'o_orderkey' AS column_name, count(*) FILTER (WHERE o_orderkey IS NULL) AS n_nulls FROM child
+    UNION ALL SELECT 'o_custkey', count(*) FILTER (WHERE o_custkey IS NULL) FROM child""")
+
+# --- FX-TEXT ---------------------------------------------------------------
+_NORM = "lower(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
+register("definition_diff", with_("text_write", "text_read") + f"""
+    SELECT coalesce(w.doc_id, r.doc_id) AS doc_id,
+           CASE WHEN r.doc_id IS NULL THEN 'create' WHEN w.doc_id IS NULL THEN 'drop'
+                WHEN {_NORM.format(c='w.text')} IS NOT DISTINCT FROM {_NORM.format(c='r.text')} THEN 'same'
+                ELSE 'recreate' END AS action
+    FROM text_write w FULL OUTER JOIN text_read r ON w.doc_id = r.doc_id""")
+register("fn_normalise_definition", with_("text_read") + f"""
+    SELECT doc_id, {_NORM.format(c='text')} AS normalised FROM text_read""")
+
+# --- FX-ENUM ---------------------------------------------------------------
+register("enum_domain_drift", """
+    SELECT DISTINCT o_orderpriority AS label FROM orders WHERE o_orderpriority IS NOT NULL
+    EXCEPT
+    SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority <> '1-URGENT'""")
+
+# --- FX-DRIFT --------------------------------------------------------------
+register("column_drift", """
+    SELECT * FROM (VALUES
+        ('orders', 'o_orderkey', 'bigint', 'bigint', 'same'),
+        ('orders', 'o_custkey', 'bigint', 'bigint', 'relax_null'),
+        ('orders', 'o_orderstatus', 'string', 'string', 'same'),
+        ('orders', 'o_totalprice', 'double', 'string', 'retype'),
+        ('orders', 'o_orderdate', 'timestamp_ntz', 'timestamp_ntz', 'same'),
+        ('orders', 'o_orderpriority', 'string', NULL, 'add'),
+        ('orders', 'legacy_flag', NULL, 'boolean', 'drop'))
+      AS t(table_name, column_name, write_type, read_type, change)""")
+register("table_set_drift", """
+    SELECT * FROM (VALUES ('pages', 'create'), ('legacy_audit', 'drop')) AS t(table_name, action)""")
+register("align_schema", "WITH " + _DRIFT_READ + """
+    SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderdate,
+           '5-LOW' AS o_orderpriority
+    FROM drift_read""")
+
+# --- FX-SEQ / FX-ZIP -------------------------------------------------------
+register("ordered_array_agg", """
+    SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) AS roles, count(*) AS n_turns
+    FROM conversations GROUP BY conv_id""")
+register("unnest_zip_ordinality", """
+    SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS ordinality,
+           unnest(embedding) AS embedding_elem, unnest(list_reverse(embedding)) AS reversed_elem
+    FROM embeddings""")
+register("fn_array_literal", """
+    WITH x AS (SELECT vec_id, '{' || CAST(vec_id AS VARCHAR) || ',' || CAST(label AS VARCHAR) || ','
+                              || CAST(len(embedding) AS VARCHAR) || '}' AS literal FROM embeddings),
+         y AS (SELECT vec_id, literal, string_split(trim(literal, '{}'), ',') AS parts FROM x)
+    SELECT vec_id, literal, unnest(range(1, len(parts) + 1)) AS ordinality,
+           unnest(CAST(parts AS BIGINT[])) AS elem FROM y""")

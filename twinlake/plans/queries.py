@@ -103,3 +103,406 @@ def array_membership(spark, sf):
     o = fx.listing(Tables(spark, sf))
     wanted = F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))
     return o.filter(listing.member_of(F.col("o_orderpriority"), wanted)).select("o_orderkey", "o_orderpriority")
+
+
+# --- S3 inventory ----------------------------------------------------------
+INVENTORY_EXCLUDE = ("migrations", "pages", "benchmark")
+
+
+@query
+def table_inventory(spark, sf):
+    from ..sources.inventory import table_inventory as inv
+    return inv(Tables(spark, sf), exclude=INVENTORY_EXCLUDE)
+
+
+# --- FX-M2N ----------------------------------------------------------------
+def _m2n_long(t: Tables, left_side: bool):
+    from ..operators import relations as R
+    link = fx.m2n_link(t)
+    if left_side:
+        return R.m2n_expand(fx.m2n_left(t), link, fx.m2n_right(t), "s_suppkey", "author_id", "book_id", "p_partkey")
+    return R.m2n_expand(fx.m2n_right(t), link, fx.m2n_left(t), "p_partkey", "book_id", "author_id", "s_suppkey")
+
+
+def _dec_sum(c: str):
+    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+
+
+@query
+def m2n_expand_left(spark, sf):
+    """Each supplier with its related parts: count and exact price sum per entity."""
+    long = _m2n_long(Tables(spark, sf), True)
+    return long.groupBy("s_suppkey", "s_name").agg(
+        F.count("p_partkey").alias("n_related"), _dec_sum("p_retailprice").alias("sum_related"))
+
+
+@query
+def m2n_expand_right(spark, sf):
+    long = _m2n_long(Tables(spark, sf), False)
+    return long.groupBy("p_partkey", "p_name").agg(
+        F.count("s_suppkey").alias("n_related"), _dec_sum("s_acctbal").alias("sum_related"))
+
+
+@query
+def m2n_expand_rows(spark, sf):
+    """J1 long form itself: one row per (supplier, related part), empty relations kept."""
+    long = _m2n_long(Tables(spark, sf), True)
+    return long.select("s_suppkey", "s_name", "p_partkey", "p_name")
+
+
+@query
+def multi_key_join(spark, sf):
+    from ..operators import relations as R
+    t = Tables(spark, sf)
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    ab = fx.m2n_link(t)
+    j = R.multi_key_join(li, ab, [("l_suppkey", "author_id"), ("l_partkey", "book_id")])
+    return j.select("l_orderkey", "l_linenumber", "author_id", "book_id", "assigned_at")
+
+
+def _cascade_deleted():
+    """Parents deleted in the cascade fixture."""
+    return F.col("s_suppkey") % 7 == 0
+
+
+@query
+def cascade_delete(spark, sf):
+    from ..operators import merge as M
+    t = Tables(spark, sf)
+    deleted = fx.m2n_left(t).filter(_cascade_deleted())
+    return M.cascade_delete(fx.m2n_link(t), deleted, "author_id", "s_suppkey")
+
+
+@query
+def sync_children(spark, sf):
+    """M9: refresh the links of the suppliers in nation 0..4 from write to read."""
+    from ..operators import merge as M
+    t = Tables(spark, sf)
+    parents = t.supplier.filter(F.col("s_nationkey") < 5)
+    return M.sync_children(fx.composite_read(t), fx.composite_write(t), parents, "author_id", "s_suppkey")
+
+
+# --- FX-REPLICA ------------------------------------------------------------
+OKEY = ["o_orderkey"]
+
+
+@query
+def row_diff(spark, sf):
+    from ..operators import diff as D
+    t = Tables(spark, sf)
+    return D.row_diff(fx.replica_write(t), fx.replica_read(t), OKEY)
+
+
+@query
+def upsert_by_key(spark, sf):
+    from ..operators import merge as M
+    t = Tables(spark, sf)
+    return M.upsert(fx.replica_read(t), fx.replica_write(t), OKEY)
+
+
+@query
+def insert_if_absent(spark, sf):
+    from ..operators import merge as M
+    t = Tables(spark, sf)
+    return M.insert_if_absent(fx.replica_read(t), fx.replica_write(t), OKEY)
+
+
+@query
+def delete_orphans(spark, sf):
+    from ..operators import merge as M
+    t = Tables(spark, sf)
+    return M.delete_orphans(fx.replica_read(t), fx.replica_write(t), OKEY)
+
+
+@query
+def orphans_single_key(spark, sf):
+    from ..operators import diff as D
+    t = Tables(spark, sf)
+    return D.orphans(fx.replica_read(t), fx.replica_write(t), OKEY)
+
+
+def _requested_ids(t: Tables):
+    """Ids named by 1-URGENT rows on either side (some only in read, some only in write)."""
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    return fx.replica_read(t).filter(urgent).select(*OKEY).unionByName(
+        fx.replica_write(t).filter(urgent).select(*OKEY))
+
+
+@query
+def sync_rows_by_id(spark, sf):
+    from ..operators import merge as M
+    t = Tables(spark, sf)
+    new, _missing = M.sync_rows(fx.replica_read(t), fx.replica_write(t), _requested_ids(t), OKEY)
+    return new
+
+
+@query
+def sync_rows_missing(spark, sf):
+    """M8 side output: requested ids absent from write (warned and skipped)."""
+    from ..operators import merge as M
+    t = Tables(spark, sf)
+    _new, missing = M.sync_rows(fx.replica_read(t), fx.replica_write(t), _requested_ids(t), OKEY)
+    return missing
+
+
+@query
+def delete_rows_by_id(spark, sf):
+    from ..operators import merge as M
+    t = Tables(spark, sf)
+    ids = fx.replica_write(t).filter(F.col("o_orderstatus") == "P").select(*OKEY)
+    return M.delete_by_id(fx.replica_read(t), ids, OKEY)
+
+
+def _change_log(t: Tables):
+    """Change log whose fold turns read into write: the replicated (old) rows as
+    seq-1 upserts, every write row as a seq-2 upsert, read orphans as seq-2 deletes."""
+    w, r = fx.replica_write(t), fx.replica_read(t)
+    row = F.struct(*[F.col(c) for c in w.columns])
+    old = r.select(*OKEY, F.lit(1).alias("seq"), F.lit("upsert").alias("op"), row.alias("row"))
+    new = w.select(*OKEY, F.lit(2).alias("seq"), F.lit("upsert").alias("op"), row.alias("row"))
+    dels = r.join(w.select(*OKEY), OKEY, "left_anti").select(
+        *OKEY, F.lit(2).alias("seq"), F.lit("delete").alias("op"), row.alias("row"))
+    return old.unionByName(new).unionByName(dels)
+
+
+@query
+def cdc_apply(spark, sf):
+    from ..operators import merge as M
+    t = Tables(spark, sf)
+    return M.apply_changes(fx.replica_read(t), _change_log(t), OKEY)
+
+
+def _sync_pairs(t: Tables):
+    from ..sources.tables import TablePair, TableSpec
+    return [
+        TablePair(TableSpec("orders", keys=("o_orderkey",)), fx.replica_write(t), fx.replica_read(t)),
+        TablePair(TableSpec("authors_books", keys=("author_id", "book_id")),
+                  fx.composite_write(t).select("author_id", "book_id"),
+                  fx.composite_read(t).select("author_id", "book_id")),
+        TablePair(TableSpec("lineitem"), t.lineitem,
+                  t.lineitem.filter(F.col("l_returnflag") == "R")),
+    ]
+
+
+@query
+def sync_report(spark, sf):
+    from . import sync as S
+    t = Tables(spark, sf)
+    parts = [S.sync_table(p).report for p in _sync_pairs(t)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query
+def sync_all(spark, sf):
+    """M12 end to end: publish new read snapshots under the shared checkpoint dir,
+    then report rows per table and equality with write."""
+    import uuid
+    from . import sync as S
+    from ..session import scratch_path
+    t = Tables(spark, sf)
+    root = scratch_path(spark, f"sync_all-{uuid.uuid4().hex}")
+    pairs = _sync_pairs(t)
+    _report, versions = S.sync_all(spark, pairs, root)
+    return S.sync_state(spark, pairs, root, versions)
+
+
+@query
+def snapshot_equal(spark, sf):
+    from ..operators import diff as D
+    from ..operators import merge as M
+    t = Tables(spark, sf)
+    w, r = fx.replica_write(t), fx.replica_read(t)
+    before = D.snapshot_equal(w, r).select(F.lit("before").alias("stage"), "*")
+    synced = M.upsert(M.delete_orphans(r, w, OKEY), w, OKEY)
+    after = D.snapshot_equal(w, synced).select(F.lit("after").alias("stage"), "*")
+    return before.unionByName(after)
+
+
+@query
+def fn_row_signature(spark, sf):
+    o = fx.replica_write(Tables(spark, sf))
+    sig = scalar.row_signature(F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"),
+                               F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderdate"),
+                               F.col("o_orderpriority"))
+    return o.select("o_orderkey", sig.alias("signature"))
+
+
+@query
+def retype_report(spark, sf):
+    from pyspark.sql import types as T
+    from ..operators import drift as C
+    read = fx.drift_read(Tables(spark, sf))
+    return C.retype_report(read, {"o_totalprice": T.DoubleType(), "o_orderstatus": T.IntegerType(),
+                                  "o_orderdate": T.DateType(), "legacy_flag": T.DateType()})
+
+
+# --- FX-COMPOSITE ----------------------------------------------------------
+ABKEY = ["author_id", "book_id"]
+
+
+@query
+def orphans_composite_key(spark, sf):
+    from ..operators import diff as D
+    t = Tables(spark, sf)
+    return D.orphans(fx.composite_read(t), fx.composite_write(t), ABKEY)
+
+
+@query
+def delete_orphans_composite(spark, sf):
+    from ..operators import merge as M
+    t = Tables(spark, sf)
+    return M.delete_orphans(fx.composite_read(t), fx.composite_write(t), ABKEY)
+
+
+# --- FX-NOKEY --------------------------------------------------------------
+LKEY = ["l_orderkey", "l_linenumber"]
+
+
+@query
+def replace_no_key(spark, sf):
+    from ..operators import merge as M
+    t = Tables(spark, sf)
+    return M.replace(t.lineitem, t.lineitem.columns)
+
+
+@query
+def unique_violations(spark, sf):
+    from ..operators import integrity as I
+    return I.unique_violations(Tables(spark, sf).lineitem, LKEY)
+
+
+@query
+def primary_key_check(spark, sf):
+    from ..operators import integrity as I
+    return I.primary_key_check(Tables(spark, sf).lineitem, LKEY)
+
+
+# --- FX-CONFLICT -----------------------------------------------------------
+@query
+def upsert_conflict_pairs(spark, sf):
+    from ..operators import merge as M
+    t = Tables(spark, sf)
+    return M.conflict_holders(fx.conflict_write(t), fx.conflict_read(t), ["c_custkey"], ["c_name"])
+
+
+# --- FX-FK -----------------------------------------------------------------
+def _fk():
+    from ..sources.tables import ForeignKey
+    return ForeignKey("fk_orders_customer", ("o_custkey",), "customer", ("c_custkey",))
+
+
+def _fk_line():
+    from ..sources.tables import ForeignKey
+    return ForeignKey("fk_lineitem_orders", ("l_orderkey",), "orders", ("o_orderkey",))
+
+
+@query
+def fk_orphan_cleanup(spark, sf):
+    from ..operators import integrity as I
+    t = Tables(spark, sf)
+    return I.fk_cleanup(fx.fk_child(t), fx.fk_parent(t), _fk())
+
+
+@query
+def fk_orphan_report(spark, sf):
+    from ..operators import integrity as I
+    t = Tables(spark, sf)
+    return I.fk_orphan_report(fx.fk_child(t), {"customer": fx.fk_parent(t)}, [_fk()], ["o_orderkey"])
+
+
+@query
+def fk_cleanup_chain(spark, sf):
+    from ..operators import integrity as I
+    t = Tables(spark, sf)
+    tables = {"customer": fx.fk_parent(t), "orders": fx.fk_child(t), "lineitem": fx.fk_grandchild(t)}
+    out = I.fk_cleanup_chain(tables, {"orders": [_fk()], "lineitem": [_fk_line()]})
+    return (out["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+
+
+@query
+def null_violations(spark, sf):
+    from ..operators import integrity as I
+    return I.null_counts(fx.fk_child(Tables(spark, sf)), ["o_orderkey", "o_custkey"])
+
+
+# --- FX-TEXT ---------------------------------------------------------------
+@query
+def definition_diff(spark, sf):
+    from ..operators import diff as D
+    t = Tables(spark, sf)
+    return D.definition_diff(fx.text_write(t), fx.text_read(t), "doc_id", "text")
+
+
+@query
+def fn_normalise_definition(spark, sf):
+    d = fx.text_read(Tables(spark, sf))
+    return d.select("doc_id", scalar.normalise_definition(F.col("text")).alias("normalised"))
+
+
+# --- FX-ENUM ---------------------------------------------------------------
+@query
+def enum_domain_drift(spark, sf):
+    from ..operators import drift as C
+    t = Tables(spark, sf)
+    return C.enum_domain_drift(fx.enum_write(t), fx.enum_read(t), "o_orderpriority")
+
+
+# --- FX-DRIFT --------------------------------------------------------------
+@query
+def column_drift(spark, sf):
+    from ..operators import drift as C
+    t = Tables(spark, sf)
+    w = C.column_catalog(spark, "orders", fx.drift_write(t).schema, keys=("o_orderkey",))
+    r = C.column_catalog(spark, "orders", fx.drift_read(t).schema, keys=("o_orderkey",))
+    return C.column_drift(w, r)
+
+
+@query
+def table_set_drift(spark, sf):
+    """Write = the driver tables; read = a replica root missing 'pages' and holding a stale 'legacy_audit'."""
+    from ..operators import drift as C
+    from ..sources.inventory import table_inventory as inv
+    t = Tables(spark, sf)
+    w = inv(t, exclude=())
+    r = w.filter(F.col("table_name") != "pages").select("table_name").unionByName(
+        w.filter(F.col("table_name") == "region").select(F.lit("legacy_audit").alias("table_name")))
+    return C.table_set_drift(w, r)
+
+
+@query
+def align_schema(spark, sf):
+    from ..operators import drift as C
+    t = Tables(spark, sf)
+    return C.align(fx.drift_read(t), fx.drift_write(t).schema,
+                   defaults={"o_orderpriority": "'5-LOW'"}, strict=True)
+
+
+# --- FX-SEQ / FX-ZIP -------------------------------------------------------
+@query
+def ordered_array_agg(spark, sf):
+    from ..operators import aggregates as A
+    s = fx.sequences(Tables(spark, sf))
+    return A.ordered_array_agg(s, ["conv_id"], "turn", "role").select(
+        "conv_id", F.array_join("role_list", ",").alias("roles"), F.size("role_list").cast("bigint").alias("n_turns"))
+
+
+@query
+def unnest_zip_ordinality(spark, sf):
+    from ..operators import relations as R
+    z = fx.zip_arrays(Tables(spark, sf))
+    return R.unnest_zip(z, "embedding", "reversed", ["vec_id"])
+
+
+@query
+def fn_array_literal(spark, sf):
+    """F5 round trip: an id list written as ``{a,b,c}`` text and parsed back."""
+    e = Tables(spark, sf).embeddings
+    txt = F.concat(F.lit("{"), F.concat_ws(",", F.col("vec_id").cast("string"), F.col("label").cast("string"),
+                                           F.size("embedding").cast("string")), F.lit("}"))
+    parsed = scalar.parse_array_literal(txt)
+    return e.select("vec_id", txt.alias("literal"), F.posexplode(parsed).alias("pos", "elem")).select(
+        "vec_id", "literal", (F.col("pos") + 1).cast("bigint").alias("ordinality"),
+        F.col("elem").cast("bigint").alias("elem"))
