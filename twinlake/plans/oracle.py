@@ -342,3 +342,54 @@ register("fn_array_literal", """
          y AS (SELECT vec_id, literal, string_split(trim(literal, '{}'), ',') AS parts FROM x)
     SELECT vec_id, literal, unnest(range(1, len(parts) + 1)) AS ordinality,
            unnest(CAST(parts AS BIGINT[])) AS elem FROM y""")
+
+# --- FX-CMD ----------------------------------------------------------------
+_FOLD = with_("cmd") + """,
+    s1 AS (SELECT *, last_value(CASE WHEN op IN ('create', 'delete') THEN op END IGNORE NULLS) OVER (
+               PARTITION BY id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_cd
+           FROM cmd),
+    s2 AS (SELECT *, coalesce(prev_cd, 'delete') = 'create' AS live_before FROM s1),
+    s3 AS (SELECT *, CASE WHEN op = 'create' THEN CASE WHEN live_before THEN 400 ELSE 200 END
+                          ELSE CASE WHEN live_before THEN 200 ELSE 404 END END AS code FROM s2),
+    s4 AS (SELECT *, code = 200 AND op IN ('create', 'update', 'delete') AS accepted FROM s3),
+    s5 AS (SELECT *,
+        last_value(CASE WHEN accepted AND op = 'create' THEN {'v': CASE WHEN has_value THEN value END}
+                        WHEN accepted AND op = 'update' AND has_value THEN {'v': value} END IGNORE NULLS) OVER w AS st_value,
+        last_value(CASE WHEN accepted AND op = 'create' THEN {'v': CASE WHEN has_props THEN props END}
+                        WHEN accepted AND op = 'update' AND has_props THEN {'v': props} END IGNORE NULLS) OVER w AS st_props,
+        last_value(CASE WHEN accepted AND op = 'create' THEN ts END IGNORE NULLS) OVER w AS st_created,
+        last_value(CASE WHEN accepted AND (op = 'create' OR (op = 'update' AND (has_value OR has_props)))
+                        THEN ts END IGNORE NULLS) OVER w AS st_updated
+        FROM s4 WINDOW w AS (PARTITION BY id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    fold AS (SELECT event_id, ts, id, op, code, accepted, live_before,
+        CASE WHEN op = 'create' THEN true WHEN op = 'delete' THEN false ELSE live_before END AS live_after,
+        CASE WHEN (CASE WHEN op = 'create' THEN true WHEN op = 'delete' THEN false ELSE live_before END)
+                  OR (accepted AND op = 'delete') THEN true ELSE false END AS vis,
+        st_value.v AS st_value, st_props.v AS st_props, st_created, st_updated FROM s5),
+    folded AS (SELECT event_id, ts, id, op, code, accepted, live_before, live_after,
+        CASE WHEN vis THEN st_value END AS value, CASE WHEN vis THEN st_props END AS props,
+        CASE WHEN vis THEN st_created END AS created_at, CASE WHEN vis THEN st_updated END AS updated_at
+        FROM fold)
+"""
+register("cmd_status", _FOLD + "SELECT event_id, id, op, code FROM folded")
+for _op, _key in (("create", "cmd_create"), ("update", "cmd_partial_update"), ("delete", "cmd_delete")):
+    register(_key, _FOLD + f"""
+        SELECT event_id, id, value, props, created_at, updated_at FROM folded
+        WHERE accepted AND op = '{_op}'""")
+register("state_from_log", _FOLD + """
+    , last AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) AS rn FROM folded)
+    SELECT id, value, props, created_at, updated_at FROM last WHERE rn = 1 AND live_after""")
+_EVENTS = """
+    SELECT event_id,
+           'author.' || CASE op WHEN 'create' THEN 'created' WHEN 'update' THEN 'updated' ELSE 'deleted' END AS event_type,
+           id, CASE WHEN op <> 'delete' THEN value END AS value, CASE WHEN op <> 'delete' THEN props END AS props,
+           CASE WHEN op <> 'delete' THEN updated_at END AS updated_at, ts AS occurred_at
+    FROM folded WHERE accepted"""
+register("domain_events", _FOLD + _EVENTS)
+register("dedupe_events", _FOLD + _EVENTS)
+register("route_by_topic", with_("cmd") + """
+    SELECT event_id, 'author.' || op AS topic,
+           CASE WHEN op IN ('update', 'delete', 'get') THEN id END AS id,
+           CASE WHEN op IN ('create', 'update') AND has_value THEN value END AS value,
+           CASE WHEN op IN ('create', 'update') AND has_props THEN props END AS props
+    FROM cmd""")

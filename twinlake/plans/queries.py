@@ -506,3 +506,60 @@ def fn_array_literal(spark, sf):
     return e.select("vec_id", txt.alias("literal"), F.posexplode(parsed).alias("pos", "elem")).select(
         "vec_id", "literal", (F.col("pos") + 1).cast("bigint").alias("ordinality"),
         F.col("elem").cast("bigint").alias("elem"))
+
+
+# --- FX-CMD ----------------------------------------------------------------
+def _folded(spark, sf):
+    from ..operators import commands as K
+    return K.fold(fx.commands(Tables(spark, sf)))
+
+
+@query
+def cmd_status(spark, sf):
+    from ..operators import commands as K
+    return K.status(_folded(spark, sf))
+
+
+@query
+def cmd_create(spark, sf):
+    from ..operators import commands as K
+    return K.accepted_rows(_folded(spark, sf), K.CREATE)
+
+
+@query
+def cmd_partial_update(spark, sf):
+    from ..operators import commands as K
+    return K.accepted_rows(_folded(spark, sf), K.UPDATE)
+
+
+@query
+def cmd_delete(spark, sf):
+    from ..operators import commands as K
+    return K.accepted_rows(_folded(spark, sf), K.DELETE)
+
+
+@query
+def state_from_log(spark, sf):
+    from ..operators import commands as K
+    return K.current_state(_folded(spark, sf))
+
+
+@query
+def domain_events(spark, sf):
+    from ..operators import commands as K
+    return K.domain_events(_folded(spark, sf))
+
+
+@query
+def dedupe_events(spark, sf):
+    """Created events arrive twice (factory + handler); one copy kept."""
+    from ..operators import commands as K
+    ev = K.domain_events(_folded(spark, sf))
+    doubled = ev.unionByName(ev.filter(F.col("event_type") == "author.created"))
+    return K.dedupe_events(doubled)
+
+
+@query
+def route_by_topic(spark, sf):
+    from ..operators import commands as K
+    return K.route(fx.commands(Tables(spark, sf)))
