@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scan import SEG, ordered_scan
@@ -133,3 +133,82 @@ def route(cmd: DataFrame, entity: str = "author", key: str = "id",
             present = present & F.col(f"has_{c}")
         cols.append(F.when(present, F.col(c)).alias(c))
     return cmd.select("event_id", topic.alias("topic"), *cols)
+
+
+# --- assignments (K8-K10) ----------------------------------------------------
+# The reply texts of the assignment handlers.
+MSG_AUTHOR_NOT_FOUND = "Author with ID {} not found."
+MSG_BOOK_NOT_FOUND = "Book with ID {} not found."
+MSG_ALREADY_ASSIGNED = "Author {} is already assigned to Book {}."
+MSG_ASSIGNMENT_NOT_FOUND = "Assignment with ID {} not found."
+MSG_ISBN_EXISTS = "Book with ISBN {} already exists"
+
+
+def _fmt(template: str, *cols) -> Column:
+    parts = template.split("{}")
+    out = [F.lit(parts[0])]
+    for c, p in zip(cols, parts[1:]):
+        out += [c.cast("string"), F.lit(p)]
+    return F.concat(*out)
+
+
+def assign(cmds: DataFrame, authors: DataFrame, books: DataFrame, order: list[str],
+           author_col: str = "author_id", book_col: str = "book_id",
+           author_key: str = "id", book_key: str = "id") -> DataFrame:
+    """K8/K9: author must exist (404), then book (404), then the pair must not be
+    assigned yet (409); the first valid request for a pair wins.
+
+    Parent existence is a left join to *distinct* parent keys; "first" is a
+    ``min`` over the order per pair (partial aggregate, no per-pair window), so a
+    pair requested by a third of all messages is still combined map-side.
+    """
+    from .relations import flag_parents
+    f = flag_parents(cmds, [(authors, author_key, author_col, "_author_ok"),
+                            (books, book_key, book_col, "_book_ok")])
+    pos = F.struct(*[F.col(c) for c in order])
+    valid = F.col("_author_ok") & F.col("_book_ok")
+    first = f.filter(valid).groupBy(author_col, book_col).agg(F.min(pos).alias("_first"))
+    j = f.join(first, [author_col, book_col], "left")
+    a, b = F.col(author_col), F.col(book_col)
+    code = (F.when(~F.col("_author_ok"), 404).when(~F.col("_book_ok"), 404)
+            .when(pos == F.col("_first"), 200).otherwise(409))
+    msg = (F.when(~F.col("_author_ok"), _fmt(MSG_AUTHOR_NOT_FOUND, a))
+           .when(~F.col("_book_ok"), _fmt(MSG_BOOK_NOT_FOUND, b))
+           .when(pos == F.col("_first"), F.lit(None).cast("string"))
+           .otherwise(_fmt(MSG_ALREADY_ASSIGNED, a, b)))
+    keep = [c for c in cmds.columns]
+    return j.select(*keep, code.alias("code"), msg.alias("message"))
+
+
+def link_id(a: Column, b: Column) -> Column:
+    """Surrogate id of an assignment, stable across retries."""
+    from ..functions.scalar import stable_uuid
+    return stable_uuid(a, b)
+
+
+def unassign(requests: DataFrame, links: DataFrame, order: list[str], id_col: str = "link_id") -> DataFrame:
+    """Delete a link by id; a missing id is 404; the first request for an
+    existing link deletes it (200, returning the deleted row), later ones find
+    nothing (404)."""
+    pos = F.struct(*[F.col(c) for c in order])
+    l = links.withColumn("_exists", F.lit(True))
+    j = requests.join(l, id_col, "left")
+    first = (j.filter(F.col("_exists")).groupBy(id_col).agg(F.min(pos).alias("_first")))
+    k = j.join(first, id_col, "left")
+    ok = F.col("_exists") & (pos == F.col("_first"))
+    cols = [c for c in links.columns if c != id_col]
+    return k.select(*requests.columns, F.when(ok, 200).otherwise(404).alias("code"),
+                    *[F.when(ok, F.col(c)).alias(c) for c in cols],
+                    F.when(ok, F.lit(None).cast("string"))
+                     .otherwise(_fmt(MSG_ASSIGNMENT_NOT_FOUND, F.col(id_col))).alias("message"))
+
+
+def create_unique(cmds: DataFrame, unique: str, order: list[str]) -> DataFrame:
+    """K2: a create whose unique value (non-null) was taken by an earlier
+    create is rejected with 400."""
+    pos = F.struct(*[F.col(c) for c in order])
+    first = cmds.filter(F.col(unique).isNotNull()).groupBy(unique).agg(F.min(pos).alias("_first"))
+    j = cmds.join(first, unique, "left")
+    bad = F.col(unique).isNotNull() & (pos != F.col("_first"))
+    return j.select(*cmds.columns, F.when(bad, 400).otherwise(200).alias("code"),
+                    F.when(bad, _fmt(MSG_ISBN_EXISTS, F.col(unique))).alias("message"))

@@ -393,3 +393,164 @@ register("route_by_topic", with_("cmd") + """
            CASE WHEN op IN ('create', 'update') AND has_value THEN value END AS value,
            CASE WHEN op IN ('create', 'update') AND has_props THEN props END AS props
     FROM cmd""")
+
+# --- FX-CMD replies and events ---------------------------------------------
+_ISO = "strftime({c}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+register("reply_table", _FOLD + f"""
+    SELECT event_id, 'author.' || op AS topic, code = 200 AS success,
+           CASE WHEN code = 200 THEN json_object('id', id, 'value', value, 'props', props,
+                'createdAt', {_ISO.format(c='created_at')}, 'updatedAt', {_ISO.format(c='updated_at')})::VARCHAR
+           END AS data_json,
+           CASE WHEN code <> 200 THEN code END AS error_code,
+           CASE WHEN code = 404 THEN 'Author with ID ' || id || ' not found.'
+                WHEN code = 400 THEN 'Author with ID ' || id || ' already exists.' END AS error_message,
+           {_ISO.format(c='ts')} AS timestamp
+    FROM folded""")
+register("error_code_map", _FOLD + """
+    , x AS (SELECT event_id, code,
+                   CASE WHEN event_id % 4 = 3 AND event_id % 5 = 0 THEN 'TypeError'
+                        WHEN code = 404 THEN 'NotFoundException' ELSE 'BadRequestException' END AS class_name,
+                   event_id % 4 AS kind
+            FROM folded WHERE code <> 200)
+    SELECT event_id, class_name,
+           CASE WHEN kind IN (0, 1, 2) THEN code
+                WHEN class_name = 'NotFoundException' THEN 404
+                WHEN class_name = 'BadRequestException' THEN 400 ELSE 500 END AS code
+    FROM x""")
+register("reply_paginated", with_("cmd") + """
+    SELECT id, true AS success, count(*) AS total, CAST(1 AS BIGINT) AS page, CAST(10 AS BIGINT) AS page_limit,
+           CAST(ceil(count(*) / 10.0) AS BIGINT) AS total_pages, least(count(*), 10) AS n_data
+    FROM cmd GROUP BY id""")
+register("emit_events_json", _FOLD + f", ev AS ({_EVENTS})" + f"""
+    SELECT event_id, event_type AS topic, CAST(id AS VARCHAR) AS key,
+           CASE WHEN event_type LIKE '%.deleted'
+                THEN json_object('eventType', event_type, 'id', id, 'occurredAt', {_ISO.format(c='occurred_at')})
+                ELSE json_object('eventType', event_type, 'id', id, 'value', value, 'props', props,
+                                 'updatedAt', {_ISO.format(c='updated_at')}, 'occurredAt', {_ISO.format(c='occurred_at')})
+           END::VARCHAR AS value
+    FROM ev""")
+
+# --- FX-ASSIGN -------------------------------------------------------------
+_ASSIGNED = with_("assign") + """
+    , f AS (SELECT a.*,
+                   EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = a.author_id) AS author_ok,
+                   EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = a.book_id) AS book_ok
+            FROM assign a),
+      r AS (SELECT *, row_number() OVER (PARTITION BY author_id, book_id, author_ok AND book_ok
+                                         ORDER BY ts, l_orderkey, l_linenumber) AS rn FROM f),
+      assigned AS (
+        SELECT author_id, book_id, ts, l_orderkey, l_linenumber, l_returnflag,
+               CASE WHEN NOT author_ok THEN 404 WHEN NOT book_ok THEN 404 WHEN rn = 1 THEN 200 ELSE 409 END AS code,
+               CASE WHEN NOT author_ok THEN 'Author with ID ' || author_id || ' not found.'
+                    WHEN NOT book_ok THEN 'Book with ID ' || book_id || ' not found.'
+                    WHEN rn = 1 THEN NULL
+                    ELSE 'Author ' || author_id || ' is already assigned to Book ' || book_id || '.' END AS message
+        FROM r)
+"""
+register("cmd_assign", _ASSIGNED + """
+    SELECT l_orderkey, l_linenumber, author_id, book_id, code, message FROM assigned""")
+register("assign_parent_check", with_("assign") + """
+    SELECT l_orderkey, l_linenumber, author_id, book_id FROM assign a
+    WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = a.author_id)
+      AND EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = a.book_id)""")
+_LINK = """(lower(concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '4' || substr(h, 14, 3),
+                              '8' || substr(h, 18, 3), substr(h, 21, 12))))"""
+register("cmd_unassign", _ASSIGNED + f"""
+    , links AS (SELECT {_LINK} AS link_id, author_id, book_id, ts AS assigned_at
+                FROM (SELECT *, sha256(concat_ws(chr(1), CAST(author_id AS VARCHAR), CAST(book_id AS VARCHAR))) AS h
+                      FROM assigned WHERE code = 200)),
+      reqs AS (SELECT l_orderkey, l_linenumber, ts, {_LINK} AS link_id
+               FROM (SELECT *, sha256(concat_ws(chr(1), CAST(author_id AS VARCHAR), CAST(book_id AS VARCHAR))) AS h
+                     FROM assigned WHERE l_returnflag = 'R')),
+      j AS (SELECT reqs.*, links.author_id, links.book_id, links.assigned_at, links.link_id IS NOT NULL AS ex,
+                   row_number() OVER (PARTITION BY reqs.link_id, links.link_id IS NOT NULL
+                                      ORDER BY reqs.ts, reqs.l_orderkey, reqs.l_linenumber) AS rn
+            FROM reqs LEFT JOIN links ON reqs.link_id = links.link_id)
+    SELECT l_orderkey, l_linenumber, link_id, CASE WHEN ex AND rn = 1 THEN 200 ELSE 404 END AS code,
+           CASE WHEN ex AND rn = 1 THEN author_id END AS author_id,
+           CASE WHEN ex AND rn = 1 THEN book_id END AS book_id,
+           CASE WHEN ex AND rn = 1 THEN assigned_at END AS assigned_at,
+           CASE WHEN ex AND rn = 1 THEN NULL ELSE 'Assignment with ID ' || link_id || ' not found.' END AS message
+    FROM j""")
+
+# --- FX-PAYLOAD ------------------------------------------------------------
+_VALID = with_("payload") + """
+    , v AS (SELECT p_partkey, title, isbn, yr, [
+          CASE WHEN title IS NULL THEN 'title must be a string' END,
+          CASE WHEN title IS NULL OR title = '' THEN 'title should not be empty' END,
+          CASE WHEN title IS NULL OR length(title) < 3 THEN 'title must be longer than or equal to 3 characters' END,
+          CASE WHEN isbn IS NOT NULL AND length(isbn) < 10 THEN 'isbn must be longer than or equal to 10 characters' END,
+          CASE WHEN isbn IS NOT NULL AND length(isbn) > 13 THEN 'isbn must be shorter than or equal to 13 characters' END,
+          CASE WHEN yr IS NOT NULL AND NOT regexp_full_match(yr, '-?[0-9]+') THEN 'publishedYear must be an integer number' END
+        ] AS raw FROM payload),
+      validated AS (SELECT p_partkey, list_filter(raw, lambda x: x IS NOT NULL) AS violations FROM v)
+"""
+register("validate_payloads", _VALID + """
+    SELECT p_partkey, array_to_string(violations, '; ') AS message, CAST(len(violations) AS BIGINT) AS n_violations,
+           len(violations) = 0 AS is_valid FROM validated""")
+register("validation_summary", _VALID + """
+    SELECT array_to_string(violations, '; ') AS message, count(*) AS n_rows FROM validated GROUP BY 1""")
+register("length_violations", with_("payload") + """
+    SELECT p_partkey, 'title' AS column_name, CAST(length(title) AS BIGINT) AS length, CAST(255 AS BIGINT) AS max_length
+    FROM payload WHERE length(title) > 255
+    UNION ALL
+    SELECT p_partkey, 'isbn', length(isbn), 13 FROM payload WHERE length(isbn) > 13""")
+register("cmd_create_unique", with_("payload") + """
+    , f AS (SELECT isbn, min(p_partkey) AS first FROM payload WHERE isbn IS NOT NULL GROUP BY isbn)
+    SELECT p.p_partkey, p.isbn,
+           CASE WHEN p.isbn IS NOT NULL AND p.p_partkey <> f.first THEN 400 ELSE 200 END AS code,
+           CASE WHEN p.isbn IS NOT NULL AND p.p_partkey <> f.first THEN 'Book with ISBN ' || p.isbn || ' already exists' END AS message
+    FROM payload p LEFT JOIN f ON p.isbn = f.isbn""")
+register("error_message_normalise", _VALID + """
+    SELECT p_partkey, 400 AS error_code, array_to_string(violations, '; ') AS error_message
+    FROM validated WHERE len(violations) > 0""")
+
+# --- FX-REPLY --------------------------------------------------------------
+register("reply_timeout", with_("req", "rep") + """
+    SELECT req.event_id, CASE WHEN rep.event_id IS NULL THEN 503 ELSE 200 END AS code,
+           CASE WHEN rep.event_id IS NULL THEN 'Service temporarily unavailable' END AS message,
+           CASE WHEN rep.event_id IS NOT NULL THEN date_diff('millisecond', req.ts, rep.rts) END AS latency_ms
+    FROM req LEFT JOIN rep ON req.event_id = rep.event_id AND rep.rts >= req.ts
+                          AND rep.rts <= req.ts + INTERVAL 10 SECOND""")
+register("reply_decode", """
+    WITH r AS (SELECT event_id,
+        CASE WHEN event_id % 11 = 0 THEN '{"success":false}'
+             WHEN event_id % 7 = 0 THEN '{"success":true,"id":' || event_id || '}'
+             WHEN event_id % 3 = 0 THEN '{"success":false,"error":{"code":404,"message":"missing ' || event_id || '"}}'
+             WHEN event_id % 3 = 1 THEN '{"success":false,"statusCode":"E_TEXT","message":"text code ' || event_id || '"}'
+             ELSE '{"success":true,"data":{"id":' || event_id || ',"v":' || user_id || '}}' END AS reply
+        FROM events WHERE event_type = 'view'),
+    d AS (SELECT event_id, reply, coalesce(json_extract(reply, '$.success')::BOOLEAN, true) AS ok,
+                 json_type(reply, '$.error.code') AS ect, json_extract_string(reply, '$.error.code') AS ec,
+                 json_type(reply, '$.statusCode') AS sct, json_extract_string(reply, '$.statusCode') AS sc
+          FROM r)
+    SELECT event_id, ok,
+           CASE WHEN ok THEN NULL
+                WHEN ec IS NOT NULL AND ec NOT IN ('', '0', 'false') THEN
+                     CASE WHEN ect = 'VARCHAR' THEN 400 ELSE CAST(ec AS INTEGER) END
+                WHEN sc IS NOT NULL AND sc NOT IN ('', '0', 'false') THEN
+                     CASE WHEN sct = 'VARCHAR' THEN 400 ELSE CAST(sc AS INTEGER) END
+                ELSE 400 END AS code,
+           CASE WHEN ok THEN NULL ELSE coalesce(nullif(json_extract_string(reply, '$.error.message'), ''),
+                                                nullif(json_extract_string(reply, '$.message'), ''),
+                                                'Internal server error') END AS message,
+           CASE WHEN ok THEN coalesce(json_extract(reply, '$.data')::VARCHAR, reply) END AS data_json
+    FROM d""")
+
+# --- FX-LOG ----------------------------------------------------------------
+register("redact_paths", with_("logrec") + """
+    SELECT c_custkey,
+           '{"level":"' || level || '","msg":"customer ' || k || '","password":"[REDACTED]","image":"[REDACTED]",'
+           || '"user":{"name":"' || c_name || '","token":"[REDACTED]","image":"keep' || k || '",'
+           || '"profile":{"imageBase64":"[REDACTED]","password":"[REDACTED]"}},'
+           || '"req":{"headers":{"authorization":"[REDACTED]","host":"h' || nk || '"}}}' AS redacted
+    FROM logrec""")
+register("log_level_filter", with_("logrec") + """
+    SELECT c_custkey, level FROM logrec WHERE level IN ('error', 'warn', 'log')""")
+register("log_shape", with_("logrec") + """
+    SELECT c_custkey,
+           CASE level WHEN 'error' THEN 'ERROR' WHEN 'warn' THEN 'WARN' WHEN 'log' THEN 'INFO'
+                      WHEN 'debug' THEN 'DEBUG' WHEN 'verbose' THEN 'TRACE' ELSE 'INFO' END AS level_label,
+           coalesce(context, 'Application') AS context,
+           CASE WHEN level = 'error' THEN 'Error payload' ELSE 'Object payload' END AS msg
+    FROM logrec""")

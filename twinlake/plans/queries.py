@@ -563,3 +563,230 @@ def dedupe_events(spark, sf):
 def route_by_topic(spark, sf):
     from ..operators import commands as K
     return K.route(fx.commands(Tables(spark, sf)))
+
+
+# --- FX-CMD replies and events ---------------------------------------------
+def _cmd_not_found(id_col):
+    from ..operators.commands import _fmt
+    return _fmt("Author with ID {} not found.", id_col)
+
+
+def _cmd_exists(id_col):
+    from ..operators.commands import _fmt
+    return _fmt("Author with ID {} already exists.", id_col)
+
+
+def _entity_json(f):
+    return F.to_json(F.struct(f["id"].alias("id"), f["value"].alias("value"), f["props"].alias("props"),
+                              scalar.iso_timestamp(f["created_at"]).alias("createdAt"),
+                              scalar.iso_timestamp(f["updated_at"]).alias("updatedAt")),
+                     {"ignoreNullFields": "false"})
+
+
+@query
+def reply_table(spark, sf):
+    from ..functions import envelope as E
+    f = _folded(spark, sf)
+    ok = F.col("code") == 200
+    msg = F.when(F.col("code") == 404, _cmd_not_found(F.col("id"))).when(F.col("code") == 400, _cmd_exists(F.col("id")))
+    env = F.when(ok, E.success(_entity_json(f), F.col("ts"))).otherwise(E.error(msg, F.col("code"), F.col("ts")))
+    return f.select("event_id", F.concat(F.lit("author."), F.col("op")).alias("topic"), env.alias("r")).select(
+        "event_id", "topic", F.col("r.success").alias("success"), F.col("r.data").alias("data_json"),
+        F.col("r.error.code").alias("error_code"), F.col("r.error.message").alias("error_message"),
+        F.col("r.meta.timestamp").alias("timestamp"))
+
+
+def _exceptions(spark, sf):
+    """Rejected commands as thrown-error records with the status in different places."""
+    f = _folded(spark, sf).filter(F.col("code") != 200)
+    kind = F.col("event_id") % 4
+    cls = (F.when((kind == 3) & (F.col("event_id") % 5 == 0), F.lit("TypeError"))
+           .when(F.col("code") == 404, F.lit("NotFoundException")).otherwise(F.lit("BadRequestException")))
+    return f.select("event_id", F.when(kind == 0, F.col("code")).alias("get_status"),
+                    F.when(kind == 1, F.col("code")).alias("status"),
+                    F.when(kind == 2, F.col("code")).alias("status_code"), cls.alias("class_name"))
+
+
+@query
+def error_code_map(spark, sf):
+    from ..functions import envelope as E
+    x = _exceptions(spark, sf)
+    return x.select("event_id", "class_name",
+                    E.error_code(F.col("get_status"), F.col("status"), F.col("status_code"),
+                                 F.col("class_name")).alias("code"))
+
+
+@query
+def reply_paginated(spark, sf):
+    """Per entity, page 1 (limit 10) of its command history with pagination meta."""
+    from ..functions import envelope as E
+    c = fx.commands(Tables(spark, sf))
+    per = c.groupBy("id").agg(F.count(F.lit(1)).alias("total"))
+    m = E.paginated_meta(F.col("total"), F.lit(1).cast("bigint"), F.lit(10).cast("bigint"))
+    return per.select("id", F.lit(True).alias("success"), m.alias("p")).select(
+        "id", "success", F.col("p.total").alias("total"), F.col("p.page").alias("page"),
+        F.col("p.limit").alias("page_limit"), F.col("p.totalPages").alias("total_pages"),
+        F.least(F.col("p.total"), F.col("p.limit")).alias("n_data"))
+
+
+@query
+def emit_events_json(spark, sf):
+    """Domain events as (topic, key, value JSON) records ready for a sink."""
+    from ..operators import commands as K
+    ev = K.domain_events(_folded(spark, sf))
+    full = F.to_json(F.struct(F.col("event_type").alias("eventType"), F.col("id").alias("id"),
+                              F.col("value").alias("value"), F.col("props").alias("props"),
+                              scalar.iso_timestamp(F.col("updated_at")).alias("updatedAt"),
+                              scalar.iso_timestamp(F.col("occurred_at")).alias("occurredAt")),
+                     {"ignoreNullFields": "false"})
+    short = F.to_json(F.struct(F.col("event_type").alias("eventType"), F.col("id").alias("id"),
+                               scalar.iso_timestamp(F.col("occurred_at")).alias("occurredAt")))
+    val = F.when(F.col("event_type").endswith(".deleted"), short).otherwise(full)
+    return ev.select("event_id", F.col("event_type").alias("topic"), F.col("id").cast("string").alias("key"),
+                     val.alias("value"))
+
+
+# --- FX-ASSIGN -------------------------------------------------------------
+ASSIGN_ORDER = ["ts", "l_orderkey", "l_linenumber"]
+
+
+def _assigned(spark, sf):
+    from ..operators import commands as K
+    t = Tables(spark, sf)
+    return K.assign(fx.assign_commands(t), fx.m2n_left(t), fx.m2n_right(t), ASSIGN_ORDER,
+                    author_key="s_suppkey", book_key="p_partkey")
+
+
+@query
+def cmd_assign(spark, sf):
+    return _assigned(spark, sf).select("l_orderkey", "l_linenumber", "author_id", "book_id", "code", "message")
+
+
+@query
+def assign_parent_check(spark, sf):
+    from ..operators import relations as R
+    t = Tables(spark, sf)
+    ok = R.require_parents(fx.assign_commands(t), [(fx.m2n_left(t), "s_suppkey", "author_id"),
+                                                    (fx.m2n_right(t), "p_partkey", "book_id")])
+    return ok.select("l_orderkey", "l_linenumber", "author_id", "book_id")
+
+
+@query
+def cmd_unassign(spark, sf):
+    """Unassign requests (returned lines) against the links the assign batch created."""
+    from ..operators import commands as K
+    a = _assigned(spark, sf)
+    links = a.filter(F.col("code") == 200).select(
+        K.link_id(F.col("author_id"), F.col("book_id")).alias("link_id"), "author_id", "book_id",
+        F.col("ts").alias("assigned_at"))
+    reqs = a.filter(F.col("l_returnflag") == "R").select(
+        "l_orderkey", "l_linenumber", "ts", K.link_id(F.col("author_id"), F.col("book_id")).alias("link_id"))
+    out = K.unassign(reqs, links, ASSIGN_ORDER)
+    return out.select("l_orderkey", "l_linenumber", "link_id", "code", "author_id", "book_id", "assigned_at", "message")
+
+
+# --- FX-PAYLOAD ------------------------------------------------------------
+def _validated(spark, sf):
+    from ..functions import validate as V
+    p = fx.payloads(Tables(spark, sf))
+    return V.validate(p, V.create_book_rules(F.col("title"), F.col("isbn"), F.col("yr")), ["p_partkey"])
+
+
+@query
+def validate_payloads(spark, sf):
+    v = _validated(spark, sf)
+    return v.select("p_partkey", "message", F.size("violations").cast("bigint").alias("n_violations"), "is_valid")
+
+
+@query
+def validation_summary(spark, sf):
+    from ..functions import validate as V
+    return V.summary(_validated(spark, sf))
+
+
+@query
+def length_violations(spark, sf):
+    from ..operators import integrity as I
+    p = fx.payloads(Tables(spark, sf))
+    return I.length_violations(p, {"title": 255, "isbn": 13}, ["p_partkey"])
+
+
+@query
+def cmd_create_unique(spark, sf):
+    from ..operators import commands as K
+    p = fx.payloads(Tables(spark, sf))
+    return K.create_unique(p, "isbn", ["p_partkey"]).select("p_partkey", "isbn", "code", "message")
+
+
+@query
+def error_message_normalise(spark, sf):
+    """Validation failures as error replies: messages joined with '; ', code 400."""
+    from ..functions import envelope as E
+    v = _validated(spark, sf).filter(~F.col("is_valid"))
+    return v.select("p_partkey", F.lit(400).alias("error_code"),
+                    E.normalise_message(F.col("violations"), F.lit(None).cast("string")).alias("error_message"))
+
+
+# --- FX-REPLY --------------------------------------------------------------
+REPLY_TIMEOUT_SECONDS = 10  # default request/reply timeout of the bridge
+
+
+@query
+def reply_timeout(spark, sf):
+    """T5 (batch twin): left interval join request -> reply within the timeout; none = 503."""
+    from ..streaming.replies import correlate
+    t = Tables(spark, sf)
+    return correlate(fx.requests(t), fx.replies(t), REPLY_TIMEOUT_SECONDS)
+
+
+def _inbound(t: Tables):
+    e = t.events.filter(F.col("event_type") == "view")
+    eid = F.col("event_id").cast("string")
+    text = (F.when(F.col("event_id") % 11 == 0, F.lit('{"success":false}'))
+            .when(F.col("event_id") % 7 == 0, F.concat(F.lit('{"success":true,"id":'), eid, F.lit("}")))
+            .when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"success":false,"error":{"code":404,"message":"missing '),
+                                                       eid, F.lit('"}}')))
+            .when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"success":false,"statusCode":"E_TEXT","message":"text code '),
+                                                       eid, F.lit('"}')))
+            .otherwise(F.concat(F.lit('{"success":true,"data":{"id":'), eid, F.lit(',"v":'),
+                                F.col("user_id").cast("string"), F.lit("}}"))))
+    return e.select("event_id", text.alias("reply"))
+
+
+@query
+def reply_decode(spark, sf):
+    from ..functions import envelope as E
+    r = _inbound(Tables(spark, sf))
+    return r.select("event_id", E.decode_inbound(F.col("reply")).alias("d")).select(
+        "event_id", F.col("d.ok").alias("ok"), F.col("d.code").alias("code"),
+        F.col("d.message").alias("message"), F.col("d.data").alias("data_json"))
+
+
+# --- FX-LOG ----------------------------------------------------------------
+LOG_SCHEMA = ("level string, msg string, password string, image string, "
+              "user struct<name: string, token: string, image: string, "
+              "profile: struct<imageBase64: string, password: string>>, "
+              "req struct<headers: struct<authorization: string, host: string>>")
+
+
+@query
+def redact_paths(spark, sf):
+    from pyspark.sql.types import _parse_datatype_string
+    from ..functions import redact as G
+    schema = _parse_datatype_string(LOG_SCHEMA)
+    logs = fx.log_records(Tables(spark, sf))
+    return logs.select("c_custkey", G.redact_json(F.col("record"), schema).alias("redacted"))
+
+
+@query
+def log_level_filter(spark, sf):
+    from ..functions import redact as G
+    logs = fx.log_records(Tables(spark, sf))
+    return G.level_filter(logs, "level", "log").select("c_custkey", "level")
+
+
+@query
+def log_shape(spark, sf):
+    from ..functions import redact as G
+    logs = fx.log_records(Tables(spark, sf))
+    return logs.select("c_custkey", *G.shape(F.col("level"), F.col("context"), F.lit(True)))
