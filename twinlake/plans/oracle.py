@@ -554,3 +554,7 @@ register("log_shape", with_("logrec") + """
            coalesce(context, 'Application') AS context,
            CASE WHEN level = 'error' THEN 'Error payload' ELSE 'Object payload' END AS msg
     FROM logrec""")
+
+# --- property keys with a query form ---------------------------------------
+register("sync_empty_source", "SELECT * FROM orders WHERE o_orderstatus = 'X'")
+register("rebuild_on_key_type_change", "SELECT *, true AS rebuilt FROM orders")

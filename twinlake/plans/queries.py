@@ -790,3 +790,25 @@ def log_shape(spark, sf):
     from ..functions import redact as G
     logs = fx.log_records(Tables(spark, sf))
     return logs.select("c_custkey", *G.shape(F.col("level"), F.col("context"), F.lit(True)))
+
+
+# --- property keys with a query form ---------------------------------------
+@query
+def sync_empty_source(spark, sf):
+    """M5: a write side with no rows (no order has status 'X') empties the replica."""
+    from . import sync as S
+    from ..sources.tables import TablePair, TableSpec
+    t = Tables(spark, sf)
+    empty_write = fx.replica_write(t).filter(F.col("o_orderstatus") == "X")
+    res = S.sync_table(TablePair(TableSpec("orders", keys=tuple(OKEY)), empty_write, fx.replica_read(t)))
+    return res.new_read
+
+
+@query
+def rebuild_on_key_type_change(spark, sf):
+    """The replica's key column has drifted to text, so the table is rebuilt from write."""
+    from ..operators import merge as M
+    t = Tables(spark, sf)
+    drifted = fx.replica_read(t).withColumn("o_orderkey", F.col("o_orderkey").cast("string"))
+    table, rebuilt = M.rebuild_on_key_type_change(drifted, fx.replica_write(t), OKEY)
+    return table.withColumn("rebuilt", F.lit(rebuilt))
