@@ -558,3 +558,9 @@ register("log_shape", with_("logrec") + """
 # --- property keys with a query form ---------------------------------------
 register("sync_empty_source", "SELECT * FROM orders WHERE o_orderstatus = 'X'")
 register("rebuild_on_key_type_change", "SELECT *, true AS rebuilt FROM orders")
+
+# --- streaming twins: same answers as the batch keys -----------------------
+for _s, _b in (("stream_cmd_status", "cmd_status"), ("stream_state_from_log", "state_from_log"),
+               ("stream_domain_events", "domain_events"), ("stream_dedupe_events", "dedupe_events"),
+               ("stream_cdc_apply", "cdc_apply"), ("stream_reply_timeout", "reply_timeout")):
+    register(_s, ORACLE[_b])

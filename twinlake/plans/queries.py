@@ -812,3 +812,55 @@ def rebuild_on_key_type_change(spark, sf):
     drifted = fx.replica_read(t).withColumn("o_orderkey", F.col("o_orderkey").cast("string"))
     table, rebuilt = M.rebuild_on_key_type_change(drifted, fx.replica_write(t), OKEY)
     return table.withColumn("rebuilt", F.lit(rebuilt))
+
+
+# --- streaming twins (must equal the batch forms) --------------------------
+def _applied_stream(spark, sf):
+    from ..streaming import twins
+    return twins.applied_run(spark, fx.commands(Tables(spark, sf)))
+
+
+@query
+def stream_cmd_status(spark, sf):
+    """T1-T3 on a stream: per-command codes equal the batch cmd_status."""
+    return _applied_stream(spark, sf).select("event_id", "id", "op", "code")
+
+
+@query
+def stream_state_from_log(spark, sf):
+    """The state after the stream equals the batch state_from_log."""
+    from ..operators import commands as K
+    return K.current_state(_applied_stream(spark, sf))
+
+
+@query
+def stream_domain_events(spark, sf):
+    """T4: events emitted by the stateful apply equal the batch domain_events."""
+    from ..streaming import commands as SC
+    return SC.events_from_applied(_applied_stream(spark, sf))
+
+
+@query
+def stream_dedupe_events(spark, sf):
+    """Created events delivered twice, deduplicated within the watermark."""
+    from ..operators import commands as K
+    from ..streaming import twins
+    ev = K.domain_events(_folded(spark, sf))
+    doubled = ev.unionByName(ev.filter(F.col("event_type") == "author.created"))
+    return twins.dedupe_run(spark, doubled)
+
+
+@query
+def stream_cdc_apply(spark, sf):
+    """The change log applied batch by batch leaves the replica equal to write."""
+    from ..streaming import twins
+    t = Tables(spark, sf)
+    return twins.cdc_run(spark, fx.replica_read(t), _change_log(t), "orders", OKEY)
+
+
+@query
+def stream_reply_timeout(spark, sf):
+    """T5 on streams: equals the batch interval join."""
+    from ..streaming import twins
+    t = Tables(spark, sf)
+    return twins.timeout_run(spark, fx.requests(t), fx.replies(t), REPLY_TIMEOUT_SECONDS)

@@ -25,6 +25,7 @@ BASE_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.executorEnv.PYTHONWARNINGS": "ignore::FutureWarning",
 }
 
 

@@ -20,9 +20,19 @@ def correlate(requests: DataFrame, replies: DataFrame, timeout_s: int, key: str
     (inclusive), else 503 ``Service temporarily unavailable``."""
     rep = replies.withColumnRenamed(key, "_rk")
     cond = ((F.col(key) == F.col("_rk")) & (F.col(rep_ts) >= F.col(req_ts))
-            & (F.col(rep_ts) <= F.col(req_ts) + F.make_dt_interval(secs=F.lit(timeout_s))))
+            & (F.col(rep_ts) <= F.col(req_ts) + F.expr(f"INTERVAL {int(timeout_s)} SECONDS")))
     j = requests.join(rep, cond, "left")
     hit = F.col("_rk").isNotNull()
     return j.select(key, F.when(hit, 200).otherwise(TIMEOUT_STATUS).alias("code"),
                     F.when(~hit, F.lit(TIMEOUT_MESSAGE)).alias("message"),
                     F.when(hit, F.timestamp_diff("MILLISECOND", F.col(req_ts), F.col(rep_ts))).alias("latency_ms"))
+
+
+def correlate_stream(requests: DataFrame, replies: DataFrame, timeout_s: int, key: str = "event_id",
+                     req_ts: str = "ts", rep_ts: str = "rts", lateness: str = "10 seconds") -> DataFrame:
+    """T5 on streams: watermarks on both sides bound the join state; a request
+    with no reply inside the interval is emitted as 503 once the watermark passes
+    ``ts + timeout``."""
+    rq = requests.withColumn(req_ts, F.col(req_ts).cast("timestamp")).withWatermark(req_ts, lateness)
+    rp = replies.withColumn(rep_ts, F.col(rep_ts).cast("timestamp")).withWatermark(rep_ts, lateness)
+    return correlate(rq, rp, timeout_s, key, req_ts, rep_ts)
