@@ -26,8 +26,9 @@ def _root(spark: SparkSession, name: str) -> str:
 
 
 def write_time_chunks(df: DataFrame, path: str, ts: str, chunks: int = 4) -> None:
-    """Write ``df`` as ``chunks`` successive appends, each covering the next time
-    range, so a file stream reads them in event-time order."""
+    """Write ``df`` as ``chunks`` successive appends, each covering the next range
+    of ``ts`` (a time or a number), so a file stream reads them in that order.
+    Only the column's min and max come to the driver."""
     b = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()  # one row: the time range
     if b["lo"] is None:
         return
@@ -82,8 +83,7 @@ def cdc_run(spark: SparkSession, initial: DataFrame, changes: DataFrame, table:
     """Change files (one append per sequence number) folded batch by batch into snapshots."""
     root = _root(spark, "stream-cdc")
     publish_snapshot(initial, f"{root}/read", table)
-    for s in [r[0] for r in changes.select(seq).distinct().orderBy(seq).collect()]:  # few sequence numbers
-        changes.filter(F.col(seq) == s).write.mode("append").parquet(f"{root}/in")
+    write_time_chunks(changes, f"{root}/in", seq, chunks=2)
     src = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/in")
     q = (src.writeStream.foreachBatch(cdc.cdc_sink(f"{root}/read", table, keys))
          .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
