@@ -129,6 +129,15 @@ def test_snapshot_publish_never_overwrites(spark, tmp_root):
     assert read_snapshot(spark, tmp_root, "x", 0).count() == 3
 
 
+def test_publish_skips_version_left_by_failed_write(spark, tmp_root):
+    import os
+    publish_snapshot(spark.range(2), tmp_root, "y")
+    os.makedirs(f"{tmp_root}/y/v=1")  # a write that died before committing
+    assert snapshot_versions(spark, tmp_root, "y") == [0]
+    assert publish_snapshot(spark.range(5), tmp_root, "y") == 2
+    assert read_snapshot(spark, tmp_root, "y").count() == 5
+
+
 def test_rebuild_on_key_type_change(t):
     drifted = fx.replica_read(t).withColumn("o_orderkey", F.col("o_orderkey").cast("string"))
     table, rebuilt = M.rebuild_on_key_type_change(drifted, fx.replica_write(t), ["o_orderkey"])

@@ -90,3 +90,39 @@ def decode_inbound(text: Column) -> Column:
         F.when(failed, code).alias("code"),
         F.when(failed, msg).alias("message"),
         F.when(~failed, F.coalesce(data, text)).alias("data"))
+
+
+def normalise_result(result: Column, ts: Column) -> Column:
+    """A handler's result (JSON text) as the reply it produces.
+
+    * an object that already has ``success`` passes through unchanged (E7);
+    * an object with both ``data`` and ``meta`` is unwrapped: its data becomes the
+      reply data and its meta fields are spread into the reply meta (E2);
+    * no result (``undefined``) becomes ``data: true``;
+    * anything else is the reply data as is.
+
+    Returns ``struct(kind, success, data, meta, timestamp)`` with data/meta as JSON text.
+    """
+    v = F.try_parse_json(result)
+    wrapped = F.try_variant_get(v, "$.success", "variant").isNotNull()
+    has_dm = (F.try_variant_get(v, "$.data", "variant").isNotNull()
+              & F.try_variant_get(v, "$.meta", "variant").isNotNull())
+    kind = (F.when(result.isNull(), F.lit("empty")).when(wrapped, F.lit("wrapped"))
+            .when(has_dm, F.lit("unwrapped")).otherwise(F.lit("plain")))
+    data = (F.when(result.isNull(), F.lit("true"))
+            .when(wrapped | has_dm, F.get_json_object(result, "$.data")).otherwise(result))
+    success = F.when(wrapped, F.try_variant_get(v, "$.success", "boolean")).otherwise(F.lit(True))
+    meta = F.when(wrapped | has_dm, F.get_json_object(result, "$.meta"))
+    return F.struct(kind.alias("kind"), success.alias("success"), data.alias("data"), meta.alias("meta"),
+                    iso_timestamp(ts).alias("timestamp"))
+
+
+ERROR_RESPONSE_RESERVED = ("message", "statusCode", "error")
+
+
+def error_details(response: Column) -> Column:
+    """E5: the error response minus ``message``, ``statusCode`` and ``error``;
+    NULL (absent) when nothing is left.  Values are kept as text."""
+    m = F.from_json(response, "map<string,string>")
+    rest = F.map_filter(m, lambda k, _: ~k.isin(*ERROR_RESPONSE_RESERVED))
+    return F.when(F.size(rest) > 0, F.to_json(rest))

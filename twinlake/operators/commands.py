@@ -212,3 +212,29 @@ def create_unique(cmds: DataFrame, unique: str, order: list[str]) -> DataFrame:
     bad = F.col(unique).isNotNull() & (pos != F.col("_first"))
     return j.select(*cmds.columns, F.when(bad, 400).otherwise(200).alias("code"),
                     F.when(bad, _fmt(MSG_ISBN_EXISTS, F.col(unique))).alias("message"))
+
+
+# --- replies (E1, E9, E10 applied to the fold) ------------------------------
+MSG_ENTITY_NOT_FOUND = "{} with ID {} not found."
+MSG_ENTITY_EXISTS = "{} with ID {} already exists."
+
+
+def replies(folded: DataFrame, entity: str = "author", label: str = "Author", key: str = "id",
+            fields: tuple[str, ...] = ("value", "props")) -> DataFrame:
+    """One reply per command: success with the entity row as JSON, or the error
+    code and message; the envelope timestamp is the message time (not wall clock)."""
+    from ..functions import envelope as E
+    from ..functions.scalar import iso_timestamp
+    ok = F.col("code") == 200
+    data = F.to_json(F.struct(F.col(key).alias("id"), *[F.col(f).alias(f) for f in fields],
+                              iso_timestamp(F.col("created_at")).alias("createdAt"),
+                              iso_timestamp(F.col("updated_at")).alias("updatedAt")),
+                     {"ignoreNullFields": "false"})
+    nf, ex = MSG_ENTITY_NOT_FOUND.split("{}"), MSG_ENTITY_EXISTS.split("{}")
+    msg = (F.when(F.col("code") == 404, F.concat(F.lit(label + nf[1]), F.col(key).cast("string"), F.lit(nf[2])))
+           .when(F.col("code") == 400, F.concat(F.lit(label + ex[1]), F.col(key).cast("string"), F.lit(ex[2]))))
+    env = F.when(ok, E.success(data, F.col("ts"))).otherwise(E.error(msg, F.col("code"), F.col("ts")))
+    return folded.select("event_id", F.concat(F.lit(entity + "."), F.col("op")).alias("topic"), env.alias("r")).select(
+        "event_id", "topic", F.col("r.success").alias("success"), F.col("r.data").alias("data_json"),
+        F.col("r.error.code").alias("error_code"), F.col("r.error.message").alias("error_message"),
+        F.col("r.meta.timestamp").alias("timestamp"))

@@ -564,3 +564,28 @@ for _s, _b in (("stream_cmd_status", "cmd_status"), ("stream_state_from_log", "s
                ("stream_domain_events", "domain_events"), ("stream_dedupe_events", "dedupe_events"),
                ("stream_cdc_apply", "cdc_apply"), ("stream_reply_timeout", "reply_timeout")):
     register(_s, ORACLE[_b])
+
+# --- E2/E5/E7 and the T8 twin ------------------------------------------------
+register("reply_normalise", _FOLD + f"""
+    , r AS (SELECT event_id, op, ts,
+                   CASE WHEN op = 'get' AND event_id % 3 = 0
+                             THEN '{{"data":{{"id":' || id || '}},"meta":{{"page":1,"source":"' || op || '"}}}}'
+                        WHEN op = 'update' THEN '{{"success":true,"data":{{"id":' || id || '}}}}'
+                        WHEN op = 'delete' THEN NULL
+                        ELSE '{{"id":' || id || '}}' END AS result
+            FROM folded WHERE code = 200)
+    SELECT event_id,
+           CASE WHEN result IS NULL THEN 'empty' WHEN op = 'update' THEN 'wrapped'
+                WHEN op = 'get' AND event_id % 3 = 0 THEN 'unwrapped' ELSE 'plain' END AS kind,
+           true AS success,
+           CASE WHEN result IS NULL THEN 'true'
+                WHEN op = 'update' OR (op = 'get' AND event_id % 3 = 0) THEN json_extract(result, '$.data')::VARCHAR
+                ELSE result END AS data_json,
+           CASE WHEN op = 'get' AND event_id % 3 = 0 THEN json_extract(result, '$.meta')::VARCHAR END AS meta_json,
+           {_ISO.format(c='ts')} AS timestamp
+    FROM r""")
+register("error_details", _VALID + """
+    SELECT p_partkey, array_to_string(violations, '; ') AS error_message,
+           CASE WHEN p_partkey % 2 = 1 THEN '{"property":"' || split_part(violations[1], ' ', 1) || '"}' END AS details_json
+    FROM validated WHERE len(violations) > 0""")
+register("stream_reply_table", ORACLE["reply_table"])

@@ -566,34 +566,10 @@ def route_by_topic(spark, sf):
 
 
 # --- FX-CMD replies and events ---------------------------------------------
-def _cmd_not_found(id_col):
-    from ..operators.commands import _fmt
-    return _fmt("Author with ID {} not found.", id_col)
-
-
-def _cmd_exists(id_col):
-    from ..operators.commands import _fmt
-    return _fmt("Author with ID {} already exists.", id_col)
-
-
-def _entity_json(f):
-    return F.to_json(F.struct(f["id"].alias("id"), f["value"].alias("value"), f["props"].alias("props"),
-                              scalar.iso_timestamp(f["created_at"]).alias("createdAt"),
-                              scalar.iso_timestamp(f["updated_at"]).alias("updatedAt")),
-                     {"ignoreNullFields": "false"})
-
-
 @query
 def reply_table(spark, sf):
-    from ..functions import envelope as E
-    f = _folded(spark, sf)
-    ok = F.col("code") == 200
-    msg = F.when(F.col("code") == 404, _cmd_not_found(F.col("id"))).when(F.col("code") == 400, _cmd_exists(F.col("id")))
-    env = F.when(ok, E.success(_entity_json(f), F.col("ts"))).otherwise(E.error(msg, F.col("code"), F.col("ts")))
-    return f.select("event_id", F.concat(F.lit("author."), F.col("op")).alias("topic"), env.alias("r")).select(
-        "event_id", "topic", F.col("r.success").alias("success"), F.col("r.data").alias("data_json"),
-        F.col("r.error.code").alias("error_code"), F.col("r.error.message").alias("error_message"),
-        F.col("r.meta.timestamp").alias("timestamp"))
+    from ..operators import commands as K
+    return K.replies(_folded(spark, sf))
 
 
 def _exceptions(spark, sf):
@@ -864,3 +840,41 @@ def stream_reply_timeout(spark, sf):
     from ..streaming import twins
     t = Tables(spark, sf)
     return twins.timeout_run(spark, fx.requests(t), fx.replies(t), REPLY_TIMEOUT_SECONDS)
+
+
+@query
+def reply_normalise(spark, sf):
+    """Handler results of the accepted commands in their four shapes, as replies."""
+    from ..functions import envelope as E
+    f = _folded(spark, sf).filter(F.col("code") == 200)
+    idj = F.col("id").cast("string")
+    result = (F.when((F.col("op") == "get") & (F.col("event_id") % 3 == 0),
+                     F.concat(F.lit('{"data":{"id":'), idj, F.lit('},"meta":{"page":1,"source":"'), F.col("op"),
+                              F.lit('"}}')))
+              .when(F.col("op") == "update", F.concat(F.lit('{"success":true,"data":{"id":'), idj, F.lit("}}")))
+              .when(F.col("op") == "delete", F.lit(None).cast("string"))
+              .otherwise(F.concat(F.lit('{"id":'), idj, F.lit("}"))))
+    r = f.select("event_id", E.normalise_result(result, F.col("ts")).alias("r"))
+    return r.select("event_id", "r.kind", "r.success", F.col("r.data").alias("data_json"),
+                    F.col("r.meta").alias("meta_json"), "r.timestamp")
+
+
+@query
+def error_details(spark, sf):
+    """E5: validation error responses; extra response fields become the details."""
+    from ..functions import envelope as E
+    v = _validated(spark, sf).filter(~F.col("is_valid"))
+    msgs = F.concat(F.lit('["'), F.array_join("violations", '","'), F.lit('"]'))
+    prop = F.substring_index(F.element_at("violations", 1), " ", 1)
+    extra = F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit(',"property":"'), prop, F.lit('"'))).otherwise(F.lit(""))
+    resp = F.concat(F.lit('{"statusCode":400,"message":'), msgs, F.lit(',"error":"Bad Request"'), extra, F.lit("}"))
+    return v.select("p_partkey", E.normalise_message(F.col("violations"), F.lit(None).cast("string")).alias("error_message"),
+                    E.error_details(resp).alias("details_json"))
+
+
+@query
+def stream_reply_table(spark, sf):
+    """Replies of the streamed commands written per micro-batch by an idempotent
+    foreachBatch sink; equals the batch reply_table."""
+    from ..streaming import twins
+    return twins.replies_run(spark, fx.commands(Tables(spark, sf)))

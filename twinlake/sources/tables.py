@@ -88,8 +88,9 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def snapshot_versions(spark: SparkSession, root: str, table: str) -> list[int]:
-    """Committed versions of a table (directories holding a _SUCCESS marker)."""
+def snapshot_versions(spark: SparkSession, root: str, table: str, committed: bool = True) -> list[int]:
+    """Versions of a table; by default only committed ones (holding a _SUCCESS marker).
+    ``committed=False`` also lists directories left by a failed write."""
     fs, p = _fs(spark, f"{root.rstrip('/')}/{table}")
     if not fs.exists(p):
         return []
@@ -97,7 +98,7 @@ def snapshot_versions(spark: SparkSession, root: str, table: str) -> list[int]:
     for st in fs.listStatus(p):
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith("v="):
-            if fs.exists(st.getPath().suffix("/_SUCCESS")):
+            if not committed or fs.exists(st.getPath().suffix("/_SUCCESS")):
                 out.append(int(name[2:]))
     return sorted(out)
 
@@ -117,7 +118,7 @@ def publish_snapshot(df: DataFrame, root: str, table: str) -> int:
     current version.  The commit marker makes the version visible atomically.
     """
     spark = df.sparkSession
-    vs = snapshot_versions(spark, root, table)
+    vs = snapshot_versions(spark, root, table, committed=False)  # skip dirs of failed writes too
     v = (vs[-1] + 1) if vs else 0
     df.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/{table}/v={v}")
     return v

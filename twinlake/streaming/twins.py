@@ -56,18 +56,32 @@ def command_records(cmd: DataFrame) -> DataFrame:
         F.col("ts"), F.col("event_id"))
 
 
-def applied_run(spark: SparkSession, cmd: DataFrame) -> DataFrame:
-    """T1 -> T7 -> T2 -> T3: topic files in, one row per command out."""
-    root = _root(spark, "stream-commands")
+def _applied_stream(spark: SparkSession, cmd: DataFrame, root: str) -> DataFrame:
     write_time_chunks(command_records(cmd), f"{root}/in", "timestamp")
     src = topics.file_stream(spark, f"{root}/in", max_files_per_trigger=FILES_PER_BATCH, fmt="parquet")
     fields = {"value": "double", "props": "string"}
     parsed = topics.parse_commands(src, "author", fields)
-    applied = commands.apply_commands(parsed, fields)
-    _drain(applied, f"{root}/out", f"{root}/ckpt")
+    return commands.apply_commands(parsed, fields)
+
+
+def applied_run(spark: SparkSession, cmd: DataFrame) -> DataFrame:
+    """T1 -> T2 -> T3: topic files in, one row per command out."""
+    root = _root(spark, "stream-commands")
+    _drain(_applied_stream(spark, cmd, root), f"{root}/out", f"{root}/ckpt")
     return spark.read.parquet(f"{root}/out")
 
 
+def replies_run(spark: SparkSession, cmd: DataFrame) -> DataFrame:
+    """T3 -> T8: replies written per micro-batch by the idempotent foreachBatch sink."""
+    from ..operators.commands import replies
+    root = _root(spark, "stream-replies")
+    rows = replies(_applied_stream(spark, cmd, root))
+    q = (rows.writeStream.foreachBatch(commands.reply_sink(f"{root}/out"))
+         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out").drop("batch")
+
+
 def dedupe_run(spark: SparkSession, events: DataFrame) -> DataFrame:
     """A doubled event stream deduplicated within the watermark."""
     root = _root(spark, "stream-dedupe")
