@@ -273,3 +273,10 @@ def test_align_strict_cast_fails_on_bad_value(spark):
     assert rows(C.align(df, target, strict=False)) == [(None,), (1,)]
     with pytest.raises(Exception):
         C.align(df, target, strict=True).collect()
+
+
+def test_entity_aggregate_mapping_round_trips(spark):
+    df = spark.createDataFrame([("u1", "Ann", "Lee", None)], "id string, first_name string, last_name string, birth_date date")
+    agg = K.to_aggregate(df, K.AUTHOR_COLUMNS)
+    assert agg.columns == ["id", "firstName", "lastName", "birthDate"]
+    assert K.to_entity(agg, K.AUTHOR_COLUMNS).columns == df.columns

@@ -85,7 +85,8 @@ def violations(rules: list[Column]) -> Column:
 
 
 def create_book_rules(title: Column, isbn: Column, year: Column) -> list[Column]:
-    """``book.create``: title string, not empty, >= 3; isbn optional 10..13; year optional int."""
+    """``book.create``: title string, not empty, >= 3; isbn optional, 10..13 characters (V5);
+    publishedYear optional integer."""
     return [
         is_string(title, "title"), not_empty(title, "title"), min_length(title, 3, "title"),
         *optional(isbn, [min_length(isbn, 10, "isbn"), max_length(isbn, 13, "isbn"), is_string(isbn, "isbn")]),
@@ -93,6 +94,16 @@ def create_book_rules(title: Column, isbn: Column, year: Column) -> list[Column]
     ]
 
 
+def create_author_rules(first: Column, last: Column, birth: Column) -> list[Column]:
+    """``author.create``: names string, not empty, >= 3; birthDate a date and, as
+    declared, required (V10: no optional mark although the field is typed optional)."""
+    return [
+        is_string(first, "firstName"), not_empty(first, "firstName"), min_length(first, 3, "firstName"),
+        is_string(last, "lastName"), not_empty(last, "lastName"), min_length(last, 3, "lastName"),
+        is_date(birth, "birthDate"),
+    ]
+
+
 def validate(df: DataFrame, rules: list[Column], keep: list[str]) -> DataFrame:
     """Per row: ``violations`` (array), ``message`` (V11: joined with '; ') and ``is_valid``."""
     v = violations(rules)

@@ -13,7 +13,9 @@ Bulk re-aim of the reference's one-message handlers.  A command log
   update only the fields present in its payload, and ``updated_at`` moves only
   when at least one field was present.
 
-Both passes are ``ordered_scan``s, so one hot entity is spread over many tasks.
+Times come from the message timestamp, never the wall clock (F15), so a replay
+gives the same rows.  Both passes are ``ordered_scan``s, so one hot entity is
+spread over many tasks.
 """
 
 from __future__ import annotations
@@ -115,6 +117,25 @@ def dedupe_events(events: DataFrame, keys: tuple[str, ...] = ("event_id", "event
     return events.dropDuplicates(list(keys))
 
 
+# Entity (table, snake_case) <-> aggregate (camelCase) column names.
+AUTHOR_COLUMNS = {"id": "id", "first_name": "firstName", "last_name": "lastName", "birth_date": "birthDate",
+                  "created_at": "createdAt", "updated_at": "updatedAt"}
+BOOK_COLUMNS = {"id": "id", "title": "title", "isbn": "isbn", "published_year": "publishedYear",
+                "created_at": "createdAt", "updated_at": "updatedAt"}
+LINK_COLUMNS = {"id": "id", "author_id": "authorId", "book_id": "bookId", "assigned_at": "assignedAt"}
+
+
+def to_aggregate(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """Entity rows -> aggregate field names (columns not in the mapping kept)."""
+    return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns and k != v})
+
+
+def to_entity(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """Aggregate field names -> entity column names."""
+    back = {v: k for k, v in mapping.items()}
+    return df.withColumnsRenamed({k: v for k, v in back.items() if k in df.columns and k != v})
+
+
 TOPICS = {CREATE: "create", UPDATE: "update", DELETE: "delete", GET: "get"}
 # Fields each topic's command carries (K15: extra payload fields are dropped).
 TOPIC_FIELDS = {CREATE: ("value", "props"), UPDATE: ("id", "value", "props"), DELETE: ("id",), GET: ("id",)}
@@ -155,8 +176,8 @@ def _fmt(template: str, *cols) -> Column:
 def assign(cmds: DataFrame, authors: DataFrame, books: DataFrame, order: list[str],
            author_col: str = "author_id", book_col: str = "book_id",
            author_key: str = "id", book_key: str = "id") -> DataFrame:
-    """K8/K9: author must exist (404), then book (404), then the pair must not be
-    assigned yet (409); the first valid request for a pair wins.
+    """K8/K9 (J11 duplicate-pair check): author must exist (404), then book (404),
+    then the pair must not be assigned yet (409); the first valid request for a pair wins.
 
     Parent existence is a left join to *distinct* parent keys; "first" is a
     ``min`` over the order per pair (partial aggregate, no per-pair window), so a

@@ -26,7 +26,7 @@ def row_diff(write: DataFrame, read: DataFrame, keys: list[str],
              compare: list[str] | None = None) -> DataFrame:
     """``keys + action`` for the union of both key sets.
 
-    One full outer join on the key; non-key columns compared null-safe (``<=>``),
+    J7 keyed match: one full outer join on the key; non-key columns compared null-safe (``<=>``),
     so NULL = NULL is "same".  Exact: no hash stands in for the values.
     """
     cols = compare if compare is not None else [c for c in write.columns if c not in keys]
@@ -46,7 +46,8 @@ def diff_counts(diff: DataFrame) -> DataFrame:
 
 
 def orphans(read: DataFrame, write: DataFrame, keys: list[str]) -> DataFrame:
-    """Read rows whose key tuple is absent from write (anti join on all key columns)."""
+    """Read rows whose key tuple is absent from write.  ``pk != ALL(keys)``
+    (P8) becomes an anti join on all key columns; the key set is never collected."""
     return read.join(write.select(*keys), keys, "left_anti")
 
 

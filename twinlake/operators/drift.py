@@ -80,7 +80,7 @@ def _default_expr(default: str | None, dtype: T.DataType) -> Column:
 
 def align(read: DataFrame, target: T.StructType, defaults: dict | None = None,
           strict: bool = True) -> DataFrame:
-    """Reshape the read data to the target schema in one ``select``.
+    """C3 (drop), C4 (add with default) and C5 (retype, F12 cast) in one ``select``.
 
     Obsolete columns are dropped, missing ones added with their default,
     differing types cast in place (``strict``: ANSI cast, a bad value fails the

@@ -17,7 +17,7 @@ from ..sources.tables import ForeignKey
 
 
 def null_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``(column_name, n_nulls)`` for every column, in one aggregate."""
+    """``(column_name, n_nulls)`` for every column (P7 ``IS NULL``), in one aggregate."""
     agg = df.agg(*[F.count_if(F.col(c).isNull()).cast("bigint").alias(c) for c in cols])
     return agg.unpivot([], cols, "column_name", "n_nulls")
 
@@ -80,7 +80,7 @@ def _parent_flags(child: DataFrame, parent: DataFrame, fk: ForeignKey, flag: str
 
 
 def fk_orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
-    """Child rows with every FK column non-null and no parent (MATCH SIMPLE)."""
+    """Child rows with every FK column non-null (P6) and no parent (MATCH SIMPLE)."""
     nn = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in fk.columns])
     pk = parent.select(*[F.col(p).alias(c) for p, c in zip(fk.parent_columns, fk.columns)])
     return child.filter(nn).join(pk, list(fk.columns), "left_anti")

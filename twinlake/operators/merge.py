@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 
 def _keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """S2 key-only scan: Parquet reads just the key columns."""
     return df.select(*keys)
 
 
@@ -79,7 +80,8 @@ def sync_rows(read: DataFrame, write: DataFrame, ids: DataFrame, keys: list[str]
 
 
 def sync_children(read: DataFrame, write: DataFrame, parents: DataFrame, fk: str, parent_key: str) -> DataFrame:
-    """M9: replace the children of the given parents with the write side's."""
+    """M9: replace the children of the given parents with the write side's
+    (P10 filter by FK value, as a join to the parent-id set)."""
     p = parents.select(F.col(parent_key).alias(fk)).distinct()
     keep = read.join(p, fk, "left_anti")
     fresh = write.join(p, fk, "left_semi").select(*read.columns)

@@ -23,8 +23,8 @@ def m2n_expand(left: DataFrame, link: DataFrame, right: DataFrame,
     """J1/J2 in long form: one row per (entity, related row); entities with no
     related row kept once with NULL related columns (the nested array is empty).
 
-    Links whose related row does not exist are dropped, like the reference's
-    ``.filter(Boolean)`` on the relation array.
+    Links whose related row does not exist are dropped (P5, the null-element
+    filter on the relation array); the link columns are not part of the output (P4).
     """
     lk = link.select(F.col(link_left).alias("_ll"), F.col(link_right).alias("_lr"),
                      *[F.col(c) for c in link_cols])

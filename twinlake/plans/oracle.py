@@ -589,3 +589,21 @@ register("error_details", _VALID + """
            CASE WHEN p_partkey % 2 = 1 THEN '{"property":"' || split_part(violations[1], ' ', 1) || '"}' END AS details_json
     FROM validated WHERE len(violations) > 0""")
 register("stream_reply_table", ORACLE["reply_table"])
+
+register("validate_author_payloads", """
+    WITH a AS (SELECT c_custkey,
+                      CASE WHEN c_custkey % 9 = 0 THEN 'Al' ELSE split_part(c_name, '#', 1) END AS fn,
+                      CASE WHEN c_custkey % 10 = 0 THEN '' ELSE split_part(c_name, '#', 2) END AS ln,
+                      CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 'not-a-date'
+                           ELSE '1980-01-' || lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0') END AS bd
+               FROM customer),
+         v AS (SELECT c_custkey, list_filter([
+                  CASE WHEN fn IS NULL THEN 'firstName must be a string' END,
+                  CASE WHEN fn IS NULL OR fn = '' THEN 'firstName should not be empty' END,
+                  CASE WHEN fn IS NULL OR length(fn) < 3 THEN 'firstName must be longer than or equal to 3 characters' END,
+                  CASE WHEN ln IS NULL THEN 'lastName must be a string' END,
+                  CASE WHEN ln IS NULL OR ln = '' THEN 'lastName should not be empty' END,
+                  CASE WHEN ln IS NULL OR length(ln) < 3 THEN 'lastName must be longer than or equal to 3 characters' END,
+                  CASE WHEN TRY_CAST(bd AS TIMESTAMP) IS NULL THEN 'birthDate must be a Date instance' END
+               ], lambda x: x IS NOT NULL) AS vs FROM a)
+    SELECT c_custkey, array_to_string(vs, '; ') AS message, len(vs) = 0 AS is_valid FROM v""")

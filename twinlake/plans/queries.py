@@ -878,3 +878,13 @@ def stream_reply_table(spark, sf):
     foreachBatch sink; equals the batch reply_table."""
     from ..streaming import twins
     return twins.replies_run(spark, fx.commands(Tables(spark, sf)))
+
+
+@query
+def validate_author_payloads(spark, sf):
+    """Author.create rules; birthDate is required as declared."""
+    from ..functions import validate as V
+    p = fx.author_payloads(Tables(spark, sf))
+    v = V.validate(p, V.create_author_rules(F.col("first_name"), F.col("last_name"), F.col("birth_date")),
+                   ["c_custkey"])
+    return v.select("c_custkey", "message", "is_valid")

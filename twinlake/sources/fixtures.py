@@ -237,3 +237,18 @@ def sequences(t: Tables) -> DataFrame:
 
 def zip_arrays(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", "embedding", F.reverse("embedding").alias("reversed"))
+
+
+# FX-AUTHOR (author.create payloads) ----------------------------------------
+def author_payloads(t: Tables) -> DataFrame:
+    """firstName/lastName from the customer name, birthDate text; some short,
+    empty, missing or unparsable values."""
+    c = t.customer
+    return c.select(
+        "c_custkey",
+        F.when(_mod("c_custkey", 9) == 0, F.lit("Al")).otherwise(F.substring_index("c_name", "#", 1)).alias("first_name"),
+        F.when(_mod("c_custkey", 10) == 0, F.lit("")).otherwise(F.substring_index("c_name", "#", -1)).alias("last_name"),
+        F.when(_mod("c_custkey", 7) == 0, F.lit(None).cast("string"))
+         .when(_mod("c_custkey", 5) == 0, F.lit("not-a-date"))
+         .otherwise(F.concat(F.lit("1980-01-"), F.lpad((F.col("c_nationkey") + 1).cast("string"), 2, "0")))
+         .alias("birth_date"))

@@ -19,7 +19,7 @@ DRIVER_TABLES = (
 
 
 class Tables:
-    """Lazy accessor for the Parquet tables of one scale-factor directory."""
+    """Lazy accessor for the Parquet tables of one scale-factor directory."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -71,7 +71,7 @@ class TableSpec:
 
 @dataclass
 class TablePair:
-    """One table bound to both sides: ``write`` is the truth, ``read`` the replica."""
+    """One table bound to both sides: ``write`` is the truth, ``read`` the replica."""
 
     spec: TableSpec
     write: DataFrame
@@ -112,7 +112,7 @@ def read_snapshot(spark: SparkSession, root: str, table: str, version: int | Non
 
 
 def publish_snapshot(df: DataFrame, root: str, table: str) -> int:
-    """Write ``df`` as the next version of ``table``; returns the version number.
+    """Write ``df`` as the next version of ``table``; returns the version number.
 
     The write goes to a fresh directory, so ``df`` may itself be a plan over the
     current version.  The commit marker makes the version visible atomically.

@@ -116,7 +116,7 @@ def events_from_applied(applied: DataFrame, entity: str = "author", key: str = "
 
 
 def reply_sink(root: str):
-    """``foreachBatch`` writer of reply rows, idempotent per batch id (a replayed
+    """``foreachBatch`` writer of reply rows, idempotent per batch id (a replayed
     batch overwrites its own directory and nothing else)."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root.rstrip('/')}/batch={batch_id}")
