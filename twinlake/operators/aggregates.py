@@ -17,6 +17,18 @@ def ordered_array_agg(df: DataFrame, keys: list[str], order: str, value: str) ->
     return df.groupBy(*keys).agg(F.transform(pairs, lambda x: x["v"]).alias(f"{value}_list"))
 
 
+def ordered_positions(df: DataFrame, keys: list[str], order: list[str], value: str,
+                      skew_safe: bool = True) -> DataFrame:
+    """A4 in long form: ``keys + ordinality + value``, the 1-based position of each
+    value in its group's ``ORDER BY`` sequence.  Carries the same information as
+    the array without collecting any group into one row; positions come from the
+    skew-safe ordered scan, so a huge group is spread over many tasks."""
+    from .scan import ordered_scan
+    s = ordered_scan(df.select(*keys, *[c for c in order if c not in keys], value), keys, order,
+                     sums={"ordinality": F.lit(1).cast("bigint")}, inclusive=True, skew_safe=skew_safe)
+    return s.select(*keys, F.col("ordinality").cast("bigint").alias("ordinality"), value)
+
+
 def non_empty(df: DataFrame) -> bool:
     """A5: ``COUNT(*) > 0`` without counting: stops at the first row."""
     return not df.isEmpty()

@@ -330,8 +330,8 @@ register("align_schema", "WITH " + _DRIFT_READ + """
 
 # --- FX-SEQ / FX-ZIP -------------------------------------------------------
 register("ordered_array_agg", """
-    SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) AS roles, count(*) AS n_turns
-    FROM conversations GROUP BY conv_id""")
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinality, role
+    FROM conversations""")
 register("unnest_zip_ordinality", """
     SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS ordinality,
            unnest(embedding) AS embedding_elem, unnest(list_reverse(embedding)) AS reversed_elem

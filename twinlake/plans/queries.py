@@ -485,8 +485,7 @@ def align_schema(spark, sf):
 def ordered_array_agg(spark, sf):
     from ..operators import aggregates as A
     s = fx.sequences(Tables(spark, sf))
-    return A.ordered_array_agg(s, ["conv_id"], "turn", "role").select(
-        "conv_id", F.array_join("role_list", ",").alias("roles"), F.size("role_list").cast("bigint").alias("n_turns"))
+    return A.ordered_positions(s, ["conv_id"], ["turn"], "role")
 
 
 @query
