@@ -1,8 +1,9 @@
 """Full table-set synchronisation (M12) and its change report.
 
-Per table the order is the reference's: key check -> diff -> orphans removed ->
-keyed upsert (or replace when there is no key) -> NOT NULL gate -> FK cleaning,
-parents first, after every table is loaded.  Each table is one or two Spark jobs;
+Per table the order is the reference's: key-type check (rebuild) -> schema
+alignment -> diff -> orphans removed -> keyed upsert (or replace when there is no
+key); after every table is loaded: NOT NULL gate, FK cleaning parents first, key
+high-water marks.  Each table is one or two Spark jobs;
 the Python loop only walks table names.  Every new read table is published as a
 new snapshot version, so no job ever overwrites the input it is reading.
 """
@@ -34,23 +35,52 @@ class TableResult:
     report: DataFrame  # (table_name, action, n_rows)
 
 
+def _schema_drift_rows(name: str, write: DataFrame, read: DataFrame) -> list[tuple]:
+    """C2 counts from the two schemas (driver-side metadata, no job)."""
+    wt = {f.name: f.dataType for f in write.schema.fields}
+    rt = {f.name: f.dataType for f in read.schema.fields}
+    counts = {"column_add": sum(1 for c in wt if c not in rt),
+              "column_drop": sum(1 for c in rt if c not in wt),
+              "column_retype": sum(1 for c in wt if c in rt and wt[c] != rt[c])}
+    return [(name, k, v) for k, v in counts.items() if v]
+
+
 def sync_table(pair: TablePair) -> TableResult:
-    """Plan the new read side of one table and its per-action counts."""
+    """Plan the new read side of one table and its per-action counts.
+
+    Order per table: key-type drift rebuilds the table (M13); otherwise the read
+    side is aligned to the write schema (C3-C5, lenient casts: the copy refills
+    every value anyway) and diffed against write (D1) for the report; orphans are
+    deleted (M3/M4) and write rows upserted (M1) or inserted if absent (M2).
+    Tables without a key are replaced (M6).
+    """
+    from ..operators.drift import align
     spec, w, r = pair.spec, pair.write, pair.read
+    spark = w.sparkSession
     cols = w.columns
+    drift = _schema_drift_rows(spec.name, w, r)
+    extra = spark.createDataFrame(drift, REPORT_SCHEMA) if drift else None
+
+    def with_drift(report: DataFrame) -> DataFrame:
+        return report if extra is None else report.unionByName(extra)
+
     if not spec.has_key:
         report = w.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(spec.name).alias("table_name"), F.lit("replace").alias("action"), "n_rows")
-        return TableResult(spec.name, M.replace(w, cols), report)
+        return TableResult(spec.name, M.replace(w, cols), with_drift(report))
     keys = list(spec.keys)
-    rr = r.select(*[c for c in cols if c in r.columns])
+    if M.key_type_changed(w, r, keys):
+        report = w.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(spec.name).alias("table_name"), F.lit("rebuild").alias("action"), "n_rows")
+        return TableResult(spec.name, M.replace(w, cols), with_drift(report))
+    rr = align(r, w.schema, strict=False)
     diff = D.row_diff(w, rr, keys)
     report = D.diff_counts(diff).select(F.lit(spec.name).alias("table_name"), "action", "n_rows")
     if spec.all_key(w):
         new = M.insert_if_absent(M.delete_orphans(rr, w, keys), w, keys)
     else:
         new = M.upsert(M.delete_orphans(rr, w, keys), w, keys)
-    return TableResult(spec.name, new, report)
+    return TableResult(spec.name, new, with_drift(report))
 
 
 def sync_all(spark: SparkSession, pairs: list[TablePair], read_root: str,
@@ -81,6 +111,15 @@ def sync_all(spark: SparkSession, pairs: list[TablePair], read_root: str,
             versions[name] = publish_snapshot(cleaned[name], read_root, name)
             after = read_snapshot(spark, read_root, name, versions[name]).count()
             report_rows.append((name, "fk_removed", before - after))
+    # A3: key high-water marks of single numeric keys, after the load
+    for name, spec in specs.items():
+        if len(spec.keys) == 1:
+            k = spec.keys[0]
+            snap = read_snapshot(spark, read_root, name, versions[name])
+            if isinstance(snap.schema[k].dataType, (T.IntegerType, T.LongType, T.ShortType)):
+                from ..operators.listing import high_water_mark
+                nxt = high_water_mark(snap, k).first()["next_value"]  # one row
+                report_rows.append((name, "next_key", int(nxt)))
     return spark.createDataFrame(report_rows, REPORT_SCHEMA), versions
 
 
