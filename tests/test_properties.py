@@ -299,3 +299,25 @@ def test_sync_rebuilds_on_key_type_change(spark, t, tmp_root):
     report, _ = S.sync_all(spark, [pair], tmp_root)
     assert "rebuild" in {r["action"] for r in report.collect()}
     assert rows(read_snapshot(spark, tmp_root, "orders")) == rows(t.orders)
+
+
+def test_json_topic_records_keep_absent_vs_null(spark, t, tmp_root):
+    from twinlake.streaming import topics, twins
+    cmd = fx.commands(t)
+    topics.write_records(twins.command_records(cmd), f"{tmp_root}/topic", chunks=2)
+    src = topics.file_stream(spark, f"{tmp_root}/topic")
+    fields = {"value": "double", "props": "string"}
+    q = (topics.parse_commands(src, "author", fields).writeStream.format("memory").queryName("parsed_cmds")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.table("parsed_cmds")
+    want = cmd.select("event_id", "ts", "id", "op", "has_value", "has_props",
+                      F.when(F.col("has_value"), F.col("value")).alias("value"),
+                      F.when(F.col("has_props"), F.col("props")).alias("props"))
+    assert rows(got.select(*want.columns)) == rows(want)
+
+
+def test_name_set_diff(spark):
+    a = spark.createDataFrame([("x",), ("y",)], "n string")
+    b = spark.createDataFrame([("y",), ("z",)], "n string")
+    assert rows(D.name_set_diff(a, b, "n")) == [("x", "create"), ("z", "drop")]

@@ -64,12 +64,13 @@ def definition_diff(write: DataFrame, read: DataFrame, key: str, text: str) -> D
 
 
 def name_set_diff(write_names: DataFrame, read_names: DataFrame, name: str) -> DataFrame:
-    """Names only in write -> create/add; only in read -> drop."""
-    w = write_names.select(name).distinct()
-    r = read_names.select(name).distinct()
-    create = w.join(r, name, "left_anti").withColumn("action", F.lit(CREATE))
-    drop = r.join(w, name, "left_anti").withColumn("action", F.lit(DROP))
-    return create.unionByName(drop)
+    """Names only in write -> create/add; only in read -> drop.
+    One full outer join on the name (safe on catalogs built from literals)."""
+    w = write_names.select(name).distinct().withColumn("_w", F.lit(True))
+    r = read_names.select(name).distinct().withColumn("_r", F.lit(True))
+    j = w.join(r, name, "full_outer")
+    action = F.when(F.col("_r").isNull(), F.lit(CREATE)).when(F.col("_w").isNull(), F.lit(DROP))
+    return j.select(name, action.alias("action")).filter(F.col("action").isNotNull())
 
 
 def label_set_diff(write_labels: Column, read_labels: Column) -> Column:

@@ -65,11 +65,16 @@ def column_drift(write_cat: DataFrame, read_cat: DataFrame) -> DataFrame:
 
 def table_set_drift(write_tables: DataFrame, read_tables: DataFrame, name: str = "table_name",
                     exclude: tuple[str, ...] = ("migrations",)) -> DataFrame:
-    """Tables to create (write only) and drop (read only); excluded names ignored."""
-    w = write_tables.select(name).filter(~F.col(name).isin(*exclude)).distinct()
-    r = read_tables.select(name).filter(~F.col(name).isin(*exclude)).distinct()
-    return (w.join(r, name, "left_anti").withColumn("action", F.lit("create"))
-            .unionByName(r.join(w, name, "left_anti").withColumn("action", F.lit("drop"))))
+    """Tables to create (write only) and drop (read only); excluded names ignored.
+
+    One full outer join on the name (an anti join each way would be pushed into
+    the branches of a union of catalog literals and lose its join key)."""
+    keep = ~F.col(name).isin(*exclude) if exclude else F.lit(True)
+    w = write_tables.select(name).filter(keep).distinct().withColumn("_w", F.lit(True))
+    r = read_tables.select(name).filter(keep).distinct().withColumn("_r", F.lit(True))
+    j = w.join(r, name, "full_outer")
+    action = F.when(F.col("_r").isNull(), F.lit("create")).when(F.col("_w").isNull(), F.lit("drop"))
+    return j.select(name, action.alias("action")).filter(F.col("action").isNotNull())
 
 
 def _default_expr(default: str | None, dtype: T.DataType) -> Column:

@@ -322,7 +322,7 @@ register("column_drift", """
         ('orders', 'legacy_flag', NULL, 'boolean', 'drop'))
       AS t(table_name, column_name, write_type, read_type, change)""")
 register("table_set_drift", """
-    SELECT * FROM (VALUES ('pages', 'create'), ('legacy_audit', 'drop')) AS t(table_name, action)""")
+    SELECT * FROM (VALUES ('pages', 'create'), ('legacy_region', 'drop')) AS t(table_name, action)""")
 register("align_schema", "WITH " + _DRIFT_READ + """
     SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderdate,
            '5-LOW' AS o_orderpriority

@@ -462,13 +462,13 @@ def column_drift(spark, sf):
 
 @query
 def table_set_drift(spark, sf):
-    """Write = the driver tables; read = a replica root missing 'pages' and holding a stale 'legacy_audit'."""
+    """Write = the driver tables; read = a replica root missing 'pages' and holding a stale 'legacy_region'."""
     from ..operators import drift as C
     from ..sources.inventory import table_inventory as inv
     t = Tables(spark, sf)
     w = inv(t, exclude=())
     r = w.filter(F.col("table_name") != "pages").select("table_name").unionByName(
-        w.filter(F.col("table_name") == "region").select(F.lit("legacy_audit").alias("table_name")))
+        w.filter(F.col("table_name") == "region").select(F.concat(F.lit("legacy_"), "table_name").alias("table_name")))
     return C.table_set_drift(w, r)
 
 

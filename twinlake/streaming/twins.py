@@ -28,7 +28,9 @@ def _root(spark: SparkSession, name: str) -> str:
 def write_time_chunks(df: DataFrame, path: str, ts: str, chunks: int = 4) -> None:
     """Write ``df`` as ``chunks`` successive appends, each covering the next range
     of ``ts`` (a time or a number), so a file stream reads them in that order.
-    Only the column's min and max come to the driver."""
+    Only the column's min and max come to the driver.  The input is checkpointed
+    once so the chunk writes do not recompute its plan."""
+    df = df.checkpoint(eager=True)
     b = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()  # one row: the time range
     if b["lo"] is None:
         return
