@@ -321,3 +321,22 @@ def test_name_set_diff(spark):
     a = spark.createDataFrame([("x",), ("y",)], "n string")
     b = spark.createDataFrame([("y",), ("z",)], "n string")
     assert rows(D.name_set_diff(a, b, "n")) == [("x", "create"), ("z", "drop")]
+
+
+def test_small_helpers(spark):
+    from twinlake.functions import scalar
+    from twinlake.functions import validate as V
+    from twinlake.operators import aggregates as A
+    df = spark.createDataFrame([(1, "a", "550e8400-e29b-41d4-a716-446655440000", 5),
+                                (2, "b", "nope", 150)], "k int, s string, u string, n int")
+    assert A.non_empty(df) and not A.non_empty(df.filter("k > 9"))                      # A5
+    probe = spark.createDataFrame([(1,), (3,)], "k int")
+    assert rows(A.exists_in(df, probe, ["k"])) == [(1, True), (3, False)]               # A8
+    r = df.select(scalar.composite_key_json(F.col("k"), F.col("s")).alias("j"),         # F7
+                  scalar.yes_no(F.col("k") == 1).alias("yn"),                           # F11
+                  V.is_uuid(F.col("u"), "id").alias("uuid"),                            # V1
+                  *V.in_range(F.col("n"), 1, 100, "limit")).orderBy("j").collect()      # V7
+    assert [x["j"] for x in r] == ['["1","a"]', '["2","b"]']
+    assert [x["yn"] for x in r] == ["YES", "NO"]
+    assert [x["uuid"] for x in r] == [None, "id must be a UUID"]
+    assert r[1][3:] == (None, "limit must not be greater than 100")
