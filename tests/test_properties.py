@@ -340,3 +340,12 @@ def test_small_helpers(spark):
     assert [x["yn"] for x in r] == ["YES", "NO"]
     assert [x["uuid"] for x in r] == [None, "id must be a UUID"]
     assert r[1][3:] == (None, "limit must not be greater than 100")
+
+
+def test_sync_guards_duplicate_keys(spark, t, tmp_root):
+    dup_read = fx.replica_read(t).unionByName(fx.replica_read(t).limit(3))
+    res = S.sync_table(TablePair(TableSpec("orders", keys=("o_orderkey",)), t.orders, dup_read))
+    assert {r["action"] for r in res.report.collect()} == {"replace_duplicate_keys"}
+    assert rows(res.new_read) == rows(t.orders)
+    with pytest.raises(S.KeyViolation):
+        S.sync_table(TablePair(TableSpec("orders", keys=("o_orderkey",)), dup_read, t.orders))

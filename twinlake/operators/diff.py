@@ -28,6 +28,8 @@ def row_diff(write: DataFrame, read: DataFrame, keys: list[str],
 
     J7 keyed match: one full outer join on the key; non-key columns compared null-safe (``<=>``),
     so NULL = NULL is "same".  Exact: no hash stands in for the values.
+    Precondition: the key is unique on both sides (``plans.sync.sync_table``
+    checks it first), so the join never pairs up copies.
     """
     cols = compare if compare is not None else [c for c in write.columns if c not in keys]
     w = write.select(*keys, F.lit(True).alias("_w"), *[F.col(c).alias("_w_" + c) for c in cols])
