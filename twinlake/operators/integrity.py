@@ -56,6 +56,25 @@ def primary_key_check(df: DataFrame, keys: list[str]) -> DataFrame:
     return dups.select(*keys, "violation", "n_rows").unionByName(nulls)
 
 
+def key_profile(sides: dict[str, DataFrame], keys: list[str]) -> dict[str, dict[str, bool]]:
+    """I7 for several tables at once: per side, whether the key has duplicates or NULLs.
+
+    One job over the key columns only: the sides' keys are tagged and unioned,
+    counted per (side, key) with a partial aggregate, then reduced to one row per
+    side — so at most ``len(sides)`` rows reach the driver.
+    """
+    parts = [df.select(F.lit(name).alias("_side"), *keys) for name, df in sides.items()]
+    tagged = reduce(lambda a, b: a.unionByName(b), parts)
+    per_key = tagged.groupBy("_side", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    prof = per_key.groupBy("_side").agg(
+        (F.max("_n") > 1).alias("duplicate"),
+        F.max(_any_null(keys).cast("int")).alias("_null"))
+    out = {name: {"duplicate": False, "null": False} for name in sides}
+    for r in prof.collect():  # one row per side
+        out[r["_side"]] = {"duplicate": bool(r["duplicate"]), "null": bool(r["_null"])}
+    return out
+
+
 def length_violations(df: DataFrame, limits: dict[str, int], key: list[str]) -> DataFrame:
     """``key + column_name + length + max_length`` for values longer than the
     declared varchar length; all columns checked in one pass."""

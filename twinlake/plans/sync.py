@@ -73,18 +73,18 @@ def sync_table(pair: TablePair) -> TableResult:
             F.lit(spec.name).alias("table_name"), F.lit("replace").alias("action"), "n_rows")
         return TableResult(spec.name, M.replace(w, cols), with_drift(report))
     keys = list(spec.keys)
-    # I7 before any merge: a broken key on the source side is an error; duplicate
-    # keys on the replica side would make the keyed diff pair up copies, so the
-    # replica is replaced from write instead (M7 fallback).  Each test is one
-    # partial-aggregated job that stops at the first violation.
-    if I.primary_key_check(w, keys).limit(1).count():
-        raise KeyViolation(f"{spec.name}: key {keys} of the write side is not unique/not null")
     if M.key_type_changed(w, r, keys):
         report = w.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(spec.name).alias("table_name"), F.lit("rebuild").alias("action"), "n_rows")
         return TableResult(spec.name, M.replace(w, cols), with_drift(report))
     rr = align(r, w.schema, strict=False)
-    if I.unique_violations(rr, keys).limit(1).count():
+    # I7 before any merge, both sides in one key-only job: a broken key on the
+    # source side is an error; duplicate keys on the replica would make the keyed
+    # diff pair up copies, so the replica is replaced from write instead (M7 fallback).
+    prof = I.key_profile({"write": w, "read": rr}, keys)
+    if prof["write"]["duplicate"] or prof["write"]["null"]:
+        raise KeyViolation(f"{spec.name}: key {keys} of the write side is not unique/not null")
+    if prof["read"]["duplicate"]:
         report = w.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(spec.name).alias("table_name"), F.lit("replace_duplicate_keys").alias("action"), "n_rows")
         return TableResult(spec.name, M.replace(w, cols), with_drift(report))
