@@ -114,9 +114,10 @@ def timeout_run(spark: SparkSession, req: DataFrame, rep: DataFrame, timeout_s:
     marker_ts = F.lit("2999-01-01 00:00:00").cast("timestamp_ntz")
     write_time_chunks(req, f"{root}/req", "ts")
     write_time_chunks(rep, f"{root}/rep", "rts")
-    req.limit(1).select(F.lit(-1).cast("bigint").alias("event_id"), marker_ts.alias("ts")) \
+    # one marker row per stream (a global aggregate yields exactly one row)
+    req.agg(F.max(F.lit(-1).cast("bigint")).alias("event_id"), F.max(marker_ts).alias("ts")) \
        .write.mode("append").parquet(f"{root}/req")
-    rep.limit(1).select(F.lit(-1).cast("bigint").alias("event_id"), marker_ts.alias("rts")) \
+    rep.agg(F.max(F.lit(-1).cast("bigint")).alias("event_id"), F.max(marker_ts).alias("rts")) \
        .write.mode("append").parquet(f"{root}/rep")
     rq = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/req")
     rp = spark.readStream.schema(rep.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/rep")
