@@ -83,15 +83,21 @@ def label_set_diff(write_labels: Column, read_labels: Column) -> Column:
 def snapshot_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     """Multiset equality; one row (n_missing, n_extra, is_equal).
 
-    ``exceptAll`` both ways; each is a shuffle-aggregate over tagged rows, so it
-    scales with the data rather than with any one group.
+    Same answer as ``exceptAll`` both ways, in one shuffle: rows of ``a`` count +1,
+    rows of ``b`` -1, summed per distinct row (grouping is null-safe, and copies
+    of a row collapse in the map-side partial aggregate).  A positive net is a
+    row missing from ``b``, a negative one a row extra in ``b``.
     """
-    cols = a.columns
-    b = b.select(*cols)
-    missing = a.exceptAll(b).select(F.lit(1).alias("_m"), F.lit(0).alias("_e"))
-    extra = b.exceptAll(a).select(F.lit(0).alias("_m"), F.lit(1).alias("_e"))
-    counts = missing.unionByName(extra).agg(
-        F.coalesce(F.sum("_m"), F.lit(0)).cast("bigint").alias("n_missing"),
-        F.coalesce(F.sum("_e"), F.lit(0)).cast("bigint").alias("n_extra"))
+    net = signed_row_counts(a, b)
+    counts = net.agg(
+        F.coalesce(F.sum(F.when(F.col("_net") > 0, F.col("_net"))), F.lit(0)).cast("bigint").alias("n_missing"),
+        F.coalesce(F.sum(F.when(F.col("_net") < 0, -F.col("_net"))), F.lit(0)).cast("bigint").alias("n_extra"))
     return counts.select("n_missing", "n_extra",
                          ((F.col("n_missing") == 0) & (F.col("n_extra") == 0)).alias("is_equal"))
+
+
+def signed_row_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per distinct row: (count in a) - (count in b), as ``_net``; only rows with ``_net != 0``."""
+    cols = a.columns
+    t = a.select(*cols, F.lit(1).alias("_d")).unionByName(b.select(*cols, F.lit(-1).alias("_d")))
+    return t.groupBy(*cols).agg(F.sum("_d").alias("_net")).filter(F.col("_net") != 0)

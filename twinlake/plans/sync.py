@@ -107,7 +107,7 @@ def sync_all(spark: SparkSession, pairs: list[TablePair], read_root: str,
     results = [sync_table(p) for p in pairs if p.spec.name not in exclude]
     report_rows = []
     for res in results:
-        report_rows.extend(tuple(x) for x in res.report.collect())  # <= 4 rows per table
+        report_rows.extend(tuple(x) for x in res.report.collect())  # <= 7 rows per table
     versions = {}
     for res in results:
         versions[res.name] = publish_snapshot(res.new_read, read_root, res.name)
@@ -145,14 +145,11 @@ def sync_state(spark: SparkSession, pairs: list[TablePair], read_root: str,
         if p.spec.name not in versions:
             continue
         snap = read_snapshot(spark, read_root, p.spec.name, versions[p.spec.name])
-        cols = p.write.columns
-        snap = snap.select(*cols)
-        tag = lambda df, c, m, e: df.select(F.lit(c).alias("_c"), F.lit(m).alias("_m"), F.lit(e).alias("_e"))
-        counts = (tag(snap, 1, 0, 0)
-                  .unionByName(tag(p.write.exceptAll(snap), 0, 1, 0))
-                  .unionByName(tag(snap.exceptAll(p.write), 0, 0, 1))
-                  .agg(F.sum("_c").cast("bigint").alias("n_rows"),
-                       ((F.coalesce(F.sum("_m"), F.lit(0)) + F.coalesce(F.sum("_e"), F.lit(0))) == 0).alias("is_equal")))
+        snap = snap.select(*p.write.columns)
+        n = snap.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.lit(0).cast("bigint").alias("_diff"))
+        d = D.signed_row_counts(p.write, snap).agg(F.lit(0).cast("bigint").alias("n_rows"),
+                                                   F.count(F.lit(1)).cast("bigint").alias("_diff"))
+        counts = n.unionByName(d).agg(F.sum("n_rows").alias("n_rows"), (F.sum("_diff") == 0).alias("is_equal"))
         parts.append(counts.select(F.lit(p.spec.name).alias("table_name"), "n_rows", "is_equal"))
     out = parts[0]
     for x in parts[1:]:
