@@ -32,7 +32,8 @@ WRITE_OPS = (CREATE, UPDATE, DELETE)
 
 
 def fold(cmd: DataFrame, key: str = "id", order: tuple[str, ...] = ("ts", "event_id"),
-         fields: tuple[str, ...] = ("value", "props"), skew_safe: bool = True) -> DataFrame:
+         fields: tuple[str, ...] = ("value", "props"), skew_safe: bool = True,
+         segments: int | None = None) -> DataFrame:
     """Judge every command and attach the entity state after it.
 
     Adds: ``live_before, code, accepted, live_after, <field>..., created_at, updated_at``.
@@ -41,7 +42,8 @@ def fold(cmd: DataFrame, key: str = "id", order: tuple[str, ...] = ("ts", "event
     """
     op = F.col("op")
     cd = F.when(op.isin(CREATE, DELETE), op)
-    s1 = ordered_scan(cmd, [key], list(order), lasts={"_prev_cd": cd}, inclusive=False, skew_safe=skew_safe)
+    s1 = ordered_scan(cmd, [key], list(order), lasts={"_prev_cd": cd}, inclusive=False, skew_safe=skew_safe,
+                      segments=segments)
     live_before = F.coalesce(F.col("_prev_cd"), F.lit(DELETE)) == CREATE
     code = (F.when(op == CREATE, F.when(live_before, 400).otherwise(200))
             .otherwise(F.when(live_before, 200).otherwise(404)))
