@@ -36,11 +36,14 @@ def write_time_chunks(df: DataFrame, path: str, ts: str, chunks: int = 4) -> Non
         return
     lo, hi = b["lo"], b["hi"]
     step = (hi - lo) / chunks
+    cuts = [F.lit(lo + step * i) for i in range(1, chunks)]
+    # contiguous half-open ranges, open at both ends: every row lands in exactly one chunk
     for i in range(chunks):
-        a = lo + step * i
-        cond = F.col(ts) >= F.lit(a)
+        cond = F.lit(True)
+        if i > 0:
+            cond = cond & (F.col(ts) >= cuts[i - 1])
         if i < chunks - 1:
-            cond = cond & (F.col(ts) < F.lit(lo + step * (i + 1)))
+            cond = cond & (F.col(ts) < cuts[i])
         df.filter(cond).write.mode("append").parquet(path)
 
 
