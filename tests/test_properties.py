@@ -349,3 +349,11 @@ def test_sync_guards_duplicate_keys(spark, t, tmp_root):
     assert rows(res.new_read) == rows(t.orders)
     with pytest.raises(S.KeyViolation):
         S.sync_table(TablePair(TableSpec("orders", keys=("o_orderkey",)), dup_read, t.orders))
+
+
+def test_transform_with_state_twin_equals_batch(spark, t):
+    from twinlake.streaming import twins
+    cmd = fx.commands(t)
+    out = twins.applied_run(spark, cmd, api="transform_with_state")
+    batch = K.fold(cmd).select("event_id", "id", "code", "value", "props", "created_at", "updated_at")
+    assert rows(out.select(*batch.columns)) == rows(batch)

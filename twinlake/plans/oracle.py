@@ -607,3 +607,4 @@ register("validate_author_payloads", """
                   CASE WHEN TRY_CAST(bd AS TIMESTAMP) IS NULL THEN 'birthDate must be a Date instance' END
                ], lambda x: x IS NOT NULL) AS vs FROM a)
     SELECT c_custkey, array_to_string(vs, '; ') AS message, len(vs) = 0 AS is_valid FROM v""")
+register("stream_state_tws", ORACLE["state_from_log"])

@@ -887,3 +887,12 @@ def validate_author_payloads(spark, sf):
     v = V.validate(p, V.create_author_rules(F.col("first_name"), F.col("last_name"), F.col("birth_date")),
                    ["c_custkey"])
     return v.select("c_custkey", "message", "is_valid")
+
+
+@query
+def stream_state_tws(spark, sf):
+    """T3 on transformWithStateInPandas (ValueState per entity): state equals the batch state_from_log."""
+    from ..operators import commands as K
+    from ..streaming import twins
+    applied = twins.applied_run(spark, fx.commands(Tables(spark, sf)), api="transform_with_state")
+    return K.current_state(applied)

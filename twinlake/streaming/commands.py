@@ -92,6 +92,38 @@ def apply_commands(cmds: DataFrame, fields: dict[str, str], key: str = "id") ->
     return cmds.groupBy(key).applyInPandasWithState(step, out_schema, state_schema, "append", "NoTimeout")
 
 
+def apply_commands_tws(cmds: DataFrame, fields: dict[str, str], key: str = "id") -> DataFrame:
+    """T3 on the newer arbitrary-state API (``transformWithStateInPandas``): the same
+    per-key fold, with the entity row kept in a ``ValueState`` (RocksDB-backed)."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    names = list(fields)
+    key_type = cmds.schema[key].dataType.simpleString()
+    out_schema = (f"{key} {key_type}, event_id bigint, ts timestamp_ntz, op string, code int, accepted boolean, "
+                  "live_after boolean, " + "".join(f"{f} {t}, " for f, t in fields.items())
+                  + "created_at timestamp_ntz, updated_at timestamp_ntz")
+    state_schema = T._parse_datatype_string(
+        "live boolean, " + "".join(f"{f} {t}, " for f, t in fields.items())
+        + "created_at timestamp_ntz, updated_at timestamp_ntz")
+
+    class EntityProcessor(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.entity = handle.getValueState("entity", state_schema)
+
+        def handleInputRows(self, k, rows, timerValues) -> Iterator[pd.DataFrame]:
+            pdf = pd.concat(list(rows), ignore_index=True)
+            st = tuple(self.entity.get()) if self.entity.exists() else None
+            res, new = _fold_pandas(pdf, names, st)
+            self.entity.update(new)
+            res.insert(0, key, k[0])
+            yield res
+
+        def close(self) -> None:
+            pass
+
+    return cmds.groupBy(key).transformWithStateInPandas(EntityProcessor(), out_schema, "Append", "None")
+
+
 def dedupe_messages(records: DataFrame, id_col: str = "event_id", ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Drop replayed messages; state is kept only within the watermark delay.
 

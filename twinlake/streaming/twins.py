@@ -61,18 +61,20 @@ def command_records(cmd: DataFrame) -> DataFrame:
         F.col("ts"), F.col("event_id"))
 
 
-def _applied_stream(spark: SparkSession, cmd: DataFrame, root: str) -> DataFrame:
+def _applied_stream(spark: SparkSession, cmd: DataFrame, root: str, api: str = "pandas_with_state") -> DataFrame:
     write_time_chunks(command_records(cmd), f"{root}/in", "timestamp")
     src = topics.file_stream(spark, f"{root}/in", max_files_per_trigger=FILES_PER_BATCH, fmt="parquet")
     fields = {"value": "double", "props": "string"}
     parsed = topics.parse_commands(src, "author", fields)
+    if api == "transform_with_state":
+        return commands.apply_commands_tws(parsed, fields)
     return commands.apply_commands(parsed, fields)
 
 
-def applied_run(spark: SparkSession, cmd: DataFrame) -> DataFrame:
+def applied_run(spark: SparkSession, cmd: DataFrame, api: str = "pandas_with_state") -> DataFrame:
     """T1 -> T2 -> T3: topic files in, one row per command out."""
     root = _root(spark, "stream-commands")
-    _drain(_applied_stream(spark, cmd, root), f"{root}/out", f"{root}/ckpt")
+    _drain(_applied_stream(spark, cmd, root, api), f"{root}/out", f"{root}/ckpt")
     return spark.read.parquet(f"{root}/out")
 
 
