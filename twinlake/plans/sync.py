@@ -78,6 +78,15 @@ def sync_table(pair: TablePair) -> TableResult:
             F.lit(spec.name).alias("table_name"), F.lit("rebuild").alias("action"), "n_rows")
         return TableResult(spec.name, M.replace(w, cols), with_drift(report))
     rr = align(r, w.schema, strict=False)
+    if spec.all_key(w):
+        # every column is key: a duplicate key is an identical copy and the table is a
+        # set (M2, DO NOTHING), so copies collapse in a map-side distinct and no
+        # separate key check is needed
+        wd, rd = w.distinct(), rr.distinct()
+        diff = D.row_diff(wd, rd, keys)
+        report = D.diff_counts(diff).select(F.lit(spec.name).alias("table_name"), "action", "n_rows")
+        new = M.insert_if_absent(M.delete_orphans(rd, wd, keys), wd, keys)
+        return TableResult(spec.name, new, with_drift(report))
     # I7 before any merge, both sides in one key-only job: a broken key on the
     # source side is an error; duplicate keys on the replica would make the keyed
     # diff pair up copies, so the replica is replaced from write instead (M7 fallback).
@@ -90,10 +99,7 @@ def sync_table(pair: TablePair) -> TableResult:
         return TableResult(spec.name, M.replace(w, cols), with_drift(report))
     diff = D.row_diff(w, rr, keys)
     report = D.diff_counts(diff).select(F.lit(spec.name).alias("table_name"), "action", "n_rows")
-    if spec.all_key(w):
-        new = M.insert_if_absent(M.delete_orphans(rr, w, keys), w, keys)
-    else:
-        new = M.upsert(M.delete_orphans(rr, w, keys), w, keys)
+    new = M.upsert(M.delete_orphans(rr, w, keys), w, keys)
     return TableResult(spec.name, new, with_drift(report))
 
 
