@@ -189,8 +189,10 @@ def assign(cmds: DataFrame, authors: DataFrame, books: DataFrame, order: list[st
     f = flag_parents(cmds, [(authors, author_key, author_col, "_author_ok"),
                             (books, book_key, book_col, "_book_ok")])
     pos = F.struct(*[F.col(c) for c in order])
-    valid = F.col("_author_ok") & F.col("_book_ok")
-    first = f.filter(valid).groupBy(author_col, book_col).agg(F.min(pos).alias("_first"))
+    # parent existence is a property of the pair, shared by all its requests, so the
+    # first request per pair comes straight from the raw requests: the aggregate
+    # does not wait for (or recompute) the existence joins
+    first = cmds.groupBy(author_col, book_col).agg(F.min(pos).alias("_first"))
     j = f.join(first, [author_col, book_col], "left")
     a, b = F.col(author_col), F.col(book_col)
     code = (F.when(~F.col("_author_ok"), 404).when(~F.col("_book_ok"), 404)
@@ -216,7 +218,9 @@ def unassign(requests: DataFrame, links: DataFrame, order: list[str], id_col: st
     pos = F.struct(*[F.col(c) for c in order])
     l = links.withColumn("_exists", F.lit(True))
     j = requests.join(l, id_col, "left")
-    first = (j.filter(F.col("_exists")).groupBy(id_col).agg(F.min(pos).alias("_first")))
+    # existence is a property of the link id, shared by all requests for it, so the
+    # first request per id is aggregated from the requests alone
+    first = requests.groupBy(id_col).agg(F.min(pos).alias("_first"))
     k = j.join(first, id_col, "left")
     ok = F.col("_exists") & (pos == F.col("_first"))
     cols = [c for c in links.columns if c != id_col]
