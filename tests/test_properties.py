@@ -357,3 +357,24 @@ def test_transform_with_state_twin_equals_batch(spark, t):
     out = twins.applied_run(spark, cmd, api="transform_with_state")
     batch = K.fold(cmd).select("event_id", "id", "code", "value", "props", "created_at", "updated_at")
     assert rows(out.select(*batch.columns)) == rows(batch)
+
+
+def test_pointer_jumping_equals_fixpoint_loop(spark):
+    import random
+    rnd = random.Random(7)
+    n = 300
+    rows_ = []
+    for i in range(n):
+        r = rnd.random()
+        boss = None if r < 0.05 else (n + 5 if r < 0.08 else rnd.randrange(max(i, 1)) if r < 0.9 else rnd.randrange(n))
+        rows_.append((i, boss))
+    # a long dangling chain and a cycle
+    rows_ += [(1000 + k, 1000 + k - 1) for k in range(1, 40)] + [(1000, 99999)]
+    rows_ += [(2000, 2001), (2001, 2002), (2002, 2000), (2003, 2002)]
+    emp = spark.createDataFrame(rows_, "id int, boss int")
+    fk = ForeignKey("boss", ("boss",), "emp", ("id",))
+    loop = I.fk_cleanup_chain({"emp": emp}, {"emp": [fk]})["emp"]
+    jump = I.fk_cleanup_chain({"emp": emp}, {"emp": [fk]}, keys={"emp": "id"})["emp"]
+    assert rows(jump) == rows(loop)
+    kept = {r[0] for r in jump.collect()}
+    assert {2000, 2001, 2002, 2003} <= kept and not any(1000 <= k < 1040 for k in kept)

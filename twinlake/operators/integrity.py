@@ -122,13 +122,55 @@ def fk_orphan_report(child: DataFrame, parents: dict[str, DataFrame], fks: list[
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def self_reference_cleanup(df: DataFrame, fk: ForeignKey, key: str, materialize: bool = True) -> DataFrame:
+    """I5 for a single-column self-reference (e.g. ``boss -> id``) in O(log depth) rounds.
+
+    Repeatedly deleting first-level orphans until nothing changes needs one round
+    per level of a dangling chain.  Pointer jumping resolves every row in
+    ``ceil(log2(depth)) + 1`` rounds instead: each pending row follows its pointer
+    to that row's pointer; it is *kept* when its chain reaches a NULL reference,
+    *removed* when the chain hits a missing id.  Rows still pending after a round
+    that resolved nothing lead into a cycle of existing rows and are kept (the
+    same set the delete-to-fixpoint loop leaves).  Each round is one join on the
+    pointer, and its result is checkpointed so the lineage stays one round deep.
+    """
+    (c,), (pc,) = fk.columns, fk.parent_columns
+    assert pc == key, "self_reference_cleanup expects the FK to reference the key column"
+    ids = df.select(F.col(key).alias("_id")).distinct()
+    node = (df.select(F.col(key).alias("_n"), F.col(c).alias("_ptr"))
+            .join(ids.withColumn("_hit", F.lit(True)), F.col("_ptr") == F.col("_id"), "left")
+            .select("_n", "_ptr",
+                    F.when(F.col("_ptr").isNull(), F.lit(1))         # kept: chain ends in NULL
+                     .when(F.col("_hit").isNull(), F.lit(0))          # removed: dangling
+                     .otherwise(F.lit(None).cast("int")).alias("_st")))
+    if materialize:
+        node = node.checkpoint(eager=True)
+    pending = node.filter(F.col("_st").isNull()).count()
+    while pending:
+        look = node.select(F.col("_n").alias("_m"), F.col("_ptr").alias("_ptr2"), F.col("_st").alias("_st2"))
+        nxt = (node.join(look, F.col("_ptr") == F.col("_m"), "left")
+               .select("_n",
+                       F.when(F.col("_st").isNull() & F.col("_st2").isNull(), F.col("_ptr2"))
+                        .otherwise(F.col("_ptr")).alias("_ptr"),
+                       F.coalesce(F.col("_st"), F.col("_st2")).alias("_st")))
+        node = nxt.checkpoint(eager=True) if materialize else nxt
+        left = node.filter(F.col("_st").isNull()).count()
+        if left == pending:      # no row resolved this round: the rest lead into cycles
+            break
+        pending = left
+    keep = node.filter(F.coalesce(F.col("_st"), F.lit(1)) == 1).select(F.col("_n").alias("_keep"))
+    return df.join(keep, df[key] == F.col("_keep"), "left_semi")
+
+
 def fk_cleanup_chain(tables: dict[str, DataFrame], fks: dict[str, list[ForeignKey]],
-                     materialize: bool = True) -> dict[str, DataFrame]:
+                     materialize: bool = True, keys: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Clean FK orphans parents-first, so a parent's removed rows make its
     children's references dangle before the children are checked.
 
     ``fks`` maps child table -> constraints.  Tables are visited in topological
-    order; a self-referencing constraint is re-applied until no row is removed.
+    order.  A single-column self-reference to the table's key (``keys`` maps table
+    -> key column) uses ``self_reference_cleanup`` (O(log depth) rounds); any other
+    self-reference is re-applied until no row is removed.
     Each cleaned table is checkpointed (reliable checkpoint in the session's
     checkpoint dir) so deep chains do not grow one giant lineage.
     """
@@ -137,7 +179,9 @@ def fk_cleanup_chain(tables: dict[str, DataFrame], fks: dict[str, list[ForeignKe
     for name in order:
         df = out[name]
         for fk in sorted(fks.get(name, []), key=lambda f: f.name):
-            if fk.parent == name:
+            if fk.parent == name and len(fk.columns) == 1 and (keys or {}).get(name) == fk.parent_columns[0]:
+                df = self_reference_cleanup(df, fk, fk.parent_columns[0])  # iterative: always checkpointed
+            elif fk.parent == name:
                 while True:
                     before = df.count()
                     df = fk_cleanup(df, df, fk)

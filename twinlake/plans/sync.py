@@ -125,7 +125,8 @@ def sync_all(spark: SparkSession, pairs: list[TablePair], read_root: str,
             I.not_null_gate(loaded[name], list(spec.not_null))
     fks = {n: list(s.fks) for n, s in specs.items() if s.fks}
     if fks:
-        cleaned = I.fk_cleanup_chain(loaded, fks, materialize=False)
+        keys = {n: s.keys[0] for n, s in specs.items() if len(s.keys) == 1}
+        cleaned = I.fk_cleanup_chain(loaded, fks, materialize=False, keys=keys)
         for name in fks:
             before = loaded[name].count()
             versions[name] = publish_snapshot(cleaned[name], read_root, name)
