@@ -378,3 +378,13 @@ def test_pointer_jumping_equals_fixpoint_loop(spark):
     assert rows(jump) == rows(loop)
     kept = {r[0] for r in jump.collect()}
     assert {2000, 2001, 2002, 2003} <= kept and not any(1000 <= k < 1040 for k in kept)
+
+
+def test_upsert_with_fallback(spark):
+    read = spark.createDataFrame([(1, "a"), (2, "b")], "k int, u string")
+    ok_write = spark.createDataFrame([(2, "c"), (3, "d")], "k int, u string")
+    new, mode = M.upsert_with_fallback(read, ok_write, ["k"], ["u"])
+    assert mode == "upsert" and rows(new) == [(1, "a"), (2, "c"), (3, "d")]
+    clash = spark.createDataFrame([(3, "a")], "k int, u string")      # 'a' still held by key 1
+    new, mode = M.upsert_with_fallback(read, clash, ["k"], ["u"])
+    assert mode == "replaced" and rows(new) == [(3, "a")]
