@@ -106,12 +106,21 @@ def align(read: DataFrame, target: T.StructType, defaults: dict | None = None,
 
 
 def castable(df: DataFrame, column: str, dtype: T.DataType) -> bool:
-    """C5 type level: whether Spark accepts the cast at all (analysis only, no job)."""
+    """C5 type level: whether Spark accepts the cast at all (analysis only, no job).
+
+    The expected analysis error of an impossible cast is caught; PySpark's
+    query-context logger is muted meanwhile so it is not reported as an error."""
+    import logging
+    log = logging.getLogger("DataFrameQueryContextLogger")
+    was = log.disabled
+    log.disabled = True
     try:
         df.select(F.col(column).try_cast(dtype)).schema
         return True
     except Exception:  # noqa: BLE001 - AnalysisException on an impossible cast
         return False
+    finally:
+        log.disabled = was
 
 
 def retype_report(df: DataFrame, targets: dict[str, T.DataType]) -> DataFrame:
