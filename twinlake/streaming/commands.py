@@ -85,7 +85,13 @@ def apply_commands(cmds: DataFrame, fields: dict[str, str], key: str = "id") ->
         pdf = pd.concat(list(batches), ignore_index=True)
         st = state.get if state.exists else None
         res, new = _fold_pandas(pdf, names, st)
-        state.update(new)
+        if new[0]:
+            state.update(new)
+        else:
+            # a deleted (or never created) entity carries nothing forward: absent state
+            # already means "not live" and the next accepted command must be a create
+            # that sets every field, so state stays bounded by the live entities
+            state.remove()
         res.insert(0, key, k[0])
         yield res
 
@@ -114,7 +120,10 @@ def apply_commands_tws(cmds: DataFrame, fields: dict[str, str], key: str = "id")
             pdf = pd.concat(list(rows), ignore_index=True)
             st = tuple(self.entity.get()) if self.entity.exists() else None
             res, new = _fold_pandas(pdf, names, st)
-            self.entity.update(new)
+            if new[0]:
+                self.entity.update(new)
+            else:
+                self.entity.clear()  # only live entities keep state (see apply_commands)
             res.insert(0, key, k[0])
             yield res
 
