@@ -33,11 +33,14 @@ def column_catalog(spark: SparkSession, table: str, schema: T.StructType,
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
 
-def column_drift(write_cat: DataFrame, read_cat: DataFrame) -> DataFrame:
+def column_drift(write_cat: DataFrame, read_cat: DataFrame, read_data: DataFrame | None = None) -> DataFrame:
     """One row per (column, change).
 
     change in add | drop | retype | retype_key | redefault | relax_null | tighten_null | same.
     A column may carry several changes (type and nullability), each its own row.
+    With ``read_data``, each row also carries ``read_nulls``, the NULL count of
+    that column in the replica's data (one aggregate pass, I1). C7 tightens
+    NOT NULL only when it is 0.
     """
     w = write_cat.select("table_name", "column_name", *[F.col(c).alias("w_" + c) for c in
                          ("ordinal", "data_type", "is_nullable", "column_default", "is_key")])
@@ -58,9 +61,14 @@ def column_drift(write_cat: DataFrame, read_cat: DataFrame) -> DataFrame:
     )
     present = F.filter(changes, lambda x: x.isNotNull())
     listed = F.when(F.size(present) == 0, F.array(F.lit("same"))).otherwise(present)
-    return j.select("table_name", "column_name",
-                    F.col("w_data_type").alias("write_type"), F.col("r_data_type").alias("read_type"),
-                    F.explode(listed).alias("change"))
+    out = j.select("table_name", "column_name",
+                   F.col("w_data_type").alias("write_type"), F.col("r_data_type").alias("read_type"),
+                   F.explode(listed).alias("change"))
+    if read_data is None:
+        return out
+    from .integrity import null_counts
+    nulls = null_counts(read_data, read_data.columns).withColumnRenamed("n_nulls", "read_nulls")
+    return out.join(nulls, "column_name", "left")
 
 
 def table_set_drift(write_tables: DataFrame, read_tables: DataFrame, name: str = "table_name",

@@ -311,8 +311,15 @@ register("enum_domain_drift", """
     SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority <> '1-URGENT'""")
 
 # --- FX-DRIFT --------------------------------------------------------------
-register("column_drift", """
-    SELECT * FROM (VALUES
+register("column_drift", "WITH " + _DRIFT_READ + """
+    , nulls AS (
+        SELECT 'o_orderkey' AS column_name, count(*) FILTER (WHERE o_orderkey IS NULL) AS read_nulls FROM drift_read
+        UNION ALL SELECT 'o_custkey', count(*) FILTER (WHERE o_custkey IS NULL) FROM drift_read
+        UNION ALL SELECT 'o_orderstatus', count(*) FILTER (WHERE o_orderstatus IS NULL) FROM drift_read
+        UNION ALL SELECT 'o_totalprice', count(*) FILTER (WHERE o_totalprice IS NULL) FROM drift_read
+        UNION ALL SELECT 'o_orderdate', count(*) FILTER (WHERE o_orderdate IS NULL) FROM drift_read
+        UNION ALL SELECT 'legacy_flag', count(*) FILTER (WHERE legacy_flag IS NULL) FROM drift_read)
+    SELECT t.*, nulls.read_nulls FROM (VALUES
         ('orders', 'o_orderkey', 'bigint', 'bigint', 'same'),
         ('orders', 'o_custkey', 'bigint', 'bigint', 'relax_null'),
         ('orders', 'o_orderstatus', 'string', 'string', 'same'),
@@ -320,7 +327,8 @@ register("column_drift", """
         ('orders', 'o_orderdate', 'timestamp_ntz', 'timestamp_ntz', 'same'),
         ('orders', 'o_orderpriority', 'string', NULL, 'add'),
         ('orders', 'legacy_flag', NULL, 'boolean', 'drop'))
-      AS t(table_name, column_name, write_type, read_type, change)""")
+      AS t(table_name, column_name, write_type, read_type, change)
+    LEFT JOIN nulls ON nulls.column_name = t.column_name""")
 register("table_set_drift", """
     SELECT * FROM (VALUES ('pages', 'create'), ('legacy_region', 'drop')) AS t(table_name, action)""")
 register("align_schema", "WITH " + _DRIFT_READ + """

@@ -455,9 +455,10 @@ def enum_domain_drift(spark, sf):
 def column_drift(spark, sf):
     from ..operators import drift as C
     t = Tables(spark, sf)
+    read = fx.drift_read(t)
     w = C.column_catalog(spark, "orders", fx.drift_write(t).schema, keys=("o_orderkey",))
-    r = C.column_catalog(spark, "orders", fx.drift_read(t).schema, keys=("o_orderkey",))
-    return C.column_drift(w, r)
+    r = C.column_catalog(spark, "orders", read.schema, keys=("o_orderkey",))
+    return C.column_drift(w, r, read_data=read)
 
 
 @query
