@@ -25,6 +25,17 @@ from pyspark.sql import types as T
 
 from ..operators.commands import CREATE, DELETE, UPDATE
 
+# The per-key functions below run in Python workers.  Pickle this module's
+# functions by value so workers need numpy/pandas only, not this package on
+# their path (executors of a cluster, or a driver started outside the repo).
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except (ImportError, AttributeError, ValueError):  # older cloudpickle: ship the package instead
+    pass
+
 
 def _fold_pandas(pdf: pd.DataFrame, fields: list[str], st: tuple | None) -> tuple[pd.DataFrame, tuple]:
     pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort").reset_index(drop=True)
@@ -100,7 +111,8 @@ def apply_commands(cmds: DataFrame, fields: dict[str, str], key: str = "id") ->
 
 def apply_commands_tws(cmds: DataFrame, fields: dict[str, str], key: str = "id") -> DataFrame:
     """T3 on the newer arbitrary-state API (``transformWithStateInPandas``): the same
-    per-key fold, with the entity row kept in a ``ValueState`` (RocksDB-backed)."""
+    per-key fold, with the entity row kept in a ``ValueState``.  Needs the RocksDB
+    state store provider (``spark.sql.streaming.stateStore.providerClass``)."""
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     names = list(fields)

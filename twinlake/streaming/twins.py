@@ -71,10 +71,28 @@ def _applied_stream(spark: SparkSession, cmd: DataFrame, root: str, api: str = "
     return commands.apply_commands(parsed, fields)
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
+
+
 def applied_run(spark: SparkSession, cmd: DataFrame, api: str = "pandas_with_state") -> DataFrame:
-    """T1 -> T2 -> T3: topic files in, one row per command out."""
+    """T1 -> T2 -> T3: topic files in, one row per command out.
+
+    transformWithState needs the RocksDB state store (several state variables per
+    key).  The provider is fixed into a query's checkpoint when it starts, so it is
+    set only around the start of this query and the session's value restored."""
     root = _root(spark, "stream-commands")
-    _drain(_applied_stream(spark, cmd, root, api), f"{root}/out", f"{root}/ckpt")
+    stream = _applied_stream(spark, cmd, root, api)
+    prev = spark.conf.get(PROVIDER_CONF, None)
+    if api == "transform_with_state" and prev != ROCKSDB_PROVIDER:
+        spark.conf.set(PROVIDER_CONF, ROCKSDB_PROVIDER)
+    try:
+        _drain(stream, f"{root}/out", f"{root}/ckpt")
+    finally:
+        if prev is None:
+            spark.conf.unset(PROVIDER_CONF)
+        else:
+            spark.conf.set(PROVIDER_CONF, prev)
     return spark.read.parquet(f"{root}/out")
 
 
