@@ -388,3 +388,36 @@ def test_upsert_with_fallback(spark):
     clash = spark.createDataFrame([(3, "a")], "k int, u string")      # 'a' still held by key 1
     new, mode = M.upsert_with_fallback(read, clash, ["k"], ["u"])
     assert mode == "replaced" and rows(new) == [(3, "a")]
+
+
+def test_library_helpers(spark, t, tmp_root):
+    from twinlake.functions import scalar
+    from twinlake.operators import relations as R
+    from twinlake.sources.tables import list_snapshot_tables
+    # D3: write labels missing from read, write order kept
+    df = spark.createDataFrame([(["a", "b", "c"], ["b"])], "w array<string>, r array<string>")
+    assert df.select(D.label_set_diff(F.col("w"), F.col("r"))).first()[0] == ["a", "c"]
+    # J1 nested reply shape for a bounded set of entities (two suppliers)
+    long = R.m2n_expand(t.supplier.filter("s_suppkey <= 2"), fx.m2n_link(t), t.part,
+                        "s_suppkey", "author_id", "book_id", "p_partkey")
+    nested = R.m2n_nested(long, ["s_suppkey"], ["p_partkey", "p_name"], "books", "p_partkey").collect()
+    n_links = fx.m2n_link(t).filter("author_id <= 2").count()
+    assert sum(len(r["books"]) for r in nested) == n_links
+    assert all(r["books"] == sorted(r["books"]) for r in nested)
+    # F10, F16, F17
+    x = spark.createDataFrame([(["x", "y"], [1, 2], [3], "2024-02-03", "1.5", "zz")],
+                              "m array<string>, a array<int>, b array<int>, d string, n string, bad string")
+    r = x.select(scalar.join_messages(F.col("m")), scalar.same_length(F.col("a"), F.col("a")),
+                 scalar.same_length(F.col("a"), F.col("b")), scalar.coerce_date(F.col("d")).isNotNull(),
+                 scalar.coerce_number(F.col("n")), scalar.coerce_number(F.col("bad"))).first()
+    assert tuple(r) == ("x; y", True, False, True, 1.5, None)
+    # K14 maps for the other two entities
+    link = spark.createDataFrame([("l1", "a1", "b1", None)], "id string, author_id string, book_id string, assigned_at timestamp")
+    assert K.to_aggregate(link, K.LINK_COLUMNS).columns == ["id", "authorId", "bookId", "assignedAt"]
+    book = spark.createDataFrame([("b1", "T", None, 1999)], "id string, title string, isbn string, published_year int")
+    assert K.to_aggregate(book, K.BOOK_COLUMNS).columns == ["id", "title", "isbn", "publishedYear"]
+    # snapshot root listing: only tables with a committed version
+    publish_snapshot(spark.range(1), tmp_root, "t1")
+    import os
+    os.makedirs(f"{tmp_root}/t2/v=0")
+    assert list_snapshot_tables(spark, tmp_root) == ["t1"]

@@ -256,7 +256,7 @@ def replies(folded: DataFrame, entity: str = "author", label: str = "Author", ke
     data = F.to_json(F.struct(F.col(key).alias("id"), *[F.col(f).alias(f) for f in fields],
                               iso_timestamp(F.col("created_at")).alias("createdAt"),
                               iso_timestamp(F.col("updated_at")).alias("updatedAt")),
-                     {"ignoreNullFields": "false"})
+                     E.JSON_OPTS)
     nf, ex = MSG_ENTITY_NOT_FOUND.split("{}"), MSG_ENTITY_EXISTS.split("{}")
     msg = (F.when(F.col("code") == 404, F.concat(F.lit(label + nf[1]), F.col(key).cast("string"), F.lit(nf[2])))
            .when(F.col("code") == 400, F.concat(F.lit(label + ex[1]), F.col(key).cast("string"), F.lit(ex[2]))))
