@@ -421,3 +421,23 @@ def test_library_helpers(spark, t, tmp_root):
     import os
     os.makedirs(f"{tmp_root}/t2/v=0")
     assert list_snapshot_tables(spark, tmp_root) == ["t1"]
+
+
+def test_timeout_boundary_and_inbound_decode_edges(spark):
+    from datetime import datetime, timedelta
+    from twinlake.functions import envelope as E
+    from twinlake.streaming.replies import correlate
+    t0 = datetime(2024, 1, 1)
+    req = spark.createDataFrame([(1, t0), (2, t0), (3, t0)], "event_id long, ts timestamp_ntz")
+    rep = spark.createDataFrame([(1, t0 + timedelta(seconds=10)), (2, t0 + timedelta(seconds=10, milliseconds=1))],
+                                "event_id long, rts timestamp_ntz")
+    got = {r["event_id"]: (r["code"], r["latency_ms"]) for r in correlate(req, rep, 10).collect()}
+    assert got == {1: (200, 10000), 2: (503, None), 3: (503, None)}
+    texts = ['{"success":false,"error":{"code":0,"message":""},"statusCode":409,"message":"m"}',
+             '{"success":false,"error":{"code":"E1"}}',
+             '{"data":{"a":1}}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = [tuple(r[0]) for r in df.select(E.decode_inbound(F.col("t"))).collect()]
+    assert out[0] == (False, 409, "m", None)                     # 0 and '' fall through (JS ||)
+    assert out[1] == (False, 400, "Internal server error", None)  # text code -> 400, default message
+    assert out[2] == (True, None, None, '{"a":1}')                # no success flag: treated as success
