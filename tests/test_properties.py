@@ -441,3 +441,15 @@ def test_timeout_boundary_and_inbound_decode_edges(spark):
     assert out[0] == (False, 409, "m", None)                     # 0 and '' fall through (JS ||)
     assert out[1] == (False, 400, "Internal server error", None)  # text code -> 400, default message
     assert out[2] == (True, None, None, '{"a":1}')                # no success flag: treated as success
+
+
+def test_redaction_walks_arrays_and_maps(spark):
+    from pyspark.sql.types import _parse_datatype_string
+    schema = _parse_datatype_string(
+        "image string, items array<struct<name: string, token: string, image: string>>, "
+        "headers map<string,string>")
+    rec = ('{"image":"top","items":[{"name":"a","token":"t1","image":"keep"},{"name":"b","token":"t2"}],'
+           '"headers":{"password":"pw","host":"h"}}')
+    out = spark.createDataFrame([(rec,)], "r string").select(G.redact_json(F.col("r"), schema)).first()[0]
+    assert "t1" not in out and "t2" not in out and '"pw"' not in out and '"top"' not in out
+    assert '"image":"keep"' in out and '"host":"h"' in out

@@ -23,6 +23,14 @@ DEFAULT_CONTEXT = "Application"
 
 
 def _redact(c: Column, dtype: T.DataType, path: tuple[str, ...]) -> Column:
+    if isinstance(dtype, T.ArrayType):
+        # elements sit one level deeper: only the any-depth rules reach inside arrays
+        return F.transform(c, lambda e: _redact(e, dtype.elementType, path + ("[]",)))
+    if isinstance(dtype, T.MapType):
+        v = dtype.valueType
+        censor = F.lit(CENSOR) if isinstance(v, T.StringType) else F.lit(None).cast(v)
+        return F.transform_values(c, lambda k, x: F.when(k.isin(*ANY_DEPTH) & x.isNotNull(), censor)
+                                  .otherwise(_redact(x, v, path + ("{}",))))
     if not isinstance(dtype, T.StructType):
         return c
     fields = []
