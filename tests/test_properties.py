@@ -453,3 +453,11 @@ def test_redaction_walks_arrays_and_maps(spark):
     out = spark.createDataFrame([(rec,)], "r string").select(G.redact_json(F.col("r"), schema)).first()[0]
     assert "t1" not in out and "t2" not in out and '"pw"' not in out and '"top"' not in out
     assert '"image":"keep"' in out and '"host":"h"' in out
+
+
+def test_conflict_holders_composite_key(spark):
+    w = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "k1 int, k2 int, u string")
+    r = spark.createDataFrame([(9, 9, "a"), (1, 2, "b")], "k1 int, k2 int, u string")
+    out = [(tuple(x["write_key"]), x["u"], tuple(x["read_key"]), x["n_holders"])
+           for x in M.conflict_holders(w, r, ["k1", "k2"], ["u"]).collect()]
+    assert out == [((1, 1), "a", (9, 9), 1)]

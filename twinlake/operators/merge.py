@@ -45,9 +45,11 @@ def conflict_holders(write: DataFrame, read: DataFrame, keys: list[str], unique:
 
     The read side is first reduced to one row per unique value (smallest holder
     key and holder count), so a value held by many rows never fans out into pairs.
-    NULL unique values never clash.
+    NULL unique values never clash.  A composite key is compared as a struct and
+    reported as ``write_key``/``read_key`` structs.
     """
-    assert len(keys) == 1, "conflict report supports a single-column key"
+    if len(keys) > 1:
+        return _conflict_holders_composite(write, read, keys, unique)
     k = keys[0]
     r = (read.filter(F.expr(" AND ".join(f"`{u}` IS NOT NULL" for u in unique)))
          .groupBy(*unique)
@@ -60,6 +62,17 @@ def conflict_holders(write: DataFrame, read: DataFrame, keys: list[str], unique:
                                   holder.alias("read_key"), "n_holders")
 
 
+def _conflict_holders_composite(write: DataFrame, read: DataFrame, keys: list[str], unique: list[str]) -> DataFrame:
+    nn = F.expr(" AND ".join(f"`{u}` IS NOT NULL" for u in unique))
+    r = (read.filter(nn).groupBy(*unique)
+         .agg(F.min(F.struct(*keys)).alias("_min_holder"), F.max(F.struct(*keys)).alias("_max_holder"),
+              F.count(F.lit(1)).alias("n_holders")))
+    j = write.select(F.struct(*keys).alias("write_key"), *unique).join(r, unique, "inner")
+    clash = (F.col("_min_holder") != F.col("write_key")) | (F.col("_max_holder") != F.col("write_key"))
+    holder = F.when(F.col("_min_holder") != F.col("write_key"), F.col("_min_holder")).otherwise(F.col("_max_holder"))
+    return j.filter(clash).select("write_key", *unique, holder.alias("read_key"), "n_holders")
+
+
 def upsert_with_fallback(read: DataFrame, write: DataFrame, keys: list[str], unique: list[str]):
     """M7 incremental form: upsert, and if the result breaks a unique constraint,
     replace the table from write.  Returns (new_read, mode) with mode
