@@ -4,13 +4,13 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from twinlake.plans.queries import QUERIES
 
 from .conftest import SF_SMALL
 
 # keys whose plan function itself runs Spark jobs that write (streams, snapshots): covered elsewhere
-SIDE_EFFECT_KEYS = {k for k in E.queries() if k.startswith("stream_")} | {"sync_all"}
-KEYS = sorted(set(E.queries()) - SIDE_EFFECT_KEYS)
+SIDE_EFFECT_KEYS = {k for k in QUERIES if k.startswith("stream_")} | {"sync_all"}
+KEYS = sorted(set(QUERIES) - SIDE_EFFECT_KEYS)
 
 
 def plan(df) -> str:
@@ -22,34 +22,34 @@ def plan(df) -> str:
 
 @pytest.mark.parametrize("key", KEYS)
 def test_no_nested_loop_no_collect(spark, key):
-    p = plan(E.queries()[key](spark, SF_SMALL))
+    p = plan(QUERIES[key](spark, SF_SMALL))
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", p), key
     assert not re.search(r"collect_list|collect_set", p), key
 
 
 def test_page_is_one_take_ordered(spark):
-    p = plan(E.queries()["list_page"](spark, SF_SMALL))
+    p = plan(QUERIES["list_page"](spark, SF_SMALL))
     assert "TakeOrderedAndProject" in p and "Exchange rangepartitioning" not in p
 
 
 def test_filters_pushed_to_parquet(spark):
-    p = plan(E.queries()["list_filter_eq"](spark, SF_SMALL))
+    p = plan(QUERIES["list_filter_eq"](spark, SF_SMALL))
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(o_orderstatus,F\)", p)
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(o_orderpriority,1-URGENT\)", p)
 
 
 def test_key_scan_reads_only_keys(spark):
-    p = plan(E.queries()["scan_keys"](spark, SF_SMALL))
+    p = plan(QUERIES["scan_keys"](spark, SF_SMALL))
     assert re.search(r"ReadSchema: struct<o_orderkey:bigint>", p)
 
 
 def test_orphan_detection_reads_only_write_keys(spark):
-    p = plan(E.queries()["orphans_single_key"](spark, SF_SMALL))
+    p = plan(QUERIES["orphans_single_key"](spark, SF_SMALL))
     assert "ReadSchema: struct<o_orderkey:bigint>" in p
 
 
 def test_command_fold_has_no_per_key_window_over_rows(spark):
-    df = E.queries()["state_from_log"](spark, SF_SMALL)
+    df = QUERIES["state_from_log"](spark, SF_SMALL)
     df.collect()  # run so the adaptive plan is final
     p = df._jdf.queryExecution().executedPlan().toString()
     windows = re.findall(r"Window \[.*?\], \[(.*?)\], \[(.*?)\]", p)
