@@ -54,6 +54,9 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        vocab = self.whole.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -68,11 +71,19 @@ class WordTokenizer:
         except KeyError:
             if len(known) > CACHED_WORDS:
                 known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = self._encode(w)
+            self._learn([w for w in set(words) if w not in known])
             return b"".join(map(known.__getitem__, words))
 
+    def _learn(self, words: list[str]) -> None:
+        """All words in one call, cut where a word's last piece is."""
+        ids = np.asarray(self.whole.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) == len(words):
+            data = ids.tobytes()
+            self.known.update(zip(words, (data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+        else:
+            self.known.update((w, self._encode(w)) for w in words)
+
 
 def parts(text: str, limit: int = LONG_CHARS) -> Iterator[str]:
     a = 0
