@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, sharding, token_count
+from . import exact_dedup, licenses, mixing, ngram_join, packing, quality, sharding, token_count
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op3_sharding": sharding.op3,
     "op4_quality_rules": quality.op4,
+    "op5_license_scan": licenses.op5,
     "op6_exact_dedup": exact_dedup.op6,
     "op7_packing": packing.op7,
     "op8_token_counts": token_count.op8,
+    "op9_ngram_join": ngram_join.op9,
 }
 
 ORACLE = {
     "op1_mixing": mixing.ORACLE,
     "op4_quality_rules": quality.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op9_ngram_join": ngram_join.ORACLE,
 }
