@@ -8,8 +8,8 @@ DivideSkip splits a query's inverted lists into short ones, which are merged, an
 the longest L, which are only probed for documents that the merge found T - L
 times.  Here lists are ordered by length once for the whole corpus: shingles known
 to be frequent come last, by the size of their lists, the rest in hash order.  A
-set's short lists are those of its first |x| - T + ``HITS`` shingles in that order,
-so T - L = ``HITS``: a partner of x is in at least ``HITS`` of them.
+set's short lists are those of its first |x| - T + 1 shingles in that order, so
+T - L = 1: the first shingle that two linked sets share is among these in both.
 
 1. One scan gives each text a signature of its set; equal sets are one class, and
    only classes are searched.  The scan also counts shingles that repeat within a
@@ -20,8 +20,8 @@ so T - L = ``HITS``: a partner of x is in at least ``HITS`` of them.
    component at linear cost.
 3. A second scan emits the short lists' entries, dealt by shingle to index tasks.
    A list that lies in one component cannot add a link that matters and is
-   skipped.  The others are merged; pairs of different components with fitting
-   sizes and ``HITS`` occurrences are the candidates.
+   skipped.  The others are merged; pairs of different components whose sizes fit,
+   with the shingle among the first |x| - T + 1 of both, are the candidates.
 4. Candidates are decided exactly: their sets are read again and the larger one,
    which holds the long lists, is probed by binary search.
 5. Links give components, over classes first and then over documents.
@@ -50,14 +50,12 @@ from pyspark.sql import functions as F
 from .graph import components
 from .textkit import documents, mix64, pin, shingle_hashes, slices, utf8, word_hashes
 
-#: Occurrences in the short lists that make a candidate (less where sets can be too small for that).
-HITS = 4
 #: Frequent shingles that the workers get, at most; 9 bytes each.
 FREQUENT = 200_000
 FREQUENT_FROM = 16
 #: Shingles counted together in a task, and list entries of an index task.
 COUNTED = 2_000_000
-ENTRIES_PER_TASK = 500_000
+ENTRIES_PER_TASK = 2_000_000
 #: Up to so many ids the candidates' ids are broadcast to filter the second reading; beyond it is a shuffle join.
 BROADCAST_IDS = 1_000_000
 #: Lists up to this length are paired by whole-array steps, longer ones row by row.
@@ -78,20 +76,12 @@ class Rule:
         """Smaller sets link with equal sets only."""
         return -(-self.percent // (100 - self.percent)) if self.percent < 100 else 1 << 30
 
-    @property
-    def hits(self) -> int:
-        return min(HITS, self.overlap(self.smallest, self.smallest)) if self.percent < 100 else 1
-
     def overlap(self, a, b):
         return -(-self.percent * (a + b) // (100 + self.percent))
 
-    def probe_length(self, size):
-        """Short lists of a set as the larger of two."""
-        return np.minimum(size, size - (-(-self.percent * size // 100)) + self.hits)
-
-    def index_length(self, size):
-        """Short lists of a set as the smaller of two."""
-        return np.minimum(size, size - self.overlap(size, size) + self.hits)
+    def short_lists(self, size):
+        """Short lists of a set, whatever the size of its partner."""
+        return np.minimum(size, size - (-(-self.percent * size // 100)) + 1)
 
 
 def shingle_sets(texts, n: int) -> Iterator[np.ndarray]:
@@ -187,28 +177,28 @@ def _short_lists(rule: Rule, shared):
                     known = values[at] == s
                     if known.any():
                         s = s[np.lexsort((s, np.where(known, levels[at], 0)))]
-                out.append((*own, s[: rule.probe_length(len(s))].tobytes()))
+                out.append((*own, s[: rule.short_lists(len(s))].tobytes()))
             columns = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["s1", "s2", "blob"])
 
     return run
 
 
-ENTRIES = "task int, h binary, v binary, z binary, moved binary"
+ENTRIES = "task int, h binary, v binary, z binary, at binary, moved binary"
 
 
 def _deal(rule: Rule, n_tasks: int):
-    """Entries (shingle, node, 2 * size + whether in the index prefix) dealt by shingle; one row for each batch and task.
-    ``moved``: nodes whose component is another node, with it."""
+    """Entries (shingle, node, size, place among the node's shingles) dealt by shingle; one row for each batch
+    and task.  ``moved``: nodes whose component is another node, with it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, comp, size = (batch.column(k).to_numpy() for k in range(3))
             blob = batch.column(3)
             data = np.frombuffer(b"".join(blob.to_pylist()), np.uint64)
-            length = rule.probe_length(size)
+            length = rule.short_lists(size)
             row = np.repeat(np.arange(len(node)), length)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
-            z = (2 * size[row] + (place < rule.index_length(size)[row])).astype(np.int32)
+            place = (np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
+            z = size[row].astype(np.int32)
             task = (data >> np.uint64(20)) % np.uint64(n_tasks)
             order = np.argsort(task, kind="stable")
             bounds = np.searchsorted(task[order], np.arange(n_tasks + 1))
@@ -217,32 +207,32 @@ def _deal(rule: Rule, n_tasks: int):
                 own = order[bounds[t]: bounds[t + 1]]
                 v = node[row[own]]
                 moved = np.unique(row[own][comp[row[own]] != v])
-                out.append((int(t), data[own].tobytes(), v.tobytes(), z[own].tobytes(), np.stack([node[moved], comp[moved]], 1).tobytes()))
-            columns = list(zip(*out, strict=True)) or [()] * 5
+                out.append((int(t), data[own].tobytes(), v.tobytes(), z[own].tobytes(), place[own].tobytes(), np.stack([node[moved], comp[moved]], 1).tobytes()))
+            columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
                                              [c.split()[0] for c in ENTRIES.split(", ")])
 
     return run
 
 
-def merge_lists(rule: Rule, h: np.ndarray, v: np.ndarray, z: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def merge_lists(rule: Rule, h: np.ndarray, v: np.ndarray, z: np.ndarray, at: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of nodes of different components from the lists of one task, once for each list that has both.
 
-    h, v, z, c: shingle, node, 2 * size + index flag, component of every entry.  The smaller set of a pair
-    must have the shingle in its index prefix, and sizes must allow the similarity.
+    h, v, z, at, c: shingle, node, size, place and component of every entry.  Sizes must allow the
+    similarity, and enough shingles must be left from the shared one on in both sets.
     """
     order = np.argsort(h, kind="stable")
     hs = h[order]
     twin = np.zeros(len(hs) + 1, bool)
     twin[1:-1] = hs[1:] == hs[:-1]
     order = order[twin[1:] | twin[:-1]]  # a list of one has no pair
-    order = order[np.lexsort((v[order], z[order] >> 1, h[order]))]
-    h, v, z, c = h[order], v[order], z[order], c[order]
+    order = order[np.lexsort((v[order], z[order], h[order]))]
+    h, v, z, at, c = h[order], v[order], z[order].astype(np.int64), at[order].astype(np.int64), c[order]
     if not len(h):
         return
     fresh = np.ones(len(h), bool)  # a class that several tasks sent
     fresh[1:] = (h[1:] != h[:-1]) | (v[1:] != v[:-1])
-    h, v, z, c = h[fresh], v[fresh], z[fresh], c[fresh]
+    h, v, z, at, c = h[fresh], v[fresh], z[fresh], at[fresh], c[fresh]
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     length = np.diff(np.r_[first, len(h)])
     mixed = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
@@ -250,38 +240,38 @@ def merge_lists(rule: Rule, h: np.ndarray, v: np.ndarray, z: np.ndarray, c: np.n
     keep = np.repeat(mixed, length)
 
     def fit(i, j):
-        ok = (c[i] != c[j]) & (z[i] & 1).astype(bool) & (100 * (z[i] >> 1).astype(np.int64) >= rule.percent * (z[j] >> 1).astype(np.int64))
+        need = rule.overlap(z[i], z[j])
+        ok = (c[i] != c[j]) & (100 * z[i] >= rule.percent * z[j]) & (z[i] - at[i] >= need) & (z[j] - at[j] >= need)
         return v[i[ok]], v[j[ok]]
 
-    at = np.flatnonzero(keep & np.repeat(length <= STEPPED, length))
+    own = np.flatnonzero(keep & np.repeat(length <= STEPPED, length))
     step = 1
-    while len(at):
-        at = at[at + step < end[at]]
-        if len(at):
-            yield fit(at, at + step)
+    while len(own):
+        own = own[own + step < end[own]]
+        if len(own):
+            yield fit(own, own + step)
         step += 1
     for a, m in zip(first[mixed & (length > STEPPED)], length[mixed & (length > STEPPED)], strict=True):
-        size = z[a: a + m].astype(np.int64) >> 1
-        last = a + np.searchsorted(size, 100 * size // rule.percent, side="right")
-        for i in a + np.flatnonzero(z[a: a + m] & 1):
+        last = a + np.searchsorted(z[a: a + m], 100 * z[a: a + m] // rule.percent, side="right")
+        for i in range(a, a + m):
             if last[i - a] > i + 1:
                 yield fit(np.full(last[i - a] - i - 1, i), np.arange(i + 1, last[i - a]))
 
 
 def _merge(rule: Rule):
-    """(x, y, hits): how many of the task's lists have both."""
+    """The pairs (x, y) that the task's lists give."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[bytes]] = [[], [], [], []]
+        parts: list[list[bytes]] = [[], [], [], [], []]
         for batch in batches:
-            for k in range(4):
+            for k in range(5):
                 parts[k] += batch.column(k + 1).to_pylist()
-        h, v, z, moved = (np.frombuffer(b"".join(p), t) for p, t in zip(parts, (np.uint64, np.int64, np.int32, np.int64), strict=True))
+        h, v, z, at, moved = (np.frombuffer(b"".join(p), t) for p, t in zip(parts, (np.uint64, np.int64, np.int32, np.int32, np.int64), strict=True))
         moved = moved.reshape(-1, 2)
         moved = moved[np.argsort(moved[:, 0], kind="stable")]
         c = v
         if len(moved):
-            at = np.minimum(np.searchsorted(moved[:, 0], v), len(moved) - 1)
-            c = np.where(moved[at, 0] == v, moved[at, 1], v)
+            own = np.minimum(np.searchsorted(moved[:, 0], v), len(moved) - 1)
+            c = np.where(moved[own, 0] == v, moved[own, 1], v)
         held, waiting = 0, []
 
         def merged(pairs):
@@ -290,9 +280,9 @@ def _merge(rule: Rule):
             order = np.lexsort((y, x))
             x, y = x[order], y[order]
             first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-            return pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first]), pa.array(np.diff(np.r_[first, len(x)]))], ["x", "y", "hits"])
+            return pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first])], ["x", "y"])
 
-        for x, y in merge_lists(rule, h, v, z, c):
+        for x, y in merge_lists(rule, h, v, z, at, c):
             if len(x):
                 waiting.append((x, y))
                 held += len(x)
@@ -375,14 +365,12 @@ class Join:
         rule = self.rule
         shared = self.spark.sparkContext.broadcast(frequent)  # at most FREQUENT rows
         wide = label.filter(F.col("n") >= rule.smallest)
-        hits = rule.hits
-        entries = wide.agg(F.sum(F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * rule.percent / 100) + hits))).first()[0] or 0
+        entries = wide.agg(F.sum(F.col("n") - F.ceil(F.col("n") * rule.percent / 100) + 1)).first()[0] or 0
         n_tasks = max(1, int(entries) // ENTRIES_PER_TASK)
         lists = self.texts.select("text").mapInArrow(_short_lists(rule, shared), "s1 long, s2 long, blob binary")
         known = lists.join(wide, ["s1", "s2"]).select("node", "comp", "n", "blob")
         dealt = known.mapInArrow(_deal(rule, n_tasks), ENTRIES).repartition(n_tasks, "task")
-        pairs = dealt.mapInArrow(_merge(rule), "x long, y long, hits long")
-        return pairs.groupBy("x", "y").agg(F.sum("hits").alias("hits")).filter(F.col("hits") >= hits).select("x", "y")
+        return dealt.mapInArrow(_merge(rule), "x long, y long").distinct()
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) of classes that reach the similarity, as (a, b)."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, ngram_join, packing, quality, sharding, token_count
+from . import exact_dedup, licenses, mixing, ngram_join, packing, quality, secret_scan, sharding, token_count, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1,
+    "op2_toxicity": toxicity.op2,
     "op3_sharding": sharding.op3,
     "op4_quality_rules": quality.op4,
     "op5_license_scan": licenses.op5,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_packing": packing.op7,
     "op8_token_counts": token_count.op8,
     "op9_ngram_join": ngram_join.op9,
+    "op10_secret_scan": secret_scan.op10,
 }
 
 ORACLE = {
