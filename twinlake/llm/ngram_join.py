@@ -6,28 +6,30 @@ T = ceil(percent * (|x| + |y|) / (100 + percent)) shingles.
 
 DivideSkip splits a query's inverted lists into short ones, which are merged, and
 the longest L, which are only probed for documents that the merge found T - L
-times.  Here lists are ordered by length once for the whole corpus: shingles known
-to be frequent come last, by the size of their lists, the rest in hash order.  A
-set's short lists are those of its first |x| - T + 1 shingles in that order, so
-T - L = 1: the first shingle that two linked sets share is among these in both.
+times.  With T - L = 1 the short lists of x are its |x| - T + 1 shortest, and the
+first shingle that two linked sets share, by list length, is among these in both.
 
 1. One scan gives each text a signature of its set; equal sets are one class, and
-   only classes are searched.  The scan also counts shingles that repeat within a
-   task; the most frequent ones (at most ``FREQUENT``) go to the workers.  They
-   fix the order of lists and have no say in the result.
-2. Classes that agree on pairs of min-hashes are compared with the smallest class
-   of their group.  That joins most members of a large group of near copies to one
-   component at linear cost.
-3. A second scan emits the short lists' entries, dealt by shingle to index tasks.
-   A list that lies in one component cannot add a link that matters and is
-   skipped.  The others are merged; pairs of different components whose sizes fit,
-   with the shingle among the first |x| - T + 1 of both, are the candidates.
-4. Candidates are decided exactly: their sets are read again and the larger one,
-   which holds the long lists, is probed by binary search.
-5. Links give components, over classes first and then over documents.
-
-All links between different components are found, whatever the list lengths, so
-the components are those of all links.
+   only classes are searched.
+2. Occurrences are counted before any pair is formed.  Inverted lists are built by
+   shingle, and a shingle counts for a set if its list holds another component (at
+   first, another class).  A set lacks at most |x| - ceil(t * |x|) shingles of a
+   partner, so sets with more that do not count are out.  The first round looks at
+   the lists of a fixed range of hashes, which rules out texts without a near copy.
+3. Of the sets that are left, those that agree on two min-hashes are compared with
+   two centres of their group: the one with the smallest id and the one with the
+   least share of private shingles.  That joins most members of a large group of
+   near copies to one component at linear cost; from here on only links between
+   components matter, and two more rounds of counting leave few sets.
+4. The last round gives the lengths of lists.  Shingles that count come after the
+   others, by the lengths of their lists; the short lists are merged, and pairs of
+   different components are candidates if sizes fit and at least T shingles of both
+   come no earlier than the shared one.
+5. Candidates are decided exactly: the larger set, which holds the long lists, is
+   probed by binary search.  Links give components, over classes and then documents.
+
+All links between different components are found, so the components are those of
+all links.  Index tasks exchange packed arrays, not a row for each shingle.
 
 Results in special cases
 * Null and empty texts, and white space alone: 0 shingles, a component of their own.
@@ -50,14 +52,14 @@ from pyspark.sql import functions as F
 from .graph import components
 from .textkit import documents, mix64, pin, shingle_hashes, slices, utf8, word_hashes
 
-#: Frequent shingles that the workers get, at most; 9 bytes each.
-FREQUENT = 200_000
-FREQUENT_FROM = 16
-#: Shingles counted together in a task, and list entries of an index task.
-COUNTED = 2_000_000
-ENTRIES_PER_TASK = 2_000_000
-#: Up to so many ids the candidates' ids are broadcast to filter the second reading; beyond it is a shuffle join.
+#: List entries of an index task.
+ENTRIES_PER_TASK = 1_000_000
+#: Share of the hashes that the first round looks at, beyond what linked sets may have apart.
+BAND_MARGIN = 0.1
+#: Up to so many ids, those of the sets that are left are broadcast to filter the second reading; beyond it is a shuffle join.
 BROADCAST_IDS = 1_000_000
+#: Rows with whole sets that a worker holds at a time.
+SETS_PER_BATCH = 256
 #: Lists up to this length are paired by whole-array steps, longer ones row by row.
 STEPPED = 32
 
@@ -66,7 +68,7 @@ SEEDS = [np.uint64(s) for s in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E
 
 @dataclass(frozen=True)
 class Rule:
-    """Words of a shingle and the similarity in per cent, with the lengths that follow from them."""
+    """Words of a shingle and the similarity in per cent, with the bounds that follow from them."""
 
     n: int
     percent: int
@@ -76,12 +78,19 @@ class Rule:
         """Smaller sets link with equal sets only."""
         return -(-self.percent // (100 - self.percent)) if self.percent < 100 else 1 << 30
 
+    @property
+    def band(self) -> np.uint64:
+        """Hashes under this limit are looked at in the first round."""
+        share = min(1.0, 1 - self.percent / 100 + BAND_MARGIN)
+        return np.uint64(min(int(share * 2 ** 64), 2 ** 64 - 1))
+
     def overlap(self, a, b):
+        """T: shingles that sets of these sizes share at least if they link."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
-    def short_lists(self, size):
-        """Short lists of a set, whatever the size of its partner."""
-        return np.minimum(size, size - (-(-self.percent * size // 100)) + 1)
+    def apart(self, size):
+        """Shingles of a set that a linked set lacks, at most."""
+        return size - (-(-self.percent * size // 100))
 
 
 def shingle_sets(texts, n: int) -> Iterator[np.ndarray]:
@@ -99,118 +108,181 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix64(s ^ seed).sum(dtype=np.uint64).view(np.int64)) for seed in SEEDS[:2])
 
 
-def _long(x) -> pa.Array:
-    return pa.array(np.asarray(x).view(np.int64) if getattr(x, "dtype", None) == np.uint64 else x, pa.int64())
-
-
-PROFILE = "_id long, n long, s1 long, s2 long, k1 long, k2 long, k3 long, k4 long, common binary"
+def _batch(rows: list[tuple], columns: str) -> pa.RecordBatch:
+    """A record batch of rows with columns as in a Spark schema string of int, long and binary."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [c.split() for c in columns.split(", ")]
+    values = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(values, fields, strict=True)], [f for f, _ in fields])
 
 
-def _profile(n: int):
-    """Size, signature and min-hashes of every row.  Rows with n = -1 hold shingles that repeat among the
-    task's different texts, with their counts."""
-    def row(common: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), *[pa.array([None], pa.int64())] * 6,
-                                           pa.array([common.tobytes()], pa.binary())], names)
+PROFILE = "_id long, n long, s1 long, s2 long, k1 long, k2 long, k3 long, k4 long, band long"
 
-    def counted(sets: list[np.ndarray]) -> np.ndarray:
-        values, counts = np.unique(np.concatenate(sets), return_counts=True)
-        often = counts > 2
-        return np.stack([values[often], counts[often].astype(np.uint64)], 1)
-
-    names = [c.split()[0] for c in PROFILE.split(", ")]
 
+def _profile(rule: Rule):
+    """Size, signature and min-hashes of every row's set, and how many of its hashes are in the band."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, waiting, held = set(), [], 0
         for batch in batches:
             rows = []
-            for s in shingle_sets(batch.column(1), n):
+            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), rule.n), strict=True):
                 if not len(s):
-                    rows.append((0, *[None] * 6))
-                    continue
-                own = _signature(s)
-                rows.append((len(s), *own, *[int(mix64(s ^ seed).min().view(np.int64)) for seed in SEEDS[2:]]))
-                if own not in seen:
-                    seen.add(own)
-                    waiting.append(s)
-                    held += len(s)
-                    if held > COUNTED:
-                        yield row(counted(waiting))
-                        waiting, held = [], 0
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns], pa.nulls(len(batch), pa.binary())], names)
-        if waiting:
-            yield row(counted(waiting))
+                    rows.append((i, 0, *[None] * 7))
+                else:
+                    low = [int(mix64(s ^ seed).min().view(np.int64)) for seed in SEEDS[2:]]
+                    rows.append((i, len(s), *_signature(s), *low, int(np.searchsorted(s, rule.band))))
+            yield _batch(rows, PROFILE)
 
     return run
 
 
-def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, and the magnitudes of their counts: an order for the lists."""
-    def run(batches):
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                pairs = np.frombuffer(blob, np.uint64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([_long(pairs[:, 0].copy()), _long(pairs[:, 1].copy())], ["h", "c"])
-
-    counts = profile.filter(F.col("n") < 0).select("common").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = counts.filter(F.col("c") >= FREQUENT_FROM).orderBy(F.col("c").desc(), "h").limit(FREQUENT).collect()
-    values = np.array([r["h"] for r in top], np.int64).view(np.uint64)
-    levels = np.array([int(r["c"]).bit_length() for r in top], np.uint8)
-    order = np.argsort(values)
-    return values[order], levels[order]
+SETS = "s1 long, s2 long, words binary"
 
 
-def _short_lists(rule: Rule, shared):
-    """(s1, s2, blob): the shingles of a set's short lists, shortest first; each class once a task."""
+def _sets(rule: Rule, banded: bool):
+    """Signature and hashes (those in the band, or all) of each set that can link; each class once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, levels = shared.value
         seen = set()
         for batch in batches:
-            out = []
+            out, held = [], 0
             for s in shingle_sets(batch.column(0), rule.n):
                 if len(s) < rule.smallest or (own := _signature(s)) in seen:
                     continue
                 seen.add(own)
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                    known = values[at] == s
-                    if known.any():
-                        s = s[np.lexsort((s, np.where(known, levels[at], 0)))]
-                out.append((*own, s[: rule.short_lists(len(s))].tobytes()))
-            columns = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["s1", "s2", "blob"])
+                words = s[: np.searchsorted(s, rule.band)] if banded else s
+                out.append((*own, words.tobytes()))
+                held += len(words)
+                if held > ENTRIES_PER_TASK:
+                    yield _batch(out, SETS)
+                    out, held = [], 0
+            yield _batch(out, SETS)
 
     return run
 
 
-ENTRIES = "task int, h binary, v binary, z binary, at binary, moved binary"
+# -- packed entries, dealt to tasks -----------------------------------------
+
+PACKED = "task int, a binary, b binary, c binary, d binary, e binary"
+
+
+def _dealt(task: np.ndarray, n_tasks: int, arrays: list[np.ndarray]) -> Iterator[tuple]:
+    """One PACKED row for each task that gets something."""
+    order = np.argsort(task, kind="stable")
+    bounds = np.searchsorted(task[order], np.arange(n_tasks + 1))
+    for t in np.flatnonzero(np.diff(bounds)):
+        own = order[bounds[t]: bounds[t + 1]]
+        yield (int(t), *[x[own].tobytes() for x in arrays], *[b""] * (5 - len(arrays)))
+
+
+def _by_shingle(h: np.ndarray, n_tasks: int) -> np.ndarray:
+    return ((h >> np.uint64(17)) % np.uint64(n_tasks)).astype(np.int32)
+
 
+def _gathered(batches, kinds: list) -> list[np.ndarray]:
+    parts: list[list[bytes]] = [[] for _ in kinds]
+    for batch in batches:
+        for k, p in enumerate(parts):
+            p += batch.column(k + 1).to_pylist()
+    return [np.frombuffer(b"".join(p), kind) for p, kind in zip(parts, kinds, strict=True)]
 
-def _deal(rule: Rule, n_tasks: int):
-    """Entries (shingle, node, size, place among the node's shingles) dealt by shingle; one row for each batch
-    and task.  ``moved``: nodes whose component is another node, with it."""
+
+def _entries(n_tasks: int, limit: np.uint64 | None):
+    """Rows (node, comp, n, words) as list entries (shingle, node), of hashes under the limit if there is one;
+    and for nodes of larger components, node and component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, comp, size = (batch.column(k).to_numpy() for k in range(3))
-            blob = batch.column(3)
-            data = np.frombuffer(b"".join(blob.to_pylist()), np.uint64)
-            length = rule.short_lists(size)
-            row = np.repeat(np.arange(len(node)), length)
-            place = (np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
-            z = size[row].astype(np.int32)
-            task = (data >> np.uint64(20)) % np.uint64(n_tasks)
+            sets = [np.frombuffer(b, np.uint64) for b in batch.column(3).to_pylist()]
+            if limit is not None:
+                sets = [x[: np.searchsorted(x, limit)] for x in sets]
+            h = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            row = np.repeat(np.arange(len(node)), [len(x) for x in sets])
+            task = _by_shingle(h, n_tasks)
             order = np.argsort(task, kind="stable")
             bounds = np.searchsorted(task[order], np.arange(n_tasks + 1))
             out = []
             for t in np.flatnonzero(np.diff(bounds)):
                 own = order[bounds[t]: bounds[t + 1]]
-                v = node[row[own]]
-                moved = np.unique(row[own][comp[row[own]] != v])
-                out.append((int(t), data[own].tobytes(), v.tobytes(), z[own].tobytes(), place[own].tobytes(), np.stack([node[moved], comp[moved]], 1).tobytes()))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
-                                             [c.split()[0] for c in ENTRIES.split(", ")])
+                rows = np.unique(row[own])
+                moved = rows[comp[rows] != node[rows]]
+                out.append((int(t), h[own].tobytes(), node[row[own]].tobytes(), np.stack([node[moved], comp[moved]], 1).tobytes(),
+                            np.stack([node[rows], size[rows]], 1).tobytes(), b""))
+            yield _batch(out, PACKED)
+
+    return run
+
+
+def _looked_up(pairs: np.ndarray, v: np.ndarray, default: np.ndarray) -> np.ndarray:
+    """The second member of the pair that begins with v, or the default."""
+    pairs = pairs.reshape(-1, 2)
+    if not len(pairs) or not len(v):
+        return default
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    at = np.minimum(np.searchsorted(pairs[:, 0], v), len(pairs) - 1)
+    return np.where(pairs[at, 0] == v, pairs[at, 1], default)
+
+
+def lists(h: np.ndarray, v: np.ndarray, c: np.ndarray):
+    """Entries of the lists that hold several components: their indices, and the length of each one's list."""
+    order = np.argsort(h, kind="stable")
+    hs = h[order]
+    twin = np.zeros(len(hs) + 1, bool)
+    twin[1:-1] = hs[1:] == hs[:-1]
+    order = order[twin[1:] | twin[:-1]]  # a list of one holds one component
+    order = order[np.lexsort((v[order], h[order]))]
+    h, v = h[order], v[order]
+    fresh = np.ones(len(h), bool)  # not a class that another task sent too
+    fresh[1:] = (h[1:] != h[:-1]) | (v[1:] != v[:-1])
+    order, h = order[fresh], h[fresh]
+    if not len(order):
+        return order, order
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    length = np.diff(np.r_[first, len(h)])
+    c = c[order]
+    mixed = np.repeat(np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first), length)
+    return order[mixed], np.repeat(length, length)[mixed]
+
+
+def _occurrences(n_tasks: int, full: bool):
+    """For each set, how many of the task's lists hold another component (node, count); or, ``full``, those
+    entries themselves (node, size, component, shingle, list length).  Dealt by node."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, v, moved, sizes = _gathered(batches, [np.uint64, np.int64, np.int64, np.int64])
+        c = _looked_up(moved, v, v)
+        own, length = lists(h, v, c)
+        if full:
+            z = _looked_up(sizes, v[own], np.zeros(len(own), np.int64))
+            arrays = [v[own], z, c[own], h[own], length.astype(np.int64)]
+        else:
+            arrays = list(np.unique(v[own], return_counts=True))
+        yield _batch(list(_dealt((arrays[0] % n_tasks).astype(np.int32), n_tasks, arrays)), PACKED)
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shared): the counts of some nodes, added up."""
+    v, count = _gathered(batches, [np.int64, np.int64])
+    nodes, at = np.unique(v, return_inverse=True)
+    shared = np.bincount(at, weights=count, minlength=len(nodes)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(shared)], ["node", "shared"])
+
+
+def _short_lists(rule: Rule, n_tasks: int):
+    """The entries of sets in their short lists (shingle, node, size, place, component), dealt by shingle again.
+
+    Shingles that no other component has come first; the others follow by list length and hash.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, z, c, h, length = _gathered(batches, [np.int64, np.int64, np.int64, np.uint64, np.int64])
+        order = np.lexsort((h, length, v))
+        v, z, c, h = v[order], z[order], c[order], h[order]
+        if len(v):
+            first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            count = np.diff(np.r_[first, len(v)])
+            place = z - np.repeat(count, count) + np.arange(len(v)) - np.repeat(first, count)
+            keep = place <= rule.apart(z)
+            h = h[keep]
+            yield _batch(list(_dealt(_by_shingle(h, n_tasks), n_tasks, [h, v[keep], z[keep], place[keep], c[keep]])), PACKED)
 
     return run
 
@@ -221,37 +293,28 @@ def merge_lists(rule: Rule, h: np.ndarray, v: np.ndarray, z: np.ndarray, at: np.
     h, v, z, at, c: shingle, node, size, place and component of every entry.  Sizes must allow the
     similarity, and enough shingles must be left from the shared one on in both sets.
     """
-    order = np.argsort(h, kind="stable")
-    hs = h[order]
-    twin = np.zeros(len(hs) + 1, bool)
-    twin[1:-1] = hs[1:] == hs[:-1]
-    order = order[twin[1:] | twin[:-1]]  # a list of one has no pair
-    order = order[np.lexsort((v[order], z[order], h[order]))]
-    h, v, z, at, c = h[order], v[order], z[order].astype(np.int64), at[order].astype(np.int64), c[order]
-    if not len(h):
+    own, _ = lists(h, v, c)
+    if not len(own):
         return
-    fresh = np.ones(len(h), bool)  # a class that several tasks sent
-    fresh[1:] = (h[1:] != h[:-1]) | (v[1:] != v[:-1])
-    h, v, z, at, c = h[fresh], v[fresh], z[fresh], at[fresh], c[fresh]
+    own = own[np.lexsort((v[own], z[own], h[own]))]
+    h, v, z, at, c = h[own], v[own], z[own], at[own], c[own]
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     length = np.diff(np.r_[first, len(h)])
-    mixed = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
     end = np.repeat(first + length, length)
-    keep = np.repeat(mixed, length)
 
     def fit(i, j):
         need = rule.overlap(z[i], z[j])
         ok = (c[i] != c[j]) & (100 * z[i] >= rule.percent * z[j]) & (z[i] - at[i] >= need) & (z[j] - at[j] >= need)
         return v[i[ok]], v[j[ok]]
 
-    own = np.flatnonzero(keep & np.repeat(length <= STEPPED, length))
+    left = np.flatnonzero(np.repeat(length <= STEPPED, length))
     step = 1
-    while len(own):
-        own = own[own + step < end[own]]
-        if len(own):
-            yield fit(own, own + step)
+    while len(left):
+        left = left[left + step < end[left]]
+        if len(left):
+            yield fit(left, left + step)
         step += 1
-    for a, m in zip(first[mixed & (length > STEPPED)], length[mixed & (length > STEPPED)], strict=True):
+    for a, m in zip(first[length > STEPPED], length[length > STEPPED], strict=True):
         last = a + np.searchsorted(z[a: a + m], 100 * z[a: a + m] // rule.percent, side="right")
         for i in range(a, a + m):
             if last[i - a] > i + 1:
@@ -260,29 +323,17 @@ def merge_lists(rule: Rule, h: np.ndarray, v: np.ndarray, z: np.ndarray, at: np.
 
 def _merge(rule: Rule):
     """The pairs (x, y) that the task's lists give."""
+    def merged(pairs):
+        x, y = (np.concatenate(p) for p in zip(*pairs, strict=True))
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first])], ["x", "y"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[bytes]] = [[], [], [], [], []]
-        for batch in batches:
-            for k in range(5):
-                parts[k] += batch.column(k + 1).to_pylist()
-        h, v, z, at, moved = (np.frombuffer(b"".join(p), t) for p, t in zip(parts, (np.uint64, np.int64, np.int32, np.int32, np.int64), strict=True))
-        moved = moved.reshape(-1, 2)
-        moved = moved[np.argsort(moved[:, 0], kind="stable")]
-        c = v
-        if len(moved):
-            own = np.minimum(np.searchsorted(moved[:, 0], v), len(moved) - 1)
-            c = np.where(moved[own, 0] == v, moved[own, 1], v)
         held, waiting = 0, []
-
-        def merged(pairs):
-            x, y = (np.concatenate(p) for p in zip(*pairs, strict=True))
-            x, y = np.minimum(x, y), np.maximum(x, y)
-            order = np.lexsort((y, x))
-            x, y = x[order], y[order]
-            first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-            return pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first])], ["x", "y"])
-
-        for x, y in merge_lists(rule, h, v, z, at, c):
+        for x, y in merge_lists(rule, *_gathered(batches, [np.uint64, *[np.int64] * 4])):
             if len(x):
                 waiting.append((x, y))
                 held += len(x)
@@ -295,17 +346,6 @@ def _merge(rule: Rule):
     return run
 
 
-def _sets(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(*_signature(s), s.tobytes()) for s in shingle_sets(batch.column(0), n) if len(s)]
-            for a in range(0, max(len(out), 1), 1000):
-                columns = list(zip(*out[a: a + 1000], strict=True)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["s1", "s2", "words"])
-
-    return run
-
-
 def _probe(rule: Rule):
     """Pairs that link: the smaller set's shingles are searched in the larger one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,61 +371,86 @@ class Join:
         self.texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
 
     def run(self) -> DataFrame:
-        profile = pin(self.texts.mapInArrow(_profile(self.rule.n), PROFILE))
-        rows = profile.filter(F.col("n") >= 0).drop("common")
-        classes = rows.filter(F.col("n") > 0).groupBy("s1", "s2").agg(F.min("_id").alias("id"), *[F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4")])
-        self.classes = pin(classes.withColumn("node", F.monotonically_increasing_id()))
-        near = pin(self.linked(self.star_pairs()))
-        label = components(near)
-        label = pin(self.classes.join(label, "node", "left").select("node", "s1", "s2", "n", F.coalesce("component", "node").alias("comp")))
-        far = pin(self.linked(self.candidates(label, _frequent(profile))))
+        rows = pin(self.texts.mapInArrow(_profile(self.rule), PROFILE))
+        classes = rows.filter(F.col("n") > 0).groupBy("s1", "s2").agg(F.min("_id").alias("id"), *[F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4", "band")])
+        self.classes = pin(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("comp", F.col("node")))
+        some, sets = self.banded()
+        label = components(pin(self.linked(pin(self.star_pairs(some)), sets), SETS_PER_BATCH))
+        label = pin(self.classes.join(label, "node", "left").select("node", "id", "s1", "s2", "n", "band", F.coalesce("component", "node").alias("comp")))
+        far = self.far_links(label.join(some.select("node"), "node", "left_semi"), sets)
         if not far.isEmpty():
             joined = (far.join(label.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
                       .join(label.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
             upper = components(joined).select(F.col("node").alias("comp"), F.col("component").alias("top"))
-            label = label.join(upper, "comp", "left").select("node", "s1", "s2", "n", F.coalesce("top", "comp").alias("comp"))
-        ids = label.join(self.classes.select("node", "id"), "node")
-        least = ids.groupBy("comp").agg(F.min("id").alias("component_id"))
-        found = ids.join(least, "comp").select("s1", "s2", "component_id")
+            label = label.join(upper, "comp", "left").select("node", "id", "s1", "s2", F.coalesce("top", "comp").alias("comp"))
+        least = label.groupBy("comp").agg(F.min("id").alias("component_id"))
+        found = label.join(least, "comp").select("s1", "s2", "component_id")
         full = rows.filter(F.col("n") > 0).join(found, ["s1", "s2"]).select("_id", "n", "component_id")
         return full.unionByName(rows.filter(F.col("n") == 0).select("_id", "n", F.col("_id").alias("component_id")))
 
-    def star_pairs(self) -> DataFrame:
-        """Classes that agree on two min-hashes, each with the smallest node of its group."""
-        own = self.classes.filter(F.col("n") >= self.rule.smallest)
+    def star_pairs(self, some: DataFrame) -> DataFrame:
+        """Classes that agree on two min-hashes, each with the two centres of its group."""
         pairs = (("k1", "k2"), ("k3", "k4"), ("k1", "k3"), ("k2", "k4"))
-        keys = own.select("node", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(p).alias("p"), F.col(q).alias("q")) for i, (p, q) in enumerate(pairs)])).alias("key"))
-        keys = keys.select("node", "n", "key.*")
-        centre = keys.groupBy("i", "p", "q").agg(F.min(F.struct("node", "n")).alias("c"), F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
-        both = keys.join(centre.select("i", "p", "q", F.col("c.node").alias("x"), F.col("c.n").alias("xn")), ["i", "p", "q"])
+        own = some.select("node", "n", "k1", "k2", "k3", "k4",
+                          F.struct(((F.col("band") - F.col("shared")) / F.col("n")).alias("private"), F.col("node").alias("x"), F.col("n").alias("xn")).alias("least"),
+                          F.struct(F.col("id").isNull().alias("null"), F.col("id").alias("id"), F.col("node").alias("x"), F.col("n").alias("xn")).alias("eldest"))
+        own = own.withColumn("keys", F.array(*[F.struct(F.lit(i).alias("i"), F.col(p).alias("p"), F.col(q).alias("q")) for i, (p, q) in enumerate(pairs)]))
+        keys = own.select("node", "n", "least", "eldest", F.explode("keys").alias("key")).select("node", "n", "least", "eldest", "key.*")
+        centre = keys.groupBy("i", "p", "q").agg(F.min("least").alias("least"), F.min("eldest").alias("eldest"), F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
+        centre = centre.select("i", "p", "q", "least.x", "least.xn").union(centre.select("i", "p", "q", "eldest.x", "eldest.xn"))
+        both = keys.select("node", "n", "i", "p", "q").join(centre, ["i", "p", "q"])
         fits = 100 * F.least("n", "xn") >= self.rule.percent * F.greatest("n", "xn")
-        return both.filter((F.col("x") != F.col("node")) & fits).select("x", F.col("node").alias("y")).distinct()
-
-    def candidates(self, label: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-        rule = self.rule
-        shared = self.spark.sparkContext.broadcast(frequent)  # at most FREQUENT rows
-        wide = label.filter(F.col("n") >= rule.smallest)
-        entries = wide.agg(F.sum(F.col("n") - F.ceil(F.col("n") * rule.percent / 100) + 1)).first()[0] or 0
-        n_tasks = max(1, int(entries) // ENTRIES_PER_TASK)
-        lists = self.texts.select("text").mapInArrow(_short_lists(rule, shared), "s1 long, s2 long, blob binary")
-        known = lists.join(wide, ["s1", "s2"]).select("node", "comp", "n", "blob")
-        dealt = known.mapInArrow(_deal(rule, n_tasks), ENTRIES).repartition(n_tasks, "task")
-        return dealt.mapInArrow(_merge(rule), "x long, y long").distinct()
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) of classes that reach the similarity, as (a, b)."""
-        pairs = pin(pairs)
-        need = pin(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct().join(self.classes.select("node", "id", "s1", "s2"), "node"))
+        return both.filter((F.col("x") != F.col("node")) & fits).select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct()
+
+    def sets_of(self, need: DataFrame) -> DataFrame:
+        """(node, words) of some classes (node, id, s1, s2), read from a member's text."""
+        need = pin(need.select("node", "id", "s1", "s2"))
         ids = need.select(F.col("id").alias("_need")).distinct()
         if need.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
         texts = self.texts.join(ids, F.col("_id").eqNullSafe(F.col("_need")), "left_semi")
-        sets = texts.select("text").mapInArrow(_sets(self.rule.n), "s1 long, s2 long, words binary").dropDuplicates(["s1", "s2"])
-        sets = pin(need.join(sets, ["s1", "s2"]).select("node", "words"))
+        sets = texts.select("text").mapInArrow(_sets(self.rule, False), SETS).dropDuplicates(["s1", "s2"])
+        return pin(need.join(sets, ["s1", "s2"]).select("node", "words"))
+
+    def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (x, y) of classes that reach the similarity, as (a, b)."""
         both = (pairs.join(sets.select(F.col("node").alias("y"), F.col("words").alias("wy")), "y")
                 .join(sets.select(F.col("node").alias("x"), F.col("words").alias("wx")), "x").select("x", "y", "wx", "wy"))
         return both.mapInArrow(_probe(self.rule), "a long, b long")
 
+    def tasks(self, entries: int | None) -> int:
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-(entries or 0) // ENTRIES_PER_TASK))
+
+    def occurrences(self, rows: DataFrame, entries: int | None, full: bool, limit: np.uint64 | None = None) -> tuple[DataFrame, int]:
+        """PACKED rows by node for rows (node, comp, n, words), and the number of tasks that they are dealt to."""
+        n = self.tasks(entries)
+        dealt = rows.select("node", "comp", "n", "words").mapInArrow(_entries(n, limit), PACKED).repartition(n, "task")
+        return dealt.mapInArrow(_occurrences(n, full), PACKED).repartition(n, "task"), n
+
+    def left(self, label: DataFrame, rows: DataFrame, size: str, limit: np.uint64 | None = None) -> DataFrame:
+        """The classes of ``label`` that have enough shingles in common with other components, and how many (``shared``)."""
+        total = label.agg(F.sum(size)).first()[0]
+        shared = self.occurrences(rows, total, False, limit)[0].mapInArrow(_summed, "node long, shared long")
+        most = F.col("n") - F.ceil(F.col("n") * F.lit(self.rule.percent) / F.lit(100))
+        found = label.join(shared, "node", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+        return pin(found.filter(F.col(size) - F.col("shared") <= most), SETS_PER_BATCH)
+
+    def banded(self) -> tuple[DataFrame, DataFrame]:
+        """The classes that the first round leaves, and their sets (node, words)."""
+        own = self.classes.filter(F.col("n") >= self.rule.smallest)
+        band = self.texts.select("text").mapInArrow(_sets(self.rule, True), SETS)
+        some = self.left(own, band.join(own, ["s1", "s2"]), "band")
+        return some, self.sets_of(some)
+
+    def far_links(self, some: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between different components of some classes."""
+        some = self.left(some, some.join(sets, "node"), "band", self.rule.band).drop("shared")
+        some = self.left(some, some.join(sets, "node"), "n").drop("shared")
+        packed, n = self.occurrences(some.join(sets, "node"), some.agg(F.sum("n")).first()[0], True)
+        pairs = packed.mapInArrow(_short_lists(self.rule, n), PACKED).repartition(n, "task").mapInArrow(_merge(self.rule), "x long, y long")
+        pairs = pin(pairs.distinct(), SETS_PER_BATCH)
+        return pin(self.linked(pairs, sets), SETS_PER_BATCH)
+
 
 def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""

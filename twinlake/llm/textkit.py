@@ -49,10 +49,18 @@ def checkpoint_ready(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+def pin(df: DataFrame, rows_per_batch: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there.  ``rows_per_batch`` bounds the Arrow
+    batches of this one job, for rows that are large."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    checkpoint_ready(spark)
+    before = spark.conf.get(name)
+    if rows_per_batch:
+        spark.conf.set(name, str(rows_per_batch))
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
 
 
 def worker_cache() -> dict:
