@@ -99,13 +99,10 @@ def parts(text: str, limit: int = LONG_CHARS) -> Iterator[str]:
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    cache = worker_cache()
-    if ("ids", path) not in cache:
-        import os
+    import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache["ids", path] = WordTokenizer(path)
-    return cache["ids", path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return worker_cache("packing", path, lambda: WordTokenizer(path))
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"

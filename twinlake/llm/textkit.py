@@ -63,14 +63,23 @@ def pin(df: DataFrame, rows_per_batch: int | None = None) -> DataFrame:
         spark.conf.set(name, before)
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker.  Globals of functions pickled by
-    value last for one task only."""
-    name = "_twinlake_worker_cache"
+def _kept(name: str) -> dict:
+    """A dict that lives as long as the Python worker.  Globals of functions pickled by value last for one task only."""
+    name = f"_twinlake_{name}"
     if name not in sys.modules:
         sys.modules[name] = types.ModuleType(name)
-        sys.modules[name].cache = {}
-    return sys.modules[name].cache
+        sys.modules[name].kept = {}
+    return sys.modules[name].kept
+
+
+def worker_cache(owner: str, key, make):
+    """``make()`` for the last key of the last owner that a worker served.  Workers outlive queries, so what other
+    owners or keys left goes, and a worker never holds more than one operator's cache."""
+    kept = _kept("cache")
+    if kept.get("of") != (owner, key):
+        kept.clear()
+        kept |= {"of": (owner, key), "value": make()}
+    return kept["value"]
 
 
 # -- words of many documents at once ---------------------------------------
@@ -101,7 +110,7 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
 
 
 def _tables() -> dict:
-    own = worker_cache().setdefault("textkit", {})
+    own = _kept("tables")
     if not own:
         rng = np.random.default_rng(0x5EED)
         space = np.zeros(256, bool)

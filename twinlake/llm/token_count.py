@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .textkit import documents, utf8, worker_cache
 
 #: Words whose counts a worker remembers before it starts again.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -123,10 +123,7 @@ def token_counts(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", t
     name = hashlib.sha256(b"\0".join(pieces)).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
-        if ("counts", name) not in cache:
-            cache["counts", name] = Counts(Automaton(shared.value))
-        known = cache["counts", name]
+        known = worker_cache("token_count", name, lambda: Counts(Automaton(shared.value)))
         for batch in batches:
             data, at = utf8(batch.column(1))
             data, n = data.tobytes(), len(batch)

@@ -73,7 +73,7 @@ def text_words(text: str | None) -> set[str]:
 class Matcher(dict):
     """word -> indices of its patterns in ``patterns``; remembers up to ``limit`` words."""
 
-    def __init__(self, patterns: list[str], limit: int = 500_000):
+    def __init__(self, patterns: list[str], limit: int = 200_000):
         self.index, self.limit = {p: i for i, p in enumerate(patterns)}, limit
 
     def __missing__(self, word: str) -> tuple:
@@ -91,11 +91,7 @@ class Matcher(dict):
 
 
 def _matcher(patterns: list[str]) -> Matcher:
-    cache, key = worker_cache(), ("matcher", hash(tuple(patterns)), len(patterns))
-    found = cache.get(key)
-    if found is None or list(found.index) != patterns:
-        cache[key] = found = Matcher(patterns)
-    return found
+    return worker_cache("toxicity", tuple(patterns), lambda: Matcher(patterns))
 
 
 # -- 1. voters --------------------------------------------------------------
@@ -110,7 +106,6 @@ def training_rows(docs: DataFrame, marks: DataFrame, rows: int, id_col: str = "d
 
 def _pattern_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
-    n = [0, 0]
 
     def rows():
         keys = list(counts[0].keys() | counts[1].keys())
@@ -118,13 +113,11 @@ def _pattern_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for batch in batches:
         for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            n[y > 0] += 1
             counts[y > 0].update({p for w in text_words(text.as_py()) for p in patterns_of(w)})
             if len(counts[0]) + len(counts[1]) > 1_000_000:
                 yield rows()
                 counts[0].clear(), counts[1].clear()
     yield rows()
-    yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([n[1]], pa.int64()), pa.array([n[0]], pa.int64())], ["pattern", "tox", "clean"])
 
 
 def _ratio() -> Column:
@@ -140,13 +133,12 @@ def _ratio() -> Column:
 def learned_patterns(train: DataFrame) -> tuple[list[tuple[str, int, int]], int, int]:
     """(pattern, toxic rows, clean rows) of the patterns that stand out, strongest first, and the numbers of toxic and clean rows."""
     counts = train.mapInArrow(_pattern_counts, "pattern string, tox long, clean long").groupBy("pattern").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
-    total = counts.filter(F.col("pattern") == "").select(F.col("tox").alias("n_tox"), F.col("clean").alias("n_clean"))
-    own = counts.filter((F.col("pattern") != "") & (F.col("tox") > 1)).crossJoin(F.broadcast(total))  # one row of totals
+    n = train.agg(F.count_if(F.col("y") > 0).alias("tox"), F.count_if(F.col("y") <= 0).alias("clean")).first()
+    own = counts.filter(F.col("tox") > 1).withColumn("n_tox", F.lit(n["tox"])).withColumn("n_clean", F.lit(n["clean"]))
     own = own.withColumn("_ratio", _ratio()).filter((F.col("_ratio") >= MIN_RATIO) & (F.col("tox") * F.col("n_clean") > F.col("clean") * F.col("n_tox"))
                                                     & (F.col("tox") >= MIN_PRECISION * (F.col("tox") + F.col("clean"))))
     top = own.orderBy(F.col("_ratio").desc(), "pattern").limit(MAX_PATTERNS).select("pattern", "tox", "clean").collect()
-    n = total.first()
-    return [tuple(r) for r in top], int(n["n_tox"]) if n else 0, int(n["n_clean"]) if n else 0
+    return [tuple(r) for r in top], int(n["tox"]), int(n["clean"])
 
 
 # -- 2. label model ---------------------------------------------------------
@@ -237,8 +229,8 @@ class Classifier:
     weights: np.ndarray
     bias: float
 
-    def score(self, text: str | None) -> float:
-        fired = _matcher(self.patterns).fired(text)
+    def score(self, text: str | None, matcher: Matcher | None = None) -> float:
+        fired = (matcher or _matcher(self.patterns)).fired(text)
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[j] for j in fired), -30, 30))))
 
 
@@ -312,7 +304,8 @@ def score_column(model: Classifier, text: Column) -> Column:
     """The classifier's score of a text column, JVM columns beside it untouched."""
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
+        own = _matcher(model.patterns)
+        return pd.Series([model.score(t, own) for t in texts], dtype="float64")
 
     return score(text)
 
