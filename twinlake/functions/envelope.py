@@ -62,6 +62,15 @@ def paginated_meta(total: Column, page: Column, limit: Column) -> Column:
                     F.ceil(total / limit).cast("bigint").alias("totalPages"))
 
 
+def _truthy(v: Column, path: str) -> Column:
+    """Whether a value inside a variant counts as true in ``||``: by its type, so the text "0" does."""
+    x, s = F.try_variant_get(v, path, "variant"), F.try_variant_get(v, path, "string")
+    kind = F.schema_of_variant(x)
+    return (F.coalesce(kind, F.lit("VOID")) != "VOID") & ~(
+        F.coalesce(((kind == "STRING") & (s == "")) | ((kind == "BOOLEAN") & (s == "false"))
+                   | (~kind.isin("STRING", "BOOLEAN") & (s.try_cast("double") == 0)), F.lit(False)))
+
+
 def decode_inbound(text: Column) -> Column:
     """Normalise a reply received from another service.
 
@@ -72,24 +81,20 @@ def decode_inbound(text: Column) -> Column:
     """
     v = F.try_parse_json(text)
     succ = F.try_variant_get(v, "$.success", "boolean")
-    code_v = F.coalesce(
-        F.when(js_or(F.try_variant_get(v, "$.error.code", "string")).isNotNull(),
-               F.try_variant_get(v, "$.error.code", "variant")),
-        F.when(js_or(F.try_variant_get(v, "$.statusCode", "string")).isNotNull(),
-               F.try_variant_get(v, "$.statusCode", "variant")))
+    code_v = F.coalesce(*[F.when(_truthy(v, p), F.try_variant_get(v, p, "variant")) for p in ("$.error.code", "$.statusCode")])
     is_text = F.schema_of_variant(code_v) == "STRING"
-    code = (F.when(code_v.isNull(), F.lit(INBOUND_DEFAULT_STATUS))
-            .when(is_text, F.lit(INBOUND_DEFAULT_STATUS))
-            .otherwise(F.variant_get(code_v, "$", "int")))
-    msg = F.coalesce(js_or(F.try_variant_get(v, "$.error.message", "string"),
-                           F.try_variant_get(v, "$.message", "string")), F.lit(DEFAULT_MESSAGE))
+    code = (F.when(code_v.isNull() | is_text, F.lit(INBOUND_DEFAULT_STATUS))
+            .otherwise(F.coalesce(F.try_variant_get(code_v, "$", "int"), F.lit(INBOUND_DEFAULT_STATUS))))
+    msg = F.coalesce(*[F.when(_truthy(v, p), F.try_variant_get(v, p, "string")) for p in ("$.error.message", "$.message")],
+                     F.lit(DEFAULT_MESSAGE))
+    has_data = F.coalesce(F.array_contains(F.json_object_keys(text), "data"), F.lit(False))
     data = F.get_json_object(text, "$.data")
     failed = succ.isNotNull() & ~succ
     return F.struct(
         (~failed).alias("ok"),
         F.when(failed, code).alias("code"),
         F.when(failed, msg).alias("message"),
-        F.when(~failed, F.coalesce(data, text)).alias("data"))
+        F.when(~failed, F.when(has_data, data).otherwise(text)).alias("data"))
 
 
 def normalise_result(result: Column, ts: Column) -> Column:
@@ -122,7 +127,7 @@ ERROR_RESPONSE_RESERVED = ("message", "statusCode", "error")
 
 def error_details(response: Column) -> Column:
     """E5: the error response minus ``message``, ``statusCode`` and ``error``;
-    NULL (absent) when nothing is left.  Values are kept as text."""
-    m = F.from_json(response, "map<string,string>")
+    NULL (absent) when nothing is left.  Values keep their JSON types."""
+    m = F.from_json(response, "map<string,variant>")
     rest = F.map_filter(m, lambda k, _: ~k.isin(*ERROR_RESPONSE_RESERVED))
     return F.when(F.size(rest) > 0, F.to_json(rest))

@@ -51,10 +51,11 @@ def yes_no(c: Column) -> Column:
 
 
 def js_or(*cols: Column) -> Column:
-    """F13 ``a || b || c``: first value that is not null, 0, false or ''."""
+    """F13 ``a || b || c``: first value that is not null, 0, false or ''.  Falsiness goes by
+    type: the texts "0" and "false" are true."""
     def truthy(c: Column) -> Column:
-        s = c.cast("string")
-        return F.when(c.isNull() | s.isin("", "0", "false", "0.0"), F.lit(None)).otherwise(c)
+        s, text = c.cast("string"), F.typeof(c) == "string"
+        return F.when(c.isNull() | (s == "") | (~text & s.isin("0", "false", "0.0")), F.lit(None)).otherwise(c)
     return F.coalesce(*[truthy(c) for c in cols])
 
 

@@ -177,9 +177,10 @@ def _fmt(template: str, *cols) -> Column:
 
 def assign(cmds: DataFrame, authors: DataFrame, books: DataFrame, order: list[str],
            author_col: str = "author_id", book_col: str = "book_id",
-           author_key: str = "id", book_key: str = "id") -> DataFrame:
+           author_key: str = "id", book_key: str = "id", existing_links: DataFrame | None = None) -> DataFrame:
     """K8/K9 (J11 duplicate-pair check): author must exist (404), then book (404),
-    then the pair must not be assigned yet (409); the first valid request for a pair wins.
+    then the pair must not be assigned yet (409), neither by an earlier request nor in
+    ``existing_links`` (the stored pairs); the first valid request for a pair wins.
 
     Parent existence is a left join to *distinct* parent keys; "first" is a
     ``min`` over the order per pair (partial aggregate, no per-pair window), so a
@@ -195,11 +196,16 @@ def assign(cmds: DataFrame, authors: DataFrame, books: DataFrame, order: list[st
     first = cmds.groupBy(author_col, book_col).agg(F.min(pos).alias("_first"))
     j = f.join(first, [author_col, book_col], "left")
     a, b = F.col(author_col), F.col(book_col)
+    fresh = pos == F.col("_first")
+    if existing_links is not None:
+        stored = existing_links.select(author_col, book_col).distinct().withColumn("_stored", F.lit(True))
+        j = j.join(stored, [author_col, book_col], "left")
+        fresh = fresh & F.col("_stored").isNull()
     code = (F.when(~F.col("_author_ok"), 404).when(~F.col("_book_ok"), 404)
-            .when(pos == F.col("_first"), 200).otherwise(409))
+            .when(fresh, 200).otherwise(409))
     msg = (F.when(~F.col("_author_ok"), _fmt(MSG_AUTHOR_NOT_FOUND, a))
            .when(~F.col("_book_ok"), _fmt(MSG_BOOK_NOT_FOUND, b))
-           .when(pos == F.col("_first"), F.lit(None).cast("string"))
+           .when(fresh, F.lit(None).cast("string"))
            .otherwise(_fmt(MSG_ALREADY_ASSIGNED, a, b)))
     keep = [c for c in cmds.columns]
     return j.select(*keep, code.alias("code"), msg.alias("message"))
@@ -230,13 +236,17 @@ def unassign(requests: DataFrame, links: DataFrame, order: list[str], id_col: st
                      .otherwise(_fmt(MSG_ASSIGNMENT_NOT_FOUND, F.col(id_col))).alias("message"))
 
 
-def create_unique(cmds: DataFrame, unique: str, order: list[str]) -> DataFrame:
+def create_unique(cmds: DataFrame, unique: str, order: list[str], existing: DataFrame | None = None) -> DataFrame:
     """K2: a create whose unique value (non-null) was taken by an earlier
-    create is rejected with 400."""
+    create, or is held by a row of the stored table ``existing``, is rejected with 400."""
     pos = F.struct(*[F.col(c) for c in order])
     first = cmds.filter(F.col(unique).isNotNull()).groupBy(unique).agg(F.min(pos).alias("_first"))
     j = cmds.join(first, unique, "left")
     bad = F.col(unique).isNotNull() & (pos != F.col("_first"))
+    if existing is not None:
+        held = existing.select(unique).filter(F.col(unique).isNotNull()).distinct().withColumn("_held", F.lit(True))
+        j = j.join(held, unique, "left")
+        bad = bad | F.col("_held").isNotNull()
     return j.select(*cmds.columns, F.when(bad, 400).otherwise(200).alias("code"),
                     F.when(bad, _fmt(MSG_ISBN_EXISTS, F.col(unique))).alias("message"))
 

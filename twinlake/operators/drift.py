@@ -97,7 +97,8 @@ def align(read: DataFrame, target: T.StructType, defaults: dict | None = None,
 
     Obsolete columns are dropped, missing ones added with their default,
     differing types cast in place (``strict``: ANSI cast, a bad value fails the
-    job like the reference's ALTER; otherwise ``try_cast`` leaves NULL).
+    job like the reference's ALTER; otherwise ``try_cast`` leaves NULL, and a pair of
+    types without any cast leaves the column NULL, to be refilled by the copy).
     """
     defaults = defaults or {}
     have = {f.name: f.dataType for f in read.schema.fields}
@@ -107,7 +108,10 @@ def align(read: DataFrame, target: T.StructType, defaults: dict | None = None,
             cols.append(_default_expr(defaults.get(f.name), f.dataType).alias(f.name))
         elif have[f.name] != f.dataType:
             c = F.col(f.name)
-            cols.append((c.cast(f.dataType) if strict else c.try_cast(f.dataType)).alias(f.name))
+            if strict:
+                cols.append(c.cast(f.dataType).alias(f.name))
+            else:
+                cols.append((c.try_cast(f.dataType) if castable(read, f.name, f.dataType) else F.lit(None).cast(f.dataType)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return read.select(*cols)

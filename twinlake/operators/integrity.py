@@ -112,12 +112,16 @@ def fk_cleanup(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame
     return j.filter(_any_null(list(fk.columns)) | F.col("_has_parent").isNotNull()).drop("_has_parent")
 
 
+def _fk_value(fk: ForeignKey) -> Column:
+    """The reference as reported: the value of a single column, a JSON object of all columns of a composite key."""
+    return F.col(fk.columns[0]) if len(fk.columns) == 1 else F.to_json(F.struct(*fk.columns))
+
+
 def fk_orphan_report(child: DataFrame, parents: dict[str, DataFrame], fks: list[ForeignKey],
                      key: list[str]) -> DataFrame:
     """I4: which rows break which constraint; one anti join per FK, unioned."""
     parts = [fk_orphans(child, parents[fk.parent], fk)
-             .select(F.lit(fk.name).alias("constraint_name"), *key,
-                     *[F.col(c).alias("fk_value") for c in fk.columns[:1]])
+             .select(F.lit(fk.name).alias("constraint_name"), *key, _fk_value(fk).alias("fk_value"))
              for fk in sorted(fks, key=lambda f: f.name)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -153,7 +157,7 @@ def self_reference_cleanup(df: DataFrame, fk: ForeignKey, key: str, materialize:
                        F.when(F.col("_st").isNull() & F.col("_st2").isNull(), F.col("_ptr2"))
                         .otherwise(F.col("_ptr")).alias("_ptr"),
                        F.coalesce(F.col("_st"), F.col("_st2")).alias("_st")))
-        node = nxt.checkpoint(eager=True) if materialize else nxt
+        node = nxt.checkpoint(eager=True)  # always: each round reads the last one twice
         left = node.filter(F.col("_st").isNull()).count()
         if left == pending:      # no row resolved this round: the rest lead into cycles
             break
@@ -172,10 +176,26 @@ def fk_cleanup_chain(tables: dict[str, DataFrame], fks: dict[str, list[ForeignKe
     -> key column) uses ``self_reference_cleanup`` (O(log depth) rounds); any other
     self-reference is re-applied until no row is removed.
     Each cleaned table is checkpointed (reliable checkpoint in the session's
-    checkpoint dir) so deep chains do not grow one giant lineage.
+    checkpoint dir) so deep chains do not grow one giant lineage.  Tables that
+    reference each other have no such order: the whole pass is then repeated, from
+    checkpoint to checkpoint, until it removes no row.
     """
-    order = _topological(tables, fks)
-    out = dict(tables)
+    order, cyclic = _topological(tables, fks)
+    out = _clean_pass(dict(tables), order, fks, materialize or cyclic, keys)
+    if cyclic:
+        sizes = {n: out[n].count() for n in cyclic}
+        while True:
+            out = _clean_pass(out, order, fks, True, keys)
+            left = {n: out[n].count() for n in cyclic}
+            if left == sizes:
+                break
+            sizes = left
+    return out
+
+
+def _clean_pass(out: dict[str, DataFrame], order: list[str], fks: dict[str, list[ForeignKey]], materialize: bool,
+                keys: dict[str, str] | None) -> dict[str, DataFrame]:
+    """One pass over the tables in order."""
     for name in order:
         df = out[name]
         for fk in sorted(fks.get(name, []), key=lambda f: f.name):
@@ -184,9 +204,7 @@ def fk_cleanup_chain(tables: dict[str, DataFrame], fks: dict[str, list[ForeignKe
             elif fk.parent == name:
                 while True:
                     before = df.count()
-                    df = fk_cleanup(df, df, fk)
-                    if materialize:
-                        df = df.checkpoint(eager=True)
+                    df = fk_cleanup(df, df, fk).checkpoint(eager=True)  # always: the plan would double each round
                     if df.count() == before:
                         break
             else:
@@ -197,15 +215,17 @@ def fk_cleanup_chain(tables: dict[str, DataFrame], fks: dict[str, list[ForeignKe
     return out
 
 
-def _topological(tables: dict[str, DataFrame], fks: dict[str, list[ForeignKey]]) -> list[str]:
+def _topological(tables: dict[str, DataFrame], fks: dict[str, list[ForeignKey]]) -> tuple[list[str], list[str]]:
+    """Tables with parents first, and the tables on reference cycles (a cycle is cut at its last table by name)."""
     deps = {t: {fk.parent for fk in fks.get(t, []) if fk.parent != t and fk.parent in tables} for t in tables}
-    order, seen = [], set()
+    order, seen, cyclic = [], set(), set()
 
     def visit(t, stack=()):
         if t in seen:
             return
         if t in stack:
-            raise ValueError(f"FK cycle through {t}")
+            cyclic.update(stack[stack.index(t):])
+            return
         for p in sorted(deps[t]):
             visit(p, stack + (t,))
         seen.add(t)
@@ -213,4 +233,4 @@ def _topological(tables: dict[str, DataFrame], fks: dict[str, list[ForeignKey]])
 
     for t in sorted(tables):
         visit(t)
-    return order
+    return order, sorted(cyclic)

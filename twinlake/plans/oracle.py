@@ -50,9 +50,9 @@ FX: dict[str, str] = {
                     ELSE lpad(CAST(p_partkey % 1500 AS VARCHAR), 13, '0') END AS isbn,
                CASE WHEN p_partkey % 5 = 0 THEN 'abc' ELSE CAST(1900 + p_size AS VARCHAR) END AS yr
         FROM part""",
-    "req": "SELECT event_id, ts FROM events WHERE event_type = 'view'",
+    "req": "SELECT event_id, ts FROM events",
     "rep": """SELECT event_id, ts + to_seconds(CAST(event_id % 15 AS BIGINT)) AS rts
-              FROM events WHERE event_type = 'view' AND event_id % 29 <> 0""",
+              FROM events WHERE event_id % 29 <> 0""",
     "text_write": "SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 4",
     "text_read": """
         SELECT doc_id,
@@ -527,7 +527,7 @@ register("reply_decode", """
              WHEN event_id % 3 = 0 THEN '{"success":false,"error":{"code":404,"message":"missing ' || event_id || '"}}'
              WHEN event_id % 3 = 1 THEN '{"success":false,"statusCode":"E_TEXT","message":"text code ' || event_id || '"}'
              ELSE '{"success":true,"data":{"id":' || event_id || ',"v":' || user_id || '}}' END AS reply
-        FROM events WHERE event_type = 'view'),
+        FROM events),
     d AS (SELECT event_id, reply, coalesce(json_extract(reply, '$.success')::BOOLEAN, true) AS ok,
                  json_type(reply, '$.error.code') AS ect, json_extract_string(reply, '$.error.code') AS ec,
                  json_type(reply, '$.statusCode') AS sct, json_extract_string(reply, '$.statusCode') AS sc

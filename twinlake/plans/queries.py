@@ -716,7 +716,7 @@ def reply_timeout(spark, sf):
 
 
 def _inbound(t: Tables):
-    e = t.events.filter(F.col("event_type") == "view")
+    e = t.events
     eid = F.col("event_id").cast("string")
     text = (F.when(F.col("event_id") % 11 == 0, F.lit('{"success":false}'))
             .when(F.col("event_id") % 7 == 0, F.concat(F.lit('{"success":true,"id":'), eid, F.lit("}")))

@@ -62,9 +62,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Tests and local runs only: set a checkpoint dir when none is configured."""
+    """Set a temporary checkpoint dir when none is configured, on local masters only: executors on other
+    hosts would not see it, so any other master without ``spark.checkpoint.dir`` is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            return checkpoint_dir(spark)
         d = tempfile.mkdtemp(prefix="twinlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

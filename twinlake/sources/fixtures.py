@@ -150,11 +150,11 @@ def payloads(t: Tables) -> DataFrame:
 
 # FX-REPLY ------------------------------------------------------------------
 def requests(t: Tables) -> DataFrame:
-    return t.events.filter(F.col("event_type") == "view").select("event_id", "ts")
+    return t.events.select("event_id", "ts")
 
 
 def replies(t: Tables) -> DataFrame:
-    e = t.events.filter((F.col("event_type") == "view") & (_mod("event_id", 29) != 0))
+    e = t.events.filter(_mod("event_id", 29) != 0)  # these requests never get a reply
     return e.select("event_id", (F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 15).cast("decimal(8,6)"))).alias("rts"))
 
 

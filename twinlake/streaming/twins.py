@@ -25,15 +25,24 @@ def _root(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def write_time_chunks(df: DataFrame, path: str, ts: str, chunks: int = 4) -> None:
+def write_time_chunks(df: DataFrame, path: str, ts: str, chunks: int = 4, key: str | None = None) -> int:
     """Write ``df`` as ``chunks`` successive appends, each covering the next range
     of ``ts`` (a time or a number), so a file stream reads them in that order.
     Only the column's min and max come to the driver.  The input is checkpointed
-    once so the chunk writes do not recompute its plan."""
-    df = df.checkpoint(eager=True)
+    once so the chunk writes do not recompute its plan.
+
+    With ``key``, all rows of a key and chunk are in one file, as in a partition of a
+    topic.  Files are read in the order of their appends, so a key's rows keep their
+    order wherever micro-batches cut a chunk, however many files it has.
+
+    Returns the length of a chunk in whole seconds, rounded up (0 for numbers): how far
+    behind the newest row a row of the same chunk can be, and so the least watermark
+    delay that loses none.
+    """
+    df = (df.repartition(key) if key else df).checkpoint(eager=True)
     b = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()  # one row: the time range
     if b["lo"] is None:
-        return
+        return 0
     lo, hi = b["lo"], b["hi"]
     step = (hi - lo) / chunks
     cuts = [F.lit(lo + step * i) for i in range(1, chunks)]
@@ -45,6 +54,7 @@ def write_time_chunks(df: DataFrame, path: str, ts: str, chunks: int = 4) -> Non
         if i < chunks - 1:
             cond = cond & (F.col(ts) < cuts[i])
         df.filter(cond).write.mode("append").parquet(path)
+    return int(step.total_seconds()) + 1 if hasattr(step, "total_seconds") else 0
 
 
 def _drain(stream: DataFrame, sink: str, ckpt: str) -> None:
@@ -62,7 +72,7 @@ def command_records(cmd: DataFrame) -> DataFrame:
 
 
 def _applied_stream(spark: SparkSession, cmd: DataFrame, root: str, api: str = "pandas_with_state") -> DataFrame:
-    write_time_chunks(command_records(cmd), f"{root}/in", "timestamp")
+    write_time_chunks(command_records(cmd), f"{root}/in", "timestamp", key="key")
     src = topics.file_stream(spark, f"{root}/in", max_files_per_trigger=FILES_PER_BATCH, fmt="parquet")
     fields = {"value": "double", "props": "string"}
     parsed = topics.parse_commands(src, "author", fields)
@@ -110,9 +120,9 @@ def replies_run(spark: SparkSession, cmd: DataFrame) -> DataFrame:
 def dedupe_run(spark: SparkSession, events: DataFrame) -> DataFrame:
     """A doubled event stream deduplicated within the watermark."""
     root = _root(spark, "stream-dedupe")
-    write_time_chunks(events, f"{root}/in", "occurred_at")
+    span = write_time_chunks(events, f"{root}/in", "occurred_at")
     src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/in")
-    out = commands.dedupe_messages(src, id_col="event_id", ts="occurred_at")
+    out = commands.dedupe_messages(src, id_col="event_id", ts="occurred_at", delay=f"{max(span, 3600)} seconds")
     _drain(out, f"{root}/out", f"{root}/ckpt")
     return spark.read.parquet(f"{root}/out")
 
@@ -135,8 +145,7 @@ def timeout_run(spark: SparkSession, req: DataFrame, rep: DataFrame, timeout_s:
     event time is appended last so the watermark passes every real request."""
     root = _root(spark, "stream-timeout")
     marker_ts = F.lit("2999-01-01 00:00:00").cast("timestamp_ntz")
-    write_time_chunks(req, f"{root}/req", "ts")
-    write_time_chunks(rep, f"{root}/rep", "rts")
+    span = max(write_time_chunks(req, f"{root}/req", "ts"), write_time_chunks(rep, f"{root}/rep", "rts"))
     # one marker row per stream (a global aggregate yields exactly one row)
     req.agg(F.max(F.lit(-1).cast("bigint")).alias("event_id"), F.max(marker_ts).alias("ts")) \
        .write.mode("append").parquet(f"{root}/req")
@@ -144,6 +153,6 @@ def timeout_run(spark: SparkSession, req: DataFrame, rep: DataFrame, timeout_s:
        .write.mode("append").parquet(f"{root}/rep")
     rq = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/req")
     rp = spark.readStream.schema(rep.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/rep")
-    out = replies.correlate_stream(rq, rp, timeout_s)
+    out = replies.correlate_stream(rq, rp, timeout_s, lateness=f"{max(span, 10)} seconds")
     _drain(out, f"{root}/out", f"{root}/ckpt")
     return spark.read.parquet(f"{root}/out").filter(F.col("event_id") >= 0)
