@@ -266,8 +266,8 @@ def test_quality_against_brute_force(spark, docs, empty):
     assert quality.measured(empty).count() == 0
 
 
-def test_quality_is_one_projection(spark, docs):
-    plan = quality.measured(docs.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+def test_quality_is_one_projection(spark):
+    plan = quality.measured(textkit.documents(spark, SF_SMALL).select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Generate" not in plan
 
 

@@ -37,6 +37,9 @@ ALPHA = 0.5
 RANK_ROWS = 20_000
 
 
+OWN = ("mix_quota", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
+
+
 def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
@@ -88,9 +91,10 @@ def schedule(docs: DataFrame, targets: dict | None = None, alpha: float = ALPHA,
              carry: list[str] | None = None) -> DataFrame:
     """The place of every row: its source's quota, block, release, deadline and slot, and its place in the block.
 
-    ``carry``: names of columns of ``docs`` that the result has besides id and source.
+    ``carry``: names of columns of ``docs`` that the result has besides id and source; the schedule's own
+    columns take the place of columns with their names.
     """
-    carry = [c for c in (carry or []) if c not in (id_col, source_col)]
+    carry = [c for c in (carry or []) if c not in (id_col, source_col, *OWN)]
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("_row"),
                         _key(F.col(source_col)).alias("_key"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_hash"))
     counts = docs.select(_key(F.col(source_col)).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
@@ -124,8 +128,10 @@ def schedule(docs: DataFrame, targets: dict | None = None, alpha: float = ALPHA,
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """All rows of ``docs``, its columns only, sorted into the schedule's order."""
-    out = schedule(docs, carry=list(docs.columns), **options)
-    return out.orderBy("mix_slot", "mix_place").select(*docs.columns)
+    id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
+    whole = docs.select(F.col(id_col), F.col(source_col), F.struct(*docs.columns).alias("_twinlake_row"))
+    out = schedule(whole, carry=["_twinlake_row"], **options)
+    return out.orderBy("mix_slot", "mix_place").select("_twinlake_row.*")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
