@@ -93,3 +93,82 @@ def test_error_details_keep_their_types(spark):
     df = spark.createDataFrame([('{"message":"m","statusCode":400,"retry":3,"fields":["a"]}',), ('{"message":"m"}',)], "t string")
     got = [r[0] for r in df.select(E.error_details(F.col("t"))).collect()]
     assert got == ['{"retry":3,"fields":["a"]}', None]
+
+
+def one(spark, text, *cols):
+    return tuple(spark.createDataFrame([(text,)], "t string").select(*cols).first())
+
+
+def test_redaction_keeps_undeclared_and_null_fields(spark):
+    from twinlake.functions import redact as G
+    cases = {'{"a":1,"level":null,"password":"x","other":{"z":1}}': '{"a":1,"level":null,"other":{"z":1},"password":"[REDACTED]"}',
+             '{"password":null,"image":{"x":1},"deep":{"image":1,"l":[{"token":{"a":1}},[{"buffer":2}],"s"]}}':
+                 '{"deep":{"image":1,"l":[{"token":"[REDACTED]"},[{"buffer":"[REDACTED]"}],"s"]},"image":"[REDACTED]","password":null}',
+             '{"req":{"headers":{"authorization":"b","host":"h"}},"headers":{"authorization":"k"}}':
+                 '{"headers":{"authorization":"k"},"req":{"headers":{"authorization":"[REDACTED]","host":"h"}}}',
+             "plain text": "plain text", "[]": "[]", "{}": "{}"}
+    for text, want in cases.items():
+        assert one(spark, text, G.redact_json(F.col("t")))[0] == want
+    deep = '{"a":' * 12 + '{"token":"hidden"}' + "}" * 12
+    assert "hidden" not in one(spark, deep, G.redact_json(F.col("t")))[0]
+    assert one(spark, None, G.redact_json(F.col("t")))[0] is None
+
+
+def test_replies_keep_json_types_and_wrapped_errors(spark):
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+
+    def result(text):
+        r = one(spark, text, E.normalise_result(F.col("t"), at).alias("r"))[0]
+        return r["kind"], r["success"], r["data"], r["meta"], r["error"]
+
+    stamp = '"timestamp":"2024-01-01T00:00:00.000Z"'
+    assert result('{"data":"abc","meta":{"page":2}}') == ("unwrapped", True, '"abc"', '{"page":2,' + stamp + "}", None)
+    assert result('{"success":false,"error":{"code":409}}') == ("wrapped", False, None, None, '{"code":409}')
+    assert result('{"data":1,"meta":{"timestamp":"own"}}')[3] == '{"timestamp":"own"}'
+    assert result(None) == ("empty", True, "true", "{" + stamp + "}", None)
+    message = E.normalise_error_message(F.col("t"), F.lit("own"))
+    for text, want in {'{"message":["a","b"]}': "a; b", '{"message":{"x":1}}': '{"x":1}', '{"message":""}': "",
+                       '{"message":null}': "own", "{}": "own", '{"message":5}': "5", "no json": "own"}.items():
+        assert one(spark, text, message)[0] == want
+    assert one(spark, '{"success":false,"error":{"details":{"b":[1],"a":"x"}}}', E.inbound_details(F.col("t")))[0] == '{"a":"x","b":[1]}'
+    assert one(spark, '{"success":false,"error":{"details":{}}}', E.inbound_details(F.col("t")))[0] is None
+
+
+def test_messages_are_judged_by_json_type(spark):
+    from twinlake.functions import validate as V
+    cases = [("book.create", '{"title":5}', ["title must be a string", "title must be longer than or equal to 3 characters"]),
+             ("book.getAll", '{"page":"2","limit":100}', ["page must be an integer number", "page must not be less than 1"]),
+             ("author.getAll", '{"page":"2","limit":"101"}', ["limit must not be greater than 100"]),
+             ("authorBook.unassign", "{}", ["id must be a UUID", "id should not be empty"]),
+             ("author.delete", "no json", ["id must be a UUID"]), ("author.delete", None, ["id must be a UUID"]),
+             ("unknown", "{}", [])]
+    df = spark.createDataFrame([(i, t, p) for i, (t, p, _) in enumerate(cases)], "i int, topic string, payload string")
+    df = df.select("i", "topic", F.try_parse_json("payload").alias("m"))
+    got = [list(r["v"]) for r in df.select("i", V.topic_violations(F.col("topic"), F.col("m")).alias("v")).orderBy("i").collect()]
+    assert got == [w for _, _, w in cases]
+
+
+def test_pair_may_be_assigned_again_after_unassign(spark):
+    ops = ["assign", "assign", "unassign", "unassign", "assign"]
+    cmds = spark.createDataFrame([(i, 1, 1, op) for i, op in enumerate(ops)] + [(9, 2, 1, "unassign"), (10, 2, 1, "assign"), (11, 7, 1, "assign")],
+                                 "n int, author_id int, book_id int, op string")
+    authors, books = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(1,)], "id int")
+    stored = spark.createDataFrame([(2, 1), (2, 1)], "author_id int, book_id int")
+    out = K.assignment_log(cmds, authors, books, ["n"], existing_links=stored)
+    assert [r["code"] for r in out.orderBy("n").collect()] == [200, 409, 200, 404, 200, 200, 200, 404]
+    assert K.assignment_events(out, at="n").filter("event_type = 'authorBook.deleted'").count() == 2
+
+
+def test_segments_grow_with_the_input(spark, monkeypatch):
+    from twinlake.operators import scan
+    cmd, least = fx.commands(Tables(spark, SF_SMALL)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert scan.segment_count(cmd) == least
+    monkeypatch.setattr(scan, "SEGMENT_BYTES", max(1, scan.input_bytes(cmd) // 50))
+    assert 50 <= scan.segment_count(cmd) <= 52
+    assert scan.segment_count(spark.createDataFrame([(1,)], "i int")) == least  # size unknown
+
+
+def test_tables_are_found_by_listing(spark):
+    from twinlake.sources.inventory import table_names
+    assert table_names(spark, SF_SMALL) == sorted(Tables(spark, SF_SMALL).names())
+    assert "pages" not in table_names(spark, SF_SMALL, exclude=("pages",))

@@ -42,17 +42,46 @@ def normalise_message(message_list: Column, message_text: Column) -> Column:
                       F.nullif(message_text, F.lit("")), F.lit(DEFAULT_MESSAGE))
 
 
+def normalise_error_message(response: Column, message: Column) -> Column:
+    """E4 over an error's JSON ``response`` and its own text: ``response.message`` when present (a list
+    joined with '; ', an object as JSON, else its text, also the empty one), else ``message || default``."""
+    v = F.try_parse_json(response)
+    own = F.try_variant_get(v, "$.message", "variant")
+    listed = F.try_variant_get(own, "$", "array<string>")
+    return (F.when(listed.isNotNull(), F.array_join(listed, "; "))
+            .when(own.isNotNull() & ~F.is_variant_null(own), F.get_json_object(response, "$.message"))
+            .otherwise(F.coalesce(F.nullif(message, F.lit("")), F.lit(DEFAULT_MESSAGE))))
+
+
+def json_value(text: Column, key: str) -> Column:
+    """A top-level member as JSON text: strings keep their quotes; absent or null gives NULL."""
+    own = F.try_variant_get(F.try_parse_json(text), f"$.{key}", "variant")
+    return F.when(F.schema_of_variant(own) == "STRING", F.to_json(own)).otherwise(F.get_json_object(text, f"$.{key}"))
+
+
+def merge_meta(ts: Column, meta: Column) -> Column:
+    """``{timestamp, ...meta}`` as JSON text; a field of ``meta`` wins, keys in sorted order."""
+    own = F.coalesce(F.from_json(meta, "map<string,variant>"),
+                     F.map_from_entries(F.array().cast("array<struct<key:string,value:variant>>")))
+    stamp = F.map_from_arrays(F.array(F.lit("timestamp")), F.array(
+        F.try_variant_get(F.to_variant_object(F.array(iso_timestamp(ts))), "$[0]", "variant")))
+    stamp = F.map_filter(stamp, lambda k, x: ~F.array_contains(F.map_keys(own), k))
+    return F.to_json(F.to_variant_object(F.map_concat(stamp, own)))
+
+
 def success(data_json: Column, ts: Column) -> Column:
     """``{success: true, data, meta: {timestamp}}``; a missing result becomes ``true``."""
     return F.struct(F.lit(True).alias("success"), F.coalesce(data_json, F.lit("true")).alias("data"),
-                    F.lit(None).cast("struct<message:string,code:int>").alias("error"),
+                    F.lit(None).cast("struct<message:string,code:int,details:string>").alias("error"),
                     F.struct(iso_timestamp(ts).alias("timestamp")).alias("meta"))
 
 
-def error(message: Column, code: Column, ts: Column) -> Column:
-    """``{success: false, error: {message, code}, meta: {timestamp}}``."""
+def error(message: Column, code: Column, ts: Column, details: Column | None = None) -> Column:
+    """``{success: false, error: {message, code, details}, meta: {timestamp}}``; details are JSON text."""
+    details = F.lit(None).cast("string") if details is None else details
     return F.struct(F.lit(False).alias("success"), F.lit(None).cast("string").alias("data"),
-                    F.struct(message.alias("message"), code.cast("int").alias("code")).alias("error"),
+                    F.struct(message.alias("message"), code.cast("int").alias("code"),
+                             details.alias("details")).alias("error"),
                     F.struct(iso_timestamp(ts).alias("timestamp")).alias("meta"))
 
 
@@ -77,7 +106,7 @@ def decode_inbound(text: Column) -> Column:
     Returns ``struct(ok, code, message, data)``: on ``success = false`` the code
     is ``error.code || statusCode || 400`` and any *text* code becomes 400; the
     message ``error.message || message || default``.  On success the data is
-    ``data`` when present, else the whole object.
+    ``data`` when present, else the whole object (``inbound_details`` has an error's details).
     """
     v = F.try_parse_json(text)
     succ = F.try_variant_get(v, "$.success", "boolean")
@@ -88,7 +117,7 @@ def decode_inbound(text: Column) -> Column:
     msg = F.coalesce(*[F.when(_truthy(v, p), F.try_variant_get(v, p, "string")) for p in ("$.error.message", "$.message")],
                      F.lit(DEFAULT_MESSAGE))
     has_data = F.coalesce(F.array_contains(F.json_object_keys(text), "data"), F.lit(False))
-    data = F.get_json_object(text, "$.data")
+    data = json_value(text, "data")
     failed = succ.isNotNull() & ~succ
     return F.struct(
         (~failed).alias("ok"),
@@ -97,16 +126,25 @@ def decode_inbound(text: Column) -> Column:
         F.when(~failed, F.when(has_data, data).otherwise(text)).alias("data"))
 
 
+def inbound_details(text: Column) -> Column:
+    """The fields of a failed reply's ``error.details`` as JSON text; NULL when there are none."""
+    v = F.try_parse_json(text)
+    failed = F.coalesce(~F.try_variant_get(v, "$.success", "boolean"), F.lit(False))
+    given = F.try_variant_get(v, "$.error.details", "map<string,variant>")
+    return F.when(failed & (F.size(given) > 0), F.to_json(F.to_variant_object(given)))
+
+
 def normalise_result(result: Column, ts: Column) -> Column:
     """A handler's result (JSON text) as the reply it produces.
 
-    * an object that already has ``success`` passes through unchanged (E7);
+    * an object that already has ``success`` passes through unchanged, its error too (E7);
     * an object with both ``data`` and ``meta`` is unwrapped: its data becomes the
       reply data and its meta fields are spread into the reply meta (E2);
     * no result (``undefined``) becomes ``data: true``;
     * anything else is the reply data as is.
 
-    Returns ``struct(kind, success, data, meta, timestamp)`` with data/meta as JSON text.
+    Returns ``struct(kind, success, data, meta, error, timestamp)`` with data, meta and error as JSON text;
+    the meta of all but a wrapped result holds the timestamp.
     """
     v = F.try_parse_json(result)
     wrapped = F.try_variant_get(v, "$.success", "variant").isNotNull()
@@ -115,10 +153,13 @@ def normalise_result(result: Column, ts: Column) -> Column:
     kind = (F.when(result.isNull(), F.lit("empty")).when(wrapped, F.lit("wrapped"))
             .when(has_dm, F.lit("unwrapped")).otherwise(F.lit("plain")))
     data = (F.when(result.isNull(), F.lit("true"))
-            .when(wrapped | has_dm, F.get_json_object(result, "$.data")).otherwise(result))
+            .when(wrapped | has_dm, json_value(result, "data")).otherwise(result))
     success = F.when(wrapped, F.try_variant_get(v, "$.success", "boolean")).otherwise(F.lit(True))
-    meta = F.when(wrapped | has_dm, F.get_json_object(result, "$.meta"))
-    return F.struct(kind.alias("kind"), success.alias("success"), data.alias("data"), meta.alias("meta"),
+    wrapped = F.coalesce(wrapped, F.lit(False))
+    meta = (F.when(wrapped, F.get_json_object(result, "$.meta"))
+            .otherwise(merge_meta(ts, F.when(has_dm, F.get_json_object(result, "$.meta")))))
+    err = F.when(wrapped, json_value(result, "error"))
+    return F.struct(kind.alias("kind"), success.alias("success"), data.alias("data"), meta.alias("meta"), err.alias("error"),
                     iso_timestamp(ts).alias("timestamp"))
 
 

@@ -1,8 +1,8 @@
 """Structured-log jobs (G1-G4, P11): path redaction, level filter, record shaping.
 
-Redaction walks the record's schema on the driver (schema only, no data) and
-builds one nested ``struct`` expression, so the data pass is a single
-projection inside whole-stage codegen.
+Records of a known schema are redacted by one nested ``struct`` expression built
+from the schema on the driver.  Records of unknown shape are walked as variants,
+so undeclared and null fields survive; keys come out in the variant's (sorted) order.
 """
 
 from __future__ import annotations
@@ -50,9 +50,42 @@ def redact(c: Column, schema: T.StructType) -> Column:
     return _redact(c, schema, ())
 
 
-def redact_json(text: Column, schema: T.StructType) -> Column:
-    """G1 over JSON text: parse with the given schema, redact, serialise compactly."""
-    return F.to_json(redact(F.from_json(text, schema), schema))
+WALK_DEPTH = 8  # levels walked one by one; a deeper value holding a secret key is censored whole
+_SECRET_KEY = r'"(' + "|".join(ANY_DEPTH) + r')"\s*:'
+
+
+def _walk(v: Column, depth: int, path: tuple[str, ...] | None) -> Column:
+    """A variant with its secrets replaced; ``path`` is None off the exact paths."""
+    censor = F.parse_json(F.lit(f'"{CENSOR}"'))
+    if depth == 0:
+        return F.when(F.to_json(v).rlike(_SECRET_KEY), censor).otherwise(v)
+    names, deeper = set(ANY_DEPTH) | set(TOP_LEVEL_ONLY if path == () else ()), set()
+    for exact in (tuple(p.split(".")) for p in EXACT_PATHS):
+        if path is not None and exact[:len(path)] == path:
+            (names if len(exact) == len(path) + 1 else deeper).add(exact[len(path)])
+
+    def member(k: Column, x: Column) -> Column:
+        out = F.when(k.isin(*sorted(names)) & ~F.is_variant_null(x), censor)
+        for d in sorted(deeper):
+            out = out.when(k == d, _walk(x, depth - 1, (*path, d)))
+        return out.otherwise(_walk(x, depth - 1, None))
+
+    # an array is walked as a map by position, so that each level has one inner walk and the expression grows with
+    # the depth only; the lambda over one element binds the walked map, which is used twice
+    items = F.try_variant_get(v, "$", "array<variant>")
+    members = F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"),
+                         F.map_from_entries(F.transform(items, lambda x, i: F.struct(i.cast("string"), x))))
+    rebuilt = F.transform(F.array(F.transform_values(members, member)), lambda m: F.when(
+        items.isNotNull(), F.to_variant_object(F.map_values(m))).otherwise(F.to_variant_object(m)))[0]
+    return F.coalesce(rebuilt, v)
+
+
+def redact_json(text: Column, schema: T.StructType | None = None) -> Column:
+    """G1 over JSON text, serialised compactly.  With a schema only its fields are kept, in its
+    order; without one every field is.  Null secrets stay null; text that is no JSON stays as it is."""
+    if schema is not None:
+        return F.to_json(redact(F.from_json(text, schema), schema))
+    return F.coalesce(F.to_json(_walk(F.try_parse_json(text), WALK_DEPTH, ())), text)
 
 
 def level_rank(level: Column) -> Column:
@@ -73,11 +106,26 @@ def level_label(level: Column) -> Column:
     return F.upper(F.coalesce(m[level], F.lit(LEVEL_LABEL[DEFAULT_LEVEL])))
 
 
-def shape(level: Column, context: Column, is_object: Column) -> list[Column]:
-    """Label, context (default ``Application``) and the fixed message of an
-    object payload (``Error payload`` for errors, ``Object payload`` otherwise)."""
-    msg = F.when(~is_object, F.lit(None).cast("string")).when(level == "error", F.lit("Error payload")) \
-           .otherwise(F.lit("Object payload"))
-    return [level_label(level).alias("level_label"),
-            F.coalesce(context, F.lit(DEFAULT_CONTEXT)).alias("context"),
-            msg.alias("msg")]
+def shape(level: Column, context: Column, message: Column, trace: Column) -> list[Column]:
+    """Label, context (default ``Application``), message text and the record's fields as JSON.
+
+    An object (or array) message gives its fields, which win over ``context`` and ``trace``, and a fixed
+    text (``Error payload`` for errors, ``Object payload`` otherwise); any other message is the text itself.
+    A trace belongs to errors only and is left out when missing."""
+    v = F.try_parse_json(message)
+    items = F.try_variant_get(v, "$", "array<variant>")
+    own = F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"),
+                     F.map_from_entries(F.transform(items, lambda x, i: F.struct(i.cast("string"), x))))
+    ctx = F.coalesce(F.nullif(context, F.lit("")), F.lit(DEFAULT_CONTEXT))
+
+    base = F.map_from_arrays(F.array(F.lit("context"), F.lit("trace")), F.array(ctx, F.when(level == "error", trace)))
+    base = F.transform_values(F.map_filter(base, lambda k, x: x.isNotNull()),
+                              lambda k, x: F.try_variant_get(F.to_variant_object(F.array(x)), "$[0]", "variant"))
+    none = F.map_from_entries(F.array().cast("array<struct<key:string,value:variant>>"))
+    own = F.coalesce(own, none)
+    fields = F.map_concat(F.map_filter(base, lambda k, x: ~F.array_contains(F.map_keys(own), k)), own)
+    is_object = F.try_variant_get(v, "$", "map<string,variant>").isNotNull() | items.isNotNull()
+    msg = (F.when(~is_object, message).when(level == "error", F.lit("Error payload"))
+           .otherwise(F.lit("Object payload")))
+    return [level_label(level).alias("level_label"), ctx.alias("context"), msg.alias("msg"),
+            F.to_json(F.to_variant_object(fields)).alias("fields_json")]

@@ -115,3 +115,77 @@ def validate(df: DataFrame, rules: list[Column], keep: list[str]) -> DataFrame:
 def summary(validated: DataFrame) -> DataFrame:
     """Rows per distinct violation message ('' = clean)."""
     return validated.groupBy("message").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# --- the rule sets of all topics over JSON payloads --------------------------
+def _name(first: bool = True) -> list[tuple]:
+    return [("string",), *([("not_empty",)] if first else []), ("min_length", 3)]
+
+
+_OPT, _NUMBER = ("optional",), ("number",)
+# Per topic the properties in order and the rules declared on each. "optional" skips the others when
+# the value is absent or null; "number" marks a value turned into a number first.
+RULES_BY_TOPIC = {
+    "author.create": {"firstName": _name(), "lastName": _name(), "birthDate": [("date",)]},
+    "author.update": {"id": [("uuid",)], "firstName": [_OPT, *_name(False)], "lastName": [_OPT, *_name(False)],
+                      "birthDate": [_OPT, ("date",)]},
+    "author.delete": {"id": [("uuid",)]},
+    "author.get": {"id": [("uuid",)]},
+    "author.getAll": {"page": [_NUMBER, ("int",), ("min", 1)], "limit": [_NUMBER, ("int",), ("min", 1), ("max", 100)],
+                      "firstName": [_OPT, *_name(False)], "lastName": [_OPT, *_name(False)],
+                      "birthDate": [_OPT, ("date",)]},
+    "book.create": {"title": _name(), "isbn": [_OPT, ("string",), ("min_length", 10), ("max_length", 13)],
+                    "publishedYear": [_OPT, ("int",)]},
+    "book.update": {"id": [("uuid",)], "title": [_OPT, *_name(False)],
+                    "isbn": [_OPT, ("string",), ("min_length", 10), ("max_length", 13)],
+                    "publishedYear": [_OPT, ("int",)]},
+    "book.delete": {"id": [("string",), ("not_empty",)]},
+    "book.get": {"id": [("uuid",)]},
+    "book.getAll": {"page": [_OPT, ("int",), ("min", 1)], "limit": [_OPT, ("int",), ("min", 1), ("max", 100)],
+                    "title": [_OPT, *_name(False)], "isbn": [_OPT, *_name(False)], "publishedYear": [_OPT, ("int",)]},
+    "authorBook.assign": {"authorId": [("uuid",), ("not_empty",)], "bookId": [("uuid",), ("not_empty",)]},
+    "authorBook.unassign": {"id": [("uuid",), ("not_empty",)]},
+}
+
+
+def _json_rules(message: Column, prop: str, rules: list[tuple]) -> list[Column]:
+    """The messages of one property's rules, judged by JSON type: a number is no string, text is no
+    number unless the property is turned into one first."""
+    v = F.try_variant_get(message, f"$.{prop}", "variant")
+    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    absent, is_text = kind == "VOID", kind == "STRING"
+    text = F.when(is_text, F.try_variant_get(v, "$", "string"))
+    number = F.when(~kind.isin("STRING", "BOOLEAN", "VOID"), F.try_variant_get(v, "$", "double"))
+    if _NUMBER in rules:  # as JavaScript's Number(): '' is 0, true is 1; null and absent values stay
+        number = F.when(is_text, F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))) \
+            .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).otherwise(number)
+
+    def ok(cond: Column) -> Column:
+        return F.coalesce(cond, F.lit(False))
+
+    def judge(rule: str, n: int | None = None) -> Column:
+        passed, template = {
+            "string": (is_text, MSG_IS_STRING),
+            "not_empty": (~absent & ~ok(text == ""), MSG_NOT_EMPTY),
+            "min_length": (ok(F.length(text) >= F.lit(n)), MSG_MIN_LENGTH),
+            "max_length": (ok(F.length(text) <= F.lit(n)), MSG_MAX_LENGTH),
+            "int": (ok(number == F.floor(number)), MSG_IS_INT),
+            "min": (ok(number >= F.lit(n)), MSG_MIN),
+            "max": (ok(number <= F.lit(n)), MSG_MAX),
+            "uuid": (ok(text.rlike(UUID_PATTERN)), MSG_IS_UUID),
+            "date": (F.try_to_timestamp(text).isNotNull() | number.isNotNull(), MSG_IS_DATE),
+        }[rule]
+        return _msg(~passed, template, prop, n)
+
+    judged = [judge(*r) for r in rules if r not in (_OPT, _NUMBER)]
+    return [F.when(~absent, c) for c in judged] if _OPT in rules else judged
+
+
+def topic_violations(topic: Column, message: Column) -> Column:
+    """The violations of a message (a parsed JSON variant) by its topic's rule set, as an array of texts; an unknown
+    topic has none."""
+    out = F.array().cast("array<string>")
+    for name, props in RULES_BY_TOPIC.items():
+        out = F.when(topic == name, violations([m for p, rules in props.items() for m in _json_rules(message, p, rules)])) \
+            .otherwise(out)
+    return out

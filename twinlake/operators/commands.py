@@ -158,6 +158,30 @@ def route(cmd: DataFrame, entity: str = "author", key: str = "id",
     return cmd.select("event_id", topic.alias("topic"), *cols)
 
 
+# The fields each topic's command takes from its payload.
+COMMAND_FIELDS = {
+    "author.create": ("firstName", "lastName", "birthDate"),
+    "author.update": ("id", "firstName", "lastName", "birthDate"),
+    "author.delete": ("id",), "author.get": ("id",),
+    "author.getAll": ("page", "limit", "firstName", "lastName", "birthDate"),
+    "book.create": ("title", "isbn", "publishedYear"),
+    "book.update": ("id", "title", "isbn", "publishedYear"),
+    "book.delete": ("id",), "book.get": ("id",),
+    "book.getAll": ("page", "limit", "title", "isbn", "publishedYear"),
+    "authorBook.assign": ("authorId", "bookId"), "authorBook.unassign": ("id",),
+}
+
+
+def route_messages(msgs: DataFrame, keep: tuple[str, ...] = ("event_id",), topic: str = "topic",
+                   payload: str = "payload") -> DataFrame:
+    """T2/K15 over raw messages: one column per field, as text, filled only where the topic's command takes the
+    field; other payload fields are dropped, messages of unknown topics too."""
+    fields = dict.fromkeys(f for fs in COMMAND_FIELDS.values() for f in fs)
+    cols = [F.when(F.col(topic).isin(*[k for k, fs in COMMAND_FIELDS.items() if f in fs]),
+                   F.get_json_object(payload, f"$.{f}")).alias(f) for f in fields]
+    return msgs.filter(F.col(topic).isin(*COMMAND_FIELDS)).select(*keep, topic, *cols)
+
+
 # --- assignments (K8-K10) ----------------------------------------------------
 # The reply texts of the assignment handlers.
 MSG_AUTHOR_NOT_FOUND = "Author with ID {} not found."
@@ -236,6 +260,46 @@ def unassign(requests: DataFrame, links: DataFrame, order: list[str], id_col: st
                      .otherwise(_fmt(MSG_ASSIGNMENT_NOT_FOUND, F.col(id_col))).alias("message"))
 
 
+def assignment_log(cmds: DataFrame, authors: DataFrame, books: DataFrame, order: list[str],
+                   author_col: str = "author_id", book_col: str = "book_id", author_key: str = "id",
+                   book_key: str = "id", existing_links: DataFrame | None = None, segments: int | None = None) -> DataFrame:
+    """K8-K10 in one order: ``op`` is ``assign`` or ``unassign``; a pair may be assigned again after it was unassigned.
+
+    Before a request its pair is assigned if the last earlier request that could take effect was an ``assign`` with both
+    parents, or, with none earlier, if the pair is in ``existing_links``.  Assign: 404 (author, then book), 409, else 200.
+    Unassign of a pair not assigned: 404.  The scan is segmented, so a pair with a third of all requests is no hot task.
+    """
+    from .relations import flag_parents
+    a, b, op = F.col(author_col), F.col(book_col), F.col("op")
+    f = flag_parents(cmds, [(authors, author_key, author_col, "_author_ok"), (books, book_key, book_col, "_book_ok")])
+    effect = F.when((op == "unassign") | (F.col("_author_ok") & F.col("_book_ok")), op)
+    s = ordered_scan(f, [author_col, book_col], order, lasts={"_prev": effect}, segments=segments)
+    stored = F.lit(False)
+    if existing_links is not None:
+        s = s.join(existing_links.select(author_col, book_col).distinct().withColumn("_stored", F.lit(True)),
+                   [author_col, book_col], "left")
+        stored = F.col("_stored").isNotNull()
+    live = F.when(F.col("_prev").isNull(), stored).otherwise(F.col("_prev") == "assign")
+    s = s.withColumn("_live", live)
+    lacking = [(~F.col("_author_ok"), 404, _fmt(MSG_AUTHOR_NOT_FOUND, a)), (~F.col("_book_ok"), 404, _fmt(MSG_BOOK_NOT_FOUND, b)),
+               (F.col("_live"), 409, _fmt(MSG_ALREADY_ASSIGNED, a, b))]
+    code = F.when(op == "unassign", F.when(F.col("_live"), 200).otherwise(404))
+    msg = F.when(op == "unassign", F.when(~F.col("_live"), _fmt(MSG_ASSIGNMENT_NOT_FOUND, link_id(a, b))))
+    for cond, status_, text in lacking:
+        code, msg = code.when(cond, status_), msg.when(cond, text)
+    return s.select(*cmds.columns, code.otherwise(200).cast("int").alias("code"), msg.alias("message"))
+
+
+def assignment_events(judged: DataFrame, author_col: str = "author_id", book_col: str = "book_id",
+                      at: str = "ts", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One event per accepted assign (the whole link) or unassign (its id only)."""
+    made = F.col("op") == "assign"
+    return judged.filter(F.col("code") == 200).select(
+        *keep, F.when(made, "authorBook.created").otherwise("authorBook.deleted").alias("event_type"),
+        link_id(F.col(author_col), F.col(book_col)).alias("link_id"),
+        *[F.when(made, F.col(c)).alias(n) for c, n in ((author_col, "author_id"), (book_col, "book_id"), (at, "assigned_at"))])
+
+
 def create_unique(cmds: DataFrame, unique: str, order: list[str], existing: DataFrame | None = None) -> DataFrame:
     """K2: a create whose unique value (non-null) was taken by an earlier
     create, or is held by a row of the stored table ``existing``, is rejected with 400."""

@@ -22,6 +22,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEG = "_seg"
+SEGMENT_BYTES = 128 << 20  # input bytes a segment is sized for
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the plan's inputs as the planner knows them (file sizes); inputs of unknown size count 0."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
+def segment_count(df: DataFrame) -> int:
+    """Segments for ``df``: one per ``SEGMENT_BYTES`` of input, at least the shuffle partition count."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // SEGMENT_BYTES))
 
 
 def segment(df: DataFrame, key: list[str], order: list[str], n: int | None = None,
@@ -29,7 +42,7 @@ def segment(df: DataFrame, key: list[str], order: list[str], n: int | None = Non
     """Attach a segment id: contiguous ranges of (key, order), roughly equal in rows."""
     if SEG in df.columns:
         return df
-    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n or segment_count(df)
     out = df.repartitionByRange(n, *key, *order).withColumn(SEG, F.spark_partition_id())
     return out.checkpoint(eager=True) if checkpoint else out
 

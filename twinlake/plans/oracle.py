@@ -69,9 +69,34 @@ FX: dict[str, str] = {
                CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE 'Svc' || CAST(c_nationkey AS VARCHAR) END AS context,
                c_name, CAST(c_custkey AS VARCHAR) AS k, CAST(c_nationkey AS VARCHAR) AS nk
         FROM customer""",
+    "msg0": """
+        SELECT event_id,
+               (['author.create', 'author.update', 'author.delete', 'author.get', 'author.getAll',
+                 'book.create', 'book.update', 'book.delete', 'book.get', 'book.getAll',
+                 'authorBook.assign', 'authorBook.unassign'])[(event_id + event_id // 12) % 12 + 1] AS topic,
+               '"' || lpad(CAST(user_id AS VARCHAR), 8, '0') || '-0000-4000-8000-000000000000"' AS uid
+        FROM events""",
+    "msg": """
+        SELECT event_id, topic, '{'
+            || '"id":' || CASE event_id % 7 WHEN 0 THEN '"no-uuid"' WHEN 1 THEN 'null' WHEN 2 THEN '12' WHEN 3 THEN '""' ELSE uid END
+            || ',"authorId":' || CASE event_id % 5 WHEN 0 THEN '"no-uuid"' ELSE uid END
+            || ',"bookId":' || CASE event_id % 9 WHEN 0 THEN 'null' ELSE uid END
+            || ',"firstName":' || CASE event_id % 8 WHEN 0 THEN '7' WHEN 1 THEN '"Al"' WHEN 2 THEN 'null' WHEN 3 THEN '""'
+                                                   ELSE '"Anna ' || event_id || '"' END
+            || ',"lastName":' || CASE event_id % 6 WHEN 0 THEN 'true' WHEN 1 THEN '"Li"' ELSE '"Lind"' END
+            || ',"birthDate":' || CASE event_id % 5 WHEN 0 THEN '"not-a-date"' WHEN 1 THEN 'null' ELSE '"1980-01-02"' END
+            || ',"title":' || CASE event_id % 9 WHEN 0 THEN 'null' WHEN 1 THEN '"Ab"' WHEN 2 THEN '3' ELSE '"Long title"' END
+            || ',"isbn":' || CASE event_id % 10 WHEN 0 THEN 'null' WHEN 1 THEN '"123"' WHEN 2 THEN '"99999999999999"'
+                                               WHEN 3 THEN '9' ELSE '"1234567890"' END
+            || ',"publishedYear":' || CASE event_id % 11 WHEN 0 THEN '"x"' WHEN 1 THEN '1999.5' WHEN 2 THEN 'null' ELSE '1999' END
+            || ',"page":' || CASE event_id % 13 WHEN 0 THEN '0' WHEN 1 THEN 'null' WHEN 2 THEN '1.5' WHEN 3 THEN '"2"'
+                                               WHEN 4 THEN '"x"' ELSE '1' END
+            || ',"limit":' || CASE event_id % 17 WHEN 0 THEN '0' WHEN 1 THEN '101' WHEN 2 THEN 'null' WHEN 3 THEN '"100"' ELSE '100' END
+            || ',"extra":"dropped"}' AS payload
+        FROM msg0""",
 }
 
-_DEPS = {"ab_read": ["ab"]}
+_DEPS = {"ab_read": ["ab"], "msg": ["msg0"]}
 
 
 def with_(*names: str) -> str:
@@ -426,9 +451,11 @@ register("error_code_map", _FOLD + """
                 WHEN class_name = 'BadRequestException' THEN 400 ELSE 500 END AS code
     FROM x""")
 register("reply_paginated", with_("cmd") + """
-    SELECT id, true AS success, count(*) AS total, CAST(1 AS BIGINT) AS page, CAST(10 AS BIGINT) AS page_limit,
-           CAST(ceil(count(*) / 10.0) AS BIGINT) AS total_pages, least(count(*), 10) AS n_data
-    FROM cmd GROUP BY id""")
+    SELECT id, true AS success, event_id, op, position, total, CAST(1 AS BIGINT) AS page, CAST(10 AS BIGINT) AS page_limit,
+           CAST(ceil(total / 10.0) AS BIGINT) AS total_pages
+    FROM (SELECT *, count(*) OVER (PARTITION BY id) AS total,
+                 row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) AS position FROM cmd)
+    WHERE position <= 10""")
 register("emit_events_json", _FOLD + f", ev AS ({_EVENTS})" + f"""
     SELECT event_id, event_type AS topic, CAST(id AS VARCHAR) AS key,
            CASE WHEN event_type LIKE '%.deleted'
@@ -510,7 +537,11 @@ register("cmd_create_unique", with_("payload") + """
            CASE WHEN p.isbn IS NOT NULL AND p.p_partkey <> f.first THEN 'Book with ISBN ' || p.isbn || ' already exists' END AS message
     FROM payload p LEFT JOIN f ON p.isbn = f.isbn""")
 register("error_message_normalise", _VALID + """
-    SELECT p_partkey, 400 AS error_code, array_to_string(violations, '; ') AS error_message
+    SELECT p_partkey, 400 AS error_code,
+           CASE p_partkey % 5 WHEN 0 THEN array_to_string(violations, '; ') WHEN 1 THEN violations[1]
+                              WHEN 2 THEN '{"text":"' || violations[1] || '"}' WHEN 3 THEN ''
+                              ELSE CASE WHEN p_partkey % 2 = 0 THEN 'Bad Request' ELSE 'Internal server error' END
+           END AS error_message
     FROM validated WHERE len(violations) > 0""")
 
 # --- FX-REPLY --------------------------------------------------------------
@@ -523,6 +554,10 @@ register("reply_timeout", with_("req", "rep") + """
 register("reply_decode", """
     WITH r AS (SELECT event_id,
         CASE WHEN event_id % 11 = 0 THEN '{"success":false}'
+             WHEN event_id % 13 = 0 THEN '{"success":true,"data":null}'
+             WHEN event_id % 17 = 0 THEN '{"success":true,"data":"text ' || event_id || '"}'
+             WHEN event_id % 19 = 0 THEN '{"success":false,"error":{"code":{"a":1},"message":"0"}}'
+             WHEN event_id % 23 = 0 THEN '{"success":false,"error":{"code":99999999999,"details":{"field":"f","n":' || event_id || '}}}'
              WHEN event_id % 7 = 0 THEN '{"success":true,"id":' || event_id || '}'
              WHEN event_id % 3 = 0 THEN '{"success":false,"error":{"code":404,"message":"missing ' || event_id || '"}}'
              WHEN event_id % 3 = 1 THEN '{"success":false,"statusCode":"E_TEXT","message":"text code ' || event_id || '"}'
@@ -535,23 +570,26 @@ register("reply_decode", """
     SELECT event_id, ok,
            CASE WHEN ok THEN NULL
                 WHEN ec IS NOT NULL AND ec NOT IN ('', '0', 'false') THEN
-                     CASE WHEN ect = 'VARCHAR' THEN 400 ELSE CAST(ec AS INTEGER) END
+                     CASE WHEN ect = 'VARCHAR' THEN 400 ELSE coalesce(TRY_CAST(ec AS INTEGER), 400) END
                 WHEN sc IS NOT NULL AND sc NOT IN ('', '0', 'false') THEN
                      CASE WHEN sct = 'VARCHAR' THEN 400 ELSE CAST(sc AS INTEGER) END
                 ELSE 400 END AS code,
            CASE WHEN ok THEN NULL ELSE coalesce(nullif(json_extract_string(reply, '$.error.message'), ''),
                                                 nullif(json_extract_string(reply, '$.message'), ''),
                                                 'Internal server error') END AS message,
-           CASE WHEN ok THEN coalesce(json_extract(reply, '$.data')::VARCHAR, reply) END AS data_json
+           CASE WHEN ok AND json_type(reply, '$.data') IS DISTINCT FROM 'NULL'
+                THEN coalesce(json_extract(reply, '$.data')::VARCHAR, reply) END AS data_json,
+           CASE WHEN NOT ok THEN json_extract(reply, '$.error.details')::VARCHAR END AS details_json
     FROM d""")
 
 # --- FX-LOG ----------------------------------------------------------------
 register("redact_paths", with_("logrec") + """
     SELECT c_custkey,
-           '{"level":"' || level || '","msg":"customer ' || k || '","password":"[REDACTED]","image":"[REDACTED]",'
-           || '"user":{"name":"' || c_name || '","token":"[REDACTED]","image":"keep' || k || '",'
-           || '"profile":{"imageBase64":"[REDACTED]","password":"[REDACTED]"}},'
-           || '"req":{"headers":{"authorization":"[REDACTED]","host":"h' || nk || '"}}}' AS redacted
+           '{"ctx":null,"image":"[REDACTED]","items":[{"n":1.5,"token":"[REDACTED]"},' || k || '],"level":"' || level
+           || '","msg":"customer ' || k || '","password":"[REDACTED]",'
+           || '"req":{"headers":{"authorization":"[REDACTED]","host":"h' || nk || '"}},'
+           || '"user":{"image":"keep' || k || '","name":"' || c_name || '",'
+           || '"profile":{"imageBase64":"[REDACTED]","password":"[REDACTED]"},"token":"[REDACTED]"}}' AS redacted
     FROM logrec""")
 register("log_level_filter", with_("logrec") + """
     SELECT c_custkey, level FROM logrec WHERE level IN ('error', 'warn', 'log')""")
@@ -560,7 +598,15 @@ register("log_shape", with_("logrec") + """
            CASE level WHEN 'error' THEN 'ERROR' WHEN 'warn' THEN 'WARN' WHEN 'log' THEN 'INFO'
                       WHEN 'debug' THEN 'DEBUG' WHEN 'verbose' THEN 'TRACE' ELSE 'INFO' END AS level_label,
            coalesce(context, 'Application') AS context,
-           CASE WHEN level = 'error' THEN 'Error payload' ELSE 'Object payload' END AS msg
+           CASE WHEN c_custkey % 4 = 0 THEN 'customer ' || k
+                WHEN level = 'error' THEN 'Error payload' ELSE 'Object payload' END AS msg,
+           '{' || CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 11 = 0 THEN '"0":"a","1":' || k || ','
+                       WHEN c_custkey % 4 <> 0 THEN '"code":' || k || ',' ELSE '' END
+           || '"context":"' || CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 5 = 0 THEN 'own'
+                                    ELSE coalesce(context, 'Application') END || '"'
+           || CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 11 <> 0 THEN ',"msg":null' ELSE '' END
+           || CASE WHEN level = 'error' AND c_custkey % 3 = 0 THEN ',"trace":"at line ' || k || '"' ELSE '' END
+           || '}' AS fields_json
     FROM logrec""")
 
 # --- property keys with a query form ---------------------------------------
@@ -578,18 +624,24 @@ register("reply_normalise", _FOLD + f"""
     , r AS (SELECT event_id, op, ts,
                    CASE WHEN op = 'get' AND event_id % 3 = 0
                              THEN '{{"data":{{"id":' || id || '}},"meta":{{"page":1,"source":"' || op || '"}}}}'
+                        WHEN op = 'get' AND event_id % 3 = 1 THEN '{{"data":"text","meta":{{"page":2}}}}'
+                        WHEN op = 'update' AND event_id % 4 = 0 THEN '{{"success":false,"error":{{"message":"m","code":409}}}}'
                         WHEN op = 'update' THEN '{{"success":true,"data":{{"id":' || id || '}}}}'
                         WHEN op = 'delete' THEN NULL
                         ELSE '{{"id":' || id || '}}' END AS result
             FROM folded WHERE code = 200)
     SELECT event_id,
            CASE WHEN result IS NULL THEN 'empty' WHEN op = 'update' THEN 'wrapped'
-                WHEN op = 'get' AND event_id % 3 = 0 THEN 'unwrapped' ELSE 'plain' END AS kind,
-           true AS success,
+                WHEN op = 'get' AND event_id % 3 IN (0, 1) THEN 'unwrapped' ELSE 'plain' END AS kind,
+           NOT (op = 'update' AND event_id % 4 = 0) AS success,
            CASE WHEN result IS NULL THEN 'true'
-                WHEN op = 'update' OR (op = 'get' AND event_id % 3 = 0) THEN json_extract(result, '$.data')::VARCHAR
+                WHEN op = 'update' OR (op = 'get' AND event_id % 3 IN (0, 1)) THEN json_extract(result, '$.data')::VARCHAR
                 ELSE result END AS data_json,
-           CASE WHEN op = 'get' AND event_id % 3 = 0 THEN json_extract(result, '$.meta')::VARCHAR END AS meta_json,
+           CASE WHEN op = 'update' THEN NULL
+                ELSE '{{' || CASE WHEN op = 'get' AND event_id % 3 = 0 THEN '"page":1,"source":"get",'
+                                  WHEN op = 'get' AND event_id % 3 = 1 THEN '"page":2,' ELSE '' END
+                     || '"timestamp":"' || {_ISO.format(c='ts')} || '"}}' END AS meta_json,
+           CASE WHEN op = 'update' THEN json_extract(result, '$.error')::VARCHAR END AS error_json,
            {_ISO.format(c='ts')} AS timestamp
     FROM r""")
 register("error_details", _VALID + """
@@ -616,3 +668,138 @@ register("validate_author_payloads", """
                ], lambda x: x IS NOT NULL) AS vs FROM a)
     SELECT c_custkey, array_to_string(vs, '; ') AS message, len(vs) = 0 AS is_valid FROM v""")
 register("stream_state_tws", ORACLE["state_from_log"])
+
+
+# --- FX-MSG: all topics ------------------------------------------------------
+def _s(p: str) -> str:  # the text value, else NULL
+    return f"CASE WHEN json_type(payload, '$.{p}') = 'VARCHAR' THEN json_extract_string(payload, '$.{p}') END"
+
+
+def _n(p: str, coerced: bool = False) -> str:  # the number, else NULL
+    kinds = "'VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE'" if coerced else "'UBIGINT', 'BIGINT', 'DOUBLE'"
+    return f"CASE WHEN json_type(payload, '$.{p}') IN ({kinds}) THEN TRY_CAST(json_extract_string(payload, '$.{p}') AS DOUBLE) END"
+
+
+def _bad(cond: str, text: str) -> str:
+    return f"CASE WHEN NOT coalesce({cond}, false) THEN '{text}' END"
+
+
+def _string(p):
+    return [_bad(f"{_s(p)} IS NOT NULL", f"{p} must be a string")]
+
+
+def _filled(p):
+    return [_bad(f"coalesce(json_type(payload, '$.{p}'), 'NULL') <> 'NULL' AND json_extract_string(payload, '$.{p}') <> ''",
+                 f"{p} should not be empty")]
+
+
+def _least(p, n):
+    return [_bad(f"length({_s(p)}) >= {n}", f"{p} must be longer than or equal to {n} characters")]
+
+
+def _most(p, n):
+    return [_bad(f"length({_s(p)}) <= {n}", f"{p} must be shorter than or equal to {n} characters")]
+
+
+def _uuid(p):
+    return [_bad(f"regexp_full_match({_s(p)}, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}')", f"{p} must be a UUID")]
+
+
+def _date(p):
+    return [_bad(f"TRY_CAST({_s(p)} AS TIMESTAMP) IS NOT NULL", f"{p} must be a Date instance")]
+
+
+def _whole(p, coerced=False):
+    return [_bad(f"{_n(p, coerced)} = floor({_n(p, coerced)})", f"{p} must be an integer number")]
+
+
+def _from(p, n, coerced=False):
+    return [_bad(f"{_n(p, coerced)} >= {n}", f"{p} must not be less than {n}")]
+
+
+def _upto(p, n, coerced=False):
+    return [_bad(f"{_n(p, coerced)} <= {n}", f"{p} must not be greater than {n}")]
+
+
+def _maybe(p, rules):
+    return [f"CASE WHEN coalesce(json_type(payload, '$.{p}'), 'NULL') <> 'NULL' THEN {r} END" for r in rules]
+
+
+def _opt_text(p):
+    return _maybe(p, _string(p) + _least(p, 3))
+
+
+_ISBN = _maybe("isbn", _string("isbn") + _least("isbn", 10) + _most("isbn", 13))
+_YEAR = _maybe("publishedYear", _whole("publishedYear"))
+_BORN = _maybe("birthDate", _date("birthDate"))
+_TOPIC_RULES = {
+    "author.create": [r for p in ("firstName", "lastName") for r in _string(p) + _filled(p) + _least(p, 3)] + _date("birthDate"),
+    "author.update": _uuid("id") + _opt_text("firstName") + _opt_text("lastName") + _BORN,
+    "author.delete": _uuid("id"), "author.get": _uuid("id"),
+    "author.getAll": _whole("page", True) + _from("page", 1, True) + _whole("limit", True) + _from("limit", 1, True)
+    + _upto("limit", 100, True) + _opt_text("firstName") + _opt_text("lastName") + _BORN,
+    "book.create": _string("title") + _filled("title") + _least("title", 3) + _ISBN + _YEAR,
+    "book.update": _uuid("id") + _opt_text("title") + _ISBN + _YEAR,
+    "book.delete": _string("id") + _filled("id"), "book.get": _uuid("id"),
+    "book.getAll": _maybe("page", _whole("page") + _from("page", 1))
+    + _maybe("limit", _whole("limit") + _from("limit", 1) + _upto("limit", 100)) + _opt_text("title") + _opt_text("isbn") + _YEAR,
+    "authorBook.assign": _uuid("authorId") + _filled("authorId") + _uuid("bookId") + _filled("bookId"),
+    "authorBook.unassign": _uuid("id") + _filled("id"),
+}
+register("validate_messages", with_("msg") + ", v AS (SELECT event_id, topic, list_filter(CASE topic "
+         + " ".join(f"WHEN '{t}' THEN [{', '.join(rules)}]" for t, rules in _TOPIC_RULES.items())
+         + """ END, lambda x: x IS NOT NULL) AS violations FROM msg)
+    SELECT event_id, topic, array_to_string(violations, '; ') AS message, CAST(len(violations) AS BIGINT) AS n_violations FROM v""")
+_TAKEN_BY = {
+    "id": "'author.update', 'author.delete', 'author.get', 'book.update', 'book.delete', 'book.get', 'authorBook.unassign'",
+    "firstName": "'author.create', 'author.update', 'author.getAll'", "lastName": "'author.create', 'author.update', 'author.getAll'",
+    "birthDate": "'author.create', 'author.update', 'author.getAll'", "page": "'author.getAll', 'book.getAll'",
+    "limit": "'author.getAll', 'book.getAll'", "title": "'book.create', 'book.update', 'book.getAll'",
+    "isbn": "'book.create', 'book.update', 'book.getAll'", "publishedYear": "'book.create', 'book.update', 'book.getAll'",
+    "authorId": "'authorBook.assign'", "bookId": "'authorBook.assign'",
+}
+register("route_messages", with_("msg") + "SELECT event_id, topic, " + ", ".join(
+    f"""CASE WHEN topic IN ({ts}) THEN json_extract_string(payload, '$.{f}') END AS "{f}" """ for f, ts in _TAKEN_BY.items())
+    + " FROM msg")
+
+_LINK_OF = f"(SELECT {_LINK} FROM (SELECT sha256(concat_ws(chr(1), CAST(author_id AS VARCHAR), CAST(book_id AS VARCHAR))) AS h))"
+_ASSIGN_LOG = with_("ab", "assign") + f"""
+    , f AS (SELECT a.*, CASE WHEN l_returnflag = 'R' THEN 'unassign' ELSE 'assign' END AS op,
+                   EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = a.author_id) AS author_ok,
+                   EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = a.book_id) AS book_ok,
+                   EXISTS (SELECT 1 FROM ab WHERE ab.author_id = a.author_id AND ab.book_id = a.book_id
+                                              AND (ab.author_id + ab.book_id) % 10 = 3) AS stored
+            FROM assign a),
+      g AS (SELECT *, last_value(CASE WHEN op = 'unassign' OR (author_ok AND book_ok) THEN op END IGNORE NULLS) OVER (
+                PARTITION BY author_id, book_id ORDER BY ts, l_orderkey, l_linenumber
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM f),
+      h AS (SELECT *, CASE WHEN prev IS NULL THEN stored ELSE prev = 'assign' END AS live, {_LINK_OF} AS link_id FROM g),
+      judged AS (SELECT *, CASE WHEN op = 'unassign' THEN CASE WHEN live THEN 200 ELSE 404 END
+                                WHEN NOT author_ok OR NOT book_ok THEN 404 WHEN live THEN 409 ELSE 200 END AS code FROM h)
+"""
+register("cmd_assignment_log", _ASSIGN_LOG + """
+    SELECT l_orderkey, l_linenumber, op, author_id, book_id, code,
+           CASE WHEN code = 200 THEN NULL WHEN op = 'unassign' THEN 'Assignment with ID ' || link_id || ' not found.'
+                WHEN NOT author_ok THEN 'Author with ID ' || author_id || ' not found.'
+                WHEN NOT book_ok THEN 'Book with ID ' || book_id || ' not found.'
+                ELSE 'Author ' || author_id || ' is already assigned to Book ' || book_id || '.' END AS message
+    FROM judged""")
+register("assignment_events", _ASSIGN_LOG + """
+    SELECT l_orderkey, l_linenumber, CASE op WHEN 'assign' THEN 'authorBook.created' ELSE 'authorBook.deleted' END AS event_type,
+           link_id, CASE WHEN op = 'assign' THEN author_id END AS author_id, CASE WHEN op = 'assign' THEN book_id END AS book_id,
+           CASE WHEN op = 'assign' THEN ts END AS assigned_at
+    FROM judged WHERE code = 200""")
+
+# --- operators that no other key reaches --------------------------------------
+register("entity_to_aggregate", """
+    SELECT p_partkey AS id, p_name AS title, p_size AS "publishedYear",
+           '["' || p_partkey || '","' || p_size || '"]' AS key_json, CASE WHEN p_size > 25 THEN 'YES' ELSE 'NO' END AS is_large
+    FROM part""")
+register("exists_flag", with_("orders_read") + """
+    SELECT l_orderkey AS o_orderkey, l_linenumber, EXISTS (SELECT 1 FROM orders_read r WHERE r.o_orderkey = l_orderkey) AS "exists"
+    FROM lineitem""")
+register("label_difference", """
+    WITH w AS (SELECT vec_id, unnest(range(0, 5)) AS i, unnest([(label * (j + 1) + vec_id) % 7 for j in range(0, 5)]) AS label
+               FROM embeddings),
+         d AS (SELECT vec_id, label, min(i) AS i FROM w WHERE label NOT IN (1, 4) GROUP BY vec_id, label)
+    SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY i) - 1 AS position, CAST(label AS BIGINT) AS label FROM d""")

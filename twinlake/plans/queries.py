@@ -463,12 +463,11 @@ def column_drift(spark, sf):
 
 @query
 def table_set_drift(spark, sf):
-    """Write = the driver tables; read = a replica root missing 'pages' and holding a stale 'legacy_region'."""
+    """Write = the tables found by listing the root; read = a replica missing 'pages' and holding a stale 'legacy_region'."""
     from ..operators import drift as C
-    from ..sources.inventory import table_inventory as inv
-    t = Tables(spark, sf)
-    w = inv(t, exclude=())
-    r = w.filter(F.col("table_name") != "pages").select("table_name").unionByName(
+    from ..sources.inventory import table_names
+    w = spark.createDataFrame([(n,) for n in table_names(spark, sf, exclude=())], "table_name string")
+    r = w.filter(F.col("table_name") != "pages").unionByName(
         w.filter(F.col("table_name") == "region").select(F.concat(F.lit("legacy_"), "table_name").alias("table_name")))
     return C.table_set_drift(w, r)
 
@@ -594,15 +593,19 @@ def error_code_map(spark, sf):
 
 @query
 def reply_paginated(spark, sf):
-    """Per entity, page 1 (limit 10) of its command history with pagination meta."""
+    """Per entity, the rows of page 1 (limit 10) of its command history, newest first, with pagination meta.
+
+    The rank is cut to the page inside each map task (window group limit), so a hot entity's rows stay where they are."""
+    from pyspark.sql import Window
     from ..functions import envelope as E
     c = fx.commands(Tables(spark, sf))
     per = c.groupBy("id").agg(F.count(F.lit(1)).alias("total"))
     m = E.paginated_meta(F.col("total"), F.lit(1).cast("bigint"), F.lit(10).cast("bigint"))
-    return per.select("id", F.lit(True).alias("success"), m.alias("p")).select(
-        "id", "success", F.col("p.total").alias("total"), F.col("p.page").alias("page"),
-        F.col("p.limit").alias("page_limit"), F.col("p.totalPages").alias("total_pages"),
-        F.least(F.col("p.total"), F.col("p.limit")).alias("n_data"))
+    newest = Window.partitionBy("id").orderBy(F.desc("ts"), F.desc("event_id"))
+    page = c.select("id", "event_id", "op", F.row_number().over(newest).alias("position")).filter("position <= 10")
+    return page.join(per, "id").select("id", F.lit(True).alias("success"), "event_id", "op", "position", m.alias("p")).select(
+        "id", "success", "event_id", "op", F.col("position").cast("bigint").alias("position"), F.col("p.total").alias("total"),
+        F.col("p.page").alias("page"), F.col("p.limit").alias("page_limit"), F.col("p.totalPages").alias("total_pages"))
 
 
 @query
@@ -696,11 +699,17 @@ def cmd_create_unique(spark, sf):
 
 @query
 def error_message_normalise(spark, sf):
-    """Validation failures as error replies: messages joined with '; ', code 400."""
+    """Validation failures as error replies, code 400; the thrown response holds its message as a list,
+    a text, an object, an empty text or not at all."""
     from ..functions import envelope as E
     v = _validated(spark, sf).filter(~F.col("is_valid"))
+    k, first = F.col("p_partkey") % 5, F.element_at("violations", 1)
+    own = (F.when(k == 0, F.to_json("violations")).when(k == 1, F.concat(F.lit('"'), first, F.lit('"')))
+           .when(k == 2, F.concat(F.lit('{"text":"'), first, F.lit('"}'))).when(k == 3, F.lit('""')).otherwise(F.lit("null")))
+    response = F.concat(F.lit('{"statusCode":400,"message":'), own, F.lit("}"))
+    thrown = F.when(F.col("p_partkey") % 2 == 0, F.lit("Bad Request")).otherwise(F.lit(""))
     return v.select("p_partkey", F.lit(400).alias("error_code"),
-                    E.normalise_message(F.col("violations"), F.lit(None).cast("string")).alias("error_message"))
+                    E.normalise_error_message(response, thrown).alias("error_message"))
 
 
 # --- FX-REPLY --------------------------------------------------------------
@@ -719,6 +728,11 @@ def _inbound(t: Tables):
     e = t.events
     eid = F.col("event_id").cast("string")
     text = (F.when(F.col("event_id") % 11 == 0, F.lit('{"success":false}'))
+            .when(F.col("event_id") % 13 == 0, F.lit('{"success":true,"data":null}'))
+            .when(F.col("event_id") % 17 == 0, F.concat(F.lit('{"success":true,"data":"text '), eid, F.lit('"}')))
+            .when(F.col("event_id") % 19 == 0, F.lit('{"success":false,"error":{"code":{"a":1},"message":"0"}}'))
+            .when(F.col("event_id") % 23 == 0, F.concat(
+                F.lit('{"success":false,"error":{"code":99999999999,"details":{"field":"f","n":'), eid, F.lit("}}}")))
             .when(F.col("event_id") % 7 == 0, F.concat(F.lit('{"success":true,"id":'), eid, F.lit("}")))
             .when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"success":false,"error":{"code":404,"message":"missing '),
                                                        eid, F.lit('"}}')))
@@ -733,9 +747,10 @@ def _inbound(t: Tables):
 def reply_decode(spark, sf):
     from ..functions import envelope as E
     r = _inbound(Tables(spark, sf))
-    return r.select("event_id", E.decode_inbound(F.col("reply")).alias("d")).select(
+    return r.select("event_id", "reply", E.decode_inbound(F.col("reply")).alias("d")).select(
         "event_id", F.col("d.ok").alias("ok"), F.col("d.code").alias("code"),
-        F.col("d.message").alias("message"), F.col("d.data").alias("data_json"))
+        F.col("d.message").alias("message"), F.col("d.data").alias("data_json"),
+        E.inbound_details(F.col("reply")).alias("details_json"))
 
 
 # --- FX-LOG ----------------------------------------------------------------
@@ -747,11 +762,10 @@ LOG_SCHEMA = ("level string, msg string, password string, image string, "
 
 @query
 def redact_paths(spark, sf):
-    from pyspark.sql.types import _parse_datatype_string
+    """G1: records of unknown shape; undeclared and null fields stay."""
     from ..functions import redact as G
-    schema = _parse_datatype_string(LOG_SCHEMA)
     logs = fx.log_records(Tables(spark, sf))
-    return logs.select("c_custkey", G.redact_json(F.col("record"), schema).alias("redacted"))
+    return logs.select("c_custkey", G.redact_json(F.col("record")).alias("redacted"))
 
 
 @query
@@ -765,7 +779,7 @@ def log_level_filter(spark, sf):
 def log_shape(spark, sf):
     from ..functions import redact as G
     logs = fx.log_records(Tables(spark, sf))
-    return logs.select("c_custkey", *G.shape(F.col("level"), F.col("context"), F.lit(True)))
+    return logs.select("c_custkey", *G.shape(F.col("level"), F.col("context"), F.col("message"), F.col("trace")))
 
 
 # --- property keys with a query form ---------------------------------------
@@ -851,12 +865,15 @@ def reply_normalise(spark, sf):
     result = (F.when((F.col("op") == "get") & (F.col("event_id") % 3 == 0),
                      F.concat(F.lit('{"data":{"id":'), idj, F.lit('},"meta":{"page":1,"source":"'), F.col("op"),
                               F.lit('"}}')))
+              .when((F.col("op") == "get") & (F.col("event_id") % 3 == 1), F.lit('{"data":"text","meta":{"page":2}}'))
+              .when((F.col("op") == "update") & (F.col("event_id") % 4 == 0),
+                    F.lit('{"success":false,"error":{"message":"m","code":409}}'))
               .when(F.col("op") == "update", F.concat(F.lit('{"success":true,"data":{"id":'), idj, F.lit("}}")))
               .when(F.col("op") == "delete", F.lit(None).cast("string"))
               .otherwise(F.concat(F.lit('{"id":'), idj, F.lit("}"))))
     r = f.select("event_id", E.normalise_result(result, F.col("ts")).alias("r"))
     return r.select("event_id", "r.kind", "r.success", F.col("r.data").alias("data_json"),
-                    F.col("r.meta").alias("meta_json"), "r.timestamp")
+                    F.col("r.meta").alias("meta_json"), F.col("r.error").alias("error_json"), "r.timestamp")
 
 
 @query
@@ -897,3 +914,76 @@ def stream_state_tws(spark, sf):
     from ..streaming import twins
     applied = twins.applied_run(spark, fx.commands(Tables(spark, sf)), api="transform_with_state")
     return K.current_state(applied)
+
+
+# --- FX-MSG: all topics ------------------------------------------------------
+@query
+def validate_messages(spark, sf):
+    """V1-V11 over the rule sets of all twelve topics, judged by JSON type."""
+    from ..functions import validate as V
+    m = fx.messages(Tables(spark, sf))
+    m = m.select("event_id", "topic", F.try_parse_json("payload").alias("message"))
+    v = m.select("event_id", "topic", V.topic_violations(F.col("topic"), F.col("message")).alias("violations"))
+    return v.select("event_id", "topic", F.array_join("violations", "; ").alias("message"),
+                    F.size("violations").cast("bigint").alias("n_violations"))
+
+
+@query
+def route_messages(spark, sf):
+    """The command fields of every topic; other payload fields are dropped."""
+    from ..operators import commands as K
+    return K.route_messages(fx.messages(Tables(spark, sf)))
+
+
+def _assignment_log(spark, sf):
+    from ..operators import commands as K
+    t = Tables(spark, sf)
+    log = fx.assign_commands(t).withColumn("op", F.when(F.col("l_returnflag") == "R", "unassign").otherwise("assign"))
+    stored = fx.m2n_link(t).filter((F.col("author_id") + F.col("book_id")) % 10 == 3)
+    return K.assignment_log(log, fx.m2n_left(t), fx.m2n_right(t), ASSIGN_ORDER, author_key="s_suppkey",
+                            book_key="p_partkey", existing_links=stored)
+
+
+@query
+def cmd_assignment_log(spark, sf):
+    """K8-K10 folded in one order over stored links: a pair may be assigned again after it was unassigned."""
+    return _assignment_log(spark, sf).select("l_orderkey", "l_linenumber", "op", "author_id", "book_id", "code", "message")
+
+
+@query
+def assignment_events(spark, sf):
+    """Created and deleted events of the assignment log."""
+    from ..operators import commands as K
+    return K.assignment_events(_assignment_log(spark, sf), keep=("l_orderkey", "l_linenumber"))
+
+
+# --- operators that no other key reaches --------------------------------------
+@query
+def entity_to_aggregate(spark, sf):
+    """Stored rows under the aggregate's field names, F7 key text and F11 YES/NO beside them."""
+    from ..operators import commands as K
+    p = Tables(spark, sf).part
+    e = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_size").alias("published_year"),
+                 scalar.composite_key_json(F.col("p_partkey"), F.col("p_size")).alias("key_json"),
+                 scalar.yes_no(F.col("p_size") > 25).alias("is_large"))
+    return K.to_aggregate(e, K.BOOK_COLUMNS)
+
+
+@query
+def exists_flag(spark, sf):
+    """Per order line, whether its order is on the replica."""
+    from ..operators import aggregates as A
+    t = Tables(spark, sf)
+    probe = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    return A.exists_in(fx.replica_read(t), probe, ["o_orderkey"])
+
+
+@query
+def label_difference(spark, sf):
+    """D3: per vector, the leading labels the replica lacks, in the write side's order."""
+    from ..operators import diff as D
+    e = Tables(spark, sf).embeddings.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (
+        (F.col("label") * (i + 1) + F.col("vec_id")) % 7).cast("bigint")).alias("w"))
+    read = F.array(*[F.lit(x).cast("bigint") for x in (1, 4)])
+    return e.select("vec_id", F.posexplode(D.label_set_diff(F.col("w"), read)).alias("position", "label")).select(
+        "vec_id", F.col("position").cast("bigint").alias("position"), "label")

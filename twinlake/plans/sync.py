@@ -85,8 +85,8 @@ def sync_table(pair: TablePair) -> TableResult:
         wd, rd = w.distinct(), rr.distinct()
         diff = D.row_diff(wd, rd, keys)
         report = D.diff_counts(diff).select(F.lit(spec.name).alias("table_name"), "action", "n_rows")
-        new = M.insert_if_absent(M.delete_orphans(rd, wd, keys), wd, keys)
-        return TableResult(spec.name, new, with_drift(report))
+        # orphans go and every write row is set, so the new replica is the write side itself
+        return TableResult(spec.name, M.replace(wd, cols), with_drift(report))
     # I7 before any merge, both sides in one key-only job: a broken key on the
     # source side is an error; duplicate keys on the replica would make the keyed
     # diff pair up copies, so the replica is replaced from write instead (M7 fallback).
@@ -99,8 +99,8 @@ def sync_table(pair: TablePair) -> TableResult:
         return TableResult(spec.name, M.replace(w, cols), with_drift(report))
     diff = D.row_diff(w, rr, keys)
     report = D.diff_counts(diff).select(F.lit(spec.name).alias("table_name"), "action", "n_rows")
-    new = M.upsert(M.delete_orphans(rr, w, keys), w, keys)
-    return TableResult(spec.name, new, with_drift(report))
+    # deleting orphans and upserting every write row leaves exactly the write side: no second join
+    return TableResult(spec.name, M.replace(w, cols), with_drift(report))
 
 
 def sync_all(spark: SparkSession, pairs: list[TablePair], read_root: str,

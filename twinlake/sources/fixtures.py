@@ -224,8 +224,14 @@ def log_records(t: Tables) -> DataFrame:
         F.lit('","password":"deep'), k,
         F.lit('"}},"req":{"headers":{"authorization":"Bearer '), k,
         F.lit('","host":"h'), F.col("c_nationkey").cast("string"),
-        F.lit('"}}}'))
-    return c.select("c_custkey", lvl.alias("level"), text.alias("record"),
+        F.lit('"}},"ctx":null,"items":[{"token":"it'), k,
+        F.lit('","n":1.5},'), k, F.lit("]}"))
+    own = F.when(_mod("c_custkey", 5) == 0, F.lit(',"context":"own"')).otherwise(F.lit(""))
+    message = (F.when(_mod("c_custkey", 4) == 0, F.concat(F.lit("customer "), k))
+               .when(_mod("c_custkey", 11) == 0, F.concat(F.lit('["a",'), k, F.lit("]")))
+               .otherwise(F.concat(F.lit('{"code":'), k, F.lit(',"msg":null'), own, F.lit("}"))))
+    trace = F.when(_mod("c_custkey", 3) == 0, F.concat(F.lit("at line "), k))
+    return c.select("c_custkey", lvl.alias("level"), text.alias("record"), message.alias("message"), trace.alias("trace"),
                     F.when(F.col("c_mktsegment") == "MACHINERY", F.lit(None).cast("string"))
                      .otherwise(F.concat(F.lit("Svc"), F.col("c_nationkey").cast("string"))).alias("context"))
 
@@ -252,3 +258,36 @@ def author_payloads(t: Tables) -> DataFrame:
          .when(_mod("c_custkey", 5) == 0, F.lit("not-a-date"))
          .otherwise(F.concat(F.lit("1980-01-"), F.lpad((F.col("c_nationkey") + 1).cast("string"), 2, "0")))
          .alias("birth_date"))
+
+
+# FX-MSG (JSON messages on all topics) ----------------------------------------
+def messages(t: Tables) -> DataFrame:
+    """One message per event: its topic and a JSON payload holding every field, with faults of all kinds
+    (wrong JSON types, absent and null fields, odd lengths and ranges)."""
+    eid = F.col("event_id")
+    uid = F.concat(F.lpad(F.col("user_id").cast("string"), 8, "0"), F.lit("-0000-4000-8000-000000000000"))
+
+    def pick(m: int, *cases: str, other):
+        out = other
+        for i, c in reversed(list(enumerate(cases))):
+            out = F.when(eid % m == i, F.lit(c)).otherwise(out)
+        return out
+
+    quoted = F.concat(F.lit('"'), uid, F.lit('"'))
+    parts = {
+        "id": pick(7, '"no-uuid"', "null", "12", '""', other=quoted),
+        "authorId": pick(5, '"no-uuid"', other=quoted), "bookId": pick(9, "null", other=quoted),
+        "firstName": pick(8, "7", '"Al"', "null", '""', other=F.concat(F.lit('"Anna '), eid.cast("string"), F.lit('"'))),
+        "lastName": pick(6, "true", '"Li"', other=F.lit('"Lind"')),
+        "birthDate": pick(5, '"not-a-date"', "null", other=F.lit('"1980-01-02"')),
+        "title": pick(9, "null", '"Ab"', "3", other=F.lit('"Long title"')),
+        "isbn": pick(10, "null", '"123"', '"99999999999999"', "9", other=F.lit('"1234567890"')),
+        "publishedYear": pick(11, '"x"', "1999.5", "null", other=F.lit("1999")),
+        "page": pick(13, "0", "null", "1.5", '"2"', '"x"', other=F.lit("1")),
+        "limit": pick(17, "0", "101", "null", '"100"', other=F.lit("100")),
+        "extra": F.lit('"dropped"'),
+    }
+    text = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in parts.items()]), F.lit("}"))
+    from ..streaming.topics import TOPICS
+    topic = F.array(*map(F.lit, TOPICS))[((eid + F.floor(eid / 12)) % 12).cast("int")]
+    return t.events.select("event_id", topic.alias("topic"), text.alias("payload"))

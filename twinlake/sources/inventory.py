@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import Tables
+from .tables import Tables, _fs
 
 DEFAULT_EXCLUDE = ("migrations",)
 
 
+def table_names(spark: SparkSession, root: str, exclude: tuple[str, ...] = DEFAULT_EXCLUDE) -> list[str]:
+    """S3: the Parquet tables under a root, by listing it through the Hadoop file system (no data is read)."""
+    fs, p = _fs(spark, root)
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    return sorted(n[:-len(".parquet")] for n in names if n.endswith(".parquet") and n[:-len(".parquet")] not in exclude)
+
+
 def table_inventory(t: Tables, exclude: tuple[str, ...] = DEFAULT_EXCLUDE) -> DataFrame:
     """``(table_name, n_rows)`` for every table not excluded, name-ordered.
 
