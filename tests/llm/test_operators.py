@@ -556,6 +556,21 @@ def test_cycles_bombs_and_junk():
     assert secret_scan.scan("%")[1] == secret_scan.scan("\\u12")[1] == secret_scan.scan("A" * 17)[1] == []
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ('a password = "%68unter2xyz" b', 'password = "%68unter2xyz'), ("a %70assword = hunter22 b", "%70assword = hunter22"),
+    ('token: "\\u0061bcdefg"', 'token: "\\u0061bcdefg'), ("x &#x74;oken  :  abcdefg y", "&#x74;oken  :  abcdefg"),
+    ("\\x73ecret = %61bcdef&#103;", "\\x73ecret = %61bcdef&#103;"), ("passwd %3D %FF%61bcdefg, passwd %3D abcdefg", "passwd %3D abcdefg")])
+def test_spaced_assignments_with_escapes(text, found):
+    for shape in (str, lambda s: "é " + s.replace("%", "%25").replace("\\", "%5C") + " z"):
+        spans = secret_scan.scan(shape(text))[1]
+        assert any(shape(text)[a:b] == (found if shape is str else found.replace("%", "%25").replace("\\", "%5C")) for a, k, b in spans if k == 0)
+
+
+def test_alternating_escapes_stay_few_layers():
+    text = "".join("%25" * 6 + "41" + "\\u005c" * 6 + "u0041 " for _ in range(20))
+    assert secret_scan.scan(text)[2] < 200
+
+
 def test_secret_scan_awkward_rows(docs, empty):
     out = secret_scan.scan_secrets(docs.withColumn("spans", F.lit("mine"))).collect()
     assert len(out) == docs.count()

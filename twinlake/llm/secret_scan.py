@@ -3,8 +3,9 @@
 A text is scanned with the base rules.  Encoded parts of it (URL escapes, Unicode and
 character escapes, base64, and compressed data inside base64) are unwrapped into
 layers; each layer is scanned and searched for further encoded parts, until none is
-left.  A layer whose text already occurs among the layers it came from is a cycle and
-is not entered again.  Each layer knows, for every code point, which part of the
+left.  Escapes are replaced over the whole text of a layer, so a key and its value meet
+however far apart they are.  A layer whose text already occurs among the layers it came
+from is a cycle and is not entered again, nor is the same text from the same place.  Each layer knows, for every code point, which part of the
 original text it came from, so a find in any layer becomes a span of the original.
 
 Results in special cases
@@ -46,8 +47,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 NAMES = ("passw", "secret", "token", "apikey", "api_key")
 
-SPACE = " \t\n\x0b\x0c\r"
-NEXT_SPACE = re.compile(r"[\x20\x09-\x0D]")
 URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 CHAR_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
@@ -99,25 +98,11 @@ class Layer:
         return a, b
 
 
-def _words_around(text: str, escapes: re.Pattern) -> Iterator[tuple[int, int]]:
-    """The words (runs without white space) that hold an escape."""
-    end = 0
+def _replaced(text: str, escapes: re.Pattern, decode) -> tuple[str, Origin] | None:
+    """The whole text with its escapes replaced.  ``decode``: escapes -> [(characters, their length in the text)]."""
+    parts, pieces, at, n = [], [], 0, 0
     for m in escapes.finditer(text):
-        if m.start() < end:
-            continue
-        start = max(max(text.rfind(c, end, m.start()) for c in SPACE) + 1, end)
-        stop = NEXT_SPACE.search(text, m.end())
-        end = stop.start() if stop else len(text)
-        yield start, end
-
-
-def _replaced(text: str, start: int, end: int, escapes: re.Pattern, decode) -> tuple[str, Origin] | None:
-    """The word [start, end) with its escapes replaced.  ``decode``: escapes -> [(character, its length in the text)] or None."""
-    parts, pieces, at, n = [], [], start, 0
-    for m in escapes.finditer(text, start, end):
         chars = decode(m.group())
-        if chars is None:
-            continue
         if m.start() > at:
             parts.append(text[at: m.start()])
             pieces.append((n, at, 1, 1))
@@ -130,31 +115,34 @@ def _replaced(text: str, start: int, end: int, escapes: re.Pattern, decode) -> t
             at += width
     if not pieces:
         return None
-    if at < end:
-        parts.append(text[at:end])
+    if at < len(text):
+        parts.append(text[at:])
         pieces.append((n, at, 1, 1))
     return "".join(parts), Origin(pieces)
 
 
-def _url(escapes: str) -> list[tuple[str, int]] | None:
-    try:
-        return [(c, 3 * len(c.encode())) for c in bytes.fromhex(escapes.replace("%", "")).decode()]
-    except UnicodeDecodeError:
-        return None
+def _url(escapes: str) -> list[tuple[str, int]]:
+    """Bytes that are not UTF-8 stay escapes."""
+    out, at = [], 0
+    for c in bytes.fromhex(escapes.replace("%", "")).decode("utf-8", "surrogateescape"):
+        bad = 0xDC80 <= ord(c) < 0xDD00
+        width = 3 if bad else 3 * len(c.encode())
+        out.append((escapes[at: at + width] if bad else c, width))
+        at += width
+    return out
 
 
-def _characters(escapes: str) -> list[tuple[str, int]] | None:
-    out: list[tuple[int, int]] = []
+def _characters(escapes: str) -> list[tuple[str, int]]:
+    """Escapes that name no character stay."""
+    out: list[tuple[int, str]] = []
     for m in ONE_ESCAPE.finditer(escapes):
         digits = next(g for g in m.groups() if g is not None)
-        code, width = int(digits, 10 if m.group(4) is not None else 16), m.end() - m.start()
+        code, own = int(digits, 10 if m.group(4) is not None else 16), m.group()
         if out and 0xDC00 <= code < 0xE000 and 0xD800 <= out[-1][0] < 0xDC00:
             high, before = out.pop()
-            code, width = 0x10000 + ((high - 0xD800) << 10) + code - 0xDC00, before + width
-        out.append((code, width))
-    if any(c > 0x10FFFF or 0xD800 <= c < 0xE000 for c, _ in out):
-        return None
-    return [(chr(c), w) for c, w in out]
+            code, own = 0x10000 + ((high - 0xD800) << 10) + code - 0xDC00, before + own
+        out.append((code, own))
+    return [(own if c > 0x10FFFF or 0xD800 <= c < 0xE000 else chr(c), len(own)) for c, own in out]
 
 
 def _is_text(text: str) -> bool:
@@ -215,12 +203,10 @@ def _base64(word: str, limit: int) -> tuple[str, list | None] | None:
 
 
 def encoded(text: str, limit: int = MAX_LAYER) -> Iterator[tuple[str, Origin] | None]:
-    """The layers directly inside a text; None for one that was refused."""
-    for sign, escapes, decode in (("%", URL_ESCAPES, _url), ("\\", CHAR_ESCAPES, _characters), ("&#", CHAR_ESCAPES, _characters)):
-        if sign in text and not (sign == "&#" and "\\" in text):
-            for start, end in _words_around(text, escapes):
-                if found := _replaced(text, start, end, escapes, decode):
-                    yield found
+    """The layers directly inside a text; None for one that was refused.  Escapes are replaced over the whole text."""
+    for signs, escapes, decode in (("%",), URL_ESCAPES, _url), (("\\", "&#"), CHAR_ESCAPES, _characters):
+        if any(sign in text for sign in signs) and (found := _replaced(text, escapes, decode)):
+            yield found
     for m in BASE64.finditer(text):
         try:
             found = _base64(m.group(), limit)
@@ -238,7 +224,7 @@ def encoded(text: str, limit: int = MAX_LAYER) -> Iterator[tuple[str, Origin] |
 def scan(text: str, limit: int = MAX_LAYER) -> tuple[list, list, int, int]:
     """Base spans, all spans (start, kind, end), layers unwrapped and layers refused."""
     base = base_scan(text)
-    spans, layers, refused = set(base), 0, 0
+    spans, layers, refused, seen = set(base), 0, 0, set()
     work = [Layer(text, digests=frozenset([hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()]))]
     while work:
         layer = work.pop()
@@ -252,9 +238,12 @@ def scan(text: str, limit: int = MAX_LAYER) -> tuple[list, list, int, int]:
                 continue
             inner, origin = found
             digest = hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest()
-            if digest not in layer.digests:
+            new = Layer(inner, origin, layer, layer.digests | {digest})
+            place = (digest, *new.span(0, len(inner)))
+            if digest not in layer.digests and place not in seen:
+                seen.add(place)
                 layers += 1
-                work.append(Layer(inner, origin, layer, layer.digests | {digest}))
+                work.append(new)
     return base, sorted(spans), layers, refused
 
 
