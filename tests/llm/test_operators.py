@@ -571,6 +571,79 @@ def test_alternating_escapes_stay_few_layers():
     assert secret_scan.scan(text)[2] < 200
 
 
+def found_in(data, **options):
+    """Whether the secret of some bytes is found inside their base64, with nothing refused."""
+    text = "é " + (data if isinstance(data, str) else base64.b64encode(data).decode()) + " end"
+    _, spans, _, refused = secret_scan.scan(text, **options)
+    assert not refused and all(0 <= a < b <= len(text) for a, _, b in spans)
+    return any(k == 0 for _, k, _ in spans)
+
+
+def test_compressed_data_to_a_fixpoint():
+    import lzma
+
+    import zstandard
+
+    one, other = SECRET.encode(), b"nothing to see here"
+    packs = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress]
+    for f in packs:
+        assert found_in(f(one)) and found_in(f(other) + f(one)) and found_in(f(b"") + f(one)) and found_in(f(other) + one)
+        assert found_in(f(other) + b"x" + one) and found_in(f(other) + b"\0" * 100 + f(one)) and not found_in(f(other) * 3)
+        assert found_in(b"\1\2" + f(other) + f(one)) or f is zlib.compress  # zlib has no signature to look for
+        assert found_in(f(other) + f(gzip.compress(one)))
+        for g in packs:
+            assert found_in(f(g(one))) and found_in(f(g(f(other) + f(one))))
+    assert found_in(gzip.compress(one[:8]) + gzip.compress(one[8:]))
+    assert found_in(gzip.compress(base64.b64encode(gzip.compress(one))))
+
+
+def test_text_in_mixed_data():
+    import io
+    import tarfile
+
+    assert found_in(b"\0\1\xff" + SECRET.encode() + b"\xfe\0") and found_in("é ü".encode() + b"\xff " + SECRET.encode())
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w:gz") as out:
+        for name, data in (("a.conf", b"password = hunter22\n"), ("b.bin", bytes(range(256)))):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            out.addfile(info, io.BytesIO(data))
+    assert found_in(tar.getvalue())
+    data = b"\xff\x80" + "é".encode() + b" " + SECRET.encode() + b"\0" * 30
+    word = base64.b64encode(data).decode()
+    (a, _, b), = secret_scan.scan(word)[1]
+    assert SECRET in base64.b64decode(word[a - a % 4: b + -b % 4]).decode("latin-1") and b - a <= 28
+
+
+def test_base64_over_lines():
+    rng = random.Random(5)
+    noise = "".join(rng.choice("ghijklmnop ") for _ in range(400))
+    for data in ((noise[:50] + SECRET + noise).encode(), gzip.compress((noise + SECRET + noise).encode())):
+        for width in (64, 76):
+            flat = base64.b64encode(data).decode()
+            lines = [flat[i: i + width] for i in range(0, len(flat), width)]
+            for end in ("\n", "\r\n", "\n    ", " \n"):
+                body = end.join(lines)
+                for shape in (body, f"-----BEGIN PRIVATE KEY-----{end}{body}{end}-----END PRIVATE KEY-----", f"key: {body}", f'"{body}"', f"{flat[:20]}{end}" + end.join(flat[i: i + width] for i in range(20, len(flat), width))):
+                    assert found_in(shape), shape
+    flat = base64.b64encode(("x" * 50 + SECRET + " " + "y" * 90).encode()).decode()
+    text = "\n".join(flat[i: i + 76] for i in range(0, len(flat), 76))
+    (a, _, b), = secret_scan.scan(text)[1]
+    assert 64 <= a < 76 < b < 104
+
+
+def test_large_layers_are_scanned_in_pieces():
+    rng = random.Random(6)
+    noise = " ".join("".join(rng.choice("ghijklmnop") for _ in range(6)) for _ in range(200_000)).encode()
+    hidden = base64.b64encode(gzip.compress(SECRET.encode()))
+    for own in (SECRET.encode(), b"password" + b" " * 50_000 + b"= hunter22", hidden, b"%74oken = hunter22"):
+        for _ in range(2):
+            at = noise.index(b" ", rng.randrange(len(noise) - 10))
+            data = gzip.compress(noise[:at] + b" " + own + noise[at:])
+            assert found_in(data, size=100_000) and found_in(data)
+    assert secret_scan.scan(base64.b64encode(gzip.compress(b"a" * 1_000_000)).decode(), size=100_000)[3] > 0
+
+
 def test_secret_scan_awkward_rows(docs, empty):
     out = secret_scan.scan_secrets(docs.withColumn("spans", F.lit("mine"))).collect()
     assert len(out) == docs.count()

@@ -11,9 +11,13 @@ original text it came from, so a find in any layer becomes a span of the origina
 Results in special cases
 * Null and empty texts: no spans, the digest of the empty string.
 * A secret found in several layers at the same place and of the same kind counts once.
-* Data that decode to something other than text (invalid UTF-8 or control characters) are no layer.
-* Decompressed data over ``MAX_LAYER`` bytes are refused (they could not be held in
-  a task); ``n_refused`` counts them, and the rest of the text is scanned as ever.
+* Data that decode to something other than text (invalid UTF-8 or control characters)
+  are scanned in their runs of text; without a run of ``LEAST`` ASCII characters they are no layer.
+* Compressed data are decompressed until none are left, over all members and what
+  follows them.  Over ``MAX_LAYER`` bytes they are scanned in pieces that overlap.
+  An encoded run in them that is longer than a piece is scanned in parts, and
+  ``n_refused`` counts its cuts, as what is encoded across one is not found.
+* ``limit``, if given: decompressed data over so many bytes are refused and counted.
 * Rows are scanned one by one: repeated rows get equal results, an empty table an
   empty one.  Only id and text are read; texts of any length are scanned whole.
 """
@@ -30,6 +34,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +43,12 @@ from pyspark.sql import functions as F
 from .textkit import documents
 
 KINDS = ("assign", "access", "hex")
+#: Bytes of a piece; decompressed data over it are scanned in pieces that overlap.
 MAX_LAYER = 64 << 20
+OVERLAP = 4096
+CHUNK = 1 << 20
+#: zstd gives all that its input holds at once, so it gets little.
+ZSTD_CHUNK = 1 << 10
 
 # The base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -51,7 +61,19 @@ URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 CHAR_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+NEXT_LINE = r"[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++={0,2}+"
+#: Lines of base64; the last one may have other text after it.
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++={{0,2}}+(?={NEXT_LINE})(?:{NEXT_LINE}(?=[\x20\t]*+(?:\r?\n|[^A-Za-z0-9+/_=\x20\t-]|\Z)))*+(?:{NEXT_LINE})?+")
 NOT_TEXT = re.compile(r"[\x00-\x08\x0E-\x1F\x7F-\x9F￾￿]")
+NO_TEXT = re.compile(r"[\x00-\x08\x0E-\x1F\x7F-\x9F￾￿\ud800-\udfff]")
+LEAST = 12
+ASCII_RUN = re.compile(rb"[\x20-\x7e]{%d}" % LEAST)
+#: Compressed streams inside other data.
+SIGNATURE = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+#: Where data may be cut: after a character of no encoding, or a space between words.
+BREAK = re.compile(rb"[^A-Za-z0-9+/=_\-%\\&#;\s]|(?<=\S) (?=\S)")
+SPACES = re.compile(rb" {2,}")
 
 
 def base_scan(text: str) -> list[tuple[int, int, int]]:
@@ -85,7 +107,7 @@ class Origin:
 @dataclass
 class Layer:
     text: str
-    origin: Origin | None = None
+    origin: Origin | Places | None = None
     above: Layer | None = None
     digests: frozenset = field(default_factory=frozenset)
 
@@ -145,105 +167,297 @@ def _characters(escapes: str) -> list[tuple[str, int]]:
     return [(own if c > 0x10FFFF or 0xD800 <= c < 0xE000 else chr(c), len(own)) for c, own in out]
 
 
-def _is_text(text: str) -> bool:
-    return bool(text) and not NOT_TEXT.search(text)
+def _text(data: bytes) -> tuple[str, list[int] | range] | None:
+    """The text in some bytes and the place of each character's first byte; bytes that are no text become NULs.
 
-
-class Refused(Exception):
-    """Decompressed data over the limit."""
+    Every rule and every encoding needs a run of ASCII, so data without one of ``LEAST`` characters hold nothing.
+    """
+    try:
+        text = data.decode()
+        clean = bool(text) and not NOT_TEXT.search(text)
+    except UnicodeDecodeError:
+        clean = False
+    if not clean:
+        if not ASCII_RUN.search(data):
+            return None
+        text = data.decode("utf-8", "surrogateescape")
+    at = range(len(data) + 1) if len(text) == len(data) else list(accumulate((len(c.encode("utf-8", "surrogateescape")) for c in text), initial=0))
+    return text if clean else NO_TEXT.sub("\0", text), at
 
 
-def decompressed(data: bytes, limit: int) -> bytes | None:
-    """``data`` unpacked if it is a gzip, zlib, bzip2, xz or zstd stream."""
+class Refused(Exception):
+    """Decompressed data over the caller's limit."""
+
+
+class Source:
+    """Bytes from chunks, read once; ``unread`` puts some back, ``log`` keeps what was read if it is a list."""
+
+    def __init__(self, chunks):
+        self.chunks, self.held, self.at, self.log = iter(chunks), b"", 0, None
+
+    def peek(self, n: int) -> bytes:
+        if len(self.held) - self.at < n:
+            parts, size = [self.held[self.at:]], len(self.held) - self.at
+            while size < n and (more := next(self.chunks, None)) is not None:
+                parts.append(more)
+                size += len(more)
+            self.held, self.at = b"".join(parts), 0
+        return self.held[self.at: self.at + n]
+
+    def read(self, n: int) -> bytes:
+        out = self.peek(1) and self.held[self.at: self.at + n]
+        self.at += len(out)
+        if self.log is not None:
+            self.log.append(out)
+        return out
+
+    def unread(self, data: bytes) -> None:
+        if self.log is not None:
+            whole = b"".join(self.log)
+            self.log = [whole[: len(whole) - len(data)]]
+        self.held, self.at = data + self.held[self.at:], 0
+
+
+def _codec(head: bytes) -> str | None:
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78":
+        return "zlib"
+    return "bz2" if head[:3] == b"BZh" else "xz" if head[:6] == b"\xfd7zXZ\x00" else "zstd" if head[:4] == b"\x28\xb5\x2f\xfd" else None
+
+
+def _stream(source: Source, codec: str) -> Iterator[bytes]:
+    if codec == "zstd":
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompressobj()
+        while not unpack.eof and (data := source.read(ZSTD_CHUNK)):
+            yield unpack.decompress(data)
+    else:
+        unpack = zlib.decompressobj(47) if codec == "zlib" else bz2.BZ2Decompressor() if codec == "bz2" else lzma.LZMADecompressor()
+        data = source.read(CHUNK)
+        while not unpack.eof:
+            out = unpack.decompress(data, CHUNK)
+            yield out
+            data = unpack.unconsumed_tail if codec == "zlib" else b""
+            if not unpack.eof and not data and (len(out) < CHUNK if codec == "zlib" else unpack.needs_input) and not (data := source.read(CHUNK)):
+                return
+    source.unread(unpack.unused_data)
+
+
+def _member(source: Source, codec: str) -> Iterator[bytes]:
+    """What one compressed stream holds, in chunks.  An error ends it; if it gave nothing it is put back.  Returns whether it was one."""
+    own = source.log is None
+    if own:
+        source.log = []
+    some = False
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-            unpack = zlib.decompressobj(47)
-            out = unpack.decompress(data, limit + 1)
-        elif data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(data, limit + 1)
-        elif data[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor().decompress(data, limit + 1)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            out = zstandard.ZstdDecompressor().decompressobj(read_across_frames=False).decompress(data) if zstandard.frame_content_size(data) <= limit else b"\0" * (limit + 1)
-        else:
-            return None
+        for out in _stream(source, codec):
+            if out:
+                some = True
+                if own:
+                    source.log = None
+                yield out
+    except Refused:
+        raise
     except Exception:  # noqa: BLE001 - each library has its own errors for data that only look compressed
-        return None
-    if len(out) > limit:
-        raise Refused
-    return out
+        if own and not some:
+            log, source.log = b"".join(source.log), None
+            source.unread(log)
+        return some
+    if own:
+        source.log = None
+    return True
+
+
+def _members(source: Source, one: bool) -> Iterator[bytes]:
+    """What the streams at the source hold, one after the other, then what follows them."""
+    first = True
+    while codec := _codec(source.peek(6)):
+        if not (yield from _member(source, codec)):
+            if first:
+                return
+            break
+        if one:
+            return
+        first = False
+        while source.peek(1) == b"\0":  # padding
+            source.unread(source.read(CHUNK).lstrip(b"\0"))
+    if source.peek(1):
+        yield b"\0"
+        while out := source.read(CHUNK):
+            yield out
+
+
+def _counted(chunks: Iterator[bytes], limit: int | None) -> Iterator[bytes]:
+    n = 0
+    for c in chunks:
+        n += len(c)
+        if limit is not None and n > limit:
+            raise Refused
+        if c:
+            yield c
+
+
+def _cuts(source: Source, size: int) -> Iterator[bytes | None]:
+    """The source in pieces of about ``size`` bytes, cut where no encoded run is, each with the end of the one before.
+
+    None for a run that is longer than a piece, and so is cut.
+    """
+    held = b""
+    while True:
+        n = max(size - len(held), OVERLAP)
+        source.peek(n)
+        piece = held + source.read(n)
+        if not source.peek(1):
+            if piece:
+                yield piece
+            return
+        cut, window = 0, min(size, CHUNK)
+        while not cut:
+            for m in BREAK.finditer(piece, max(len(held), len(piece) - window)):
+                cut = m.end()
+            if window >= len(piece):
+                break
+            window *= 2
+        if not cut:
+            yield None
+            cut = len(piece)
+        yield piece[:cut]
+        held = SPACES.sub(b" ", piece[:cut])[-OVERLAP:] + piece[cut:]
 
 
-def _base64(word: str, limit: int) -> tuple[str, list | None] | None:
-    """The text in a base64 word, and for each character its place (None: the whole word)."""
-    bare = word.rstrip("=")
-    if len(bare) % 4 == 1:
-        return None
+def unpacked(source: Source, limit: int | None, size: int, heads: frozenset = frozenset(), inside: bool = False) -> Iterator[bytes | None]:
+    """The data at the source, decompressed until no compressed stream is left, in pieces; None for a run cut between two.
+
+    ``inside``: the source begins at a signature inside other data; if it is no stream, nothing.
+    """
+    head = source.peek(CHUNK)
+    key = hashlib.sha256(head).digest()
+    if _codec(head) and key not in heads:  # a stream that holds itself is a cycle
+        source.log = []
+        inner = Source(_counted(_members(source, inside), limit))
+        if inner.peek(1):
+            source.log = None
+            yield from unpacked(inner, limit, size, heads | {key})
+            return
+        log, source.log = b"".join(source.log), None
+        source.unread(log)
+    if inside:
+        return
+    for piece in _cuts(source, size):
+        yield piece
+        if piece is not None:
+            for m in SIGNATURE.finditer(piece):
+                if m.start():
+                    yield from unpacked(Source([piece[m.start():]]), limit, size, heads | {key}, True)
+
+
+class Places:
+    """As ``Origin``, for the characters of base64 text in some runs of the text above."""
+
+    def __init__(self, runs: list[tuple[int, int]], at):
+        self.runs, self.at = runs, at
+        self.firsts = [0, *accumulate(b - a for a, b in runs)]
+
+    def _place(self, i: int) -> int:
+        k = min(bisect_right(self.firsts, i), len(self.runs)) - 1
+        return self.runs[k][0] + i - self.firsts[k]
+
+    def of(self, i: int) -> tuple[int, int]:
+        return self._place(8 * self.at[i] // 6), self._place(-(-8 * self.at[i + 1] // 6) - 1) + 1
+
+
+def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Runs of base64: each word, and words on consecutive lines as one.
+
+    Lines of one length with a shorter one at the end belong together; so may a line before them, which
+    something else may begin (a key, a quote, the words of a header).
+    """
+    for m in BASE64.finditer(text):
+        yield [m.span()]
+    if "\n" not in text:
+        return
+    for m in WRAPPED.finditer(text):
+        blocks: list[list[tuple[int, int]]] = []
+        width, open_ = 0, False
+        for line in LINE.finditer(text, *m.span()):
+            n = line.end() - line.start()
+            if open_ and n <= width:
+                blocks[-1].append(line.span())
+            else:
+                blocks.append([line.span()])
+                width, open_ = n, True
+            open_ = open_ and n == width and text[line.end() - 1] != "="
+        for k, block in enumerate(blocks):
+            if len(block) > 1:
+                yield block
+            if k and len(blocks[k - 1]) == 1:
+                yield blocks[k - 1] + block
+        if len(blocks) > 2:
+            yield sum(blocks, [])
+
+
+def _base64(text: str, runs: list[tuple[int, int]], limit: int | None, size: int) -> Iterator[tuple[str, Origin | Places] | None]:
+    """The layers in some runs of base64 that are read as one."""
+    bare = "".join(text[a:b] for a, b in runs).rstrip("=")
+    bare = bare[: len(bare) - (len(bare) % 4 == 1)]
+    if len(bare) < 16:
+        return
     try:
         data = base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4))
     except (binascii.Error, ValueError):
-        return None
-    inner = decompressed(data, limit)
-    try:
-        text = (data if inner is None else inner).decode()
-    except UnicodeDecodeError:
-        return None
-    if not _is_text(text):
-        return None
-    if inner is not None:
-        return text, None
-    places, at = [], 0
-    for c in text:
-        k = len(c.encode())
-        places.append((8 * at // 6, min(-(-8 * (at + k) // 6), len(word))))
-        at += k
-    return text, places
+        return
+    whole = Origin([(0, runs[0][0], 0, runs[-1][1] - runs[0][0])])
+    pieces = unpacked(Source([data]), limit, max(size, len(data) + 1))
+    for piece in pieces if limit is None else list(pieces):
+        found = piece and _text(piece)
+        if piece is None:
+            yield None
+        elif found:
+            yield found[0], Places(runs, found[1]) if piece == data else whole
 
 
-def encoded(text: str, limit: int = MAX_LAYER) -> Iterator[tuple[str, Origin] | None]:
+def encoded(text: str, limit: int | None = None, size: int = MAX_LAYER) -> Iterator[tuple[str, Origin | Places] | None]:
     """The layers directly inside a text; None for one that was refused.  Escapes are replaced over the whole text."""
     for signs, escapes, decode in (("%",), URL_ESCAPES, _url), (("\\", "&#"), CHAR_ESCAPES, _characters):
         if any(sign in text for sign in signs) and (found := _replaced(text, escapes, decode)):
             yield found
-    for m in BASE64.finditer(text):
+    for runs in _runs(text):
         try:
-            found = _base64(m.group(), limit)
+            yield from _base64(text, runs, limit, size)
         except Refused:
             yield None
-            continue
-        if found:
-            inner, places = found
-            if places is None:
-                yield inner, Origin([(0, m.start(), 0, m.end() - m.start())])
-            else:
-                yield inner, Origin([(i, m.start() + a, 0, b - a) for i, (a, b) in enumerate(places)])
 
 
-def scan(text: str, limit: int = MAX_LAYER) -> tuple[list, list, int, int]:
-    """Base spans, all spans (start, kind, end), layers unwrapped and layers refused."""
+def scan(text: str, limit: int | None = None, size: int = MAX_LAYER) -> tuple[list, list, int, int]:
+    """Base spans, all spans (start, kind, end), layers unwrapped and layers refused.
+
+    Layers are entered depth first, so those held at a time are a layer and the ones it came from.
+    """
     base = base_scan(text)
     spans, layers, refused, seen = set(base), 0, 0, set()
-    work = [Layer(text, digests=frozenset([hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()]))]
+    top = Layer(text, digests=frozenset([hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()]))
+    work = [(top, encoded(text, limit, size))]
     while work:
-        layer = work.pop()
-        if layer.above is not None:
-            for a, kind, b in base_scan(layer.text):
-                a, b = layer.span(a, b)
-                spans.add((a, kind, b))
-        for found in encoded(layer.text, limit):
-            if found is None:
-                refused += 1
-                continue
-            inner, origin = found
-            digest = hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest()
-            new = Layer(inner, origin, layer, layer.digests | {digest})
-            place = (digest, *new.span(0, len(inner)))
-            if digest not in layer.digests and place not in seen:
-                seen.add(place)
-                layers += 1
-                work.append(new)
+        layer, inside = work[-1]
+        found = next(inside, False)
+        if found is False:
+            work.pop()
+            continue
+        if found is None:
+            refused += 1
+            continue
+        inner, origin = found
+        digest = hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest()
+        new = Layer(inner, origin, layer, layer.digests | {digest})
+        place = (digest, *new.span(0, len(inner)))
+        if digest in layer.digests or place in seen:
+            continue
+        seen.add(place)
+        layers += 1
+        for a, kind, b in base_scan(inner):
+            a, b = new.span(a, b)
+            spans.add((a, kind, b))
+        work.append((new, encoded(inner, limit, size)))
     return base, sorted(spans), layers, refused
 
 
@@ -254,7 +468,7 @@ def _joined(spans) -> str:
 OUT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, n_refused long"
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LAYER) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int | None = None) -> DataFrame:
     """Base counts, base digest and all spans of every row; spans are code points of the original text, end exclusive."""
     names = [c.split()[0] for c in OUT.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
