@@ -2,7 +2,8 @@
 
 1. toxicity: documents that the classifier rejects go.
 2. exact_dedup: of equal texts one row stays.
-3. near_dedup: of each group of near duplicates (five-word shingles, similarity 0.8) one row stays.
+3. near_dedup: of each group of near duplicates (five-word shingles, similarity 0.8) one row stays,
+   whether ids are repeated or null.
 4. mixing: rows are put into the order of the target weights; none goes.
 5. packing: tokens in sequences; the last stage's rows are pieces.
 
@@ -30,7 +31,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs, n=5, percent=80)
+    return ngram_join.one_of_each(docs, n=5, percent=80, spare_null_ids=False)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -497,6 +497,31 @@ def test_ngram_join_awkward_rows(docs, empty):
     assert kept.count() == sum(d is None or d == c for d, _, c in want)
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    rng = random.Random(12)
+
+    def near(text, k):
+        own = text.split()
+        own[k] = "changed"
+        return " ".join(own)
+
+    family, clean, nameless = [[prose(rng, 80) for _ in range(n)] for n in (3, 4, 1)]
+    rows = [(1, family[0]), (5, near(family[0], 10)), (5, clean[0]), (5, clean[1]),  # 5 goes once only
+            (2, family[1]), (2, near(family[1], 30)), (2, clean[2]), (None, near(family[1], 60)),  # copies with one id
+            (3, family[2]), (3, family[2]), (3, family[2].upper()), (None, clean[3]),
+            (None, nameless[0]), (None, near(nameless[0], 5)), (None, nameless[0]), (9, ""), (9, ""), (None, None)]
+    group = [0, 0, 1, 2, 3, 3, 4, 3, 5, 5, 5, 6, 7, 7, 7, 8, 9, 10]
+    docs = frame(spark, [(i, t, "en", f"{g}", k) for k, ((i, t), g) in enumerate(zip(rows, group, strict=True))]).repartition(4)
+    for some in (docs, docs.withColumn("tag", F.lit(1)).withColumn("_own_id", F.lit(2))):
+        out = ngram_join.one_of_each(some, spare_null_ids=False)
+        assert out.columns == some.columns
+        out = out.collect()
+        assert sorted(int(r["source"]) for r in out) == sorted(set(group))
+        assert {r["source"]: r["doc_id"] for r in out if r["source"] in "0357"} == {"0": 1, "3": 2, "5": 3, "7": None}
+    spared = [r for r in ngram_join.one_of_each(docs).collect() if r["doc_id"] is not None]
+    assert sorted(int(r["source"]) for r in spared) == [0, 1, 2, 3, 4, 5, 8, 9]
+
+
 # -- 10 secrets -------------------------------------------------------------
 
 SECRET = "token=abcdef123456"

@@ -46,7 +46,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -119,18 +119,21 @@ def _batch(rows: list[tuple], columns: str) -> pa.RecordBatch:
 PROFILE = "_id long, n long, s1 long, s2 long, k1 long, k2 long, k3 long, k4 long, band long"
 
 
-def _profile(rule: Rule):
-    """Size, signature and min-hashes of every row's set, and how many of its hashes are in the band."""
+def _profile(rule: Rule, tagged: bool):
+    """Size, signature and min-hashes of every row's set, and how many of its hashes are in the band; and, ``tagged``, the row's tag."""
+    schema = PROFILE + ", tag binary" if tagged else PROFILE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), rule.n), strict=True):
+            tags = zip(batch.column(2).to_pylist()) if tagged else [()] * len(batch)
+            for i, tag, s in zip(batch.column(0).to_pylist(), tags, shingle_sets(batch.column(1), rule.n), strict=True):
                 if not len(s):
-                    rows.append((i, 0, *[None] * 7))
+                    rows.append((i, 0, *[None] * 7, *tag))
                 else:
                     low = [int(mix64(s ^ seed).min().view(np.int64)) for seed in SEEDS[2:]]
-                    rows.append((i, len(s), *_signature(s), *low, int(np.searchsorted(s, rule.band))))
-            yield _batch(rows, PROFILE)
+                    rows.append((i, len(s), *_signature(s), *low, int(np.searchsorted(s, rule.band)), *tag))
+            yield _batch(rows, schema)
 
     return run
 
@@ -364,29 +367,39 @@ def _probe(rule: Rule):
 class Join:
     """The steps of one join over ``docs``; see the module's text."""
 
-    def __init__(self, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str):
+    def __init__(self, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, tagged: bool = False):
         if not 0 < percent <= 100 or n < 1:
             raise ValueError("percent is from 1 to 100, n at least 1")
         self.rule, self.spark = Rule(n, percent), docs.sparkSession
+        self.tagged = tagged
         self.texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
 
     def run(self) -> DataFrame:
-        rows = pin(self.texts.mapInArrow(_profile(self.rule), PROFILE))
-        classes = rows.filter(F.col("n") > 0).groupBy("s1", "s2").agg(F.min("_id").alias("id"), *[F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4", "band")])
+        full = self.members().select("_id", "n", "component_id")
+        return full.unionByName(self.rows.filter(F.col("n") == 0).select("_id", "n", F.col("_id").alias("component_id")))
+
+    def members(self) -> DataFrame:
+        """The rows with shingles (_id, n, component_id); and, if tagged, their tags and the smallest (null, _id, tag) of
+        their component, ``eldest``, which tells components apart whose smallest id is the same."""
+        texts, schema, eldest = self.texts, PROFILE, []
+        if self.tagged:
+            texts, schema, eldest = texts.withColumn("tag", text_tag("text")), PROFILE + ", tag binary", ["eldest"]
+        self.rows = rows = pin(texts.mapInArrow(_profile(self.rule, self.tagged), schema))
+        first = [F.min(F.struct(F.col("_id").isNull().alias("null"), "_id", "tag")).alias("eldest") for _ in eldest]
+        classes = rows.filter(F.col("n") > 0).groupBy("s1", "s2").agg(F.min("_id").alias("id"), *[F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4", "band")], *first)
         self.classes = pin(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("comp", F.col("node")))
         some, sets = self.banded()
         label = components(pin(self.linked(pin(self.star_pairs(some)), sets), SETS_PER_BATCH))
-        label = pin(self.classes.join(label, "node", "left").select("node", "id", "s1", "s2", "n", "band", F.coalesce("component", "node").alias("comp")))
+        label = pin(self.classes.join(label, "node", "left").select("node", "id", "s1", "s2", "n", "band", *eldest, F.coalesce("component", "node").alias("comp")))
         far = self.far_links(label.join(some.select("node"), "node", "left_semi"), sets)
         if not far.isEmpty():
             joined = (far.join(label.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
                       .join(label.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
             upper = components(joined).select(F.col("node").alias("comp"), F.col("component").alias("top"))
-            label = label.join(upper, "comp", "left").select("node", "id", "s1", "s2", F.coalesce("top", "comp").alias("comp"))
-        least = label.groupBy("comp").agg(F.min("id").alias("component_id"))
-        found = label.join(least, "comp").select("s1", "s2", "component_id")
-        full = rows.filter(F.col("n") > 0).join(found, ["s1", "s2"]).select("_id", "n", "component_id")
-        return full.unionByName(rows.filter(F.col("n") == 0).select("_id", "n", F.col("_id").alias("component_id")))
+            label = label.join(upper, "comp", "left").select("node", "id", "s1", "s2", *eldest, F.coalesce("top", "comp").alias("comp"))
+        least = label.groupBy("comp").agg(F.min("id").alias("component_id"), *[F.min(c).alias(c) for c in eldest])
+        found = label.drop(*eldest).join(least, "comp").select("s1", "s2", "component_id", *eldest)
+        return rows.filter(F.col("n") > 0).join(found, ["s1", "s2"]).select("_id", "n", "component_id", *eldest, *["tag" for _ in eldest])
 
     def star_pairs(self, some: DataFrame) -> DataFrame:
         """Classes that agree on two min-hashes, each with the two centres of its group."""
@@ -458,10 +471,30 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
-def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; rows without an id stay."""
-    gone = near_components(docs, n, percent, id_col, text_col).filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+def text_tag(text) -> Column:
+    """Sixteen bytes that tell texts apart."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", spare_null_ids: bool = True) -> DataFrame:
+    """One row of each component: the one with the smallest id, then the smallest tag of its text; of equal ones any.
+
+    Rows are told apart by id and text, so rows that share an id stand for themselves.  A null id is larger than any
+    other; with ``spare_null_ids`` rows without an id all stay.
+    """
+    own = Join(docs, n, percent, id_col, text_col, tagged=True).members()
+    if spare_null_ids:
+        own = own.filter(F.col("_id").isNotNull())
+    kept = F.col("_id").eqNullSafe(F.col("eldest._id")) & (F.col("tag") == F.col("eldest.tag"))
+    listed = own.groupBy("_id", "tag", kept.alias("_kept")).agg(F.count(F.lit(1)).alias("m")).filter(~F.col("_kept") | (F.col("m") > 1))
+    listed = pin(listed.select(F.col("_id").alias("_own_id"), F.col("tag").alias("_own_tag"), "_kept"))
+    rows = docs.select(F.struct("*").alias("_twinlake_row"), F.col(id_col).cast("long").alias("_twinlake_id"), text_tag(text_col).alias("_twinlake_tag"))
+    same = F.col("_twinlake_id").eqNullSafe(F.col("_own_id")) & (F.col("_twinlake_tag") == F.col("_own_tag"))
+    out = rows.join(listed, same, "left_anti")
+    again = listed.filter("_kept")
+    if not again.isEmpty():
+        out = out.unionByName(rows.join(again, same, "left_semi").dropDuplicates(["_twinlake_id", "_twinlake_tag"]))
+    return out.select("_twinlake_row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
