@@ -5,7 +5,7 @@
 3. near_dedup: of each group of near duplicates (five-word shingles, similarity 0.8) one row stays,
    whether ids are repeated or null.
 4. mixing: rows are put into the order of the target weights; none goes.
-5. packing: tokens in sequences; the last stage's rows are pieces.
+5. packing: tokens in sequences, numbered in the order of mixing; the last stage's rows are pieces.
 
 Each stage's result is written as Parquet in the session's shared checkpoint folder
 and read again as the next stage's documents, so a lost executor costs a task of
@@ -39,7 +39,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs)
+    return packing.packed_in_order(docs)
 
 
 STAGES = [
