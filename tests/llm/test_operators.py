@@ -294,6 +294,24 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_inside_lines():
+    t = licenses.Templates(licenses.TEMPLATES, licenses.DICE)
+    rng = random.Random(4)
+    for name, texts in licenses.TEMPLATES.items():
+        for x in texts:
+            x = x.rstrip(".")
+            around = ["".join(f" zq{w}" for w in prose(rng, n).split()) for n in (0, 40, 900)]
+            for before in around:
+                for after in around:
+                    text = f"{before} {x} {after}"
+                    (a, b, found, d), *more = t.scan(text)
+                    assert (licenses.words(text[a:b]), found, d, more) == (licenses.words(x), name, 1.0, []), text
+    text = "Project Foo. Licensed under the Apache License, Version 2.0. See the docs for how to build and run it."
+    assert [(text[a:b], n, d) for a, b, n, d in t.scan(text)] == [("Licensed under the Apache License, Version 2.0", "Apache-2.0", 1.0)]
+    both = "Code: licensed under the MIT license, docs: licensed under CC BY-SA 4.0, as\nthe rest of it is"
+    assert [n for _, _, n, _ in t.scan(both)] == ["MIT", "CC-BY-SA-4.0"]
+
+
 # -- 6 exact dedup ----------------------------------------------------------
 
 def test_cuckoo_filter_and_index():

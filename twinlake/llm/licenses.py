@@ -1,10 +1,12 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
-A unit is a run of consecutive lines.  A unit's size is its number of distinct word
+A unit is a run of consecutive lines, or of words inside or across lines that begins
+and ends with a template's bigrams.  A unit's size is its number of distinct word
 bigrams after normalising (lower case, words of letters and digits).  Dice =
 2 * shared / (a + b) reaches t only if the sizes are within a factor of (2 - t) / t,
 so a unit is compared with the templates of fitting size alone, and a line without
-any template bigram begins no unit.  Of overlapping matches the best stays.
+any template bigram begins no unit.  Words are searched only for templates that share
+enough bigrams with the whole text.  Of overlapping matches the best stays.
 
 Results in special cases
 * Null and empty texts, and texts without a match: no matches, null licence, null Dice.
@@ -18,6 +20,7 @@ Results in special cases
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from .textkit import documents
 
 DICE = 0.8
+REPEATS = 4
 WORD = re.compile(r"[^\W_]+")
 
 # Public licence notices and short forms.
@@ -111,11 +115,41 @@ class Templates:
                 last = more[-1] if more else last
                 if more and (best := self.best(unit)):
                     found.append((-best[0], start - lines[j][1], start, lines[j][1], best[1]))
+        found += self.windows(text, [w for _, _, ws in lines for w in ws])
         out: list[tuple[int, int, str, float]] = []
         for d, _, a, b, name in sorted(found):
-            if all(b <= s or a >= e for s, e, _, _ in out):
-                out.append((a, b, name, round(-d, 6)))
-        return sorted(out)
+            at = bisect_left(out, (a,))
+            if (not at or out[at - 1][1] <= a) and (at == len(out) or b <= out[at][0]):
+                out.insert(at, (a, b, name, round(-d, 6)))
+        return out
+
+    def windows(self, text: str, ws: list[str]) -> list[tuple[float, int, int, int, str]]:
+        """(-dice, -length, start, end, licence) of the runs of words that match a template, from one of its bigrams to another.
+
+        A run's distinct bigrams are of a fitting size, and its words at most ``REPEATS`` times as many as that allows.
+        """
+        present = self.union.intersection(zip(ws, ws[1:], strict=False))
+        fitting = [(n, name, b) for n, name, b in self.all if self.factor * len(present) >= n and self.factor * len(b & present) >= n]
+        if not fitting:
+            return []
+        spans = [(m.start(), m.end(), w) for m in WORD.finditer(text) for w in words(m.group())]
+        grams = [(x[2], y[2]) for x, y in zip(spans, spans[1:], strict=False)]
+        found = []
+        for n, name, b in fitting:
+            hits = [i for i, g in enumerate(grams) if g in b]
+            most = self.factor * n
+            for s in hits:
+                seen, shared = set(), 0
+                for i in range(s, min(len(grams), s + int(REPEATS * most) + 1)):
+                    g = grams[i]
+                    if g not in seen:
+                        seen.add(g)
+                        if len(seen) > most:
+                            break
+                        shared += g in b
+                    if g in b and (d := 2 * shared / (len(seen) + n)) >= self.threshold:
+                        found.append((-d, spans[s][0] - spans[i + 1][1], spans[s][0], spans[i + 1][1], name))
+        return found
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = DICE, id_col: str = "doc_id",
