@@ -312,6 +312,37 @@ def test_licenses_inside_lines():
     assert [n for _, _, n, _ in t.scan(both)] == ["MIT", "CC-BY-SA-4.0"]
 
 
+def test_licence_headers_are_told_apart():
+    t = licenses.Templates(licenses.TEMPLATES, licenses.DICE)
+    head = """    This {p} is free software{c} you can redistribute it and/or modify
+    it under the terms of the GNU {k}General Public License as published by
+    the Free Software Foundation{d} either version {v} of the License, or
+    (at your option) any later version.
+
+    This {p} is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU {k}General Public License for more details.
+
+    You should have received a copy of the GNU {k}General Public License
+    along with this {p}{e}"""
+    url = ".  If not, see <https://www.gnu.org/licenses/>."
+    post = "; if not, write to the Free Software\nFoundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+    for want, p, k, v, ends in (("GPL-3.0", "program", "", "3", [url]), ("GPL-2.0", "program", "", "2", [url, post]), ("AGPL-3.0", "program", "Affero ", "3", [url]),
+                                ("LGPL-2.1", "library", "Lesser ", "2.1", [url, post]), ("LGPL-3.0", "program", "Lesser ", "3", [url]), ("LGPL-3.0", "library", "Lesser ", "3", [url])):
+        for e in ends:
+            for c, d in ((":", ","), (";", ";")):
+                text = "/* Project Foo\n" + head.format(p=p, c=c, k=k, d=d, v=v, e=e) + " */\nint main"
+                for own in (text, " ".join(text.split())):
+                    assert [n for _, _, n, _ in t.scan(own)] == [want], own
+    two, three = (next(x for x in licenses.TEMPLATES[n] if "LIABLE" in x) for n in ("BSD-2-Clause", "BSD-3-Clause"))
+    assert "Neither" not in two and "Neither" in three
+    for want, text in (("BSD-2-Clause", two), ("BSD-3-Clause", three)):
+        for holder in ("COPYRIGHT HOLDER", "REGENTS", "AUTHOR"):
+            own = "Copyright (c) 2001 Someone\n" + text.replace("COPYRIGHT HOLDER", holder).replace("the copyright holder nor", "Foo Inc nor")
+            assert [n for _, _, n, _ in t.scan(own)] == [want], own
+
+
 # -- 6 exact dedup ----------------------------------------------------------
 
 def test_cuckoo_filter_and_index():

@@ -33,7 +33,29 @@ DICE = 0.8
 REPEATS = 4
 WORD = re.compile(r"[^\W_]+")
 
-# Public licence notices and short forms.
+# Public licence notices, headers and short forms.
+GNU = ("{program} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software "
+       "Foundation, either version {version} of the License, or (at your option) any later version. {program} is distributed in the hope that it will be useful, but WITHOUT ANY "
+       "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details. You should have "
+       "received a copy of the GNU {kind}General Public License along with {end}")
+FSF = "; if not, write to the Free Software Foundation, Inc., {street}, Boston, MA {zip}"
+FRANKLIN, TEMPLE = FSF.format(street="51 Franklin Street, Fifth Floor", zip="02110-1301 USA."), FSF.format(street="59 Temple Place, Suite 330", zip="02111-1307 USA")
+URL = ". If not, see https://www.gnu.org/licenses/."
+
+
+def gnu(kind: str, version: str, ends: tuple[str, ...], program: str = "This program") -> list[str]:
+    """The header that the licence tells programs to have, with each of its ends."""
+    own = program.lower()
+    return [GNU.format(program=program, kind=kind, version=version, end=own + end) for end in ends]
+
+
+BSD_TWO = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+           "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.")
+BSD_THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_END = (" THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+           "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+           "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
 TEMPLATES = {
     "MIT": [
         "Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.",
@@ -47,14 +69,16 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     ],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", *gnu("", "2", (URL, FRANKLIN, TEMPLE))],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", *gnu("Lesser ", "2.1", (URL, FRANKLIN, TEMPLE), "This library"), *gnu("Lesser ", "2.1", (URL, FRANKLIN))],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", *gnu("Lesser ", "3", (URL,)), *gnu("Lesser ", "3", (URL,), "This library")],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", *gnu("Affero ", "3", (URL,))],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "BSD-3-Clause": [
         "Released under the BSD License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        BSD_TWO + BSD_THIRD, BSD_TWO + BSD_THIRD + BSD_END,
     ],
+    "BSD-2-Clause": [BSD_TWO + BSD_END],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
