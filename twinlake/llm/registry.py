@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, ngram_join, packing, quality, secret_scan, sharding, token_count, toxicity
+from . import exact_dedup, licenses, merkle, mixing, ngram_join, packing, quality, secret_scan, sharding, token_count, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_count.op8,
     "op9_ngram_join": ngram_join.op9,
     "op10_secret_scan": secret_scan.op10,
+    "op11_merkle_manifest": merkle.op11,
 }
 
 ORACLE = {
@@ -22,4 +23,5 @@ ORACLE = {
     "op4_quality_rules": quality.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op9_ngram_join": ngram_join.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
