@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, merkle, mixing, ngram_join, packing, quality, secret_scan, sharding, token_count, toxicity
+from . import exact_dedup, licenses, merkle, mixing, ngram_join, packing, quality, secret_scan, sharding, token_count, toxicity, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ngram_join": ngram_join.op9,
     "op10_secret_scan": secret_scan.op10,
     "op11_merkle_manifest": merkle.op11,
+    "op12_whitening": whitening.op12,
 }
 
 ORACLE = {
