@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, merkle, mixing, ngram_join, packing, quality, secret_scan, sharding, token_count, toxicity, whitening
+from . import exact_dedup, html_extract, licenses, merkle, mixing, ngram_join, packing, quality, secret_scan, sharding, token_count, toxicity, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secret_scan": secret_scan.op10,
     "op11_merkle_manifest": merkle.op11,
     "op12_whitening": whitening.op12,
+    "op13_html_extraction": html_extract.op13,
 }
 
 ORACLE = {
