@@ -803,3 +803,17 @@ register("label_difference", """
                FROM embeddings),
          d AS (SELECT vec_id, label, min(i) AS i FROM w WHERE label NOT IN (1, 4) GROUP BY vec_id, label)
     SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY i) - 1 AS position, CAST(label AS BIGINT) AS label FROM d""")
+
+# --- bucketed replica ---------------------------------------------------------
+register("cdc_bucketed", """
+    WITH last AS (
+      SELECT l_orderkey, l_returnflag = 'R' AND l_linestatus = 'F' AS gone, l_linestatus, l_extendedprice,
+             row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS place
+      FROM lineitem)
+    SELECT coalesce(o_orderkey, l_orderkey) AS o_orderkey, o_custkey, coalesce(l_linestatus, o_orderstatus) AS o_orderstatus,
+           coalesce(l_extendedprice, o_totalprice) AS o_totalprice, o_orderdate, o_orderpriority
+    FROM orders FULL JOIN (SELECT * FROM last WHERE place = 1) l ON l_orderkey = o_orderkey WHERE gone IS DISTINCT FROM true""")
+register("sync_bucketed", _IDS + """
+    SELECT * FROM (SELECT * FROM orders_read r WHERE NOT EXISTS (SELECT 1 FROM rws WHERE rws.o_orderkey = r.o_orderkey)
+                   UNION ALL SELECT * FROM rws)
+    WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")

@@ -848,6 +848,29 @@ def stream_cdc_apply(spark, sf):
     return twins.cdc_run(spark, fx.replica_read(t), _change_log(t), "orders", OKEY)
 
 
+@query
+def cdc_bucketed(spark, sf):
+    """T6 on buckets: changes of every line item, arriving out of order, over the replica of orders."""
+    from ..streaming import twins
+    t = Tables(spark, sf)
+    replica = twins.bucketed_cdc_run(spark, t.orders, fx.order_changes(t), "orders", ("o_orderkey",), "arrived", buckets=16)
+    return replica.read(spark)
+
+
+@query
+def sync_bucketed(spark, sf):
+    """M8, M10 on buckets: requested rows taken over from write, then the returned orders' rows deleted."""
+    import uuid
+    from ..session import scratch_path
+    from ..sources.buckets import BucketedTable
+    t = Tables(spark, sf)
+    replica = BucketedTable(scratch_path(spark, f"sync-buckets-{uuid.uuid4().hex}"), "orders", ("o_orderkey",), buckets=16)
+    replica.create(fx.replica_read(t))
+    replica.sync_rows(_requested_ids(t), fx.replica_write(t), seq=1)
+    replica.delete_rows(t.lineitem.filter(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("o_orderkey")), seq=2)
+    return replica.read(spark)
+
+
 @query
 def stream_reply_timeout(spark, sf):
     """T5 on streams: equals the batch interval join."""

@@ -61,6 +61,20 @@ def replica_read(t: Tables) -> DataFrame:
     return kept.unionByName(orphans)
 
 
+# FX-CHANGES ----------------------------------------------------------------
+def order_changes(t: Tables) -> DataFrame:
+    """Changes of orders, one for each lineitem: numbered by line within an order, arriving by ship date (so later
+    numbers often arrive first); returned lines on F orders delete, others set status and price."""
+    o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "o_orderpriority")
+    seq = (F.col("l_linenumber") * F.lit(1_000_000) + F.col("l_partkey")) * F.lit(1_000_000) + F.col("l_suppkey")
+    row = F.struct(F.col("l_orderkey").alias("o_orderkey"), "o_custkey", F.col("l_linestatus").alias("o_orderstatus"),
+                   F.col("l_extendedprice").alias("o_totalprice"), "o_orderdate", "o_orderpriority")
+    gone = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
+    return t.lineitem.join(o, "l_orderkey", "left").select(
+        F.col("l_orderkey").alias("o_orderkey"), seq.alias("seq"), F.when(gone, "delete").otherwise("upsert").alias("op"),
+        row.alias("row"), F.col("l_shipdate").alias("arrived"))
+
+
 # FX-COMPOSITE --------------------------------------------------------------
 def composite_write(t: Tables) -> DataFrame:
     return m2n_link(t)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources.buckets import BucketedTable
 from ..sources.tables import publish_snapshot, read_snapshot
 from . import cdc, commands, replies, topics
 
@@ -134,12 +135,26 @@ def cdc_run(spark: SparkSession, initial: DataFrame, changes: DataFrame, table:
     publish_snapshot(initial, f"{root}/read", table)
     write_time_chunks(changes, f"{root}/in", seq, chunks=2)
     src = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/in")
-    q = (src.writeStream.foreachBatch(cdc.cdc_sink(f"{root}/read", table, keys))
+    q = (src.writeStream.foreachBatch(cdc.cdc_sink(f"{root}/read", table, keys, seq))
          .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     return read_snapshot(spark, f"{root}/read", table)
 
 
+def bucketed_cdc_run(spark: SparkSession, initial: DataFrame, changes: DataFrame, table: str, keys: tuple[str, ...],
+                     arrival: str, buckets: int = 64, seq: str = "seq") -> BucketedTable:
+    """T6 on a bucketed replica: change files in order of ``arrival``, whatever their sequence numbers."""
+    root = _root(spark, "stream-cdc-buckets")
+    replica = BucketedTable(f"{root}/read", table, keys, buckets)
+    replica.create(initial)
+    write_time_chunks(changes, f"{root}/in", arrival, chunks=3)
+    src = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/in")
+    q = (src.writeStream.foreachBatch(cdc.bucketed_sink(replica, seq))
+         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return replica
+
+
 def timeout_run(spark: SparkSession, req: DataFrame, rep: DataFrame, timeout_s: int) -> DataFrame:
     """T5: request and reply streams joined with watermarks.  A marker pair far in
     event time is appended last so the watermark passes every real request."""
