@@ -817,3 +817,10 @@ register("sync_bucketed", _IDS + """
     SELECT * FROM (SELECT * FROM orders_read r WHERE NOT EXISTS (SELECT 1 FROM rws WHERE rws.o_orderkey = r.o_orderkey)
                    UNION ALL SELECT * FROM rws)
     WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+
+# --- event-time fold ------------------------------------------------------------
+_LATE = "event_id % 40 = 7 AND ts < TIMESTAMP '2024-01-15 00:00:00'"
+register("stream_ordered_fold", _FOLD.replace("FROM cmd)", f"FROM cmd WHERE NOT ({_LATE}))") + f"""
+    SELECT event_id, id, op, code, value, props, created_at, updated_at, false AS late FROM folded
+    UNION ALL
+    SELECT event_id, id, op, NULL, NULL, NULL, NULL, NULL, true FROM cmd WHERE {_LATE}""")

@@ -939,6 +939,16 @@ def stream_state_tws(spark, sf):
     return K.current_state(applied)
 
 
+@query
+def stream_ordered_fold(spark, sf):
+    """T3 in event time: commands arriving out of order are folded in order; those behind the watermark come out as late."""
+    from ..streaming import twins
+    applied, late = twins.ordered_run(spark, fx.arriving_commands(Tables(spark, sf)), "arrived", delay="12 days", slot_ms=86_400_000)
+    cols = ["event_id", "id", "op", "code", "value", "props", "created_at", "updated_at"]
+    none = [F.lit(None).cast(applied.schema[c].dataType).alias(c) for c in cols[3:]]
+    return applied.select(*cols, F.lit(False).alias("late")).unionByName(late.select(*cols[:3], *none, F.lit(True).alias("late")))
+
+
 # --- FX-MSG: all topics ------------------------------------------------------
 @query
 def validate_messages(spark, sf):

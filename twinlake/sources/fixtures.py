@@ -137,6 +137,17 @@ def commands(t: Tables) -> DataFrame:
         F.when(_mod("event_id", 17) == 0, F.lit(None).cast("string")).otherwise(F.col("props")).alias("props"))
 
 
+# FX-ARRIVAL (commands in the order in which they arrive) -----------------------
+LATE_BEFORE = "2024-01-15 00:00:00"  # commands before this time, of ids = 7 (mod 40), arrive 40 days after they were sent
+
+
+def arriving_commands(t: Tables) -> DataFrame:
+    """FX-CMD with an arrival time: up to three days after the command's own time, far later for some old ones."""
+    late = (_mod("event_id", 40) == 7) & (F.col("ts") < F.lit(LATE_BEFORE).cast("timestamp_ntz"))
+    lag = F.when(late, F.lit(40 * 86400)).otherwise(F.col("event_id") * 7919 % (3 * 86400))
+    return commands(t).withColumn("arrived", F.col("ts") + F.make_dt_interval(secs=lag.cast("decimal(18,6)")))
+
+
 # FX-ASSIGN -----------------------------------------------------------------
 def assign_commands(t: Tables) -> DataFrame:
     li = t.lineitem

@@ -10,6 +10,7 @@ query keys, whose answers must equal the batch forms.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from ..sources.buckets import BucketedTable
 from ..sources.tables import publish_snapshot, read_snapshot
-from . import cdc, commands, replies, topics
+from . import cdc, commands, ordered, replies, topics
 
 FILES_PER_BATCH = 2
 
@@ -82,6 +83,43 @@ def _applied_stream(spark: SparkSession, cmd: DataFrame, root: str, api: str = "
     return commands.apply_commands(parsed, fields)
 
 
+#: A time after all data and within pandas' range; a last row at this time lets the watermark pass all others.
+END_OF_TIME = "2200-01-01 00:00:00"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """The RocksDB state store for a query started inside; the provider is fixed into a query's checkpoint when it starts."""
+    prev = spark.conf.get(PROVIDER_CONF, None)
+    spark.conf.set(PROVIDER_CONF, ROCKSDB_PROVIDER)
+    try:
+        yield
+    finally:
+        if prev is None:
+            spark.conf.unset(PROVIDER_CONF)
+        else:
+            spark.conf.set(PROVIDER_CONF, prev)
+
+
+def ordered_run(spark: SparkSession, cmd: DataFrame, arrived: str, delay: str, slot_ms: int, chunks: int = 8,
+                files: int = 1, chunk: int = ordered.CHUNK) -> tuple[DataFrame, DataFrame]:
+    """T3 in event time: command files in order of ``arrived``, ``files`` of them a chunk with rows in any order;
+    the folded rows and the late rows."""
+    root = _root(spark, "stream-ordered")
+    rows = cmd if files == 1 else cmd.repartition(files)
+    write_time_chunks(rows, f"{root}/in", arrived, chunks)
+    last = cmd.agg(*[(F.max(F.lit(END_OF_TIME).cast("timestamp_ntz")) if c == "ts" else F.max(F.lit(-1)) if c == "event_id" else F.max(F.lit(None)))
+                     .cast(cmd.schema[c].dataType).alias(c) for c in cmd.columns])
+    last.write.mode("append").parquet(f"{root}/in")
+    src = spark.readStream.schema(cmd.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/in").drop(arrived)
+    out = ordered.ordered_commands(src, {"value": "double", "props": "string"}, delay=delay, slot_ms=slot_ms, chunk=chunk)
+    with rocksdb(spark):
+        q = (out.writeStream.foreachBatch(ordered.split_sink(f"{root}/applied", f"{root}/late"))
+             .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return tuple(spark.read.parquet(f"{root}/{name}").drop("batch") for name in ("applied", "late"))
+
+
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
 
