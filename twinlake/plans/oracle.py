@@ -819,8 +819,79 @@ register("sync_bucketed", _IDS + """
     WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
 
 # --- event-time fold ------------------------------------------------------------
-_LATE = "event_id % 40 = 7 AND ts < TIMESTAMP '2024-01-15 00:00:00'"
+_LATE = "event_id % 40 = 7 AND ts < TIMESTAMP '2024-01-12 00:00:00'"
 register("stream_ordered_fold", _FOLD.replace("FROM cmd)", f"FROM cmd WHERE NOT ({_LATE}))") + f"""
     SELECT event_id, id, op, code, value, props, created_at, updated_at, false AS late FROM folded
     UNION ALL
     SELECT event_id, id, op, NULL, NULL, NULL, NULL, NULL, true FROM cmd WHERE {_LATE}""")
+
+# --- FX-LIVES -------------------------------------------------------------------
+_LIVES = f"""
+WITH e AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey AS author_id, l_partkey % 97 AS book_id,
+         row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n,
+         CASE WHEN l_linenumber < 6 OR l_orderkey % 20 > 2 THEN 'link' WHEN l_linenumber = 7 THEN 'author' ELSE 'book' END AS kind,
+         CASE WHEN kind = 'link' THEN CASE WHEN l_returnflag = 'R' THEN 'unassign' ELSE 'assign' END
+              WHEN l_orderkey % 20 = 0 THEN 'delete' ELSE 'create' END AS op
+  FROM lineitem),
+authors AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 5 <> 4),
+books AS (SELECT DISTINCT p_partkey % 97 AS id FROM part WHERE p_partkey % 97 % 7 <> 6),
+stored AS (SELECT DISTINCT author_id, book_id FROM e WHERE (author_id + book_id) % 10 = 3
+             AND author_id IN (SELECT id FROM authors) AND book_id IN (SELECT id FROM books)),
+f AS (
+  SELECT *, last_value(CASE WHEN kind = 'author' THEN op END IGNORE NULLS) OVER a AS a_cd, max(CASE WHEN kind = 'author' AND op = 'delete' THEN n END) OVER a AS a_gone,
+            last_value(CASE WHEN kind = 'book' THEN op END IGNORE NULLS) OVER b AS b_cd, max(CASE WHEN kind = 'book' AND op = 'delete' THEN n END) OVER b AS b_gone
+  FROM e WINDOW a AS (PARTITION BY author_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                b AS (PARTITION BY book_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ok AS (SELECT *, coalesce(a_cd = 'create', author_id IN (SELECT id FROM authors)) AS author_ok,
+             coalesce(b_cd = 'create', book_id IN (SELECT id FROM books)) AS book_ok FROM f WHERE kind = 'link'),
+g AS (SELECT *, CASE WHEN op = 'unassign' OR (author_ok AND book_ok) THEN op END AS effect FROM ok),
+h AS (SELECT g.*, s.author_id IS NOT NULL AS stored, last_value(effect IGNORE NULLS) OVER p AS prev, max(CASE WHEN effect IS NOT NULL THEN n END) OVER p AS prev_n
+      FROM g LEFT JOIN stored s ON s.author_id = g.author_id AND s.book_id = g.book_id
+      WINDOW p AS (PARTITION BY g.author_id, g.book_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+i AS (SELECT *, CASE WHEN prev IS NULL THEN stored AND a_gone IS NULL AND b_gone IS NULL
+                     ELSE prev = 'assign' AND coalesce(a_gone, 0) < prev_n AND coalesce(b_gone, 0) < prev_n END AS live FROM h),
+judged AS (SELECT *, {_LINK_OF} AS link_id, CASE WHEN op = 'unassign' THEN CASE WHEN live THEN 200 ELSE 404 END
+                          WHEN NOT author_ok OR NOT book_ok THEN 404 WHEN live THEN 409 ELSE 200 END AS code FROM i)
+"""
+register("assignment_asof", _LIVES + """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, op, author_id, book_id, code,
+           CASE WHEN code = 200 THEN NULL WHEN op = 'unassign' THEN 'Assignment with ID ' || link_id || ' not found.'
+                WHEN NOT author_ok THEN 'Author with ID ' || author_id || ' not found.'
+                WHEN NOT book_ok THEN 'Book with ID ' || book_id || ' not found.'
+                ELSE 'Author ' || author_id || ' is already assigned to Book ' || book_id || '.' END AS message
+    FROM judged""")
+register("links_asof", _LIVES + """
+    , last AS (SELECT *, row_number() OVER (PARTITION BY author_id, book_id ORDER BY n DESC) AS place FROM judged WHERE code = 200),
+    made AS (
+      SELECT author_id, book_id, op, n, l_orderkey, l_linenumber FROM last WHERE place = 1
+      UNION ALL
+      SELECT author_id, book_id, 'assign', 0, NULL, NULL FROM stored
+      WHERE (author_id, book_id) NOT IN (SELECT (author_id, book_id) FROM last))
+    SELECT author_id, book_id, l_orderkey, l_linenumber FROM made m WHERE op = 'assign'
+      AND NOT EXISTS (SELECT 1 FROM e WHERE kind = 'author' AND e.op = 'delete' AND e.author_id = m.author_id AND (e.n > m.n OR m.n = 0))
+      AND NOT EXISTS (SELECT 1 FROM e WHERE kind = 'book' AND e.op = 'delete' AND e.book_id = m.book_id AND (e.n > m.n OR m.n = 0))""")
+
+# --- FX-UNIQUE: one command after the other; what each id holds is a list (NULL: not live, -1: no value) ------------
+register("cmd_unique_lifecycle", with_("cmd") + """
+    , c AS MATERIALIZED (
+      SELECT event_id, id, op, has_value OR op = 'create' AS has, CASE WHEN event_id % 13 <> 0 THEN event_id * 31 % 9973 END AS v,
+             row_number() OVER (ORDER BY ts, event_id) AS n FROM cmd),
+    ids AS MATERIALIZED (SELECT DISTINCT id FROM c),
+    s(n, holds, code) AS (
+      SELECT CAST(0 AS BIGINT), list(CASE WHEN x % 10 = 3 AND x < 9973 THEN id END ORDER BY x), CAST(NULL AS INTEGER)
+      FROM (SELECT unnest(range(0, (SELECT max(id) + 1 FROM ids))) AS x) LEFT JOIN ids ON id = x
+      UNION ALL
+      SELECT n, CASE WHEN code <> 200 OR op = 'get' OR (op = 'update' AND NOT has) THEN holds
+                     ELSE list_transform(holds, lambda x, i: CASE WHEN i <> id + 1 THEN x WHEN op <> 'delete' THEN coalesce(v, -1) END) END, code
+      FROM (SELECT c.n, holds, op, c.id, v, has,
+              CASE WHEN op = 'create' THEN CASE WHEN holds[c.id + 1] IS NOT NULL OR taken THEN 400 ELSE 200 END
+                   WHEN holds[c.id + 1] IS NULL THEN 404 WHEN op = 'update' AND has AND taken THEN 400 ELSE 200 END AS code
+            FROM (SELECT c.*, holds, v IS NOT NULL AND coalesce(list_position(holds, v), 0) NOT IN (0, c.id + 1) AS taken FROM s JOIN c ON c.n = s.n + 1) c))
+    SELECT event_id, id, op, 'B' || v AS isbn, code,
+           CASE WHEN op = 'create' AND code = 400 THEN CASE WHEN before[id + 1] IS NOT NULL THEN 'Book with ID ' || id || ' already exists.'
+                                                           ELSE 'Book with ISBN B' || v || ' already exists' END
+                WHEN code = 404 THEN 'Book with ID ' || id || ' not found.'
+                WHEN code = 400 THEN 'Book with ISBN B' || v || ' already exists' END AS message
+    FROM (SELECT c.*, s.code, p.holds AS before FROM c JOIN s ON s.n = c.n JOIN s p ON p.n = c.n - 1)""")
+ORACLE["cmd_unique_lifecycle"] = ORACLE["cmd_unique_lifecycle"].replace("WITH cmd", "WITH RECURSIVE cmd", 1)

@@ -943,7 +943,7 @@ def stream_state_tws(spark, sf):
 def stream_ordered_fold(spark, sf):
     """T3 in event time: commands arriving out of order are folded in order; those behind the watermark come out as late."""
     from ..streaming import twins
-    applied, late = twins.ordered_run(spark, fx.arriving_commands(Tables(spark, sf)), "arrived", delay="12 days", slot_ms=86_400_000)
+    applied, late = twins.ordered_run(spark, fx.arriving_commands(Tables(spark, sf)), "arrived", delay="12 days", slot_ms=5 * 86_400_000)
     cols = ["event_id", "id", "op", "code", "value", "props", "created_at", "updated_at"]
     none = [F.lit(None).cast(applied.schema[c].dataType).alias(c) for c in cols[3:]]
     return applied.select(*cols, F.lit(False).alias("late")).unionByName(late.select(*cols[:3], *none, F.lit(True).alias("late")))
@@ -990,6 +990,40 @@ def assignment_events(spark, sf):
     return K.assignment_events(_assignment_log(spark, sf), keep=("l_orderkey", "l_linenumber"))
 
 
+# --- FX-LIVES: parents as of the request ---------------------------------------
+def _judged_asof(spark, sf):
+    from ..operators import asof as A
+    t = Tables(spark, sf)
+    lives = fx.parent_lives(t, "author_id", 7), fx.parent_lives(t, "book_id", 6)
+    stored = {"authors": fx.stored_parents(t, "author_id"), "books": fx.stored_parents(t, "book_id"), "links": fx.stored_links(t)}
+    return A.assignments_asof(fx.link_requests(t), *lives, fx.LIFE_ORDER, **stored), lives, stored
+
+
+@query
+def assignment_asof(spark, sf):
+    """K7, K8: link requests against authors and books that are deleted and created again meanwhile."""
+    judged, _, _ = _judged_asof(spark, sf)
+    return judged.select(*fx.LIFE_ORDER[1:], "op", "author_id", "book_id", "code", "message")
+
+
+@query
+def links_asof(spark, sf):
+    """The links left after requests and deletes of parents, each with the line that made it."""
+    from ..operators import asof as A
+    judged, lives, stored = _judged_asof(spark, sf)
+    out = A.links_after(judged, *lives, fx.LIFE_ORDER, **stored)
+    return out.select("author_id", "book_id", F.col("at.l_orderkey").alias("l_orderkey"), F.col("at.l_linenumber").alias("l_linenumber"))
+
+
+@query
+def cmd_unique_lifecycle(spark, sf):
+    """K2: unique values claimed by creates and updates, freed by updates and deletes, over stored holders."""
+    from ..operators import unique as U
+    t = Tables(spark, sf)
+    judged, _rounds = U.judge_unique(fx.unique_commands(t), "isbn", ["ts", "event_id"], has="has", stored=fx.unique_holders(t))
+    return judged.select("event_id", "id", "op", "isbn", "code", "message")
+
+
 # --- operators that no other key reaches --------------------------------------
 @query
 def entity_to_aggregate(spark, sf):

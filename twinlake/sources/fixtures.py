@@ -138,7 +138,7 @@ def commands(t: Tables) -> DataFrame:
 
 
 # FX-ARRIVAL (commands in the order in which they arrive) -----------------------
-LATE_BEFORE = "2024-01-15 00:00:00"  # commands before this time, of ids = 7 (mod 40), arrive 40 days after they were sent
+LATE_BEFORE = "2024-01-12 00:00:00"  # commands before this time, of ids = 7 (mod 40), arrive 40 days after they were sent
 
 
 def arriving_commands(t: Tables) -> DataFrame:
@@ -159,6 +159,57 @@ def assign_commands(t: Tables) -> DataFrame:
         F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber", "l_returnflag")
 
 
+# FX-LIVES (parents that come and go while links are requested) -----------------
+LIFE_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]  # total over lineitem
+
+
+def _life_lines(t: Tables) -> DataFrame:
+    """Line items with the ids of their parents: the supplier, and one of 97 books."""
+    li = t.lineitem
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.col("l_shipdate").alias("ts"),
+                     F.col("l_suppkey").alias("author_id"), (F.col("l_partkey") % 97).alias("book_id"))
+
+
+def parent_lives(t: Tables, ref: str, line: int) -> DataFrame:
+    """Lines with number ``line`` and order keys 0, 1, 2 (mod 20) delete (0) or create (1, 2) their author or book."""
+    rows = _life_lines(t).filter((F.col("l_linenumber") == line) & (_mod("l_orderkey", 20) <= 2))
+    return rows.select(ref, F.when(_mod("l_orderkey", 20) == 0, "delete").otherwise("create").alias("op"), *LIFE_ORDER)
+
+
+def link_requests(t: Tables) -> DataFrame:
+    """All other lines ask for a link of author and book (returned lines: to take it away)."""
+    life = (F.col("l_linenumber") >= 6) & (_mod("l_orderkey", 20) <= 2)
+    op = F.when(F.col("l_returnflag") == "R", "unassign").otherwise("assign")
+    return _life_lines(t).filter(~life).select(op.alias("op"), "author_id", "book_id", *LIFE_ORDER)
+
+
+def stored_parents(t: Tables, ref: str) -> DataFrame:
+    """Parents that are live before the logs: four of five authors, all books that parts name but every seventh."""
+    if ref == "author_id":
+        return t.supplier.filter(_mod("s_suppkey", 5) != 4).select(F.col("s_suppkey").alias(ref))
+    return t.part.select((F.col("p_partkey") % 97).alias(ref)).filter(F.col(ref) % 7 != 6).distinct()
+
+
+def stored_links(t: Tables) -> DataFrame:
+    """Links from before the logs: authors and books whose ids add up to 3 (mod 10)."""
+    return t.lineitem.select(F.col("l_suppkey").alias("author_id"), (F.col("l_partkey") % 97).alias("book_id")).filter(
+        (F.col("author_id") + F.col("book_id")) % 10 == 3).distinct()
+
+
+# FX-UNIQUE (commands that want one of 9973 unique values) ----------------------
+def unique_commands(t: Tables) -> DataFrame:
+    """FX-CMD with a unique value instead of its fields; creates always carry it, updates where they carry ``value``."""
+    c = commands(t)
+    value = F.when(_mod("event_id", 13) != 0, F.concat(F.lit("B"), (F.col("event_id") * 31 % 9973).cast("string")))
+    return c.select("event_id", "ts", "id", "op", (F.col("has_value") | (F.col("op") == "create")).alias("has"), value.alias("isbn"))
+
+
+def unique_holders(t: Tables) -> DataFrame:
+    """Rows that are live before the log: ids = 3 (mod 10) below 9973 hold their own number."""
+    ids = t.events.select(F.col("user_id").alias("id")).filter((_mod("user_id", 10) == 3) & (F.col("user_id") < 9973)).distinct()
+    return ids.withColumn("isbn", F.concat(F.lit("B"), F.col("id").cast("string")))
+
+
 # FX-PAYLOAD ----------------------------------------------------------------
 def payloads(t: Tables) -> DataFrame:
     p = t.part

@@ -5,8 +5,9 @@ watermark says that nothing older is to come:
 
 * the buffer is cut into time slots; a slot's rows lie in parts of at most ``CHUNK`` rows, so adding rows never
   rewrites what is stored;
-* an event-time timer at the end of a slot fires once the watermark has passed it; the slot is then sorted by
-  ``(ts, event_id)`` and folded in chunks of ``CHUNK`` rows with carried state, by the rules of the batch fold;
+* an event-time timer at the end of a slot fires once the watermark has passed it; the key's slots that are due are
+  then sorted by ``(ts, event_id)``, one or a few small ones at a time, and folded in chunks of ``CHUNK`` rows with
+  carried state, by the rules of the batch fold;
 * a row that arrives when the watermark has passed its slot is late: it is not folded but comes out at once,
   marked ``late``.  Every input row comes out exactly once, folded or late.
 
@@ -109,24 +110,31 @@ def ordered_commands(cmds: DataFrame, fields: dict[str, str], key: str = "id", d
             self.slots.updateValue((slot,), (parts, filled))
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            """Fold all slots that the watermark has passed, small ones together; their own timers then find nothing."""
             slot = expiredTimerInfo.getExpiryTimeInMs() // slot_ms - 1
             if not self.slots.containsKey((slot,)):
                 return
-            parts = int(self.slots.getValue((slot,))[0])
-            pdf = pd.concat([_unpack(bytes(self.parts.getValue((slot, p))[0])) for p in range(parts)], ignore_index=True)
-            for p in range(parts):
-                self.parts.removeKey((slot, p))
-            self.slots.removeKey((slot,))
-            pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
+            now = timerValues.getCurrentWatermarkInMs()
+            due = sorted((int(k[0]), int(v[0])) for k, v in self.slots.iterator() if (int(k[0]) + 1) * slot_ms <= now)
             st = tuple(self.entity.get()) if self.entity.exists() else None
-            for a in range(0, len(pdf), chunk):
-                res, st = _fold_pandas(pdf.iloc[a: a + chunk], names, st)
-                res.insert(0, columns[0], key[0])
-                res["late"] = False
-                yield res[columns]
+            live, held, rows = st is not None, [], 0
+            for i, (s, parts) in enumerate(due):
+                for p in range(parts):
+                    held.append(_unpack(bytes(self.parts.getValue((s, p))[0])))
+                    rows += len(held[-1])
+                    self.parts.removeKey((s, p))
+                self.slots.removeKey((s,))
+                if rows >= chunk or i == len(due) - 1:
+                    pdf = pd.concat(held, ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
+                    for a in range(0, len(pdf), chunk):
+                        res, st = _fold_pandas(pdf.iloc[a: a + chunk], names, st)
+                        res.insert(0, columns[0], key[0])
+                        res["late"] = False
+                        yield res[columns]
+                    held, rows = [], 0
             if st[0]:
                 self.entity.update(st)
-            elif self.entity.exists():
+            elif live:
                 self.entity.clear()
 
         def _late(self, key, pdf: pd.DataFrame) -> pd.DataFrame:
