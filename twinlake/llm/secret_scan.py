@@ -104,18 +104,44 @@ class Origin:
         return a, a + width
 
 
+    def over(self, below: Origin) -> Origin:
+        """This origin of an origin: the parts of the text two layers up, for pieces that map one to one or whole."""
+        pieces = []
+        for k, (first, start, step, width) in enumerate(self.pieces):
+            if step == 0:  # one part
+                (a, _), (_, b) = below.of(start), below.of(start + width - 1)
+                pieces.append((first, a, 0, b - a))
+                continue
+            n = self.firsts[k + 1] - first if k + 1 < len(self.firsts) else None
+            j = bisect_right(below.firsts, start) - 1
+            while j < len(below.pieces) and (n is None or below.firsts[j] < start + n):
+                low, at, step_, width_ = below.pieces[j]
+                skip = max(start - low, 0)
+                pieces.append((first + max(low - start, 0), at + skip * step_, step_, width_))
+                j += 1
+        return Origin(pieces)
+
+
 @dataclass
 class Layer:
+    """A decoded text.  ``origin`` leads to ``above``, the nearest base64 text around it or the text itself; layers
+    of escapes between are composed into it, so a chain of them keeps no texts and maps in one step."""
+
     text: str
     origin: Origin | Places | None = None
     above: Layer | None = None
-    digests: frozenset = field(default_factory=frozenset)
+
+    def inside(self, text: str, origin: Origin | Places) -> Layer:
+        if isinstance(origin, Origin) and isinstance(self.origin, Origin):
+            return Layer(text, origin.over(self.origin), self.above)
+        return Layer(text, origin, Layer("", self.origin, self.above))
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         """The span of the original text for code points [a, b) of this layer."""
         layer = self
         while layer.above is not None:
-            (a, _), (_, b) = layer.origin.of(a), layer.origin.of(b - 1)
+            if layer.origin is not None:
+                (a, _), (_, b) = layer.origin.of(a), layer.origin.of(b - 1)
             layer = layer.above
         return a, b
 
@@ -417,30 +443,44 @@ def _base64(text: str, runs: list[tuple[int, int]], limit: int | None, size: int
 
 
 def encoded(text: str, limit: int | None = None, size: int = MAX_LAYER) -> Iterator[tuple[str, Origin | Places] | None]:
-    """The layers directly inside a text; None for one that was refused.  Escapes are replaced over the whole text."""
-    for signs, escapes, decode in (("%",), URL_ESCAPES, _url), (("\\", "&#"), CHAR_ESCAPES, _characters):
-        if any(sign in text for sign in signs) and (found := _replaced(text, escapes, decode)):
-            yield found
+    """The layers directly inside a text; None for one that was refused.  Escapes are replaced over the whole text and
+    come last: nothing is left to do in a text when its last layer is entered."""
     for runs in _runs(text):
         try:
             yield from _base64(text, runs, limit, size)
         except Refused:
             yield None
+    for signs, escapes, decode in (("\\", "&#"), CHAR_ESCAPES, _characters), (("%",), URL_ESCAPES, _url):
+        if any(sign in text for sign in signs) and (found := _replaced(text, escapes, decode)):
+            yield found
+
+
+def _with_last(items: Iterator) -> Iterator[tuple]:
+    """(item, whether it is the last one)."""
+    held = next(items, False)
+    while held is not False:
+        following = next(items, False)
+        yield held, following is False
+        held = following
 
 
 def scan(text: str, limit: int | None = None, size: int = MAX_LAYER) -> tuple[list, list, int, int]:
     """Base spans, all spans (start, kind, end), layers unwrapped and layers refused.
 
-    Layers are entered depth first, so those held at a time are a layer and the ones it came from.
+    Layers are entered depth first.  A layer whose last inner layer is entered is let go, so a chain of escapes holds one
+    text; ``path`` has the digests of the layers around the current one, for cycles.
     """
     base = base_scan(text)
     spans, layers, refused, seen = set(base), 0, 0, set()
-    top = Layer(text, digests=frozenset([hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()]))
-    work = [(top, encoded(text, limit, size))]
+    own = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+    path, work = {own}, [(Layer(text), own, _with_last(encoded(text, limit, size)))]
     while work:
-        layer, inside = work[-1]
-        found = next(inside, False)
+        layer, digest, inside = work[-1]
+        found, last = next(inside, (False, True)) if inside is not None else (False, True)
+        if last:
+            work[-1] = (None, digest, None)  # the layer goes, its digest stays until those inside it are done
         if found is False:
+            path.discard(digest)
             work.pop()
             continue
         if found is None:
@@ -448,16 +488,17 @@ def scan(text: str, limit: int | None = None, size: int = MAX_LAYER) -> tuple[li
             continue
         inner, origin = found
         digest = hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest()
-        new = Layer(inner, origin, layer, layer.digests | {digest})
+        new = layer.inside(inner, origin)
         place = (digest, *new.span(0, len(inner)))
-        if digest in layer.digests or place in seen:
+        if digest in path or place in seen:
             continue
         seen.add(place)
+        path.add(digest)
         layers += 1
         for a, kind, b in base_scan(inner):
             a, b = new.span(a, b)
             spans.add((a, kind, b))
-        work.append((new, encoded(inner, limit, size)))
+        work.append((new, digest, _with_last(encoded(inner, limit, size))))
     return base, sorted(spans), layers, refused
 
 
