@@ -11,8 +11,9 @@ enough bigrams with the whole text.  Of overlapping matches the best stays.
 Results in special cases
 * Null and empty texts, and texts without a match: no matches, null licence, null Dice.
 * Equal Dice: the longer unit, then the first, then the template's name.
-* Texts are scanned whole; a unit ends where it outgrows the largest template, so
-  work is linear in lines for a given template table.
+* Texts are scanned whole; a unit ends where it outgrows the largest template or, by lines that repeat its
+  bigrams, ``REPEATS`` times that in words, so work is linear in lines for a given template table.  Of units from
+  one line on with the same bigrams, the longest counts.
 * Rows are scanned one by one: repeated rows get equal results, an empty table an
   empty one.  Only id and text are read.
 """
@@ -124,21 +125,29 @@ class Templates:
             at += len(line) + 1
         union, found = self.union, []
         hit = [any(p in union for p in zip(ws, ws[1:], strict=False)) for _, _, ws in lines]
+        own, most = [bigrams(ws) for _, _, ws in lines], REPEATS * self.largest
         for i, (start, _, ws) in enumerate(lines):
             # a line may hold the first word of a bigram that the next line ends
             if not hit[i] and not (ws and i + 1 < len(lines) and lines[i + 1][2] and (ws[-1], lines[i + 1][2][0]) in union):
                 continue
-            unit, last = set(), None
+            unit, last, size, n, best = set(), None, 0, 0, None
             for j in range(i, len(lines)):
                 more = lines[j][2]
-                if last is not None and more:
+                if not more:
+                    continue
+                if last is not None:
                     unit.add((last, more[0]))
-                unit |= bigrams(more)
-                if len(unit) > self.largest:
+                unit |= own[j]
+                n += len(more)
+                if len(unit) > self.largest or (n > most and j > i):
                     break
-                last = more[-1] if more else last
-                if more and (best := self.best(unit)):
-                    found.append((-best[0], start - lines[j][1], start, lines[j][1], best[1]))
+                last = more[-1]
+                if len(unit) != size or best is None and j == i:  # lines that add no bigram only make the match longer
+                    size, best = len(unit), self.best(unit)
+                    if best:
+                        found.append((-best[0], start - lines[j][1], start, lines[j][1], best[1]))
+                elif best:
+                    found[-1] = (-best[0], start - lines[j][1], start, lines[j][1], best[1])
         found += self.windows(text, [w for _, _, ws in lines for w in ws])
         out: list[tuple[int, int, str, float]] = []
         for d, _, a, b, name in sorted(found):
