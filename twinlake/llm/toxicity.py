@@ -71,15 +71,17 @@ def text_words(text: str | None) -> set[str]:
 
 
 class Matcher(dict):
-    """word -> indices of its patterns in ``patterns``; remembers up to ``limit`` words."""
+    """word -> indices of its patterns in ``patterns``; remembers up to ``limit`` words of at most 64 characters."""
 
     def __init__(self, patterns: list[str], limit: int = 200_000):
         self.index, self.limit = {p: i for i, p in enumerate(patterns)}, limit
 
     def __missing__(self, word: str) -> tuple:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = out = tuple(self.index[p] for p in patterns_of(word) if p in self.index)
+        out = tuple(self.index[p] for p in patterns_of(word) if p in self.index)
+        if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = out
         return out
 
     def fired(self, text: str | None) -> set[int]:
@@ -97,11 +99,15 @@ def _matcher(patterns: list[str]) -> Matcher:
 # -- 1. voters --------------------------------------------------------------
 
 def training_rows(docs: DataFrame, marks: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(text, y) of at most ``rows`` labelled rows that are not held out, by hash of the id.  An id that is labelled twice counts as toxic if either is."""
+    """(text, y) of at most ``rows`` labelled rows that are not held out, one an id (that with the smallest text hash), ids by hash.
+
+    An id that is labelled twice counts as toxic if either is.  The texts of an id are reduced to one before the shuffle."""
     own = marks.select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("y"))
     own = own.filter(~held_out(F.col("_label_id")) & F.col("y").isNotNull() & F.col("_label_id").isNotNull())
     own = own.groupBy("_label_id").agg(F.max("y").alias("y")).orderBy(F.md5(F.col("_label_id").cast("string")), "_label_id").limit(rows)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(own), F.col("_id") == F.col("_label_id")).select("text", "y")  # at most `rows` rows
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(own), F.col("_id") == F.col("_label_id"))  # at most `rows` ids
+    one = found.groupBy("_label_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.orderBy(F.md5(F.col("_label_id").cast("string")), "_label_id").select("text", "y")
 
 
 def _pattern_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
