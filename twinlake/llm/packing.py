@@ -43,8 +43,8 @@ SEQUENCE_TOKENS = 4096
 END_ID = 1
 PIECES_PER_GROUP = 50_000
 LONG_CHARS = 1 << 20
-#: Words whose ids a worker remembers before it starts again.
-CACHED_WORDS = 500_000
+#: Words whose ids a worker remembers before it starts again, and the longest that it remembers.
+CACHED_WORDS, CACHED_CHARS = 500_000, 64
 #: Bits of a piece's number in the id of a sequence that has a place.
 PIECE_BITS = 26
 
@@ -78,8 +78,10 @@ class WordTokenizer:
         except KeyError:
             if len(known) > CACHED_WORDS:
                 known.clear()
-            self._learn([w for w in set(words) if w not in known])
-            return b"".join(map(known.__getitem__, words))
+            new = [w for w in set(words) if w not in known]
+            self._learn([w for w in new if len(w) <= CACHED_CHARS])
+            long = {w: self._encode(w) for w in new if len(w) > CACHED_CHARS}
+            return b"".join([long[w] if w in long else known[w] for w in words] if long else map(known.__getitem__, words))
 
     def _learn(self, words: list[str]) -> None:
         """All words in one call, cut where a word's last piece is."""

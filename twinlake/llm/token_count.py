@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .textkit import documents, utf8, worker_cache
 
-#: Words whose counts a worker remembers before it starts again.
-CACHED_WORDS = 500_000
+#: Words whose counts a worker remembers before it starts again, and the longest (bytes) that it remembers: about 100 MB at most.
+CACHED_WORDS, CACHED_BYTES = 500_000, 64
 
 
 def byte_of_char() -> dict[str, int]:
@@ -110,9 +110,11 @@ class Counts(dict):
         self.automaton = automaton
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = n = self.automaton.count(b" " + word)
+        n = self.automaton.count(b" " + word)
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = n
         return n
 
 
