@@ -895,3 +895,29 @@ register("cmd_unique_lifecycle", with_("cmd") + """
                 WHEN code = 400 THEN 'Book with ISBN B' || v || ' already exists' END AS message
     FROM (SELECT c.*, s.code, p.holds AS before FROM c JOIN s ON s.n = c.n JOIN s p ON p.n = c.n - 1)""")
 ORACLE["cmd_unique_lifecycle"] = ORACLE["cmd_unique_lifecycle"].replace("WITH cmd", "WITH RECURSIVE cmd", 1)
+
+# --- table set ----------------------------------------------------------------------
+register("sync_table_set", with_("orders_read") + """
+    , o AS (SELECT * FROM orders_read WHERE o_orderpriority <> '1-URGENT'),
+    d AS (SELECT CASE WHEN o.o_orderkey IS NULL THEN 'insert' WHEN w.o_orderkey IS NULL THEN 'delete'
+                      WHEN w IS NOT DISTINCT FROM o THEN 'same' ELSE 'update' END AS action
+          FROM orders w FULL JOIN o ON w.o_orderkey = o.o_orderkey),
+    parts AS (SELECT p_partkey FROM part WHERE p_size IN (SELECT n_nationkey FROM nation)),
+    report AS (
+      SELECT 'orders' AS table_name, action, count(*) AS n_rows FROM d GROUP BY action
+      UNION ALL SELECT 'orders', 'enum_add', count(DISTINCT o_orderpriority) FROM orders WHERE o_orderpriority NOT IN (SELECT o_orderpriority FROM o)
+      UNION ALL SELECT 'legacy_region', 'drop', 0
+      UNION ALL SELECT 'customer', 'create', count(*) FROM customer
+      UNION ALL SELECT 'region', unnest(['same', 'unchanged']), (SELECT count(*) FROM region)
+      UNION ALL SELECT 'supplier', unnest(['same', 'unchanged']), (SELECT count(*) FROM supplier)
+      UNION ALL SELECT 'nation', 'column_add', 1
+      UNION ALL SELECT 'nation', 'update', count(*) FROM nation
+      UNION ALL SELECT 'part', 'column_retype', 1
+      UNION ALL SELECT 'part', 'same', count(*) FROM part
+      UNION ALL SELECT 'lineitem', 'replace', count(*) FROM lineitem
+      UNION ALL SELECT 'events', CASE WHEN event_id % 10 = 3 THEN 'insert' ELSE 'same' END AS action, count(*) FROM events GROUP BY action
+      UNION ALL SELECT 'part', 'fk_removed', (SELECT count(*) FROM part) - (SELECT count(*) FROM parts)
+      UNION ALL SELECT 'lineitem', 'fk_removed', count(*) FROM lineitem
+                WHERE l_partkey NOT IN (SELECT p_partkey FROM parts) OR l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+      UNION ALL SELECT 'events', 'fk_removed', count(*) FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier))
+    SELECT table_name, action, CAST(n_rows AS BIGINT) AS n_rows FROM report WHERE n_rows > 0 OR action = 'drop'""")

@@ -309,6 +309,35 @@ def sync_all(spark, sf):
     return S.sync_state(spark, pairs, root, versions)
 
 
+def _set_specs():
+    from ..sources.tables import ForeignKey, TableSpec
+    one = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey",
+           "orders": "o_orderkey", "events": "event_id"}
+    fks = {"nation": [("n_regionkey", "region")], "region": [("r_regionkey", "nation")], "part": [("p_size", "nation")],
+           "events": [("user_id", "supplier")], "lineitem": [("l_partkey", "part"), ("l_orderkey", "orders")]}
+    return {n: TableSpec(n, keys=(one[n],) if n in one else (), not_null=(one[n],) if n in one else (), lengths={"p_name": 200} if n == "part" else {},
+                         uniques=(("n_name",),) if n == "nation" else (),
+                         fks=tuple(ForeignKey(f"fk_{n}_{c}", (c,), p, (one[p],)) for c, p in fks.get(n, ())))
+            for n in [*one, "lineitem"]}
+
+
+@query
+def sync_table_set(spark, sf):
+    """M12, S3, S9 as one commit: tables to create, drop and align, rows to change, references to clean (two tables refer to each other)."""
+    import uuid
+    from . import table_set as TS
+    from ..session import scratch_path
+    from ..sources.tables import publish_snapshot
+    t = Tables(spark, sf)
+    root = scratch_path(spark, f"table-set-{uuid.uuid4().hex}")
+    old = {"orders": fx.replica_read(t).filter(F.col("o_orderpriority") != "1-URGENT"), "region": t.region, "legacy_region": t.region,
+           "nation": t.nation.drop("n_regionkey"), "part": t.part.withColumn("p_size", F.col("p_size").cast("string")), "supplier": t.supplier,
+           "lineitem": t.lineitem.filter(F.col("l_returnflag") == "R"), "events": t.events.filter(F.col("event_id") % 10 != 3)}
+    TS.publish_set(spark, root, {n: publish_snapshot(df, root, n) for n, df in old.items()})
+    other = ("migrations", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+    return TS.sync_table_set(spark, sf, root, _set_specs(), exclude=other, enums={"orders": ("o_orderpriority",)})
+
+
 @query
 def snapshot_equal(spark, sf):
     from ..operators import diff as D
