@@ -73,6 +73,54 @@ def page(df: DataFrame, req: PageRequest, created: str, key: str) -> DataFrame:
     return newest_first(df, created, key).offset(req.skip).limit(req.limit)
 
 
+def deep_page(df: DataFrame, req: PageRequest, created: str, key: str, ranges: int = 64, small: int = 10_000) -> DataFrame:
+    """L2 for pages of any depth: the same rows as ``page`` without sorting everything before them.
+
+    The page is located by counts.  Quantiles of the order column (values of it) cut the rows into single values and open
+    ranges between them, a partial aggregate counts each part, and the search goes on in the part where the page begins: by
+    ``created`` first, by ``key`` once a single ``created`` value is left.  What the page needs of the parts behind it is
+    taken from their top.  Each round reads two columns under a pushed range filter and brings at most 2 * ``ranges`` numbers
+    to the driver; in the end fewer than ``small`` rows are skipped.  Quantiles may be approximate, the counts are exact.  Both
+    columns must be numbers, dates or times; null ``created`` values come last, null keys first, as in ``page``.
+    """
+    order = [F.col(created).desc(), F.col(key)]
+    skip, limit, left, by, pieces = (req.page - 1) * req.limit, req.limit, df, created, []
+    while skip + limit > small:
+        c = F.col(by)
+        cuts = left.agg(F.percentile_approx(by, [i / ranges for i in range(ranges + 1)], 100 * ranges).alias("q")).first()["q"]  # one row
+        cuts = sorted(set(cuts or []))
+        below = reduce(lambda a, b: a + b, [(c > F.lit(q)).cast("int") for q in cuts], F.lit(0))
+        part = F.when(c.isNull(), -1).otherwise(2 * below + c.isin(cuts).cast("int") if cuts else F.lit(0))
+        sizes = {r["p"]: r["n"] for r in left.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        here, taken = [], 0
+        for p in sorted(sizes, reverse=by == created):
+            if not here and sizes[p] <= skip:
+                skip -= sizes[p]
+                continue
+            here.append(p)
+            taken += sizes[p]
+            if taken >= skip + limit:
+                break
+        if not here:
+            return df.limit(0)
+        first, own = here[0], sizes[here[0]] - skip
+        if own < limit and here[1:]:
+            pieces.append(left.filter(part.isin(here[1:])).orderBy(*order).limit(limit - own))
+            limit = own
+        k, single = first // 2, first % 2 == 1 or first == -1
+        if first == -1:
+            left = left.filter(c.isNull())
+        elif single:
+            left = left.filter(c == F.lit(cuts[k]))
+        else:  # an open range
+            left = left.filter((c > F.lit(cuts[k - 1]) if k else F.lit(True)) & (c < F.lit(cuts[k]) if k < len(cuts) else F.lit(True)))
+        if single and by == key:
+            break  # equal (created, key) pairs: any order
+        by = key if single else by
+    out = left.orderBy(*order).offset(skip).limit(limit)
+    return reduce(lambda a, b: a.unionByName(b), pieces, out).orderBy(*order)
+
+
 def total_pages(total: Column | int, limit: int):
     if isinstance(total, int):
         return int(math.ceil(total / limit))

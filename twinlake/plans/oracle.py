@@ -921,3 +921,5 @@ register("sync_table_set", with_("orders_read") + """
                 WHERE l_partkey NOT IN (SELECT p_partkey FROM parts) OR l_orderkey NOT IN (SELECT o_orderkey FROM orders)
       UNION ALL SELECT 'events', 'fk_removed', count(*) FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier))
     SELECT table_name, action, CAST(n_rows AS BIGINT) AS n_rows FROM report WHERE n_rows > 0 OR action = 'drop'""")
+register("list_deep_page", """
+    SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10 OFFSET (SELECT count(*) // 2 // 10 * 10 FROM orders)""")

@@ -62,6 +62,14 @@ def list_page(spark, sf):
     return listing.page(df, LIST_PAGE, "o_orderdate", "o_orderkey")
 
 
+@query
+def list_deep_page(spark, sf):
+    """L2: the page of ten that follows the middle of all orders, found by counts over ranges."""
+    o = fx.listing(Tables(spark, sf))
+    middle = o.count() // 2 // LIST_PAGE.limit + 1
+    return listing.deep_page(o, listing.PageRequest(page=middle, limit=LIST_PAGE.limit), "o_orderdate", "o_orderkey", small=100)
+
+
 @query
 def list_page_meta(spark, sf):
     df = listing.filter_eq(fx.listing(Tables(spark, sf)), LIST_FILTER)
