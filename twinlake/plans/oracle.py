@@ -923,3 +923,26 @@ register("sync_table_set", with_("orders_read") + """
     SELECT table_name, action, CAST(n_rows AS BIGINT) AS n_rows FROM report WHERE n_rows > 0 OR action = 'drop'""")
 register("list_deep_page", """
     SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10 OFFSET (SELECT count(*) // 2 // 10 * 10 FROM orders)""")
+
+# --- whole replies, sinks, catalogs ----------------------------------------------------
+register("emit_events_sink", ORACLE["emit_events_json"])
+register("m2n_nested_page", with_("ab") + """
+    , page AS (SELECT s_suppkey, s_name FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10 OFFSET 10)
+    SELECT s_suppkey, s_name, coalesce(list(p_partkey || ':' || p_name ORDER BY p_partkey) FILTER (WHERE p_partkey IS NOT NULL), []) AS books
+    FROM page LEFT JOIN ab ON author_id = s_suppkey LEFT JOIN part ON p_partkey = book_id GROUP BY s_suppkey, s_name""")
+register("reply_details", _VALID + """
+    SELECT p_partkey, false AS success, 400 AS error_code, array_to_string(violations, '; ') AS error_message,
+           CASE WHEN len(violations) > 1 THEN '{"property":"' || split_part(violations[1], ' ', 1) || '","count":' || len(violations) || '}' END AS details_json,
+           '2024-01-01T00:00:00.000Z' AS timestamp
+    FROM validated WHERE len(violations) > 0""")
+register("catalog_drift", """
+    WITH nulls AS (SELECT unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']) AS column_name,
+                          unnest([count(*) - count(event_id), count(*) - count(ts), count(*) - count(user_id), count(*) - count(event_type),
+                                  count(*) - count(value), count(*) - count(CASE WHEN event_id % 17 <> 0 THEN props END)]) AS read_nulls FROM events),
+         d AS (SELECT column_name, CASE WHEN column_name IN ('value') THEN 'redefault' WHEN column_name = 'props' THEN 'same' ELSE 'tighten_null' END AS change FROM nulls)
+    SELECT column_name, change, read_nulls, change = 'tighten_null' AND read_nulls = 0 AS can_tighten FROM d JOIN nulls USING (column_name)""")
+register("tables_with_rows", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, EXISTS (SELECT 1 FROM {t}) AS has_rows"
+    for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+              "pages", "benchmark", "labels", "conversations"])
+    + "\nUNION ALL SELECT 'orders with status X', EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'X')")

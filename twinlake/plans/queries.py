@@ -151,6 +151,17 @@ def m2n_expand_right(spark, sf):
         F.count("s_suppkey").alias("n_related"), _dec_sum("s_acctbal").alias("sum_related"))
 
 
+@query
+def m2n_nested_page(spark, sf):
+    """The reply shape of a listing page: ten suppliers by name, each with its related parts nested in order of id."""
+    from ..operators import relations as R
+    t = Tables(spark, sf)
+    page = listing.page(fx.m2n_left(t).select("s_suppkey", "s_name", "s_acctbal"), listing.PageRequest(2, 10), "s_acctbal", "s_suppkey")
+    long = R.m2n_expand(page, fx.m2n_link(t), fx.m2n_right(t), "s_suppkey", "author_id", "book_id", "p_partkey")
+    nested = R.m2n_nested(long, ["s_suppkey", "s_name"], ["p_partkey", "p_name"], "books", "p_partkey")
+    return nested.select("s_suppkey", "s_name", F.transform("books", lambda b: F.concat_ws(":", b["p_partkey"], b["p_name"])).alias("books"))
+
+
 @query
 def m2n_expand_rows(spark, sf):
     """J1 long form itself: one row per (supplier, related part), empty relations kept."""
@@ -662,6 +673,18 @@ def emit_events_json(spark, sf):
                      val.alias("value"))
 
 
+@query
+def emit_events_sink(spark, sf):
+    """The events written to their topics and read back as a consumer of all topics sees them."""
+    import uuid
+    from ..session import scratch_path
+    from ..streaming import topics
+    path = scratch_path(spark, f"emit-{uuid.uuid4().hex}")
+    topics.emit(emit_events_json(spark, sf), path)
+    back = spark.read.schema(topics.RECORD_SCHEMA).json(f"{path}/*")
+    return back.select(F.col("offset").alias("event_id"), "topic", "key", "value")
+
+
 # --- FX-ASSIGN -------------------------------------------------------------
 ASSIGN_ORDER = ["ts", "l_orderkey", "l_linenumber"]
 
@@ -949,6 +972,43 @@ def error_details(spark, sf):
                     E.error_details(resp).alias("details_json"))
 
 
+@query
+def reply_details(spark, sf):
+    """The whole error reply of every rejected payload, with its details."""
+    from ..functions import envelope as E
+    v = _validated(spark, sf).filter(~F.col("is_valid"))
+    prop = F.substring_index(F.element_at("violations", 1), " ", 1)
+    details = F.when(F.size("violations") > 1, F.to_json(F.struct(prop.alias("property"), F.size("violations").alias("count"))))
+    when = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    r = v.select("p_partkey", E.error(E.normalise_message(F.col("violations"), F.lit(None).cast("string")), F.lit(400), when, details).alias("r"))
+    return r.select("p_partkey", "r.success", F.col("r.error.code").alias("error_code"), F.col("r.error.message").alias("error_message"),
+                    F.col("r.error.details").alias("details_json"), F.col("r.meta.timestamp").alias("timestamp"))
+
+
+@query
+def catalog_drift(spark, sf):
+    """Per column of events, defaults compared after normalising and nullability against the nulls that the data hold."""
+    from pyspark.sql import types as T
+    from ..operators import drift as C
+    e = Tables(spark, sf).events
+    strict = T.StructType([T.StructField(f.name, f.dataType, f.name in ("value", "props")) for f in e.schema.fields])
+    read = e.select(*[F.when(F.col("event_id") % 17 != 0, F.col("props")).alias(c) if c == "props" else F.col(c) for c in e.columns])
+    w = C.column_catalog(spark, "events", strict, ("event_id",), {"value": "0.0", "event_type": "'view'", "props": " NULL "})
+    r = C.column_catalog(spark, "events", e.schema, ("event_id",), {"value": "( 1.0 )", "event_type": "  'view'", "props": "NULL"})
+    d = C.column_drift(w, r, read_data=read)
+    return d.select("column_name", "change", "read_nulls", ((F.col("change") == "tighten_null") & (F.col("read_nulls") == 0)).alias("can_tighten"))
+
+
+@query
+def tables_with_rows(spark, sf):
+    """A5: the emptiness test (at most one row read) for each table and for a filter that no row meets."""
+    from ..operators import aggregates as A
+    from ..sources.inventory import table_names
+    t = Tables(spark, sf)
+    found = [(n, A.non_empty(t[n])) for n in table_names(spark, sf)]
+    return spark.createDataFrame([*found, ("orders with status X", A.non_empty(t.orders.filter("o_orderstatus = 'X'")))], "table_name string, has_rows boolean")
+
+
 @query
 def stream_reply_table(spark, sf):
     """Replies of the streamed commands written per micro-batch by an idempotent

@@ -22,10 +22,10 @@ def table_names(spark: SparkSession, root: str, exclude: tuple[str, ...] = DEFAU
 def table_inventory(t: Tables, exclude: tuple[str, ...] = DEFAULT_EXCLUDE) -> DataFrame:
     """``(table_name, n_rows)`` for every table not excluded, name-ordered.
 
-    One union of per-table count aggregates: a single job whose scans read only
-    Parquet footers' row groups (count pushes no columns).
+    The tables are those found by listing the root.  One union of per-table count aggregates: a single job whose
+    scans read only Parquet footers' row groups (count pushes no columns).
     """
-    names = sorted(n for n in t.names() if n not in set(exclude))
+    names = table_names(t.spark, t.root, exclude)
     parts = [t[n].agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
              for n in names]
     return reduce(lambda a, b: a.unionByName(b), parts).orderBy("table_name")

@@ -74,6 +74,24 @@ def write_records(records: DataFrame, path: str, chunks: int = 1, order: str = "
     ranged.write.mode("append").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
 
 
+def emit(records: DataFrame, path: str | None = None, bootstrap: str | None = None, partitions: int = 4, **options) -> None:
+    """Send ``(event_id, topic, key, value)`` rows to their topics, with the record shape of ``file_stream``.
+
+    ``bootstrap``: to a broker (needs the Kafka connector); ``path``: to JSON-lines files, one directory a topic, a key's
+    records of one write in one file in the order of ``event_id``, as a broker keeps them in a partition.
+    """
+    if bootstrap:
+        w = records.select("topic", "key", "value").write.format("kafka").option("kafka.bootstrap.servers", bootstrap)
+        for k, v in options.items():
+            w = w.option(k, v)
+        w.save()
+        return
+    part = F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int")
+    rows = records.select("topic", F.col("topic").alias("_dir"), "key", "value", F.lit(None).cast("timestamp_ntz").alias("timestamp"),
+                          part.alias("partition"), F.col("event_id").cast("long").alias("offset"))
+    rows.repartition("topic", "partition").sortWithinPartitions("topic", "partition", "offset").write.mode("append").partitionBy("_dir").json(path)
+
+
 def payload_map(value: Column) -> Column:
     return F.from_json(value, T.MapType(T.StringType(), T.StringType()))
 
