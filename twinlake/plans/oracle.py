@@ -946,3 +946,9 @@ register("tables_with_rows", "\nUNION ALL\n".join(
     for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
               "pages", "benchmark", "labels", "conversations"])
     + "\nUNION ALL SELECT 'orders with status X', EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'X')")
+register("upsert_unique_index", """
+    SELECT a.c_custkey, CASE a.c_custkey % 10 WHEN 1 THEN coalesce(n.c_name, a.c_name) WHEN 2 THEN coalesce(p.c_name, a.c_name)
+                                             WHEN 7 THEN coalesce(p.c_name, a.c_name) ELSE a.c_name END AS c_name,
+           CASE WHEN a.c_custkey % 10 IN (4, 8) THEN n.c_name IS NOT NULL ELSE a.c_custkey % 10 = 9 AND f.c_name IS NOT NULL END AS refused
+    FROM customer a LEFT JOIN customer n ON n.c_custkey = a.c_custkey + 1 LEFT JOIN customer p ON p.c_custkey = a.c_custkey - 1
+    LEFT JOIN customer f ON f.c_custkey = a.c_custkey - 4 WHERE a.c_custkey % 10 <> 6""")

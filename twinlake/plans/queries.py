@@ -917,6 +917,21 @@ def cdc_bucketed(spark, sf):
     return replica.read(spark)
 
 
+@query
+def upsert_unique_index(spark, sf):
+    """M7: one batch of renames over a unique column: swaps and freed names pass, real clashes are refused."""
+    import uuid
+    from ..session import scratch_path
+    from ..sources.buckets import BucketedTable
+    from ..sources.unique_index import UniqueReplica
+    t = Tables(spark, sf)
+    replica = UniqueReplica(BucketedTable(scratch_path(spark, f"unique-{uuid.uuid4().hex}"), "customer", ("c_custkey",), buckets=8), ("c_name",))
+    replica.create(t.customer.select("c_custkey", "c_name"))
+    _done, refused = replica.apply(fx.renames(t))
+    return replica.table.read(spark).join(refused.select("c_custkey", F.lit(True).alias("r")), "c_custkey", "left").select(
+        "c_custkey", "c_name", F.coalesce("r", F.lit(False)).alias("refused"))
+
+
 @query
 def sync_bucketed(spark, sf):
     """M8, M10 on buckets: requested rows taken over from write, then the returned orders' rows deleted."""

@@ -121,6 +121,19 @@ def conflict_read(t: Tables) -> DataFrame:
                      .otherwise(F.col("c_name")).alias("c_name")))
 
 
+# FX-RENAMES (one batch in which customers take each other's unique names) --------
+def renames(t: Tables) -> DataFrame:
+    """By key (mod 10): 1 and 2 swap their names; 4 wants that of 5, which stays; 6 is deleted and 7 takes its name; 9 wants
+    that of 5, so it keeps its own, which 8 wants."""
+    c = t.customer.select("c_custkey", "c_name")
+    last = F.col("c_custkey") % 10
+    take = F.when(last.isin(1, 4, 8), F.col("c_custkey") + 1).when(last.isin(2, 7), F.col("c_custkey") - 1).when(last == 9, F.col("c_custkey") - 4)
+    wanted = c.select(F.col("c_custkey").alias("_from"), F.col("c_name").alias("_name"))
+    j = c.withColumn("_from", take).join(wanted, "_from", "left").filter(F.col("_name").isNotNull() | (last == 6))
+    return j.select("c_custkey", F.col("c_custkey").alias("seq"), F.when(last == 6, "delete").otherwise("upsert").alias("op"),
+                    F.struct("c_custkey", F.col("_name").alias("c_name")).alias("row"))
+
+
 # FX-CMD --------------------------------------------------------------------
 def commands(t: Tables) -> DataFrame:
     """Ordered command log; has_* says whether the field was present in the payload."""
