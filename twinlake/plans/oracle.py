@@ -952,3 +952,11 @@ register("upsert_unique_index", """
            CASE WHEN a.c_custkey % 10 IN (4, 8) THEN n.c_name IS NOT NULL ELSE a.c_custkey % 10 = 9 AND f.c_name IS NOT NULL END AS refused
     FROM customer a LEFT JOIN customer n ON n.c_custkey = a.c_custkey + 1 LEFT JOIN customer p ON p.c_custkey = a.c_custkey - 1
     LEFT JOIN customer f ON f.c_custkey = a.c_custkey - 4 WHERE a.c_custkey % 10 <> 6""")
+register("stream_reply_late", with_("req", "rep") + """
+    SELECT req.event_id, CASE WHEN rep.event_id IS NOT NULL THEN 200 ELSE 503 END AS code,
+           CASE WHEN rep.event_id IS NULL THEN 'Service temporarily unavailable' END AS message,
+           CASE WHEN rep.event_id IS NOT NULL THEN date_diff('millisecond', req.ts, rep.rts) END AS latency_ms, false AS late
+    FROM req LEFT JOIN rep ON rep.event_id = req.event_id AND rep.rts BETWEEN req.ts AND req.ts + INTERVAL 10 SECONDS
+    UNION ALL
+    SELECT rep.event_id, NULL, NULL, NULL, true FROM rep JOIN req ON rep.event_id = req.event_id
+    WHERE NOT rep.rts BETWEEN req.ts AND req.ts + INTERVAL 10 SECONDS""")

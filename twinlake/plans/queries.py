@@ -954,6 +954,14 @@ def stream_reply_timeout(spark, sf):
     return twins.timeout_run(spark, fx.requests(t), fx.replies(t), REPLY_TIMEOUT_SECONDS)
 
 
+@query
+def stream_reply_late(spark, sf):
+    """T5: replies that come after their request timed out are given back as late; each input row is answered, timed out or late."""
+    from ..streaming import twins
+    t = Tables(spark, sf)
+    return twins.accounted_run(spark, fx.requests(t), fx.replies(t), REPLY_TIMEOUT_SECONDS, lateness="9 days")[0]
+
+
 @query
 def reply_normalise(spark, sf):
     """Handler results of the accepted commands in their four shapes, as replies."""

@@ -59,10 +59,12 @@ def write_time_chunks(df: DataFrame, path: str, ts: str, chunks: int = 4, key: s
     return int(step.total_seconds()) + 1 if hasattr(step, "total_seconds") else 0
 
 
-def _drain(stream: DataFrame, sink: str, ckpt: str) -> None:
+def _drain(stream: DataFrame, sink: str, ckpt: str):
+    """Run a stream to the end of its input; the finished query."""
     q = (stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
+    return q
 
 
 def command_records(cmd: DataFrame) -> DataFrame:
@@ -209,3 +211,16 @@ def timeout_run(spark: SparkSession, req: DataFrame, rep: DataFrame, timeout_s:
     out = replies.correlate_stream(rq, rp, timeout_s, lateness=f"{max(span, 10)} seconds")
     _drain(out, f"{root}/out", f"{root}/ckpt")
     return spark.read.parquet(f"{root}/out").filter(F.col("event_id") >= 0)
+
+
+def accounted_run(spark: SparkSession, req: DataFrame, rep: DataFrame, timeout_s: int, lateness: str, chunks: int = 4) -> tuple[DataFrame, int]:
+    """T5 with late replies given back: the rows, and how many input rows came too late for any answer.  ``lateness`` is
+    the caller's, whatever times the data span."""
+    root = _root(spark, "stream-account")
+    for df, name, ts in ((req, "req", "ts"), (rep, "rep", "rts")):
+        write_time_chunks(df, f"{root}/{name}", ts, chunks)
+        df.agg(F.max(F.lit(-1).cast("bigint")).alias("event_id"), F.max(F.lit(END_OF_TIME).cast("timestamp_ntz")).alias(ts)).write.mode("append").parquet(f"{root}/{name}")
+    rq, rp = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/{name}")
+              for df, name in ((req, "req"), (rep, "rep")))
+    q = _drain(replies.account_stream(rq, rp, timeout_s, lateness), f"{root}/out", f"{root}/ckpt")
+    return spark.read.parquet(f"{root}/out").filter(F.col("event_id") >= 0), replies.dropped_rows(q)
