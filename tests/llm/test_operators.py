@@ -93,23 +93,61 @@ def schedule_by_hand(quota: list[int], cycle: int) -> list[int]:
     return out
 
 
+def within_one_block(got, weights: dict):
+    """Every block lies in its window, and until a source runs out each has its target's share within one block."""
+    total = sum(weights.values())
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in got if weights[r["source"]])
+    slots = {r["mix_slot"]: r["source"] for r in got if weights[r["source"]]}
+    last = min(max(t for t, s in slots.items() if s == x) for x in weights if weights[x])
+    count = collections.Counter()
+    for t in range(last + 1):
+        count[slots[t]] += 1
+        assert all(abs(count[x] - weights[x] * (t + 1) / total) < 1 for x in weights)
+
+
 def test_mixing_keeps_every_block_between_release_and_deadline(spark):
     rows = [(i, None, None, "abc"[min(i % 10, 2)], None) for i in range(4000)]
-    out = mixing.schedule(frame(spark, rows), targets={"a": 1, "b": 2, "c": 5}, cycle=40, block_docs=3)
-    got = out.collect()
+    got = mixing.schedule(frame(spark, rows), targets={"a": 1, "b": 2, "c": 5}, block_docs=3).collect()
     assert len(got) == 4000
-    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in got)
     quota = {r["source"]: r["mix_quota"] for r in got}
-    assert sum(quota.values()) == 40 and quota["c"] > quota["b"] > quota["a"]
-    names = sorted(quota)
-    pattern = schedule_by_hand([quota[n] for n in names], 40)
-    slots = {r["mix_slot"]: r["source"] for r in got}
-    assert all(names[pattern[t % 40]] == s for t, s in slots.items())
-    last = min(max(r["mix_slot"] for r in got if r["source"] == s) for s in names)  # until the first source runs out
-    count = collections.Counter()
-    for t in range(last + 1):
-        count[slots[t]] += 1
-        assert all(abs(count[s] - quota[s] * (t + 1) / 40) < 1 for s in names)
+    assert quota == {"a": 1, "b": 2, "c": 5}
+    pattern = schedule_by_hand([1, 2, 5], 8)
+    assert all("abc"[pattern[r["mix_slot"] % 8]] == r["source"] for r in got)
+    within_one_block(got, quota)
+
+
+def test_mixing_meets_small_and_odd_targets(spark):
+    assert mixing.whole_weights({"a": 0.9995, "b": 0.0005, "c": 0}) == {"a": 1999, "b": 1, "c": 0}
+    rows = [(i, None, None, "a" if i < 5000 else "bc"[i % 2], None) for i in range(5010)]
+    got = mixing.schedule(frame(spark, rows), targets={"a": 0.9995, "b": 0.0005, "c": 0}, block_docs=1).collect()
+    assert len(got) == 5010
+    within_one_block(got, {"a": 1999, "b": 1, "c": 0})
+    tail = sorted(r["mix_slot"] for r in got if r["source"] == "c")  # weight 0: after all others, one block after the other
+    assert len(tail) == 5 and tail == list(range(tail[0], tail[0] + 5)) and tail[0] > max(r["mix_slot"] for r in got if r["source"] != "c")
+    for wrong in (-1, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.whole_weights({"a": wrong})
+
+
+def test_mixing_has_no_limit_on_sources(spark):
+    rows = [(i, None, None, f"s{i % 1500}" if i % 3 else "big", None) for i in range(9000)]
+    docs = frame(spark, rows)
+    counts = collections.Counter(r[3] for r in rows)
+    got = mixing.schedule(docs, block_docs=1).collect()
+    assert len({r["doc_id"] for r in got}) == len(got) == len({r["mix_slot"] for r in got}) == 9000
+    within_one_block(got, {s: round(n ** 0.5) for s, n in counts.items()})
+    rounded = mixing.schedule(docs, block_docs=1, max_cycle=500).collect()
+    within_one_block(rounded, {r["source"]: r["mix_quota"] for r in rounded})
+
+
+def test_mixing_splits_a_range_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANK_ROWS", 50)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, None, None, "ab"[i % 2], None) for i in range(6000)]
+    for stable in (True, False):
+        got = mixing.schedule(frame(spark, rows), block_docs=4, stable=stable).collect()
+        assert collections.Counter((r["doc_id"], r["source"]) for r in got) == collections.Counter((r[0], r[3]) for r in rows)
+        places = sorted((r["source"], r["mix_block"], r["mix_place"]) for r in got)
+        assert places == sorted((s, i // 4, i % 4) for s in "ab" for i in range(3000))
 
 
 def test_mixing_awkward_rows_and_columns(docs, empty):
@@ -118,8 +156,8 @@ def test_mixing_awkward_rows_and_columns(docs, empty):
     assert out.columns == wide.columns and sorted(map(str, out.collect())) == sorted(map(str, wide.collect()))
     assert mixing.schedule(docs).filter(F.col("source").isNull()).count() == docs.filter("source is null").count()
     assert mixing.schedule(empty).count() == 0 and mixing.mixed(empty).count() == 0
-    with pytest.raises(ValueError):
-        mixing.schedule(docs, cycle=2).count()
+    alone = mixing.schedule(docs, targets={"nowhere": 1})  # no source has a weight: source by source
+    assert alone.count() == docs.count() and alone.filter("mix_release is not null").count() == 0
 
 
 # -- 2 toxicity -------------------------------------------------------------
