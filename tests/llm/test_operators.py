@@ -304,6 +304,15 @@ def test_quality_against_brute_force(spark, docs, empty):
     assert quality.measured(empty).count() == 0
 
 
+def test_helper_names_may_be_columns_of_the_documents(docs):
+    names = ("_slot", "_shard", "_row", "_quality", "_quality_", "SLOT")
+    wide = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    placed = sharding.assign(wide, {"a": 1, "b": 2}, size=499, slot_as="place", shard_as="home")
+    assert placed.columns == [*wide.columns, "place", "home"] and placed.select("_slot", "_shard").distinct().collect() == [(0, 1)]
+    judged = quality.measured(wide)
+    assert judged.count() == docs.count() and judged.select("_quality", "_quality_").distinct().collect() == [(3, 4)]
+
+
 def test_quality_is_one_projection(spark):
     plan = quality.measured(textkit.documents(spark, SF_SMALL).select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Generate" not in plan

@@ -135,8 +135,9 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "
                         F.coalesce(F.greatest(*[fails(r, m) for r in rules if r.name in BASE], F.lit(False)), F.lit(False)).alias("base_failed"),
                         failed.alias("failed_rules"), (F.size(failed) == 0).alias("kept"))
 
-    out = docs.select(*rest, let(measures(F.col(text_col)), verdict).alias("_quality"))
-    return out.select(*rest, "_quality.*")
+    own_name = "_quality".ljust(1 + max(map(len, docs.columns)), "_")  # longer than the name of any column
+    out = docs.select(*rest, let(measures(F.col(text_col)), verdict).alias(own_name))
+    return out.select(*rest, f"{own_name}.*")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,12 +71,10 @@ def assign(docs: DataFrame, shards: dict[str, int], key: str = "doc_id", size: i
            slot_as: str = "slot", shard_as: str = "shard") -> DataFrame:
     """``docs`` with each row's slot and shard.  No shuffle: the table (``size`` rows) is broadcast.
     Columns of ``docs`` with the two names are replaced."""
-    kept = docs.drop(*[c for c in (slot_as, shard_as) if c != key])
-    out = kept.withColumn("_twinlake_slot", slot_of(F.col(key), size))
-    table = table_frame(docs.sparkSession, shards, size)
-    out = out.join(F.broadcast(table), out["_twinlake_slot"] == table["_slot"])
-    names = [c for c in kept.columns if c not in (slot_as, shard_as)]
-    return out.select(*[out[c] for c in names], F.col("_slot").alias(slot_as), F.col("_shard").alias(shard_as))
+    names = [c for c in docs.columns if c not in (slot_as, shard_as)]
+    rows = docs.select(F.struct(slot_of(F.col(key), size).alias("slot"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]).alias("_row"))
+    placed = rows.join(F.broadcast(table_frame(docs.sparkSession, shards, size)), F.col("_row.slot") == F.col("_slot"))
+    return placed.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)], F.col("_slot").alias(slot_as), F.col("_shard").alias(shard_as))
 
 
 def write_shards(docs: DataFrame, shards: dict[str, int], path: str, key: str = "doc_id", files_per_shard: int = 4,
