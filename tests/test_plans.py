@@ -10,7 +10,7 @@ from .conftest import SF_SMALL
 
 # keys whose plan function itself runs Spark jobs that write (streams, snapshots): covered elsewhere
 SIDE_EFFECT_KEYS = {k for k in QUERIES if k.startswith("stream_")} | {
-    "sync_all", "sync_table_set", "cdc_bucketed", "sync_bucketed", "upsert_unique_index", "emit_events_sink", "cmd_unique_lifecycle"}
+    "sync_all", "sync_table_set", "cdc_bucketed", "row_diff_pruned", "sync_bucketed", "upsert_unique_index", "emit_events_sink", "cmd_unique_lifecycle"}
 # the reply shape of one listing page collects the related rows of its ten entities
 SIDE_EFFECT_KEYS.add("m2n_nested_page")
 KEYS = sorted(set(QUERIES) - SIDE_EFFECT_KEYS)

@@ -206,6 +206,12 @@ _DIFF_AB = """
                 ELSE 'same' END AS action
     FROM ab w FULL OUTER JOIN ab_read r ON w.author_id = r.author_id AND w.book_id = r.book_id"""
 register("row_diff", with_("orders_read") + _DIFF_ORDERS)
+register("row_diff_pruned", """
+    WITH day AS (SELECT max(CAST(o_orderdate AS DATE)) AS latest FROM orders)
+    SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) = latest THEN 'insert'
+                            WHEN CAST(o_orderdate AS DATE) = latest - 1 AND o_orderpriority IS NOT NULL THEN 'update' ELSE 'same' END AS action
+    FROM orders, day
+    UNION ALL SELECT -1 - o_orderkey, 'delete' FROM orders, day WHERE CAST(o_orderdate AS DATE) = latest""")
 register("upsert_by_key", with_("orders_read") + """
     SELECT * FROM orders_read r WHERE NOT EXISTS (SELECT 1 FROM orders w WHERE w.o_orderkey = r.o_orderkey)
     UNION ALL SELECT * FROM orders""")

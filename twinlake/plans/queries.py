@@ -6,6 +6,7 @@ from them) and runs over all of their rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -212,6 +213,21 @@ def row_diff(spark, sf):
     return D.row_diff(fx.replica_write(t), fx.replica_read(t), OKEY)
 
 
+@query
+def row_diff_pruned(spark, sf):
+    """D1 on stored tables whose bucket digests show which buckets differ: a replica one day behind its source."""
+    from ..session import ensure_checkpoint_dir, scratch_path
+    from ..sources import digests
+    from ..sources.buckets import BucketedTable
+    ensure_checkpoint_dir(spark)
+    write, read = fx.day_behind(Tables(spark, sf))
+    root = scratch_path(spark, f"row-diff-pruned-{uuid.uuid4().hex}")
+    stored = [digests.DigestedTable(BucketedTable(root, name, tuple(OKEY), 64)) for name in ("orders_write", "orders_read")]
+    for side, rows in zip(stored, (write, read), strict=True):
+        side.table.create(rows)
+    return digests.pruned_row_diff(spark, *stored)
+
+
 @query
 def upsert_by_key(spark, sf):
     from ..operators import merge as M

@@ -380,3 +380,14 @@ def messages(t: Tables) -> DataFrame:
     from ..streaming.topics import TOPICS
     topic = F.array(*map(F.lit, TOPICS))[((eid + F.floor(eid / 12)) % 12).cast("int")]
     return t.events.select("event_id", topic.alias("topic"), text.alias("payload"))
+
+
+def day_behind(t) -> tuple[DataFrame, DataFrame]:
+    """FX-DAY: orders, and a replica that lacks those of the latest day, has rows of its own in their place (key -1 - key)
+    and lost the priority of those of the day before."""
+    latest = t.orders.agg(F.max("o_orderdate").cast("date")).first()[0]
+    day = F.col("o_orderdate").cast("date")
+    lost = F.when(day == F.date_sub(F.lit(latest), 1), F.lit(None)).otherwise(F.col("o_orderpriority"))
+    read = t.orders.withColumn("o_orderpriority", lost).withColumn(
+        "o_orderkey", F.when(day == F.lit(latest), -1 - F.col("o_orderkey")).otherwise(F.col("o_orderkey")))
+    return t.orders, read
