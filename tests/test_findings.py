@@ -109,8 +109,17 @@ def test_redaction_keeps_undeclared_and_null_fields(spark):
              "plain text": "plain text", "[]": "[]", "{}": "{}"}
     for text, want in cases.items():
         assert one(spark, text, G.redact_json(F.col("t")))[0] == want
-    deep = '{"a":' * 12 + '{"token":"hidden"}' + "}" * 12
-    assert "hidden" not in one(spark, deep, G.redact_json(F.col("t")))[0]
+    for depth in (12, 100):
+        deep = '{"a":[' * depth + '{"kept":1,"token":%s}' + "]}" * depth
+        for secret in ('"hidden"', "12", "true", '{"x":[{"hidden":"]}"}],"y":"{"}', '[[],{"token":{}}]', "[]"):
+            assert one(spark, deep % secret, G.redact_json(F.col("t")))[0] == deep % '"[REDACTED]"'
+        assert one(spark, deep % "null", G.redact_json(F.col("t")))[0] == deep % "null"
+    quoted = r'{"msg":"say {\"token\":\"x\"} and ,\"password\":[1","path":"c:\\","token":"a\"b\\"}'
+    assert one(spark, quoted, G.redact_json(F.col("t")))[0] == quoted.replace(r'"a\"b\\"', '"[REDACTED]"')
+    rest = '"list":["password","token"],%s"text":"' + r'\\\"{' * 50_000 + '"}'
+    long = '"buffer":"' + r'ab\n\"' * 50_000 + '",' + rest % ""
+    assert one(spark, "{" + long, G.redact_json(F.col("t")))[0] == '{"buffer":"[REDACTED]",' + rest % ""
+    assert one(spark, '{"password":{},' + long, G.redact_json(F.col("t")))[0] == '{"buffer":"[REDACTED]",' + rest % '"password":"[REDACTED]",'
     assert one(spark, None, G.redact_json(F.col("t")))[0] is None
 
 

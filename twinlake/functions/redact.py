@@ -50,42 +50,71 @@ def redact(c: Column, schema: T.StructType) -> Column:
     return _redact(c, schema, ())
 
 
-WALK_DEPTH = 8  # levels walked one by one; a deeper value holding a secret key is censored whole
-_SECRET_KEY = r'"(' + "|".join(ANY_DEPTH) + r')"\s*:'
-
-
-def _walk(v: Column, depth: int, path: tuple[str, ...] | None) -> Column:
-    """A variant with its secrets replaced; ``path`` is None off the exact paths."""
-    censor = F.parse_json(F.lit(f'"{CENSOR}"'))
-    if depth == 0:
-        return F.when(F.to_json(v).rlike(_SECRET_KEY), censor).otherwise(v)
-    names, deeper = set(ANY_DEPTH) | set(TOP_LEVEL_ONLY if path == () else ()), set()
+# Canonical JSON text (compact, as a variant is written out) is matched as text.  Escaped backslashes and quotes are one
+# control character each meanwhile (canonical text has none), so that every quote left begins or ends a string: one right
+# after "{" or "," begins a key or an element, a closing one is followed by ",", ":" or a bracket.
+_ESCAPES = (("\\\\", "\x01"), ('\\"', "\x02"))
+_NAMES = "|".join(ANY_DEPTH)
+_SECRET_SCALAR = rf'([{{,]"(?:{_NAMES})":)(?:"[^"]*+"|[-0-9tf][^,}}\]]*+)'
+_SECRET_NESTED = rf'[{{,]"(?:{_NAMES})":[\[{{]'
+_TOKEN = r'"[^"]*+"|[{}\[\]]|[^"{}\[\]]++'
+_NEAR_TOP = r'[{,]"(?:' + "|".join((*TOP_LEVEL_ONLY, *dict.fromkeys(p.split(".")[0] for p in EXACT_PATHS))) + r')":'
+
+
+def _near_top(v: Column, path: tuple[str, ...] = ()) -> Column:
+    """A variant with the top-level names and the exact paths replaced: as many levels as the longest path has."""
+    names, deeper = set(TOP_LEVEL_ONLY if path == () else ()), set()
     for exact in (tuple(p.split(".")) for p in EXACT_PATHS):
-        if path is not None and exact[:len(path)] == path:
+        if exact[:len(path)] == path:
             (names if len(exact) == len(path) + 1 else deeper).add(exact[len(path)])
 
     def member(k: Column, x: Column) -> Column:
-        out = F.when(k.isin(*sorted(names)) & ~F.is_variant_null(x), censor)
+        out = F.when(k.isin(*sorted(names)) & ~F.is_variant_null(x), F.parse_json(F.lit(f'"{CENSOR}"')))
         for d in sorted(deeper):
-            out = out.when(k == d, _walk(x, depth - 1, (*path, d)))
-        return out.otherwise(_walk(x, depth - 1, None))
+            out = out.when(k == d, _near_top(x, (*path, d)))
+        return out.otherwise(x)
 
-    # an array is walked as a map by position, so that each level has one inner walk and the expression grows with
-    # the depth only; the lambda over one element binds the walked map, which is used twice
-    items = F.try_variant_get(v, "$", "array<variant>")
-    members = F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"),
-                         F.map_from_entries(F.transform(items, lambda x, i: F.struct(i.cast("string"), x))))
-    rebuilt = F.transform(F.array(F.transform_values(members, member)), lambda m: F.when(
-        items.isNotNull(), F.to_variant_object(F.map_values(m))).otherwise(F.to_variant_object(m)))[0]
+    rebuilt = F.to_variant_object(F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), member))
     return F.coalesce(rebuilt, v)
 
 
+def _without_nested(text: Column) -> Column:
+    """Canonical JSON with every object or array under a secret name replaced, at any depth: one pass over its tokens
+    that keeps the depth and, inside a secret value, the depth at which it began."""
+    names = [f'"{n}"' for n in ANY_DEPTH]
+
+    def step(s: Column, t: Column) -> Column:
+        opens, closes, hidden = t.isin("{", "["), t.isin("}", "]"), s["since"] >= 0
+        starts = ~hidden & opens & (s["last"] == ":") & s["name"].isin(*names)
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        since = F.when(starts, s["depth"]).when(hidden & closes & (depth == s["since"]), -1).otherwise(s["since"])
+        shown = F.when(starts, F.array(F.lit(f'"{CENSOR}"'))).when(hidden, F.array().cast("array<string>")).otherwise(F.array(t))
+        return F.struct(depth.alias("depth"), since.alias("since"), s["last"].alias("name"), t.alias("last"), F.concat(s["out"], shown).alias("out"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("since"), F.lit("").alias("name"), F.lit("").alias("last"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), start, step, lambda s: F.array_join(s["out"], ""))
+
+
 def redact_json(text: Column, schema: T.StructType | None = None) -> Column:
-    """G1 over JSON text, serialised compactly.  With a schema only its fields are kept, in its
-    order; without one every field is.  Null secrets stay null; text that is no JSON stays as it is."""
+    """G1 over JSON text at any depth, serialised compactly.  With a schema only its fields are kept, in its
+    order; without one every field is.  Null secrets stay null; text that is no JSON stays as it is.
+
+    Only records that hold a name of the top level or of an exact path are walked, and only those with an object or
+    array under a secret name are taken apart into tokens; the rest is one replacement in the text."""
     if schema is not None:
         return F.to_json(redact(F.from_json(text, schema), schema))
-    return F.coalesce(F.to_json(_walk(F.try_parse_json(text), WALK_DEPTH, ())), text)
+
+    def top(v: Column) -> Column:
+        return F.transform(F.array(F.to_json(v)), lambda c: F.when(c.rlike(_NEAR_TOP), F.to_json(_near_top(v))).otherwise(c))[0]
+
+    canonical = F.transform(F.array(F.try_parse_json(text)), top)[0]
+    for escape, mark in _ESCAPES:
+        canonical = F.replace(canonical, F.lit(escape), F.lit(mark))
+    scalar = F.regexp_replace(canonical, _SECRET_SCALAR, f'$1"{CENSOR}"')
+    out = F.transform(F.array(scalar), lambda c: F.when(c.rlike(_SECRET_NESTED), _without_nested(c)).otherwise(c))[0]
+    for escape, mark in reversed(_ESCAPES):
+        out = F.replace(out, F.lit(mark), F.lit(escape))
+    return F.coalesce(out, text)
 
 
 def level_rank(level: Column) -> Column:

@@ -597,6 +597,15 @@ register("redact_paths", with_("logrec") + """
            || '"user":{"image":"keep' || k || '","name":"' || c_name || '",'
            || '"profile":{"imageBase64":"[REDACTED]","password":"[REDACTED]"},"token":"[REDACTED]"}}' AS redacted
     FROM logrec""")
+register("redact_deep", with_("logrec") + """
+    SELECT c_custkey,
+           repeat('{"a":[', 15) || '{"ctx":null,"image":"img' || k || '","items":[{"n":1.5,"token":"[REDACTED]"},' || k || '],"level":"' || level
+           || '","msg":"customer ' || k || '","password":"[REDACTED]",'
+           || '"req":{"headers":{"authorization":"Bearer ' || k || '","host":"h' || nk || '"}},'
+           || '"user":{"image":"keep' || k || '","name":"' || c_name || '",'
+           || '"profile":{"imageBase64":"[REDACTED]","password":"[REDACTED]"},"token":"[REDACTED]"}}' || repeat(']}', 15) AS redacted,
+           repeat('[{"k":', 15) || '{"buffer":"[REDACTED]","z":1}' || repeat('}]', 15) AS hidden
+    FROM logrec""")
 register("log_level_filter", with_("logrec") + """
     SELECT c_custkey, level FROM logrec WHERE level IN ('error', 'warn', 'log')""")
 register("log_shape", with_("logrec") + """

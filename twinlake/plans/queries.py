@@ -844,6 +844,17 @@ def redact_paths(spark, sf):
     return logs.select("c_custkey", G.redact_json(F.col("record")).alias("redacted"))
 
 
+@query
+def redact_deep(spark, sf):
+    """G1 at depth: each record thirty levels down, alone and as the value of a secret name; inside, only the names of any depth count."""
+    from ..functions import redact as G
+    record = F.col("record")
+    deep = F.concat(F.lit('{"a":[' * 15), record, F.lit("]}" * 15))
+    hidden = F.concat(F.lit('[{"k":' * 15 + '{"buffer":'), record, F.lit(',"z":1}' + "}]" * 15))
+    logs = fx.log_records(Tables(spark, sf))
+    return logs.select("c_custkey", G.redact_json(deep).alias("redacted"), G.redact_json(hidden).alias("hidden"))
+
+
 @query
 def log_level_filter(spark, sf):
     from ..functions import redact as G
