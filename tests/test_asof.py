@@ -108,3 +108,21 @@ def test_one_value_wanted_by_all_settles_in_few_rounds(spark):
 def test_no_commands(spark):
     got, rounds = U.judge_unique(spark.createDataFrame([], "n long, op string, id long, v string"), "v", ["n"])
     assert got.collect() == [] and rounds == 1
+
+
+def test_rows_are_shuffled_once_a_scan_and_judged_once(spark, tmp_root):
+    from twinlake.operators import scan
+    pinned, kept = [], scan.pinned
+    scan.pinned = lambda df: pinned.append(1) or kept(df)
+    try:
+        req = spark.range(400).selectExpr("id AS n", "'assign' AS op", "id % 50 AS author_id", "id % 70 AS book_id")
+        lives = [spark.range(400, 500).selectExpr("id AS n", "'create' AS op", f"id % 50 AS {c}") for c in ("author_id", "book_id")]
+        ids = [spark.range(70).selectExpr(f"id AS {c}") for c in ("author_id", "book_id")]
+        links = req.select("author_id", "book_id").limit(5)
+        judged = A.assignments_asof(req, *lives, ["n"], authors=ids[0], books=ids[1], links=links, segments=8)
+        out = A.links_after(judged, *lives, ["n"], authors=ids[0], books=ids[1], links=links)
+        assert out.count() == req.select("author_id", "book_id").distinct().count()
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        scan.pinned = kept
+    assert not pinned and plan.count("Window") == 3  # no key holds too many rows: no copy of the log, one window a scan

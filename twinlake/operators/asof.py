@@ -27,18 +27,21 @@ def _position(order: list[str]) -> Column:
 
 
 def parent_asof(rows: DataFrame, lives: DataFrame, ref: str, order: list[str], live: str, gone: str,
-                stored: DataFrame | None = None, segments: int | None = None) -> DataFrame:
+                stored: DataFrame | None = None, segments: int | None = None,
+                like: DataFrame | None = None) -> DataFrame:
     """Add to ``rows`` whether the parent in column ``ref`` is live just before them (``live``) and the position of its
     last earlier delete (``gone``).
 
     ``lives``: (``ref``, ``op`` create or delete, the columns of ``order``); ``stored``: ids that are live from the start, in a
     column named ``ref``.  Positions are total over both inputs together.  A null reference is not live.
+    ``like``: a cheaper plan with the references and positions of ``rows``.
     """
     own = [c for c in rows.columns if c != SEG]
     both = rows.select(*own, F.lit(None).cast("string").alias("_life")).unionByName(
         lives.select(ref, *order, F.col("op").alias("_life")), allowMissingColumns=True)
     pos = _position(order)
-    s = ordered_scan(both, [ref], order, lasts={"_cd": F.col("_life"), gone: F.when(F.col("_life") == DELETE, pos)}, segments=segments)
+    both_like = (rows if like is None else like).select(ref, *order).unionByName(lives.select(ref, *order))
+    s = ordered_scan(both, [ref], order, lasts={"_cd": F.col("_life"), gone: F.when(F.col("_life") == DELETE, pos)}, segments=segments, like=both_like)
     s = s.filter(F.col("_life").isNull()).drop("_life", SEG)
     known = F.col("_cd") == CREATE
     if stored is None:
@@ -70,9 +73,9 @@ def assignments_asof(requests: DataFrame, author_lives: DataFrame, book_lives: D
     # sized by the logs themselves: sizes of checkpointed joins are the planner's products
     segments = segments or max(map(segment_count, (requests, author_lives, book_lives)))
     s = parent_asof(requests, author_lives, author_col, order, "_author_ok", "_author_gone", authors, segments)
-    s = parent_asof(s, book_lives, book_col, order, "_book_ok", "_book_gone", books, segments)
+    s = parent_asof(s, book_lives, book_col, order, "_book_ok", "_book_gone", books, segments, requests)
     effect = F.when((op == "unassign") | (F.col("_author_ok") & F.col("_book_ok")), F.struct(op.alias("op"), _position(order).alias("at")))
-    s = ordered_scan(s, [author_col, book_col], order, lasts={"_prev": effect}, segments=segments)
+    s = ordered_scan(s, [author_col, book_col], order, lasts={"_prev": effect}, segments=segments, like=requests)
     untouched = F.col("_author_gone").isNull() & F.col("_book_gone").isNull()
     first = F.lit(False)
     if links is not None:
@@ -102,8 +105,7 @@ def links_after(judged: DataFrame, author_lives: DataFrame, book_lives: DataFram
             .agg(F.max_by("op", pos).alias("op"), F.max(pos).alias("at")))
     if links is not None:
         stored = _stored_links(links, authors, books, author_col, book_col)
-        none = F.lit(None).cast(last.schema["at"].dataType)
-        last = last.unionByName(stored.join(last, pair, "left_anti").select(*pair, F.lit("assign").alias("op"), none.alias("at")))
+        last = last.join(stored, pair, "full_outer").select(*pair, F.coalesce("op", F.lit("assign")).alias("op"), "at")  # judged once
     out = last.filter(F.col("op") == "assign")
     for lives, c in ((author_lives, author_col), (book_lives, book_col)):
         gone = lives.filter(F.col("op") == DELETE).groupBy(c).agg(F.max(_position(order)).alias("_gone"))

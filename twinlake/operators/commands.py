@@ -273,7 +273,7 @@ def assignment_log(cmds: DataFrame, authors: DataFrame, books: DataFrame, order:
     a, b, op = F.col(author_col), F.col(book_col), F.col("op")
     f = flag_parents(cmds, [(authors, author_key, author_col, "_author_ok"), (books, book_key, book_col, "_book_ok")])
     effect = F.when((op == "unassign") | (F.col("_author_ok") & F.col("_book_ok")), op)
-    s = ordered_scan(f, [author_col, book_col], order, lasts={"_prev": effect}, segments=segments)
+    s = ordered_scan(f, [author_col, book_col], order, lasts={"_prev": effect}, segments=segments, like=cmds)
     stored = F.lit(False)
     if existing_links is not None:
         s = s.join(existing_links.select(author_col, book_col).distinct().withColumn("_stored", F.lit(True)),
