@@ -45,3 +45,30 @@ def test_late_rows_come_out_and_the_rest_is_folded_without_them(spark):
     assert behind and {r["event_id"] for r in late.collect()} == behind
     assert applied.count() + late.count() == len(rows)
     assert as_set(applied) == as_set(K.fold(cmd.filter(~F.col("event_id").isin(list(behind))).drop("arrived")))
+
+
+def test_bucket_fold_equals_the_fold_of_each_key_with_carried_state(spark):
+    import numpy as np
+    import pandas as pd
+
+    from twinlake.streaming import commands as C
+    rows = commands(9, 400, lambda rng, ts: ts)
+    pdf = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in CMD.split(", ")]).drop(columns="arrived")
+    pdf["id"] = pdf["id"] * 7 + pdf["event_id"] % 5
+    halves, live, got, state, want = np.array_split(pdf.sort_values(["ts", "event_id"]), 3), None, [], {}, []
+    for part in halves:
+        res, live = C.fold_bucket(part.assign(**{C._KEY: part["id"].astype(str)}).sample(frac=1, random_state=1), ["value", "props"], live)
+        live = None if live is None else C.unpack(C.pack(live))
+        got.append(res)
+        for k, g in part.groupby("id"):
+            res, state[k] = C._fold_pandas(g, ["value", "props"], state.get(k))
+            want.append(res)
+    plain = lambda d: {tuple(None if pd.isna(v) else v for v in r) for r in pd.concat(d)[["event_id", "code", "accepted", "live_after", "value", "props", "created_at", "updated_at"]].itertuples(index=False)}
+    assert len(pd.concat(got)) == len(rows) and plain(got) == plain(want)
+    assert set(live[C._KEY]) == {str(k) for k, s in state.items() if s[0]}
+
+
+def test_micro_batches_do_not_grow_with_the_number_of_files(spark, tmp_root):
+    spark.range(400).repartition(40).write.parquet(f"{tmp_root}/in")
+    assert twins.files_per_batch(spark, f"{tmp_root}/in") == 5 and twins.files_per_batch(spark, f"{tmp_root}/in", batches=2) == 20
+    assert twins.files_per_batch(spark, f"{tmp_root}/none") == twins.FILES_PER_BATCH

@@ -1,15 +1,16 @@
 """Stateful command application on a stream.
 
-The state of one entity is its current row (live flag, fields, created/updated
-times), kept per key by ``applyInPandasWithState``.  Each micro-batch of an
-entity's commands is folded in ``(ts, event_id)`` order with vectorised pandas
-operations (a running "last setter" index per field, no per-row Python loop),
+The state of one entity is its current row (fields, created/updated times).  The
+rows of all live entities in one bucket of keys are the keyed state of
+``applyInPandasWithState``, so a task folds a bucket's commands of a micro-batch at
+once: in ``(key, ts, event_id)`` order with vectorised pandas operations (a running
+"last setter" index per field, no per-row or per-key Python loop),
 using the same rules as the batch ``operators.commands.fold``.  Output is one row
 per command: its code and the entity state after it, from which the reply table
 and the domain events are projected.
 
-Skew: keyed state means one task per key per batch, which Structured Streaming
-requires for any stateful operator; batch replays of the whole log use the
+Skew: keyed state means one task per bucket per batch, which Structured Streaming
+requires for any stateful operator (a key is never in two); batch replays of the whole log use the
 skew-safe batch fold instead.
 """
 
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,71 +80,144 @@ def _fold_pandas(pdf: pd.DataFrame, fields: list[str], st: tuple | None) -> tupl
     return res, tuple(new_state)
 
 
-def apply_commands(cmds: DataFrame, fields: dict[str, str], key: str = "id") -> DataFrame:
+#: Buckets of keys; fixed in a query's checkpoint.  A bucket's commands of a micro-batch and its live entities fit a task.
+BUCKETS = 256
+_KEY, _BUCKET = "key_text", "key_bucket"  # Spark renames columns with a leading underscore on their way to a processor
+
+
+def bucketed(cmds: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The commands with their key as text (null stays null) and its bucket."""
+    return cmds.withColumn(_KEY, F.col(key).cast("string")).withColumn(_BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def pack(pdf: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(pdf, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(blob: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(blob)).read_all().to_pandas(integer_object_nulls=True)
+
+
+def fold_bucket(pdf: pd.DataFrame, fields: list[str], live: pd.DataFrame | None) -> tuple[pd.DataFrame, pd.DataFrame | None]:
+    """``_fold_pandas`` over the commands of many keys (``_key``) and the table of their live entities (``_key``, fields, times);
+    the judged commands and the live entities after them (``None``: no entity is live)."""
+    codes, keys = pd.factorize(pdf[_KEY], use_na_sentinel=False)
+    order = pdf.assign(_g=codes).sort_values(["_g", "ts", "event_id"], kind="mergesort")
+    g, n = order["_g"].to_numpy(), len(order)
+    op, at = order["op"].to_numpy(), np.arange(n)
+    first = np.searchsorted(g, np.arange(len(keys)))  # where each key begins
+    start = first[g]
+    held = np.full(len(keys), -1)  # each key's row among the live entities
+    if live is not None:
+        held = pd.Index(live[_KEY], dtype=object).get_indexer(pd.Index(keys, dtype=object))
+
+    def last(mask: np.ndarray) -> np.ndarray:
+        """The last row of the same key up to each row where ``mask`` holds, or -1."""
+        idx = np.maximum.accumulate(np.where(mask, at, -1))
+        return np.where(idx >= start, idx, -1)
+
+    last_cd = last(np.isin(op, [CREATE, DELETE]))
+    prev = np.where(at > start, np.concatenate([[-1], last_cd[:-1]]), -1)
+    live_before = np.where(prev >= 0, op[np.clip(prev, 0, None)] == CREATE, (held >= 0)[g])
+    code = np.where(op == CREATE, np.where(live_before, 400, 200), np.where(live_before, 200, 404))
+    accepted = (code == 200) & np.isin(op, [CREATE, UPDATE, DELETE])
+    live_after = np.where(op == CREATE, True, np.where(op == DELETE, False, live_before))
+    show = live_after | (accepted & (op == DELETE))
+    out = {_KEY: order[_KEY].to_numpy(dtype=object), "event_id": order["event_id"].to_numpy(), "ts": order["ts"].to_numpy(), "op": op,
+           "code": code.astype("int32"), "accepted": accepted, "live_after": live_after}
+    end = np.concatenate([first[1:], [n]]) - 1
+    left = live_after[end]
+    state = {_KEY: np.asarray(keys, dtype=object)[left]}
+
+    def carry(name: str, mask: np.ndarray, vals: np.ndarray, none) -> None:
+        idx = last(mask)
+        before = np.full(len(keys), none, dtype=vals.dtype)
+        if live is not None:
+            before[held >= 0] = live[name].to_numpy(dtype=vals.dtype)[held[held >= 0]]
+        cur = np.where(idx >= 0, vals[np.clip(idx, 0, None)], before[g])
+        out[name] = np.where(show, cur, none)
+        state[name] = cur[end][left]
+
+    has_any = np.zeros(n, dtype=bool)
+    for f in fields:
+        has = order[f"has_{f}"].to_numpy(dtype=bool)
+        has_any |= has
+        vals = order[f].astype(object)
+        carry(f, accepted & ((op == CREATE) | ((op == UPDATE) & has)), vals.where(vals.notna() & has, None).to_numpy(dtype=object), None)
+    ts = order["ts"].to_numpy(dtype="datetime64[ns]")
+    carry("created_at", accepted & (op == CREATE), ts, np.datetime64("NaT", "ns"))
+    carry("updated_at", accepted & ((op == CREATE) | ((op == UPDATE) & has_any)), ts, np.datetime64("NaT", "ns"))
+    after = pd.DataFrame(state)
+    if live is not None:
+        after = pd.concat([live.drop(index=held[held >= 0]), after], ignore_index=True) if len(held[held >= 0]) < len(live) else after
+    for f in fields:  # an Arrow null column becomes NaN
+        after[f] = after[f].astype(object).where(after[f].notna(), None)
+    return pd.DataFrame(out), (after if len(after) else None)
+
+
+def _schema(fields: dict[str, str], late: str = "") -> str:
+    return (f"{_KEY} string, event_id bigint, ts timestamp_ntz, op string, code int, accepted boolean, live_after boolean, "
+            + "".join(f"{f} {t}, " for f, t in fields.items()) + "created_at timestamp_ntz, updated_at timestamp_ntz" + late)
+
+
+def keyed_again(out: DataFrame, key: str, key_type: T.DataType) -> DataFrame:
+    return out.withColumn(_KEY, F.col(_KEY).cast(key_type)).withColumnRenamed(_KEY, key)
+
+
+def apply_commands(cmds: DataFrame, fields: dict[str, str], key: str = "id", buckets: int = BUCKETS) -> DataFrame:
     """Fold a command stream into per-entity state.
 
     ``cmds``: ``(event_id, ts, <key>, op, has_<f>..., <f>...)``.  Returns one row
-    per command: ``event_id, <key>, op, code, accepted, live_after, <f>..., created_at, updated_at``.
+    per command: ``<key>, event_id, ts, op, code, accepted, live_after, <f>..., created_at, updated_at``.
     """
     names = list(fields)
-    key_type = cmds.schema[key].dataType.simpleString()
-    out_schema = (f"{key} {key_type}, event_id bigint, ts timestamp_ntz, op string, code int, accepted boolean, live_after boolean, "
-                  + "".join(f"{f} {t}, " for f, t in fields.items())
-                  + "created_at timestamp_ntz, updated_at timestamp_ntz")
-    state_schema = ("live boolean, " + "".join(f"{f} {t}, " for f, t in fields.items())
-                    + "created_at timestamp_ntz, updated_at timestamp_ntz")
 
     def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches), ignore_index=True)
-        st = state.get if state.exists else None
-        res, new = _fold_pandas(pdf, names, st)
-        if new[0]:
-            state.update(new)
-        else:
-            # a deleted (or never created) entity carries nothing forward: absent state
-            # already means "not live" and the next accepted command must be a create
+        res, live = fold_bucket(pdf, names, unpack(state.get[0]) if state.exists else None)
+        if live is not None:
+            state.update((pack(live),))
+        elif state.exists:
+            # a deleted (or never created) entity carries nothing forward: absence from the
+            # state already means "not live" and the next accepted command must be a create
             # that sets every field, so state stays bounded by the live entities
             state.remove()
-        res.insert(0, key, k[0])
         yield res
 
-    return cmds.groupBy(key).applyInPandasWithState(step, out_schema, state_schema, "append", "NoTimeout")
+    out = bucketed(cmds, key, buckets).groupBy(_BUCKET).applyInPandasWithState(step, _schema(fields), "live binary", "append", "NoTimeout")
+    return keyed_again(out, key, cmds.schema[key].dataType)
 
 
-def apply_commands_tws(cmds: DataFrame, fields: dict[str, str], key: str = "id") -> DataFrame:
+def apply_commands_tws(cmds: DataFrame, fields: dict[str, str], key: str = "id", buckets: int = BUCKETS) -> DataFrame:
     """T3 on the newer arbitrary-state API (``transformWithStateInPandas``): the same
-    per-key fold, with the entity row kept in a ``ValueState``.  Needs the RocksDB
+    fold, with the live entity rows of a bucket kept in a ``ValueState``.  Needs the RocksDB
     state store provider (``spark.sql.streaming.stateStore.providerClass``)."""
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     names = list(fields)
-    key_type = cmds.schema[key].dataType.simpleString()
-    out_schema = (f"{key} {key_type}, event_id bigint, ts timestamp_ntz, op string, code int, accepted boolean, "
-                  "live_after boolean, " + "".join(f"{f} {t}, " for f, t in fields.items())
-                  + "created_at timestamp_ntz, updated_at timestamp_ntz")
-    state_schema = T._parse_datatype_string(
-        "live boolean, " + "".join(f"{f} {t}, " for f, t in fields.items())
-        + "created_at timestamp_ntz, updated_at timestamp_ntz")
 
     class EntityProcessor(StatefulProcessor):
         def init(self, handle) -> None:
-            self.entity = handle.getValueState("entity", state_schema)
+            self.entities = handle.getValueState("entities", "live binary")
 
         def handleInputRows(self, k, rows, timerValues) -> Iterator[pd.DataFrame]:
             pdf = pd.concat(list(rows), ignore_index=True)
-            st = tuple(self.entity.get()) if self.entity.exists() else None
-            res, new = _fold_pandas(pdf, names, st)
-            if new[0]:
-                self.entity.update(new)
+            res, live = fold_bucket(pdf, names, unpack(self.entities.get()[0]) if self.entities.exists() else None)
+            if live is not None:
+                self.entities.update((pack(live),))
             else:
-                self.entity.clear()  # only live entities keep state (see apply_commands)
-            res.insert(0, key, k[0])
+                self.entities.clear()  # only live entities keep state (see apply_commands)
             yield res
 
         def close(self) -> None:
             pass
 
-    return cmds.groupBy(key).transformWithStateInPandas(EntityProcessor(), out_schema, "Append", "None")
+    out = bucketed(cmds, key, buckets).groupBy(_BUCKET).transformWithStateInPandas(EntityProcessor(), _schema(fields), "Append", "None")
+    return keyed_again(out, key, cmds.schema[key].dataType)
 
 
 def dedupe_messages(records: DataFrame, id_col: str = "event_id", ts: str = "ts", delay: str = "1 hour") -> DataFrame:

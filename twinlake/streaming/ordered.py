@@ -1,11 +1,11 @@
 """Event-time ordered command fold on a stream, with late rows accounted for.
 
-Commands may arrive in any order.  Each is buffered in keyed state and folded when the
+Commands may arrive in any order.  Each is buffered in the state of its bucket of keys and folded when the
 watermark says that nothing older is to come:
 
 * the buffer is cut into time slots; a slot's rows lie in parts of at most ``CHUNK`` rows, so adding rows never
   rewrites what is stored;
-* an event-time timer at the end of a slot fires once the watermark has passed it; the key's slots that are due are
+* an event-time timer at the end of a slot fires once the watermark has passed it; the bucket's slots that are due are
   then sorted by ``(ts, event_id)``, one or a few small ones at a time, and folded in chunks of ``CHUNK`` rows with
   carried state, by the rules of the batch fold;
 * a row that arrives when the watermark has passed its slot is late: it is not folded but comes out at once,
@@ -15,8 +15,8 @@ Spark's own filter would drop late rows unseen.  It looks at the watermark colum
 watermark is set on a copy of the time column that is dropped again: the watermark still advances and timers
 still fire, and late rows reach the operator.
 
-State: live entities and the buffered rows of the last ``delay`` + one slot.  A key's slot must fit a task: choose
-``slot`` for the busiest key.
+State: live entities and the buffered rows of the last ``delay`` + one slot.  A bucket's slot must fit a task: choose
+``slot`` and ``buckets`` for the busiest one.
 """
 
 from __future__ import annotations
@@ -24,12 +24,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .commands import _fold_pandas
+from .commands import _BUCKET, BUCKETS, _schema, bucketed, fold_bucket, keyed_again, pack, unpack
 
 # Worker functions are pickled by value, as in ``commands``: workers need numpy, pandas and pyarrow only.
 try:
@@ -49,20 +48,8 @@ def with_event_clock(rows: DataFrame, ts: str = "ts", delay: str = "1 hour") ->
     return rows.withColumn("_wm", F.col(ts).cast("timestamp")).withWatermark("_wm", delay).drop("_wm")
 
 
-def _pack(pdf: pd.DataFrame) -> bytes:
-    table = pa.Table.from_pandas(pdf, preserve_index=False)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as w:
-        w.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(blob: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(blob).read_all().to_pandas()
-
-
 def ordered_commands(cmds: DataFrame, fields: dict[str, str], key: str = "id", delay: str = "1 hour", slot_ms: int = 3_600_000,
-                     chunk: int = CHUNK) -> DataFrame:
+                     chunk: int = CHUNK, buckets: int = BUCKETS) -> DataFrame:
     """Fold a command stream in event time.
 
     ``cmds``: ``(event_id, ts, <key>, op, has_<f>..., <f>...)`` in any order.  One row a command: ``<key>, event_id, ts, op,
@@ -71,16 +58,13 @@ def ordered_commands(cmds: DataFrame, fields: dict[str, str], key: str = "id", d
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     names = list(fields)
-    key_type = cmds.schema[key].dataType.simpleString()
-    state = "".join(f"{f} {t}, " for f, t in fields.items()) + "created_at timestamp_ntz, updated_at timestamp_ntz"
-    out_schema = f"{key} {key_type}, event_id bigint, ts timestamp_ntz, op string, code int, accepted boolean, live_after boolean, {state}, late boolean"
-    entity_schema = T._parse_datatype_string("live boolean, " + state)
-    columns = [f.strip().split(" ")[0] for f in out_schema.split(",")]
+    out_schema = _schema(fields, ", late boolean")
+    columns = [f.name for f in T._parse_datatype_string(out_schema).fields]
 
     class OrderedFold(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.entity = handle.getValueState("entity", entity_schema)
+            self.entities = handle.getValueState("entities", "live binary")
             self.slots = handle.getMapState("slots", "slot bigint", "parts int, filled int")
             self.parts = handle.getMapState("parts", "slot bigint, part int", "rows binary")
 
@@ -91,7 +75,7 @@ def ordered_commands(cmds: DataFrame, fields: dict[str, str], key: str = "id", d
                 slot = ms // slot_ms
                 late = (slot + 1) * slot_ms <= now
                 if late.any():
-                    yield self._late(key, pdf[late])
+                    yield self._late(pdf[late])
                 for s, part in pdf[~late].groupby(slot[~late]):
                     self._keep(int(s), part)
 
@@ -99,13 +83,13 @@ def ordered_commands(cmds: DataFrame, fields: dict[str, str], key: str = "id", d
             """Add rows to the slot: to its last part while that has room, else as new parts."""
             parts, filled = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else (0, chunk)
             if filled + len(pdf) <= chunk and parts:
-                pdf = pd.concat([_unpack(bytes(self.parts.getValue((slot, parts - 1))[0])), pdf], ignore_index=True)
+                pdf = pd.concat([unpack(self.parts.getValue((slot, parts - 1))[0]), pdf], ignore_index=True)
                 parts -= 1
             elif not parts:
                 self.handle.registerTimer((slot + 1) * slot_ms)
             for a in range(0, len(pdf), chunk):
                 piece = pdf.iloc[a: a + chunk]
-                self.parts.updateValue((slot, parts), (_pack(piece),))
+                self.parts.updateValue((slot, parts), (pack(piece),))
                 parts, filled = parts + 1, len(piece)
             self.slots.updateValue((slot,), (parts, filled))
 
@@ -116,39 +100,38 @@ def ordered_commands(cmds: DataFrame, fields: dict[str, str], key: str = "id", d
                 return
             now = timerValues.getCurrentWatermarkInMs()
             due = sorted((int(k[0]), int(v[0])) for k, v in self.slots.iterator() if (int(k[0]) + 1) * slot_ms <= now)
-            st = tuple(self.entity.get()) if self.entity.exists() else None
-            live, held, rows = st is not None, [], 0
+            live = unpack(self.entities.get()[0]) if self.entities.exists() else None
+            held, rows = [], 0
             for i, (s, parts) in enumerate(due):
                 for p in range(parts):
-                    held.append(_unpack(bytes(self.parts.getValue((s, p))[0])))
+                    held.append(unpack(self.parts.getValue((s, p))[0]))
                     rows += len(held[-1])
                     self.parts.removeKey((s, p))
                 self.slots.removeKey((s,))
                 if rows >= chunk or i == len(due) - 1:
                     pdf = pd.concat(held, ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
                     for a in range(0, len(pdf), chunk):
-                        res, st = _fold_pandas(pdf.iloc[a: a + chunk], names, st)
-                        res.insert(0, columns[0], key[0])
+                        res, live = fold_bucket(pdf.iloc[a: a + chunk], names, live)
                         res["late"] = False
                         yield res[columns]
                     held, rows = [], 0
-            if st[0]:
-                self.entity.update(st)
-            elif live:
-                self.entity.clear()
+            if live is not None:
+                self.entities.update((pack(live),))
+            else:
+                self.entities.clear()
 
-        def _late(self, key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def _late(self, pdf: pd.DataFrame) -> pd.DataFrame:
             out = pd.DataFrame({c: pd.Series([None] * len(pdf), dtype=object) for c in columns})
-            for c in ("event_id", "ts", "op"):
+            for c in (columns[0], "event_id", "ts", "op"):
                 out[c] = pdf[c].to_numpy()
-            out[columns[0]] = key[0]
             out["late"] = True
             return out
 
         def close(self) -> None:
             pass
 
-    return with_event_clock(cmds, "ts", delay).groupBy(key).transformWithStateInPandas(OrderedFold(), out_schema, "Append", "EventTime")
+    out = with_event_clock(bucketed(cmds, key, buckets), "ts", delay).groupBy(_BUCKET).transformWithStateInPandas(OrderedFold(), out_schema, "Append", "EventTime")
+    return keyed_again(out, key, cmds.schema[key].dataType)
 
 
 def split_sink(applied_root: str, late_root: str):

@@ -10,6 +10,7 @@ query keys, whose answers must equal the batch forms.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,17 +18,20 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.buckets import BucketedTable
-from ..sources.tables import publish_snapshot, read_snapshot
+from ..sources.tables import _fs, publish_snapshot, read_snapshot
 from . import cdc, commands, ordered, replies, topics
 
+#: Least number of files a micro-batch; larger inputs are read in ``BATCHES`` micro-batches, however many files they have.
 FILES_PER_BATCH = 2
+BATCHES = 8
 
 
 def _root(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def write_time_chunks(df: DataFrame, path: str, ts: str, chunks: int = 4, key: str | None = None) -> int:
+def write_time_chunks(df: DataFrame, path: str, ts: str, chunks: int = 4, key: str | None = None,
+                      after: Callable[[], None] | None = None) -> int:
     """Write ``df`` as ``chunks`` successive appends, each covering the next range
     of ``ts`` (a time or a number), so a file stream reads them in that order.
     Only the column's min and max come to the driver.  The input is checkpointed
@@ -37,6 +41,8 @@ def write_time_chunks(df: DataFrame, path: str, ts: str, chunks: int = 4, key: s
     topic.  Files are read in the order of their appends, so a key's rows keep their
     order wherever micro-batches cut a chunk, however many files it has.
 
+    ``after`` is called after each append, e.g. to run a stream over it.
+
     Returns the length of a chunk in whole seconds, rounded up (0 for numbers): how far
     behind the newest row a row of the same chunk can be, and so the least watermark
     delay that loses none.
@@ -56,9 +62,21 @@ def write_time_chunks(df: DataFrame, path: str, ts: str, chunks: int = 4, key: s
         if i < chunks - 1:
             cond = cond & (F.col(ts) < cuts[i])
         df.filter(cond).write.mode("append").parquet(path)
+        if after:
+            after()
     return int(step.total_seconds()) + 1 if hasattr(step, "total_seconds") else 0
 
 
+def files_per_batch(spark: SparkSession, *paths: str, batches: int = BATCHES) -> int:
+    """Files a micro-batch so that the topics' files make ``batches`` of them at most, but not fewer than ``FILES_PER_BATCH``."""
+    most = 0
+    for path in paths:
+        fs, p = _fs(spark, path)
+        files = [s for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet")] if fs.exists(p) else []
+        most = max(most, len(files))
+    return max(FILES_PER_BATCH, -(-most // batches))
+
+
 def _drain(stream: DataFrame, sink: str, ckpt: str):
     """Run a stream to the end of its input; the finished query."""
     q = (stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
@@ -77,7 +95,7 @@ def command_records(cmd: DataFrame) -> DataFrame:
 
 def _applied_stream(spark: SparkSession, cmd: DataFrame, root: str, api: str = "pandas_with_state") -> DataFrame:
     write_time_chunks(command_records(cmd), f"{root}/in", "timestamp", key="key")
-    src = topics.file_stream(spark, f"{root}/in", max_files_per_trigger=FILES_PER_BATCH, fmt="parquet")
+    src = topics.file_stream(spark, f"{root}/in", max_files_per_trigger=files_per_batch(spark, f"{root}/in"), fmt="parquet")
     fields = {"value": "double", "props": "string"}
     parsed = topics.parse_commands(src, "author", fields)
     if api == "transform_with_state":
@@ -109,16 +127,21 @@ def ordered_run(spark: SparkSession, cmd: DataFrame, arrived: str, delay: str, s
     the folded rows and the late rows."""
     root = _root(spark, "stream-ordered")
     rows = cmd if files == 1 else cmd.repartition(files)
-    write_time_chunks(rows, f"{root}/in", arrived, chunks)
+
+    def fold_arrived() -> None:
+        """One run over the files that came since the last, a micro-batch of them all."""
+        src = spark.readStream.schema(cmd.schema).parquet(f"{root}/in").drop(arrived)
+        out = ordered.ordered_commands(src, {"value": "double", "props": "string"}, delay=delay, slot_ms=slot_ms, chunk=chunk)
+        with rocksdb(spark):
+            q = (out.writeStream.foreachBatch(ordered.split_sink(f"{root}/applied", f"{root}/late"))
+                 .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    write_time_chunks(rows, f"{root}/in", arrived, chunks, after=fold_arrived)
     last = cmd.agg(*[(F.max(F.lit(END_OF_TIME).cast("timestamp_ntz")) if c == "ts" else F.max(F.lit(-1)) if c == "event_id" else F.max(F.lit(None)))
                      .cast(cmd.schema[c].dataType).alias(c) for c in cmd.columns])
     last.write.mode("append").parquet(f"{root}/in")
-    src = spark.readStream.schema(cmd.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/in").drop(arrived)
-    out = ordered.ordered_commands(src, {"value": "double", "props": "string"}, delay=delay, slot_ms=slot_ms, chunk=chunk)
-    with rocksdb(spark):
-        q = (out.writeStream.foreachBatch(ordered.split_sink(f"{root}/applied", f"{root}/late"))
-             .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
-        q.awaitTermination()
+    fold_arrived()
     return tuple(spark.read.parquet(f"{root}/{name}").drop("batch") for name in ("applied", "late"))
 
 
@@ -162,7 +185,7 @@ def dedupe_run(spark: SparkSession, events: DataFrame) -> DataFrame:
     """A doubled event stream deduplicated within the watermark."""
     root = _root(spark, "stream-dedupe")
     span = write_time_chunks(events, f"{root}/in", "occurred_at")
-    src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/in")
+    src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_per_batch(spark, f"{root}/in")).parquet(f"{root}/in")
     out = commands.dedupe_messages(src, id_col="event_id", ts="occurred_at", delay=f"{max(span, 3600)} seconds")
     _drain(out, f"{root}/out", f"{root}/ckpt")
     return spark.read.parquet(f"{root}/out")
@@ -174,7 +197,8 @@ def cdc_run(spark: SparkSession, initial: DataFrame, changes: DataFrame, table:
     root = _root(spark, "stream-cdc")
     publish_snapshot(initial, f"{root}/read", table)
     write_time_chunks(changes, f"{root}/in", seq, chunks=2)
-    src = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/in")
+    # each micro-batch rewrites the table: as many of them as appends
+    src = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", files_per_batch(spark, f"{root}/in", batches=2)).parquet(f"{root}/in")
     q = (src.writeStream.foreachBatch(cdc.cdc_sink(f"{root}/read", table, keys, seq))
          .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -188,7 +212,7 @@ def bucketed_cdc_run(spark: SparkSession, initial: DataFrame, changes: DataFrame
     replica = BucketedTable(f"{root}/read", table, keys, buckets)
     replica.create(initial)
     write_time_chunks(changes, f"{root}/in", arrival, chunks=3)
-    src = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/in")
+    src = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", files_per_batch(spark, f"{root}/in")).parquet(f"{root}/in")
     q = (src.writeStream.foreachBatch(cdc.bucketed_sink(replica, seq))
          .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -206,8 +230,9 @@ def timeout_run(spark: SparkSession, req: DataFrame, rep: DataFrame, timeout_s:
        .write.mode("append").parquet(f"{root}/req")
     rep.agg(F.max(F.lit(-1).cast("bigint")).alias("event_id"), F.max(marker_ts).alias("rts")) \
        .write.mode("append").parquet(f"{root}/rep")
-    rq = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/req")
-    rp = spark.readStream.schema(rep.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{root}/rep")
+    files = files_per_batch(spark, f"{root}/req", f"{root}/rep")
+    rq = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/req")
+    rp = spark.readStream.schema(rep.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/rep")
     out = replies.correlate_stream(rq, rp, timeout_s, lateness=f"{max(span, 10)} seconds")
     _drain(out, f"{root}/out", f"{root}/ckpt")
     return spark.read.parquet(f"{root}/out").filter(F.col("event_id") >= 0)
