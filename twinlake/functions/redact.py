@@ -79,20 +79,37 @@ def _near_top(v: Column, path: tuple[str, ...] = ()) -> Column:
 
 
 def _without_nested(text: Column) -> Column:
-    """Canonical JSON with every object or array under a secret name replaced, at any depth: one pass over its tokens
-    that keeps the depth and, inside a secret value, the depth at which it began."""
+    """Canonical JSON with every object or array under a secret name replaced, at any depth: one pass over its brackets
+    that keeps the depth and, inside a secret value, the depth at which it began; then the tokens outside are joined."""
     names = [f'"{n}"' for n in ANY_DEPTH]
 
-    def step(s: Column, t: Column) -> Column:
-        opens, closes, hidden = t.isin("{", "["), t.isin("}", "]"), s["since"] >= 0
-        starts = ~hidden & opens & (s["last"] == ":") & s["name"].isin(*names)
-        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        since = F.when(starts, s["depth"]).when(hidden & closes & (depth == s["since"]), -1).otherwise(s["since"])
-        shown = F.when(starts, F.array(F.lit(f'"{CENSOR}"'))).when(hidden, F.array().cast("array<string>")).otherwise(F.array(t))
-        return F.struct(depth.alias("depth"), since.alias("since"), s["last"].alias("name"), t.alias("last"), F.concat(s["out"], shown).alias("out"))
-
-    start = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("since"), F.lit("").alias("name"), F.lit("").alias("last"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), start, step, lambda s: F.array_join(s["out"], ""))
+    def bracket(tokens: Column, t: Column, i: Column) -> Column:
+        secret = (F.get(tokens, i - 1) == ":") & F.get(tokens, i - 2).isin(*names)
+        return F.when(t.isin("{", "["), F.struct(F.lit(1).alias("by"), F.coalesce(secret, F.lit(False)).alias("secret"), i.alias("at"))) \
+                .when(t.isin("}", "]"), F.struct(F.lit(-1).alias("by"), F.lit(False).alias("secret"), i.alias("at")))
+
+    def step(s: Column, e: Column) -> Column:
+        starts = e["secret"] & (s["since"] < 0)
+        ends = (e["by"] < 0) & (s["since"] == s["depth"] - 1)
+        return F.struct((s["depth"] + e["by"]).alias("depth"), F.when(starts, s["depth"]).when(ends, -1).otherwise(s["since"]).alias("since"),
+                        F.when(starts | ends, F.concat(s["cuts"], F.array(e["at"]))).otherwise(s["cuts"]).alias("cuts"))
+
+    def joined(tokens: Column, cuts: Column) -> Column:
+        """``cuts``: first and last token of each hidden value, in turn."""
+        def piece(j: Column) -> Column:
+            start = F.when(j == 0, 0).otherwise(F.get(cuts, 2 * j - 1) + 1)
+            shown = F.array_join(F.slice(tokens, start + 1, F.coalesce(F.get(cuts, 2 * j), F.size(tokens)) - start), "")
+            return F.when(2 * j < F.size(cuts), F.concat(shown, F.lit(f'"{CENSOR}"'))).otherwise(shown)
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size(cuts) / 2).cast("int")), piece), "")
+
+    def whole(tokens: Column) -> Column:
+        brackets = F.filter(F.transform(tokens, lambda t, i: bracket(tokens, t, i)), lambda e: e.isNotNull())
+        start = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("since"), F.array().cast("array<int>").alias("cuts"))
+        cuts = F.aggregate(brackets, start, step, lambda s: s["cuts"])
+        return F.transform(F.array(cuts), lambda c: joined(tokens, c))[0]
+
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))), whole)[0]
 
 
 def redact_json(text: Column, schema: T.StructType | None = None) -> Column:

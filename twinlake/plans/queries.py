@@ -848,10 +848,13 @@ def redact_paths(spark, sf):
 def redact_deep(spark, sf):
     """G1 at depth: each record thirty levels down, alone and as the value of a secret name; inside, only the names of any depth count."""
     from ..functions import redact as G
+    from ..operators.scan import segment_count
     record = F.col("record")
     deep = F.concat(F.lit('{"a":[' * 15), record, F.lit("]}" * 15))
     hidden = F.concat(F.lit('[{"k":' * 15 + '{"buffer":'), record, F.lit(',"z":1}' + "}]" * 15))
-    logs = fx.log_records(Tables(spark, sf))
+    t = Tables(spark, sf)
+    # a megabyte of customers makes records for minutes of one core: small rows are dealt to all cores before they grow
+    logs = fx.log_records(t, t.customer.repartition(segment_count(t.customer, 1 << 20)))
     return logs.select("c_custkey", G.redact_json(deep).alias("redacted"), G.redact_json(hidden).alias("hidden"))
 
 
