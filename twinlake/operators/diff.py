@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normalise_definition
+from .scan import spread
 
 INSERT, UPDATE, DELETE, SAME = "insert", "update", "delete", "same"
 CREATE, DROP, RECREATE = "create", "drop", "recreate"
@@ -50,7 +51,7 @@ def diff_counts(diff: DataFrame) -> DataFrame:
 def orphans(read: DataFrame, write: DataFrame, keys: list[str]) -> DataFrame:
     """Read rows whose key tuple is absent from write.  ``pk != ALL(keys)``
     (P8) becomes an anti join on all key columns; the key set is never collected."""
-    return read.join(write.select(*keys), keys, "left_anti")
+    return spread(read, keys).join(write.select(*keys), keys, "left_anti")
 
 
 def definition_diff(write: DataFrame, read: DataFrame, key: str, text: str) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import spread
+
 
 def _keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """S2 key-only scan: Parquet reads just the key columns."""
@@ -32,7 +34,7 @@ def insert_if_absent(read: DataFrame, write: DataFrame, keys: list[str]) -> Data
 def delete_orphans(read: DataFrame, write: DataFrame, keys: list[str]) -> DataFrame:
     """M3/M4: keep read rows whose key tuple still exists in write; an empty write
     side therefore empties the read side (M5)."""
-    return read.join(_keys(write, keys), keys, "left_semi")
+    return spread(read, keys).join(_keys(write, keys), keys, "left_semi")
 
 
 def replace(write: DataFrame, read_columns: list[str] | None = None) -> DataFrame:
@@ -86,10 +88,10 @@ def upsert_with_fallback(read: DataFrame, write: DataFrame, keys: list[str], uni
 def sync_rows(read: DataFrame, write: DataFrame, ids: DataFrame, keys: list[str]):
     """M8: upsert the write rows of the requested ids.  Ids absent from write are
     returned separately (the reference warns and skips them).  Returns (new_read, missing)."""
-    req = ids.select(*keys).distinct()
-    rows = write.join(req, keys, "left_semi")
+    req = spread(ids.select(*keys), keys).distinct()
+    rows = spread(write, keys).join(req, keys, "left_semi")
     missing = req.join(_keys(write, keys), keys, "left_anti")
-    return upsert(read, rows, keys), missing
+    return upsert(spread(read, keys), rows, keys), missing
 
 
 def sync_children(read: DataFrame, write: DataFrame, parents: DataFrame, fk: str, parent_key: str) -> DataFrame:

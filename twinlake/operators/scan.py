@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 SEG = "_seg"
 CUT = "cut"     # metadata of the segment column: whether any key has several segments
 SAMPLED = 100   # sampled rows of which one bounds a segment
+PARTITION_BYTES = 8 << 20  # Parquet bytes whose rows a task sorts or groups by key
 SEGMENT_BYTES = 128 << 20  # input bytes a segment is sized for
 
 
@@ -37,9 +38,9 @@ def input_bytes(df: DataFrame) -> int:
     return sum(s for s in sizes if s < 1 << 60)
 
 
-def segment_count(df: DataFrame) -> int:
-    """Segments for ``df``: one per ``SEGMENT_BYTES`` of input, at least the shuffle partition count."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // SEGMENT_BYTES))
+def segment_count(df: DataFrame, size: int | None = None) -> int:
+    """Segments for ``df``: one per ``size`` (``SEGMENT_BYTES``) of input bytes, at least the shuffle partition count."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // (size or SEGMENT_BYTES)))
 
 
 def pinned(df: DataFrame) -> DataFrame:
@@ -50,6 +51,24 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame, keep: DataFrame | None = None) -> None:
+    """Delete the ``pinned`` tables that a plan reads and nothing will read again, but not those that ``keep`` reads."""
+    from ..session import scratch_path
+    from ..sources.tables import _fs
+    own = scratch_path(df.sparkSession, "scan-")
+    folders = [{f.rsplit("/", 1)[0] for f in d.inputFiles()} for d in (df, keep) if d is not None]
+    for path in folders[0].difference(*folders[1:]):
+        if own.rsplit(":", 1)[-1] in path:
+            fs, p = _fs(df.sparkSession, path)
+            fs.delete(p, True)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` by its keys in a partition for each ``PARTITION_BYTES`` of input, where those are more than the session's."""
+    n = segment_count(df, PARTITION_BYTES)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def segment(df: DataFrame, key: list[str], order: list[str], n: int | None = None, like: DataFrame | None = None) -> DataFrame:
     """Attach a segment id: 0, and up from 0 in the order of (key, order) where keys with one hash hold more than a half of
     an ``n``-th of the rows.  ``like``: a cheaper plan with the keys (and order) of ``df``'s rows, to count them by."""
