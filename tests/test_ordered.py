@@ -72,3 +72,13 @@ def test_micro_batches_do_not_grow_with_the_number_of_files(spark, tmp_root):
     spark.range(400).repartition(40).write.parquet(f"{tmp_root}/in")
     assert twins.files_per_batch(spark, f"{tmp_root}/in") == 5 and twins.files_per_batch(spark, f"{tmp_root}/in", batches=2) == 20
     assert twins.files_per_batch(spark, f"{tmp_root}/none") == twins.FILES_PER_BATCH
+
+
+def test_commands_without_key_are_one_entity(spark):
+    rows = [(i, BASE + dt.timedelta(minutes=7 * i), None if i % 3 else 1, ["create", "update", "delete", "update"][i % 4], True, True, float(i), None,
+             BASE + dt.timedelta(minutes=7 * i)) for i in range(60)]
+    cmd = spark.createDataFrame(rows, CMD)
+    applied, late = twins.ordered_run(spark, cmd, "arrived", delay="20 minutes", slot_ms=600_000, chunks=3, chunk=9)
+    one = K.fold(cmd.drop("arrived").na.fill({"id": -1}))  # null as one key of its own
+    assert late.count() == 0 and applied.filter("id IS NULL").count() == 40
+    assert as_set(applied.na.fill({"id": -1})) == as_set(one)

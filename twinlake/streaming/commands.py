@@ -86,8 +86,8 @@ _KEY, _BUCKET = "key_text", "key_bucket"  # Spark renames columns with a leading
 
 
 def bucketed(cmds: DataFrame, key: str, buckets: int) -> DataFrame:
-    """The commands with their key as text (null stays null) and its bucket."""
-    return cmds.withColumn(_KEY, F.col(key).cast("string")).withColumn(_BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    """The commands with their key as text behind "=" (a null key is the empty text) and its bucket."""
+    return cmds.withColumn(_KEY, F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))).withColumn(_BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
 def pack(pdf: pd.DataFrame) -> bytes:
@@ -165,7 +165,8 @@ def _schema(fields: dict[str, str], late: str = "") -> str:
 
 
 def keyed_again(out: DataFrame, key: str, key_type: T.DataType) -> DataFrame:
-    return out.withColumn(_KEY, F.col(_KEY).cast(key_type)).withColumnRenamed(_KEY, key)
+    """The folded rows with the key itself in the place of its text."""
+    return out.withColumn(_KEY, F.when(F.col(_KEY) != "", F.substr(F.col(_KEY), F.lit(2))).cast(key_type)).withColumnRenamed(_KEY, key)
 
 
 def apply_commands(cmds: DataFrame, fields: dict[str, str], key: str = "id", buckets: int = BUCKETS) -> DataFrame:
