@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from twinlake.operators import asof as A
 from twinlake.operators import unique as U
@@ -105,6 +106,24 @@ def test_one_value_wanted_by_all_settles_in_few_rounds(spark):
     assert all(rows[n] == (400, "Book with ISBN same already exists") for n in range(1, 200)) and rounds <= 4
 
 
+def test_scarce_values_take_few_rounds_and_equal_a_loop(spark):
+    rng = random.Random(5)
+    log = [(n, rng.choice(["create", "create", "update", "delete", "get"]), rng.randrange(40), True, rng.choice([None, *range(8)])) for n in range(900)]
+    log = [(n, op, i, op == "create" or rng.random() < 0.7, v) for n, op, i, _, v in log]
+    log += [(n + 900, op, i + 100, has, None if v is None else v + 100) for n, op, i, has, v in log[:300]]  # ids and values of their own
+    stored = [(3, 0), (4, None), (20, 7), (99, 1)]
+    cmds = spark.createDataFrame(log, "n long, op string, id long, has boolean, v long")
+    holders = spark.createDataFrame(stored, "id long, v long")
+    want = unique_by_loop(log, stored)
+    for id_type, value_type in (("long", "long"), ("string", "decimal(9,2)")):  # the second goes by JSON
+        typed = [d.withColumn("id", F.col("id").cast(id_type)).withColumn("v", F.col("v").cast(value_type)) for d in (cmds, holders)]
+        got, rounds = U.judge_unique(typed[0], "v", ["n"], has="has", stored=typed[1], segments=4)
+        assert {r["n"]: r["code"] for r in got.collect()} == want
+        assert rounds <= 6
+    got, rounds = U.judge_unique(cmds, "v", ["n"], has="has", segments=4)
+    assert {r["n"]: r["code"] for r in got.collect()} == unique_by_loop(log, []) and rounds <= 6
+
+
 def test_no_commands(spark):
     got, rounds = U.judge_unique(spark.createDataFrame([], "n long, op string, id long, v string"), "v", ["n"])
     assert got.collect() == [] and rounds == 1

@@ -51,12 +51,12 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame, keep: DataFrame | None = None) -> None:
-    """Delete the ``pinned`` tables that a plan reads and nothing will read again, but not those that ``keep`` reads."""
+def dropped(df: DataFrame, *keep: DataFrame | None) -> None:
+    """Delete the ``pinned`` tables that a plan reads and nothing will read again, but not those that one of ``keep`` reads."""
     from ..session import scratch_path
     from ..sources.tables import _fs
     own = scratch_path(df.sparkSession, "scan-")
-    folders = [{f.rsplit("/", 1)[0] for f in d.inputFiles()} for d in (df, keep) if d is not None]
+    folders = [{f.rsplit("/", 1)[0] for f in d.inputFiles()} for d in (df, *keep) if d is not None]
     for path in folders[0].difference(*folders[1:]):
         if own.rsplit(":", 1)[-1] in path:
             fs, p = _fs(df.sparkSession, path)
