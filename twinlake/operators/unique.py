@@ -171,8 +171,9 @@ def judge_unique(cmds: DataFrame, unique: str, order: list[str], key: str = "id"
     base = base.withColumn("_rejected", none)
     acts = F.coalesce(op.isin(CREATE, DELETE) | ((op == UPDATE) & F.col("_sets")), none)
     # an id is certainly not live after a delete, or at first, until the next create, accepted or not
-    acting = pinned(_alive(base.filter(acts).join(ids, "_id", "left_semi"), order, near, segments).select(
-        *base.columns, ((op == CREATE) | F.col("_live")).alias("_may")))
+    tried = _alive(base.filter(acts).join(ids, "_id", "left_semi"), order, near, segments)
+    acting = pinned(tried.select(*base.columns, ((op == CREATE) | F.col("_live")).alias("_may")))
+    dropped(tried, ids, near)
     rows = acting.filter("_may").select(*base.columns)
     rounds, before = 0, None
     while True:
